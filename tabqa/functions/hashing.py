@@ -55,19 +55,27 @@ def weighted_choice(k: Column, elements: Sequence, weights: Sequence[float], for
     """
     if force_index is not None:
         return F.lit(elements[force_index])
-    total = float(sum(weights))
     u = unit(k)
     expr = None
+    steps = thresholds(elements, weights)
+    for el, acc in steps[:-1]:
+        cond = u < F.lit(acc)
+        expr = F.when(cond, F.lit(el)) if expr is None else expr.when(cond, F.lit(el))
+    last = F.lit(steps[-1][0])
+    return last if expr is None else expr.otherwise(last)
+
+
+def thresholds(elements: Sequence, weights: Sequence[float]) -> list[tuple]:
+    """(element, cumulative probability) for the non-zero weights, in order."""
+    total = float(sum(weights))
     acc = 0.0
-    last = None
+    out = []
     for el, w in zip(elements, weights):
         if w <= 0:
             continue
         acc += w / total
-        last = el
-        cond = u < F.lit(acc)
-        expr = F.when(cond, F.lit(el)) if expr is None else expr.when(cond, F.lit(el))
-    return expr.otherwise(F.lit(last))
+        out.append((el, acc))
+    return out
 
 
 def pick(k: Column, arr: Column) -> Column:

@@ -79,10 +79,14 @@ def role_profile(df: DataFrame) -> DataFrame:
     )
 
 
+INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Type inference over text columns as one aggregate (A2).
 
-    A column is INTEGER when every non-null value casts to BIGINT, REAL when
+    A column is INTEGER when every non-null value is an optionally signed
+    digit string (what a CSV reader infers as int64), REAL when
     every value casts to DOUBLE, else TEXT.  One pass, partial aggregation,
     one output row per column.
     """
@@ -91,7 +95,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = []
     for c in cols:
         v = F.trim(F.col(c))
-        aggs.append(F.bool_and(F.when(v.isNotNull(), F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").isNotNull())).alias(f"i__{c}"))
+        aggs.append(F.bool_and(F.when(v.isNotNull(), v.rlike(INTEGER_PATTERN))).alias(f"i__{c}"))
         aggs.append(F.bool_and(F.when(v.isNotNull(), F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)").isNotNull())).alias(f"r__{c}"))
     wide = s.agg(*aggs)
     stack = ", ".join(f"'{c}', {i}, `i__{c}`, `r__{c}`" for i, c in enumerate(cols))
