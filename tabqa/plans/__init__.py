@@ -5,4 +5,4 @@ from tabqa.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from tabqa.plans import corpus, relational  # noqa: F401
+    from tabqa.plans import batch, corpus, relational  # noqa: F401

@@ -14,7 +14,8 @@ from tabqa.operators import relational as R
 from tabqa.plans.registry import query
 from tabqa.sources.tables import Tables
 
-QTY = F.col("l_quantity").cast("bigint")
+def _qty():
+    return F.col("l_quantity").cast("bigint")
 
 
 # ------------------------------------------------------------------ flagship
@@ -60,7 +61,7 @@ def _arith_q(op):
         return li.select(
             "l_orderkey",
             "l_linenumber",
-            R.arith(QTY, op, F.col("l_linenumber").cast("bigint") - 1).cast("bigint").alias("v"),
+            R.arith(_qty(), op, F.col("l_linenumber").cast("bigint") - 1).cast("bigint").alias("v"),
         )
 
     return fn
@@ -139,8 +140,8 @@ def pred_in_list(spark, sf_dir):
 )
 def pred_num_cmp(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
-    cond = R.compare(QTY, ">", 48) | R.compare(QTY, "<", 2) | R.compare(F.col("l_partkey"), "=", 7)
-    return li.where(cond).select("l_orderkey", "l_linenumber", QTY.alias("qty"))
+    cond = R.compare(_qty(), ">", 48) | R.compare(_qty(), "<", 2) | R.compare(F.col("l_partkey"), "=", 7)
+    return li.where(cond).select("l_orderkey", "l_linenumber", _qty().alias("qty"))
 
 
 @query("pred_text_cmp", "SELECT p_partkey FROM part WHERE p_name > 'red' AND p_type < 'SMALL'")
@@ -330,9 +331,9 @@ def agg_sum_min_max(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
     empty = li.where(F.col("l_quantity") > 1000).select(F.sum("l_partkey").cast("bigint")).scalar()
     return li.agg(
-        F.sum(QTY).cast("bigint").alias("sum_qty"),
-        F.min(QTY).alias("min_qty"),
-        F.max(QTY).alias("max_qty"),
+        F.sum(_qty()).cast("bigint").alias("sum_qty"),
+        F.min(_qty()).alias("min_qty"),
+        F.max(_qty()).alias("max_qty"),
     ).select("*", empty.alias("sum_empty"))
 
 
@@ -343,7 +344,7 @@ def agg_sum_min_max(spark, sf_dir):
 )
 def agg_avg(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
-    return li.groupBy("l_returnflag").agg(F.round(F.avg(QTY), 6).alias("avg_qty"))
+    return li.groupBy("l_returnflag").agg(F.round(F.avg(_qty()), 6).alias("avg_qty"))
 
 
 @query("agg_count_star", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
@@ -383,7 +384,7 @@ def agg_having_count(spark, sf_dir):
 )
 def agg_having_agg(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
-    return li.groupBy("l_suppkey").agg(F.sum(QTY).alias("__s")).where(F.col("__s") > 15400).select("l_suppkey")
+    return li.groupBy("l_suppkey").agg(F.sum(_qty()).alias("__s")).where(F.col("__s") > 15400).select("l_suppkey")
 
 
 @query(
@@ -542,7 +543,7 @@ def ord_tie_flag(spark, sf_dir):
     value), then keep the largest value with its count via ``max_by``.
     """
     li = Tables(spark, sf_dir).lineitem
-    cnt = li.select("l_suppkey", QTY.alias("q")).groupBy("l_suppkey", "q").agg(F.count(F.lit(1)).alias("c"))
+    cnt = li.select("l_suppkey", _qty().alias("q")).groupBy("l_suppkey", "q").agg(F.count(F.lit(1)).alias("c"))
     top = cnt.groupBy("l_suppkey").agg(F.max_by("c", "q").alias("c_top"), F.max("q").alias("top_qty"))
     return top.select("l_suppkey", "top_qty", (F.col("c_top") > 1).cast("int").alias("tie"))
 
@@ -556,7 +557,7 @@ def ord_tie_flag(spark, sf_dir):
 )
 def ord_top1_batched(spark, sf_dir):
     """Per supplier: the row with the largest quantity, ties to the smallest (orderkey, linenumber)."""
-    li = Tables(spark, sf_dir).lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", QTY.alias("qty"))
+    li = Tables(spark, sf_dir).lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", _qty().alias("qty"))
     return R.top1_per_group(li, ["l_suppkey"], "qty", True, ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "qty"])
 
 
