@@ -64,3 +64,217 @@ def with_meta(rows: DataFrame, tables: DataFrame, cols=("header", "types", "n_ro
     meta = tables.select("table_id", *cols)
     n = meta.count()
     return rows.join(F.broadcast(meta) if n <= BROADCAST_TABLES else meta, "table_id")
+
+
+# ---------------------------------------------------------------- all formats
+
+FORMATS = [
+    "markdown", "markdown_index", "dfloader", "json", "matrix", "html", "csv", "tab",
+    "flatten", "tapex", "flatten_norow", "col_row_line", "noenter", "markdown_one_line",
+]
+MAX_ROWS = 100_000  # rows assembled into one string; larger tables come in ordered chunks
+NONE_TABLE = "None Table"
+
+
+def _is_int(types: Column, j: Column) -> Column:
+    return F.try_element_at(types, j + 1) == "INT"
+
+
+def _py_repr(v: Column, is_int: Column) -> Column:
+    """Python repr of a cell: ints bare, text in single quotes."""
+    return F.when(is_int, v).otherwise(F.concat(F.lit("'"), v, F.lit("'")))
+
+
+def _json_str(v: Column) -> Column:
+    esc = F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\"), '"', '\\\\"')
+    return F.concat(F.lit('"'), esc, F.lit('"'))
+
+
+def _csv_field(v: Column) -> Column:
+    needs = v.rlike('[,"\\n\\r]')
+    return F.when(needs, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+
+def _html_esc(v: Column) -> Column:
+    return F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _widths(rows: DataFrame) -> DataFrame:
+    """Longest cell per (table, column) as an array per table (one partial aggregation)."""
+    per = rows.select("table_id", F.posexplode("cells").alias("j", "v")).groupBy("table_id", "j").agg(
+        F.max(F.length("v")).alias("w")
+    )
+    return per.groupBy("table_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda s: s["w"]).alias("cw")
+    )
+
+
+def _pad(v: Column, w: Column, right: Column) -> Column:
+    return F.when(right, F.lpad(v, w, " ")).otherwise(F.rpad(v, w, " "))
+
+
+def _md_cells(vals: Column, widths: Column, right: Column) -> Column:
+    """'| a | b |' from parallel arrays of values, widths and right-alignment flags."""
+    z = F.arrays_zip(vals.alias("v"), widths.alias("w"), right.alias("r"))
+    return F.concat(F.lit("| "), F.array_join(F.transform(z, lambda s: _pad(s["v"], s["w"], s["r"])), " | "), F.lit(" |"))
+
+
+def _md_sep(widths: Column, right: Column) -> Column:
+    z = F.arrays_zip(widths.alias("w"), right.alias("r"))
+    cell = lambda s: F.when(s["r"], F.concat(F.repeat(F.lit("-"), s["w"] + 1), F.lit(":"))).otherwise(
+        F.concat(F.lit(":"), F.repeat(F.lit("-"), s["w"] + 1))
+    )
+    return F.concat(F.lit("|"), F.array_join(F.transform(z, cell), "|"), F.lit("|"))
+
+
+def _line_and_frame(fmt: str):
+    """(row line, table head, table tail, separator) column builders for a format.
+
+    Row lines see: header, types, cells, row_idx, n_rows, n_cols, and the
+    width arrays ``mw`` (markdown) / ``tw`` (tab) where needed.
+    """
+    h, t, c, i = F.col("header"), F.col("types"), F.col("cells"), F.col("row_idx")
+    idx = F.sequence(F.lit(0), F.col("n_cols") - 1)
+    right = F.transform(idx, lambda j: _is_int(t, j))
+    low = F.transform(c, lower_cell)
+    istr = i.cast("string")
+    nl = F.lit("\n")
+    if fmt in ("markdown", "markdown_index", "markdown_one_line"):
+        mw = F.col("mw")
+        if fmt == "markdown":
+            line = _md_cells(c, mw, right)
+            head = F.concat(_md_cells(h, mw, right), nl, _md_sep(mw, right))
+        else:
+            iw = F.greatest(F.lit(2), F.length((F.col("n_rows") - 1).cast("string")))
+            allw = F.concat(F.array(iw), mw)
+            allr = F.concat(F.array(F.lit(True)), right)
+            line = _md_cells(F.concat(F.array(istr), c), allw, allr)
+            brk = F.lit(" ") if fmt == "markdown_one_line" else nl
+            head = F.concat(_md_cells(F.concat(F.array(F.lit("")), h), allw, allr), brk, _md_sep(allw, allr))
+        sep = " " if fmt == "markdown_one_line" else "\n"
+        joiner = F.lit(sep)
+        return line, F.concat(head, joiner), F.lit(""), sep
+    if fmt == "json":
+        pairs = F.transform(
+            idx, lambda j: F.concat(_json_str(F.element_at(h, j + 1)), F.lit(":"),
+                                    F.when(_is_int(t, j), F.element_at(c, j + 1)).otherwise(_json_str(F.element_at(c, j + 1))))
+        )
+        line = F.concat(F.lit('"'), istr, F.lit('":{'), F.array_join(pairs, ","), F.lit("}"))
+        return line, F.lit("{"), F.lit("}"), ","
+    if fmt == "matrix":
+        vals = F.transform(idx, lambda j: _py_repr(F.element_at(c, j + 1), _is_int(t, j)))
+        line = F.concat(F.lit("  ["), istr, F.lit(", "), F.array_join(vals, ", "), F.lit("]\n"))
+        hd = F.concat(F.lit("[\n  ['', "), F.array_join(F.transform(h, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]\n"))
+        return line, hd, F.lit("]"), ""
+    if fmt == "html":
+        tds = F.array_join(F.transform(c, lambda v: F.concat(F.lit("      <td>"), _html_esc(v), F.lit("</td>\n"))), "")
+        line = F.concat(F.lit("    <tr>\n      <th>"), istr, F.lit("</th>\n"), tds, F.lit("    </tr>\n"))
+        ths = F.array_join(F.transform(h, lambda v: F.concat(F.lit("      <th>"), _html_esc(v), F.lit("</th>\n"))), "")
+        hd = F.concat(
+            F.lit('<table border="1" class="dataframe">\n  <thead>\n    <tr style="text-align: right;">\n      <th></th>\n'),
+            ths, F.lit("    </tr>\n  </thead>\n  <tbody>\n"),
+        )
+        return line, hd, F.lit("  </tbody>\n</table>"), ""
+    if fmt == "csv":
+        line = F.concat(istr, F.lit(","), F.array_join(F.transform(c, _csv_field), ","), nl)
+        return line, F.concat(F.lit(","), F.array_join(F.transform(h, _csv_field), ","), nl), F.lit(""), ""
+    if fmt == "tab":
+        tw = F.col("tw")
+        iw = F.length((F.col("n_rows") - 1).cast("string"))
+        z = lambda vals: F.arrays_zip(vals.alias("v"), tw.alias("w"))
+        # pandas: each value gets a leading space, columns joined by one space
+        cells = F.array_join(F.transform(z(c), lambda s: F.concat(F.lit(" "), F.lpad(s["v"], s["w"], " "))), "")
+        line = F.concat(F.rpad(istr, iw, " "), cells)
+        hd = F.concat(F.repeat(F.lit(" "), iw), F.array_join(F.transform(z(h), lambda s: F.concat(F.lit(" "), F.lpad(s["v"], s["w"], " "))), ""))
+        return line, F.concat(hd, nl), F.lit(""), "\n"
+    if fmt == "flatten":
+        return flatten_line(h, c, i), flatten_header(h), F.lit(""), ""
+    if fmt == "tapex":
+        line = F.concat(F.lit("row "), (i + 1).cast("string"), F.lit(" : "), F.array_join(low, " | "), nl)
+        return line, F.concat(F.lit("header: "), F.array_join(h, " | "), nl), F.lit(""), ""
+    if fmt == "flatten_norow":
+        pairs = F.transform(F.arrays_zip(h.alias("h"), low.alias("v")), lambda p: F.concat(p["h"], F.lit(" is "), p["v"], F.lit(". ")))
+        return F.concat(F.array_join(pairs, ""), nl), flatten_header(h), F.lit(""), ""
+    if fmt == "col_row_line":
+        line = F.concat(F.lit("row "), (i + 1).cast("string"), F.lit(" : "), F.array_join(low, " | "), F.lit(" "))
+        return line, F.concat(F.lit("col : "), F.array_join(h, " | "), F.lit(" ")), F.lit(""), ""
+    if fmt == "noenter":
+        pairs = F.transform(
+            F.arrays_zip(h.alias("h"), low.alias("v")),
+            lambda p: F.concat(p["h"], F.lit(" is "), p["v"], F.lit(".  "), p["v"], F.lit(" | ")),
+        )
+        line = F.concat(F.lit("row "), (i + 1).cast("string"), F.lit(" : "), F.array_join(pairs, ""), F.lit(" "))
+        hd = F.concat(F.lit("The table have "), F.size(h).cast("string"), F.lit(" columns: "), F.array_join(h, " | "), F.lit(" "))
+        return line, hd, F.lit(""), ""
+    raise ValueError(f"unknown format {fmt!r}")
+
+
+def render(rows: DataFrame, tables: DataFrame, fmt: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """One text per table (M1-M15): ``(table_id, chunk, text)``.
+
+    Lines are built per row in parallel; each table is assembled from an
+    ordered ``collect_list`` of at most ``max_rows`` lines (chunk 0 carries
+    the head, the last chunk the tail).  Empty tables render as
+    'None Table'.
+    """
+    if fmt == "dfloader":
+        return _render_dfloader(rows, tables)
+    meta = tables.select("table_id", "header", "types", "n_rows", "n_cols")
+    if fmt in ("markdown", "markdown_index", "markdown_one_line", "tab"):
+        cw = _widths(rows)
+        hw = F.transform(F.col("header"), lambda x: F.length(x))
+        cwc = F.coalesce(F.col("cw"), F.array_repeat(F.lit(0), F.col("n_cols")))
+        meta = meta.join(cw, "table_id", "left").select(
+            "*",
+            F.transform(F.arrays_zip(hw.alias("a"), cwc.alias("b")), lambda s: F.greatest(s["a"] + 2, s["b"])).alias("mw"),
+            F.transform(F.arrays_zip(hw.alias("a"), cwc.alias("b")), lambda s: F.greatest(s["a"], s["b"] + 1)).alias("tw"),
+        ).drop("cw")
+    line, head, tail, sep = _line_and_frame(fmt)
+    n = meta.count()
+    m = F.broadcast(meta) if n <= BROADCAST_TABLES else meta
+    lines = rows.join(m, "table_id").select(
+        "table_id", (F.floor(F.col("row_idx") / max_rows)).cast("int").alias("chunk"), "row_idx", line.alias("line")
+    )
+    body = lines.groupBy("table_id", "chunk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda s: s["line"]), sep).alias("body")
+    )
+    frame = meta.select(
+        "table_id", head.alias("head"), tail.alias("tail"),
+        (F.floor((F.greatest(F.col("n_rows"), F.lit(1)) - 1) / max_rows)).cast("int").alias("last"),
+    )
+    j = frame.join(body, "table_id", "left")
+    text = F.concat(
+        F.when(F.coalesce(F.col("chunk"), F.lit(0)) == 0, F.col("head")).otherwise(F.lit("")),
+        F.coalesce(F.col("body"), F.lit("")),
+        F.when(F.coalesce(F.col("chunk"), F.lit(0)) == F.col("last"), F.col("tail")).otherwise(F.lit("")),
+    )
+    return j.select(
+        "table_id",
+        F.coalesce(F.col("chunk"), F.lit(0)).alias("chunk"),
+        F.when(F.col("body").isNull(), F.lit(NONE_TABLE)).otherwise(text).alias("text"),
+    )
+
+
+def _render_dfloader(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """M3: DataFrame-constructor text, built column by column."""
+    meta = tables.select("table_id", "header", "types", "n_rows")
+    cells = rows.select("table_id", "row_idx", F.posexplode("cells").alias("j", "v"))
+    cols = cells.groupBy("table_id", "j").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "v"))), lambda s: s["v"]).alias("vals")
+    )
+    cols = cols.join(meta, "table_id").select(
+        "table_id", "j",
+        F.concat(
+            F.lit("    '"), F.element_at("header", F.col("j") + 1), F.lit("': ["),
+            F.array_join(F.transform("vals", lambda v: _py_repr(v, _is_int(F.col("types"), F.col("j")))), ", "),
+            F.lit("],\n"),
+        ).alias("line"),
+    )
+    body = cols.groupBy("table_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "line"))), lambda s: s["line"]), "").alias("body")
+    )
+    idx = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda x: x.cast("string")), ", ")
+    return meta.join(body, "table_id").select(
+        "table_id", F.lit(0).alias("chunk"),
+        F.concat(F.lit("pd.DataFrame({\n"), F.col("body"), F.lit("},\nindex=["), idx, F.lit("])")).alias("text"),
+    )
