@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabqa.session import pin
+
 SALT_ROWS = 1_000_000
 MAX_ANSWER_ROWS = 100_000
 BROADCAST_SPECS = 500_000
@@ -91,59 +93,62 @@ SPEC_KEY = ["table_id", "query_no"]
 
 
 def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_answer_rows: int = MAX_ANSWER_ROWS) -> Answers:
+    """Answer every spec.
+
+    Specs are split by mode before the join so each rows x specs expansion
+    is computed once, for the specs that need it:
+    * row mode (no group, no aggregate): matched rows are the answer rows,
+      projected and written once; ORDER BY ... LIMIT 1 keeps one per spec;
+    * aggregate mode (global or grouped): one aggregation keyed by
+      (spec, group value) with fixed-width buffers (HashAggregate, partial).
+    """
     sp = specs.select(*EXEC_COLS)
-    x = _join_specs(rows, sp, salt_rows).where(where_ok())
+    is_row = F.col("g_col").isNull() & F.col("s_kind").isin("cols", "calc")
 
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
     s2 = F.try_element_at(F.col("s_cols"), F.lit(2))
     calc = F.when(F.col("s_op") == "+", _num(s1) + _num(s2)).otherwise(_num(s1) - _num(s2))
+
+    # ---- row mode
+    xr = _join_specs(rows, sp.where(is_row), salt_rows).where(where_ok())
     quoted = F.transform(
         F.col("s_cols"),
         lambda i: F.when(F.try_element_at(F.col("types"), i + 1) == "INT", _cell(i)).otherwise(
             F.concat(F.lit("'"), _cell(i), F.lit("'"))
         ),
     )
+    row_vals = F.when(F.col("s_kind") == "calc", F.array(calc.cast("string"))).otherwise(
+        F.transform(F.col("s_cols"), lambda i: _cell(i))
+    )
+    okey = F.when(F.col("o_desc"), -_num(F.col("o_col"))).otherwise(_num(F.col("o_col")))
+    rr = pin(
+        xr.select(
+            *SPEC_KEY, "o_kind",
+            F.col("row_idx").cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
+            row_vals.alias("vals"),
+            F.concat(F.lit("("), F.array_join(quoted, ", "), F.lit(")")).alias("tup"),
+            okey.alias("okey"),
+        ),
+        "answer-rows",
+    )
 
-    # ---- row mode: no group, no aggregate
-    row_mode = x.where(F.col("g_col").isNull() & F.col("s_kind").isin("cols", "calc"))
-    row_vals = row_mode.select(
-        *SPEC_KEY, "o_kind", "o_desc",
-        F.col("row_idx").cast("bigint").alias("ord_i"),
-        F.lit(None).cast("string").alias("ord_s"),
-        F.when(F.col("s_kind") == "calc", F.array(calc.cast("string"))).otherwise(
-            F.transform(F.col("s_cols"), lambda i: _cell(i))
-        ).alias("vals"),
-        F.concat(F.lit("("), F.array_join(quoted, ", "), F.lit(")")).alias("tup"),
-        F.when(F.col("o_kind") == "col", F.when(F.col("o_desc"), -_num(F.col("o_col"))).otherwise(_num(F.col("o_col")))).alias("okey"),
-    )
-    plain = row_vals.where(F.col("o_kind") != "col").select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
-    top = (
-        row_vals.where(F.col("o_kind") == "col")
-        .groupBy(*SPEC_KEY)
-        .agg(F.min_by(F.struct("ord_i", "ord_s", "vals", "tup"), F.struct("okey", "ord_i")).alias("b"))
-        .select(*SPEC_KEY, "b.ord_i", "b.ord_s", "b.vals", "b.tup")
-    )
-
-    # ---- aggregate mode: global or grouped, one partial aggregation
-    agg_mode = x.where(F.col("g_col").isNotNull() | (F.col("s_kind") == "agg"))
+    # ---- aggregate mode
+    xa = _join_specs(rows, sp.where(~is_row), salt_rows).where(where_ok())
     hv, hc = _num(F.col("h_col")), _cell(F.col("h_col"))
     sc, sv = _cell(s1), _num(s1)
     h_row_ok = F.when(F.col("h_kind") == "bare", _cmp(hv, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).when(
         F.col("h_kind") == "colcol", _cmp(hv, F.col("h_op"), _num(F.col("h_rcol")))
     )
-    gkey = F.when(F.col("g_col").isNotNull(), _cell(F.col("g_col")))
-    grouped = agg_mode.groupBy(*SPEC_KEY, gkey.alias("gkey")).agg(
+    gk = F.when(F.col("g_col").isNotNull(), _cell(F.col("g_col"))).otherwise(F.lit(""))
+    carried = ["g_col", "h_kind", "h_op", "h_agg", "h_lit", "s_kind", "s_agg", "o_kind", "o_desc"]
+    g = xa.groupBy(*SPEC_KEY, *carried, gk.alias("gk")).agg(
+        F.count(F.lit(1)).alias("cnt"),
         F.count(hc).alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"), F.sum(hv).alias("h_sum"),
         F.bool_and(F.coalesce(h_row_ok, F.lit(True))).alias("h_every"),
         F.count(sc).alias("s_cnt"), F.max(sv).alias("s_max"), F.min(sv).alias("s_min"), F.sum(sv).alias("s_sum"),
         F.min_by(calc, F.col("row_idx")).alias("calc_first"),
     )
-    gspec = sp.select(*SPEC_KEY, "g_col", "h_kind", "h_op", "h_agg", "h_lit", "s_kind", "s_agg", "o_kind", "o_desc").where(
-        F.col("g_col").isNotNull() | (F.col("s_kind") == "agg")
-    )
-    # Global aggregates answer one row even over no rows: left join from the specs.
-    glob = gspec.where(F.col("g_col").isNull()).join(grouped.where(F.col("gkey").isNull()), SPEC_KEY, "left")
-    grp = grouped.where(F.col("gkey").isNotNull()).join(gspec.where(F.col("g_col").isNotNull()), SPEC_KEY)
+    g = pin(g, "answer-groups")
 
     def pick(agg: Column, prefix: str) -> Column:
         return (
@@ -154,39 +159,49 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
         )
 
     s_val = pick(F.col("s_agg"), "s").cast("string")
-    glob_rows = glob.select(
-        *SPEC_KEY, F.lit(0).cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
-        F.array(s_val).alias("vals"), F.lit(None).cast("string").alias("tup"),
-    )
     h_val = pick(F.col("h_agg"), "h")
     having = F.when(F.col("h_kind") == "agg", _cmp(h_val, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).otherwise(
         F.col("h_every")
     )
-    g_ok = grp.where(F.coalesce(having, F.lit(False)))
-    g_vals = g_ok.select(
+    grp_out = g.where(F.col("g_col").isNotNull() & F.coalesce(having, F.lit(False))).select(
         *SPEC_KEY, "o_kind",
-        F.lit(None).cast("bigint").alias("ord_i"),
-        F.col("gkey").alias("ord_s"),
-        F.when(F.col("s_kind") == "group", F.array("gkey"))
-        .when(F.col("s_kind") == "group_agg", F.array(F.col("gkey"), h_val.cast("string")))
+        F.lit(None).cast("bigint").alias("ord_i"), F.col("gk").alias("ord_s"),
+        F.when(F.col("s_kind") == "group", F.array("gk"))
+        .when(F.col("s_kind") == "group_agg", F.array(F.col("gk"), h_val.cast("string")))
         .when(F.col("s_kind") == "agg", F.array(s_val))
         .otherwise(F.array(F.col("calc_first").cast("string"))).alias("vals"),
-        F.concat(F.lit("('"), F.col("gkey"), F.lit("', "), h_val.cast("string"), F.lit(")")).alias("tup"),
+        F.concat(F.lit("('"), F.col("gk"), F.lit("', "), h_val.cast("string"), F.lit(")")).alias("tup"),
         F.when(F.col("o_desc"), -h_val).otherwise(h_val).alias("okey"),
     )
-    g_plain = g_vals.where(F.col("o_kind") != "agg").select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
-    g_top = (
-        g_vals.where(F.col("o_kind") == "agg")
-        .groupBy(*SPEC_KEY)
-        .agg(F.min_by(F.struct("ord_i", "ord_s", "vals", "tup"), F.struct("okey", "ord_s")).alias("b"))
-        .select(*SPEC_KEY, "b.ord_i", "b.ord_s", "b.vals", "b.tup")
+    # Global aggregates answer one row even over no rows: left join from the specs.
+    gspec = sp.where(F.col("g_col").isNull() & (F.col("s_kind") == "agg")).select(*SPEC_KEY, "s_agg")
+    gl = gspec.join(
+        g.where(F.col("g_col").isNull()).drop("s_agg"), SPEC_KEY, "left"
+    ).select(
+        *SPEC_KEY, F.lit(0).cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
+        F.array(s_val).alias("vals"), F.lit(None).cast("string").alias("tup"),
     )
 
-    answer_rows = plain.unionByName(top).unionByName(glob_rows).unionByName(g_plain).unionByName(g_top)
-    return Answers(answer_strings(specs, answer_rows, x, max_answer_rows), answer_rows)
+    both = rr.unionByName(grp_out)
+    top_kind = F.col("o_kind").isin("col", "agg")
+    plain = both.where(~top_kind).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
+    # top-1: smallest ordering value first (one partial min per spec), then the
+    # earliest row / smallest group among the rows at that value.
+    cand = both.where(top_kind)
+    best = cand.groupBy(*SPEC_KEY).agg(F.min("okey").alias("__b"))
+    at_best = cand.join(best, SPEC_KEY).where(F.col("okey").eqNullSafe(F.col("__b")))
+    first = at_best.groupBy(*SPEC_KEY).agg(F.min("ord_i").alias("__i"), F.min("ord_s").alias("__s"))
+    top = at_best.join(first, SPEC_KEY).where(
+        F.col("ord_i").eqNullSafe(F.col("__i")) & F.col("ord_s").eqNullSafe(F.col("__s"))
+    ).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
+    answer_rows = plain.unionByName(top).unionByName(gl)
+    selected = rr.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected")).unionByName(
+        g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected"))
+    )
+    return Answers(answer_strings(specs, answer_rows, selected, max_answer_rows), answer_rows)
 
 
-def answer_strings(specs: DataFrame, answer_rows: DataFrame, matched: DataFrame, max_answer_rows: int) -> DataFrame:
+def answer_strings(specs: DataFrame, answer_rows: DataFrame, selected: DataFrame, max_answer_rows: int) -> DataFrame:
     """One answer string per spec (J6): '' / first cell / ', '-joined values / joined tuples."""
     counts = answer_rows.groupBy(*SPEC_KEY).agg(
         F.count(F.lit(1)).alias("n_ans_rows"), F.max(F.size("vals")).alias("n_ans_cols")
@@ -202,7 +217,6 @@ def answer_strings(specs: DataFrame, answer_rows: DataFrame, matched: DataFrame,
         .when(F.col("n_ans_cols") > 1, F.array_join(tups, ", "))
         .otherwise(F.array_join(first_vals, ", "))
     )
-    selected = matched.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected"))
     base = specs.select(*SPEC_KEY, "n_rows", "sql")
     out = (
         base.join(counts, SPEC_KEY, "left")

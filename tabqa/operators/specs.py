@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabqa.functions.dialect import SPARK
-from tabqa.session import ensure_checkpoint_dir
+from tabqa.session import ensure_checkpoint_dir, pin
 
 # The coarse templates, in order (nest level 1).
 TEMPLATES = {
@@ -340,10 +340,15 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
         "table_id", "header", "types", "n_rows", "n_cols",
         F.explode(F.sequence(F.lit(0), F.lit(p.per_table - 1))).alias("query_no"),
     )
+    # The draws are CPU-heavy per spec but the input is small: spread it over
+    # an explicit partition count (AQE keeps explicit counts, it would merge
+    # a size-based repartition into one task).
+    n_parts = max(tables.sparkSession.sparkContext.defaultParallelism * 2, 1)
+    base = base.repartition(n_parts, "table_id", "query_no")
     ensure_checkpoint_dir(tables.sparkSession)
     # The draws are deep expressions used several times below: pin them once
     # (reliable checkpoint in the session's checkpoint folder; specs are small).
-    sp = _run_stages(base, stages(d, p)).checkpoint(eager=True)
+    sp = pin(_run_stages(base, stages(d, p)), "spec-draws")
     # Literal cells: one (slot, row, col) per slot, one join with the rows, pivot back.
     slots = F.array(*[
         F.struct(F.lit(s).alias("slot"), F.col(f"r_{s}").cast("int").alias("row_idx"), F.col(c).alias("col"))
@@ -366,4 +371,4 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
         F.when(F.col("h_agg") == "count", F.col("h_n1").cast("string")).otherwise(F.col("lit_h")).alias("h_lit"),
     )
     sp = _run_stages(sp, render_sql(d))
-    return sp.drop("__S", "__W", "__G", "__H", "__O").checkpoint(eager=True)
+    return pin(sp.drop("__S", "__W", "__G", "__H", "__O"), "specs")

@@ -17,7 +17,7 @@ OUT_SQL = "SELECT table_id, query_no, n_ans_rows, n_ans_cols, answer, n_selected
 
 
 def _supplier(spark, sf_dir):
-    return C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem)
+    return C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem).materialize()
 
 
 def run(corpus: C.Corpus, p: S.SpecParams, **kw) -> B.Answers:
@@ -91,7 +91,7 @@ def lineitem_one_table(li):
 @query("exec_large", DB.exec_sql(DB.LINEITEM_ONE_TABLE, LARGE, OUT_SQL))
 def exec_large(spark, sf_dir):
     """100 specs over one large table; the table is split into row ranges (salted)."""
-    c = lineitem_one_table(Tables(spark, sf_dir).lineitem)
+    c = lineitem_one_table(Tables(spark, sf_dir).lineitem).materialize()
     return run(c, LARGE, salt_rows=20_000).answers.select(*OUT)
 
 
@@ -110,5 +110,5 @@ OBC = S.SpecParams(seed=11, per_table=5)
 @query("exec_answer_string", DB.exec_sql(DB.ORDERS_BY_CUSTOMER, OBC, OUT_SQL))
 def exec_answer_string(spark, sf_dir):
     """Answer strings over thousands of small customer tables."""
-    c = C.orders_by_customer(Tables(spark, sf_dir).orders)
+    c = C.orders_by_customer(Tables(spark, sf_dir).orders).materialize()
     return run(c, OBC).answers.select(*OUT)

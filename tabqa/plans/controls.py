@@ -18,7 +18,7 @@ CORPUS_SQL = DB.LINEITEM_BY_SUPPLIER
 
 def pipeline(spark, sf_dir, controls: K.Controls | None = None):
     """corpus → specs → answers → features/rules, as one lazy DataFrame."""
-    c = C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem)
+    c = C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem).materialize()
     specs = S.draw(c.tables, c.rows, SP)
     ans = B.execute(c.rows, specs).answers
     return K.apply(specs, ans, c.rows, controls or K.Controls()), c
@@ -110,7 +110,7 @@ def feat_coverage(spark, sf_dir):
 )
 def feat_answer_position(spark, sf_dir):
     """First (row, col) of the answer in the table, else (-1, -1)."""
-    c = C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem)
+    c = C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem).materialize()
     specs = S.draw(c.tables, c.rows, SP)
     ans = B.execute(c.rows, specs).answers
     return K.answer_position(ans, c.rows).select(

@@ -13,8 +13,12 @@ from pyspark.sql import SparkSession
 
 def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tabqa") -> SparkSession:
     """A local session configured the way the tests and the bench expect."""
+    b = SparkSession.builder
+    ev = os.environ.get("TABQA_EVENT_LOG")  # opt-in: stage/task times for profiling
+    if ev:
+        b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", ev)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        b.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -47,3 +51,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tabqa-checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def pin(df, name: str = "pin"):
+    """Cut lineage by writing ``df`` as Parquet under the checkpoint folder and reading it back.
+
+    Same guarantee as a reliable checkpoint (the data lives in the shared
+    folder named by ``spark.checkpoint.dir``, so losing an executor does not
+    lose it), but columnar, compressed and prunable — much cheaper than the
+    row-serialised RDD checkpoint.  Each call writes a fresh folder.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tabqa-{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

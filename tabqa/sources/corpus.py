@@ -27,6 +27,17 @@ class Corpus:
     rows: DataFrame
     tables: DataFrame
 
+    def materialize(self) -> "Corpus":
+        """Write both parts once, as Parquet, to the session's checkpoint folder.
+
+        A corpus is read by spec drawing, execution and features; pinning it
+        avoids recomputing the row numbering each time and cuts the lineage
+        (the files live in the shared folder, so executor loss is harmless).
+        """
+        from tabqa.session import pin
+
+        return Corpus(pin(self.rows, "corpus-rows"), pin(self.tables, "corpus-tables"))
+
 
 def cell_text(c: Column, typ: str) -> Column:
     if typ == DATE:
