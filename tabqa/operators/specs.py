@@ -50,6 +50,7 @@ P_HAVING_AGG = 0.7
 P_CALC = 0.05
 P_NO_AGG = 0.8
 P_GROUP_ONLY = 0.5
+NO_AGG_BY_FLAG = {"s": P_NO_AGG, "d": 40 / 45, "t": 40 / 55}
 LITERAL_SLOTS = ("w1a", "w1b", "w1c", "w2a", "w2b", "w2c", "h")
 
 
@@ -58,6 +59,9 @@ class SpecParams:
     seed: int = 42
     per_table: int = 20
     templates: tuple = tuple(TEMPLATES)
+    # 's' top-level; 'd'/'t' sub-queries of two/three-level templates: no
+    # arithmetic select, a single select column, aggregates 5/45 or 15/55.
+    flag: str = "s"
 
 
 def _q(s: str) -> str:
@@ -202,12 +206,12 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
             f"CASE WHEN h_kind = 'agg' THEN CASE WHEN {d.contains('tc', 'h_col')} THEN 'count' "
             f"ELSE {x.choice(['count', 'max', 'min', 'sum'], 'h_aggf')} END END",
         ),
-        ("s_calc", f"{x.u('s_calc')} < {P_CALC!r}"),
-        ("s_noagg", f"{x.u('s_agg')} < {P_NO_AGG!r}"),
+        ("s_calc", f"{x.u('s_calc')} < {(P_CALC if p.flag == 's' else 0.0)!r}"),
+        ("s_noagg", f"{x.u('s_agg')} < {NO_AGG_BY_FLAG[p.flag]!r}"),
         ("s_op", f"CASE WHEN {x.u('s_op')} < 0.5 THEN '+' ELSE '-' END"),
         ("sc_a", sc_a),
         ("sc_b", sc_b),
-        ("s_k", k_sel),
+        ("s_k", k_sel if p.flag == "s" else "1"),
         ("s_col", x.pick("remain", "s_col")),
     ])
     st.append([
@@ -215,7 +219,7 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
         (
             "s_kind",
             "CASE WHEN s_calc THEN 'calc' WHEN NOT s_noagg THEN 'agg' "
-            f"WHEN g_col IS NOT NULL THEN CASE WHEN h_kind = 'agg' AND {x.u('s_grp')} >= {P_GROUP_ONLY!r} THEN 'group_agg' ELSE 'group' END "
+            f"WHEN g_col IS NOT NULL THEN CASE WHEN h_kind = 'agg' AND {'TRUE' if p.flag == 's' else 'FALSE'} AND {x.u('s_grp')} >= {P_GROUP_ONLY!r} THEN 'group_agg' ELSE 'group' END "
             "ELSE 'cols' END",
         ),
         (
@@ -255,7 +259,7 @@ def slot_columns() -> list[tuple[str, str]]:
 
 
 SPEC_COLUMNS = [
-    "table_id", "query_no", "tpl", "n_rows", "n_cols", "header", "types",
+    "table_id", "query_no", "tpl", "n_rows", "n_cols", "header", "types", "ic",
     "w_n", "w_cc", "w1_col", "w1_rcol", "w1_op", "w1_num", "w1_nin", "w2_col", "w2_op", "w2_num", "w2_nin",
     "g_col", "h_kind", "h_col", "h_rcol", "h_op", "h_agg", "h_n1",
     "s_kind", "s_cols", "s_op", "s_agg", "o_kind", "o_col", "o_desc",
@@ -370,5 +374,67 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
         F.col("lit_w2a").alias("w2_v1"), F.col("lit_w2b").alias("w2_v2"), F.col("lit_w2c").alias("w2_v3"),
         F.when(F.col("h_agg") == "count", F.col("h_n1").cast("string")).otherwise(F.col("lit_h")).alias("h_lit"),
     )
-    sp = _run_stages(sp, render_sql(d))
+    sp = _run_stages(sp, render_sql(d) + instruction_sql(d))
     return pin(sp.drop("__S", "__W", "__G", "__H", "__O"), "specs")
+
+
+# English words for operators and aggregates in instructions.
+CODE_ENGLISH = {
+    ">": "greater than", "<": "less than", "=": "equal to", "count": "the number of",
+    "max": "the maximum value of", "min": "the minimum value of", "sum": "the sum of the values of",
+    "avg": "the average of", "+": "sum of", "-": "difference between", "*": "product of", "/": "quotient of",
+}
+
+
+def instruction_sql(d) -> list[list[tuple[str, str]]]:
+    """Stages producing the English multi-step instruction of a spec."""
+    name = lambda c: d.at("header", f"{c} + 1")
+
+    def eng(x: str) -> str:
+        return "CASE " + x + " " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in CODE_ENGLISH.items()) + " END"
+
+    nl = "'\n'"
+
+    def cond(n: int) -> str:
+        c, op, num = name(f"w{n}_col"), f"w{n}_op", f"w{n}_num"
+        a, b, cc = f"w{n}_v1", f"w{n}_v2", f"w{n}_v3"
+        return (
+            f"CASE WHEN {op} = 'like' THEN 'The value of column ' || {c} || ' is required to fuzzy match ''' || substr({a}, 1, 3) || '%''.'"
+            f" WHEN {op} = 'in' THEN 'The value of column ' || {c} || ' is either ''' || {a} || ''' or ''' || {b} || ''''"
+            f" || CASE WHEN w{n}_nin = 3 THEN ' or ''' || {cc} || '''' ELSE '' END || '.'"
+            f" WHEN {num} THEN 'The value of column ' || {c} || ' needs to be ' || {eng(op)} || ' ' || {a} || '.'"
+            f" ELSE 'The value of column ' || {c} || ' is ''' || {a} || '''.' END"
+        )
+
+    where = (
+        "CASE WHEN w_n = 0 THEN '' ELSE 'Please filter the rows by the column conditions, which need to be met: ' || "
+        f"CASE WHEN w_cc THEN 'The value of column ' || {name('w1_col')} || ' needs to be ' || {eng('w1_op')} || ' the value of column ' || {name('w1_rcol')} || '.' "
+        f"WHEN w_n = 1 THEN {cond(1)} ELSE {cond(1)} || ' ' || {cond(2)} END || {nl} END"
+    )
+    group = f"CASE WHEN g_col IS NULL THEN '' ELSE 'The rows are then grouped according to the value of the ' || {name('g_col')} || ' in the remaining rows.' || {nl} END"
+    having = (
+        "CASE WHEN h_kind IS NULL THEN '' ELSE 'Then filter some groups by the following condition:' || "
+        f"CASE WHEN h_kind = 'agg' AND h_agg = 'count' THEN 'the number of column ' || {name('h_col')} || ' is ' || {eng('h_op')} || ' ' || h_lit || '.' "
+        f"WHEN h_kind = 'agg' THEN {eng('h_agg')} || ' column ' || {name('h_col')} || ' is ' || {eng('h_op')} || ' ' || h_lit || '.' "
+        f"WHEN h_kind = 'bare' THEN 'the column ' || {name('h_col')} || ' is ' || {eng('h_op')} || ' ' || h_lit || '.' "
+        f"ELSE 'The value of column ' || {name('h_col')} || ' needs to be ' || {eng('h_op')} || ' the value of column ' || {name('h_rcol')} || '.' END || {nl} END"
+    )
+    pylist = "'[' || " + d.join(d.tr("s_cols", "c", "'''' || " + name("c") + " || ''''"), "', '") + " || ']'"
+    s1 = name(d.at("s_cols", "1"))
+    s2 = name(d.at("s_cols", "2"))
+    select = (
+        f"CASE s_kind WHEN 'calc' THEN 'Select calculate ' || {eng('s_op')} || ' the values in columns ' || {s1} || ' and ' || {s2} || ' in filtered rows.' "
+        f"WHEN 'agg' THEN CASE WHEN s_agg = 'count' AND NOT {d.contains('ic', d.at('s_cols', '1'))} THEN 'Select the number of cells of ' || {s1} || ' column in filtered rows.' "
+        f"ELSE 'Select ' || {eng('s_agg')} || ' values of ' || {s1} || ' column in filtered rows.' END "
+        f"WHEN 'group_agg' THEN 'Select values of ' || {name('g_col')} || ' column and ' || {eng('h_agg')} || ' ' || {name('h_col')} || ' in filtered rows.' "
+        f"ELSE 'Select values of ' || {pylist} || ' column in filtered rows.' END"
+    )
+    order = (
+        "CASE o_kind WHEN 'none' THEN '' ELSE 'Sort the obtained values in ' || CASE WHEN o_desc THEN 'descending' ELSE 'ascending' END "
+        f"|| ' order of ' || CASE WHEN o_kind = 'agg' THEN {eng('h_agg')} || ' ' || {name('h_col')} ELSE {name('o_col')} END "
+        f"|| ' and select the ' || CASE WHEN o_desc THEN 'largest' ELSE 'smallest' END || ' value to get the answer.' || {nl} END"
+    )
+    return [
+        [("ins_where", where), ("ins_group", group), ("ins_having", having), ("ins_select", select), ("ins_order", order)],
+        [("multistep", "ins_where || ins_group || ins_having || ins_select || ins_order")],
+    ]

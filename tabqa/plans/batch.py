@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabqa.operators import batch as B
 from tabqa.operators import specs as S
 from tabqa.plans import duck_batch as DB
+from tabqa.plans import shared
 from tabqa.plans.registry import query
 from tabqa.sources import corpus as C
 from tabqa.sources.tables import Tables
@@ -17,7 +18,7 @@ OUT_SQL = "SELECT table_id, query_no, n_ans_rows, n_ans_cols, answer, n_selected
 
 
 def _supplier(spark, sf_dir):
-    return C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem).materialize()
+    return shared.corpus(spark, sf_dir, "supplier")
 
 
 def run(corpus: C.Corpus, p: S.SpecParams, **kw) -> B.Answers:
@@ -32,8 +33,7 @@ def run(corpus: C.Corpus, p: S.SpecParams, **kw) -> B.Answers:
 )
 def inst_coarse_single(spark, sf_dir):
     """Coarse-template specs s1-s8, 20 per supplier table, with their SQL text."""
-    c = _supplier(spark, sf_dir)
-    return S.draw(c.tables, c.rows, SP).select("table_id", "query_no", "tpl", "sql")
+    return shared.specs(spark, sf_dir, "supplier", SP).select("table_id", "query_no", "tpl", "sql")
 
 
 @query(
@@ -43,21 +43,20 @@ def inst_coarse_single(spark, sf_dir):
 )
 def inst_sample_value(spark, sf_dir):
     """Literals sampled from hashed rows of each table, one join for all slots."""
-    c = _supplier(spark, sf_dir)
-    return S.draw(c.tables, c.rows, SP).select("table_id", "query_no", "w1_v1", "w1_v2", "w2_v1", "h_lit")
+    return shared.specs(spark, sf_dir, "supplier", SP).select("table_id", "query_no", "w1_v1", "w1_v2", "w2_v1", "h_lit")
 
 
 @query("exec_batch_all", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, SP, OUT_SQL))
 def exec_batch_all(spark, sf_dir):
     """Every spec of every supplier table answered in one plan."""
-    return run(_supplier(spark, sf_dir), SP).answers.select(*OUT)
+    return shared.answers(spark, sf_dir, "supplier", SP).select(*OUT)
 
 
 def _variant(name, templates, doc):
     p = S.SpecParams(seed=42, per_table=20, templates=templates)
 
     def fn(spark, sf_dir):
-        return run(_supplier(spark, sf_dir), p).answers.select(*OUT)
+        return shared.answers(spark, sf_dir, "supplier", p).select(*OUT)
 
     fn.__doc__ = doc
     query(name, DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, p, OUT_SQL))(fn)
@@ -101,7 +100,7 @@ def exec_large(spark, sf_dir):
 )
 def exec_answer_count(spark, sf_dir):
     """Specs whose answer has exactly one row."""
-    return run(_supplier(spark, sf_dir), SP).answers.where(F.col("n_ans_rows") == 1).select(*OUT)
+    return shared.answers(spark, sf_dir, "supplier", SP).where(F.col("n_ans_rows") == 1).select(*OUT)
 
 
 OBC = S.SpecParams(seed=11, per_table=5)
@@ -110,5 +109,67 @@ OBC = S.SpecParams(seed=11, per_table=5)
 @query("exec_answer_string", DB.exec_sql(DB.ORDERS_BY_CUSTOMER, OBC, OUT_SQL))
 def exec_answer_string(spark, sf_dir):
     """Answer strings over thousands of small customer tables."""
-    c = C.orders_by_customer(Tables(spark, sf_dir).orders).materialize()
-    return run(c, OBC).answers.select(*OUT)
+    return shared.answers(spark, sf_dir, "customer", OBC).select(*OUT)
+
+
+@query(
+    "nl_instruction_en",
+    f"WITH {DB.LINEITEM_BY_SUPPLIER},\n{DB.specs_sql(DB.LINEITEM_BY_SUPPLIER, SP)}\n"
+    "SELECT table_id, query_no, multistep FROM specs",
+)
+def nl_instruction_en(spark, sf_dir):
+    """English multi-step instruction of every spec: where → group → having → select → order."""
+    return shared.specs(spark, sf_dir, "supplier", SP).select("table_id", "query_no", "multistep")
+
+
+D1 = S.SpecParams(seed=5, per_table=20, templates=("s1", "s2"), flag="d")
+
+
+def _d_nested():
+    from tabqa.plans import duck as D
+
+    def hs(slot):
+        return D.h(D.key(5, "j.table_id", "j.query_no", "'d1'", f"'{slot}'"))
+
+    u_eq = f"({hs('eq')} / 4294967296.0)"
+    u_op = f"({hs('op')} / 4294967296.0)"
+    text_op = f"(CASE WHEN {u_op} < {0.5 / 1.1!r} THEN '=' ELSE 'in' END)"
+    num_op = f"(['=', '>', '<'])[1 + {hs('op')} % 3]"
+    n = "TRY_CAST(j.answer AS BIGINT)"
+    lo = f"greatest(1, {n} - 5)"
+    jit = f"({lo} + {hs('jit')} % ({n} + 5 - {lo} + 1))"
+    return f"""SELECT 1 AS _z),
+    j0 AS (SELECT s.table_id, s.query_no, s.sql, s.n_rows, a.answer, a.n_ans_rows, s.s_cols[1] AS scol,
+                  (s.s_kind = 'agg' OR list_contains(s.ic, s.s_cols[1])) AS is_num
+           FROM specs s JOIN answers a USING (table_id, query_no)
+           WHERE a.n_ans_rows > 0 AND a.n_ans_rows <> s.n_rows AND a.answer IS NOT NULL AND a.answer <> 'None'
+             AND (s.s_kind = 'agg' OR a.n_ans_rows = 1)),
+    j AS (SELECT j0.*,
+                 (SELECT r.cells[j0.scol + 1] FROM crows r WHERE r.table_id = j0.table_id AND r.row_idx = {D.h(D.key(5, 'j0.table_id', 'j0.query_no', "'d1'", "'r0'"))} % j0.n_rows) AS c0,
+                 (SELECT r.cells[j0.scol + 1] FROM crows r WHERE r.table_id = j0.table_id AND r.row_idx = {D.h(D.key(5, 'j0.table_id', 'j0.query_no', "'d1'", "'r1'"))} % j0.n_rows) AS c1,
+                 (SELECT r.cells[j0.scol + 1] FROM crows r WHERE r.table_id = j0.table_id AND r.row_idx = {D.h(D.key(5, 'j0.table_id', 'j0.query_no', "'d1'", "'r2'"))} % j0.n_rows) AS c2
+          FROM j0),
+    o AS (SELECT j.*, CASE WHEN is_num THEN {num_op} ELSE {text_op} END AS op FROM j j),
+    v AS (SELECT o.*, CASE WHEN op = '=' AND {u_eq.replace('j.', 'o.')} < 0.4 THEN {n.replace('j.', 'o.')} ELSE {jit.replace('j.', 'o.')} END AS num_val,
+                 CASE WHEN {u_eq.replace('j.', 'o.')} < 0.4 THEN answer ELSE c0 END AS text_val FROM o)
+    SELECT table_id, query_no,
+           regexp_replace('select ( ' || sql || ' ) ' || op || ' ' ||
+               CASE WHEN is_num THEN CAST(num_val AS VARCHAR) WHEN op = '=' THEN '''' || text_val || ''''
+                    ELSE '( ''' || c0 || ''' , ''' || c1 || ''' , ''' || c2 || ''' )' END, ' {{2}}', ' ', 'g') AS sql,
+           CAST(CAST(coalesce(CASE WHEN is_num AND op = '=' THEN TRY_CAST(answer AS BIGINT) = num_val
+                          WHEN is_num AND op = '>' THEN TRY_CAST(answer AS BIGINT) > num_val
+                          WHEN is_num THEN TRY_CAST(answer AS BIGINT) < num_val
+                          WHEN op = '=' THEN answer = text_val
+                          ELSE answer = c0 OR answer = c1 OR answer = c2 END, false) AS INTEGER) AS VARCHAR) AS answer
+    FROM v"""
+
+
+@query("inst_coarse_nested", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, D1, ", _x AS (" + _d_nested()))
+def inst_coarse_nested(spark, sf_dir):
+    """Two-level d1 queries ``select ( q ) op value`` over accepted level-1 answers."""
+    from tabqa.operators import nested as N
+
+    c = shared.corpus(spark, sf_dir, "supplier")
+    sp = shared.specs(spark, sf_dir, "supplier", D1)
+    ans = shared.answers(spark, sf_dir, "supplier", D1)
+    return N.op_and_value(sp, ans, c.rows, D1.seed)

@@ -8,6 +8,7 @@ from tabqa.operators import batch as B
 from tabqa.operators import controls as K
 from tabqa.operators import specs as S
 from tabqa.plans import duck_batch as DB
+from tabqa.plans import shared
 from tabqa.plans.registry import query
 from tabqa.sources import corpus as C
 from tabqa.sources.tables import Tables
@@ -18,9 +19,9 @@ CORPUS_SQL = DB.LINEITEM_BY_SUPPLIER
 
 def pipeline(spark, sf_dir, controls: K.Controls | None = None):
     """corpus → specs → answers → features/rules, as one lazy DataFrame."""
-    c = C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem).materialize()
-    specs = S.draw(c.tables, c.rows, SP)
-    ans = B.execute(c.rows, specs).answers
+    c = shared.corpus(spark, sf_dir, "supplier")
+    specs = shared.specs(spark, sf_dir, "supplier", SP)
+    ans = shared.answers(spark, sf_dir, "supplier", SP)
     return K.apply(specs, ans, c.rows, controls or K.Controls()), c
 
 
@@ -110,9 +111,8 @@ def feat_coverage(spark, sf_dir):
 )
 def feat_answer_position(spark, sf_dir):
     """First (row, col) of the answer in the table, else (-1, -1)."""
-    c = C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem).materialize()
-    specs = S.draw(c.tables, c.rows, SP)
-    ans = B.execute(c.rows, specs).answers
+    c = shared.corpus(spark, sf_dir, "supplier")
+    ans = shared.answers(spark, sf_dir, "supplier", SP)
     return K.answer_position(ans, c.rows).select(
         "table_id", "query_no", F.col("ans_row").cast("int").alias("ans_row"), F.col("ans_col").cast("int").alias("ans_col")
     )

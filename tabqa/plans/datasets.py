@@ -12,6 +12,7 @@ from tabqa.operators import render as M
 from tabqa.operators import specs as S
 from tabqa.plans import controls as PC
 from tabqa.plans import duck_batch as DB
+from tabqa.plans import shared
 from tabqa.plans.registry import query
 from tabqa.sources import corpus as C
 from tabqa.sources.tables import Tables
@@ -24,14 +25,10 @@ OBC = S.SpecParams(seed=11, per_table=8)
 
 def kept_queries(spark, sf_dir, corpus="supplier"):
     """corpus → specs → answers → default controls → kept (table_id, query_no, sql, answer)."""
-    if corpus == "supplier":
-        c = C.lineitem_by_supplier(Tables(spark, sf_dir).lineitem).materialize()
-        p = PC.SP
-    else:
-        c = C.orders_by_customer(Tables(spark, sf_dir).orders).materialize()
-        p = OBC
-    specs = S.draw(c.tables, c.rows, p)
-    ans = B.execute(c.rows, specs).answers
+    p = PC.SP if corpus == "supplier" else OBC
+    c = shared.corpus(spark, sf_dir, corpus)
+    specs = shared.specs(spark, sf_dir, corpus, p)
+    ans = shared.answers(spark, sf_dir, corpus, p)
     checked = K.apply(specs, ans, c.rows, K.Controls())
     return checked.where(F.col("rejected_by").isNull()).select("table_id", "query_no", "sql", "answer"), c
 
@@ -259,3 +256,148 @@ def prm_truncate(spark, sf_dir):
     c = C.orders_by_customer(Tables(spark, sf_dir).orders)
     text = M.render(c.rows, c.tables, "flatten").select("table_id", "text")
     return P.truncate(text, ["table_id"], "text", BUDGET)
+
+
+# ------------------------------------------------------------------ E7, I9-I11, I18
+
+
+def sub_accept_expr(answers_n: str = "n_ans_rows") -> "F.Column":
+    """A level-1 answer can feed a sub-query when it is non-empty, not every row,
+    its first value is not NULL, and its arity fits the link: a scalar link needs one
+    row or an aggregate; a text membership link needs a plain text select."""
+    n = F.col(answers_n)
+    base = (n > 0) & (n != F.col("n_rows")) & F.col("answer").isNotNull() & (F.col("answer") != "None")
+    scalar_ok = (F.col("s_kind") == "agg") | ((F.col("s_kind") != "agg") & (n == 1))
+    s1 = F.element_at("s_cols", 1)
+    is_text = ~F.array_contains("ic", s1)
+    member_ok = (is_text & (F.col("s_kind") != "agg")) | (~is_text & (n == 1))
+    return base, scalar_ok, member_ok
+
+
+@query(
+    "sub_accept",
+    DB.exec_sql(
+        DB.LINEITEM_BY_SUPPLIER, PC.SP,
+        """SELECT s.table_id, s.query_no,
+              CAST(a.n_ans_rows > 0 AND a.n_ans_rows <> s.n_rows AND a.answer IS NOT NULL AND a.answer <> 'None'
+                   AND (s.s_kind = 'agg' OR a.n_ans_rows = 1) AS INTEGER) AS ok_scalar,
+              CAST(a.n_ans_rows > 0 AND a.n_ans_rows <> s.n_rows AND a.answer IS NOT NULL AND a.answer <> 'None'
+                   AND ((NOT list_contains(s.ic, s.s_cols[1]) AND s.s_kind <> 'agg') OR (list_contains(s.ic, s.s_cols[1]) AND a.n_ans_rows = 1))
+                   AS INTEGER) AS ok_member
+       FROM specs s JOIN answers a USING (table_id, query_no)""",
+    ),
+)
+def sub_accept(spark, sf_dir):
+    """Which answered specs may serve as a scalar or a membership sub-query."""
+    specs = shared.specs(spark, sf_dir, "supplier", PC.SP)
+    ans = shared.answers(spark, sf_dir, "supplier", PC.SP).drop("n_rows", "sql")
+    j = specs.join(ans, ["table_id", "query_no"])
+    base, scalar_ok, member_ok = sub_accept_expr()
+    return j.select(
+        "table_id", "query_no",
+        F.coalesce(base & scalar_ok, F.lit(False)).cast("int").alias("ok_scalar"),
+        F.coalesce(base & member_ok, F.lit(False)).cast("int").alias("ok_member"),
+    )
+
+
+TARGET_PER_TABLE = 5
+
+
+@query(
+    "inst_acceptance_rate",
+    _duck(
+        DB.LINEITEM_BY_SUPPLIER, PC.SP,
+        f""", rate AS (SELECT (SELECT count(*) FROM kept) / (SELECT count(*) FROM specs) AS r)
+        SELECT round(r, 6) AS acceptance,
+               CAST(CASE WHEN r = 0 THEN NULL ELSE pow(5, greatest(1, ceil(ln(ceil({TARGET_PER_TABLE} / ({PC.SP.per_table} * r) * 1.2)) / ln(5)))) END AS BIGINT) AS multiple
+        FROM rate""",
+    ),
+)
+def inst_acceptance_rate(spark, sf_dir):
+    """Acceptance rate of drawn queries and the oversampling multiple it implies.
+
+    The reference multiplies draws by 5 until enough queries survive; here the
+    rate is measured once (one aggregate) and the multiple is the smallest power
+    of 5 (at least 5) covering the target with a 20 % margin.
+    """
+    kept, c = kept_queries(spark, sf_dir)
+    total = c.tables.select((F.count(F.lit(1)) * PC.SP.per_table).alias("n_specs"))
+    k = kept.agg(F.count(F.lit(1)).alias("n_kept"))
+    r = (F.col("n_kept") / F.col("n_specs"))
+    need = F.ceil(F.lit(TARGET_PER_TABLE) / (F.lit(PC.SP.per_table) * r) * 1.2)
+    mult = F.pow(F.lit(5), F.greatest(F.lit(1), F.ceil(F.log(need) / F.log(F.lit(5.0)))))
+    return k.crossJoin(total).select(
+        F.round(r, 6).alias("acceptance"), F.when(r == 0, F.lit(None)).otherwise(mult).cast("bigint").alias("multiple")
+    )
+
+
+@query(
+    "inst_fields",
+    DB.exec_sql(
+        DB.LINEITEM_BY_SUPPLIER, PC.SP,
+        """SELECT s.table_id, s.query_no, s.sql, a.answer, s.multistep,
+              array_to_string(list_transform(s.s_cols, lambda c: s.header[c + 1]), ',') AS select_cols,
+              CASE WHEN s.g_col IS NULL THEN '' ELSE s.header[s.g_col + 1] END AS group_col,
+              CAST(a.n_selected AS BIGINT) AS n_select_rows
+       FROM specs s JOIN answers a USING (table_id, query_no)""",
+    ),
+)
+def inst_fields(spark, sf_dir):
+    """Output fields of an instance example: sql, answer, multistep, process columns."""
+    specs = shared.specs(spark, sf_dir, "supplier", PC.SP)
+    ans = shared.answers(spark, sf_dir, "supplier", PC.SP).drop("n_rows", "sql")
+    j = specs.join(ans, ["table_id", "query_no"])
+    return j.select(
+        "table_id", "query_no", "sql", "answer", "multistep",
+        F.array_join(F.transform("s_cols", lambda x: F.element_at("header", x + 1)), ",").alias("select_cols"),
+        F.when(F.col("g_col").isNull(), F.lit("")).otherwise(F.element_at("header", F.col("g_col") + 1)).alias("group_col"),
+        F.col("n_selected").cast("bigint").alias("n_select_rows"),
+    )
+
+
+# Number of fine and coarse templates shipped with the reference.
+N_FINE_TEMPLATES = 15  # 4 easy + 11 where-condition lines
+N_COARSE_TEMPLATES = 13  # 8 single, 4 double, 1 triple
+
+
+@query(
+    "inst_mix",
+    f"""SELECT c_custkey AS table_id,
+              CASE WHEN {__import__('tabqa.plans.duck', fromlist=['x']).unit(__import__('tabqa.plans.duck', fromlist=['x']).key(SEED, 'c_custkey', "'mix'"))} < {N_FINE_TEMPLATES / (N_FINE_TEMPLATES + N_COARSE_TEMPLATES)!r}
+                   THEN 'fine' ELSE 'coarse' END AS kind
+       FROM customer""",
+)
+def inst_mix(spark, sf_dir):
+    """Fine or coarse generation per table in proportion to template counts."""
+    from tabqa.functions.hashing import key, weighted_choice
+
+    cu = Tables(spark, sf_dir).customer
+    return cu.select(
+        F.col("c_custkey").alias("table_id"),
+        weighted_choice(key(SEED, F.col("c_custkey"), "mix"), ["fine", "coarse"], [N_FINE_TEMPLATES, N_COARSE_TEMPLATES]).alias("kind"),
+    )
+
+
+@query(
+    "inst_pick_table",
+    f"""WITH t AS (SELECT l_suppkey AS table_id, row_number() OVER (ORDER BY l_suppkey) - 1 AS ti FROM (SELECT DISTINCT l_suppkey FROM lineitem)),
+            nt AS (SELECT count(*) AS n FROM t),
+            b AS (SELECT o_orderkey AS batch_id FROM orders)
+       SELECT b.batch_id, t.table_id
+       FROM b CROSS JOIN nt JOIN t ON t.ti = {__import__('tabqa.plans.duck', fromlist=['x']).h(__import__('tabqa.plans.duck', fromlist=['x']).key(SEED, 'b.batch_id', "'pick'"))} % nt.n""",
+)
+def inst_pick_table(spark, sf_dir):
+    """For each generation batch (one per order row), a table drawn from the supplier corpus.
+
+    Tables are numbered densely (skew-safe row index) and the draw is an
+    equi-join on that number; nothing passes through the driver but the count.
+    """
+    from tabqa.functions.hashing import hk
+    from tabqa.functions.indexing import row_index
+
+    t = Tables(spark, sf_dir)
+    ids = row_index(t.lineitem.select(F.col("l_suppkey").alias("table_id")).distinct(), [], ["table_id"], out="ti")
+    n = ids.count()
+    b = t.orders.select(F.col("o_orderkey").alias("batch_id"))
+    b = b.select("batch_id", F.pmod(hk(SEED, F.col("batch_id"), "pick"), F.lit(n)).cast("int").alias("ti"))
+    return b.join(F.broadcast(ids) if n <= 1_000_000 else ids, "ti").select("batch_id", "table_id")

@@ -91,7 +91,7 @@ def specs_sql(corpus: str, p: S.SpecParams) -> str:
         f"FROM {last} s LEFT JOIN piv USING (table_id, query_no))"
     )
     lit_cols = ["w1_v1", "w1_v2", "w1_v3", "w2_v1", "w2_v2", "w2_v3", "h_lit"]
-    rctes, rlast = _stage_chain("slit", S.SPEC_COLUMNS + lit_cols, S.render_sql(d), "rs")
+    rctes, rlast = _stage_chain("slit", S.SPEC_COLUMNS + lit_cols, S.render_sql(d) + S.instruction_sql(d), "rs")
     out = f"specs AS (SELECT * EXCLUDE (__S, __W, __G, __H, __O) FROM {rlast})"
     return ",\n".join([base, *ctes, need, vals, piv, lit, *rctes, out])
 
