@@ -60,3 +60,62 @@ def op_and_value(specs: DataFrame, answers: DataFrame, rows: DataFrame, seed: in
     )
     sql = F.regexp_replace(F.concat(F.lit("select ( "), F.col("sql"), F.lit(" ) "), op, F.lit(" "), value_text), " {2}", " ")
     return j.select(*KEY, sql.alias("sql"), F.coalesce(result, F.lit(False)).cast("int").cast("string").alias("answer"))
+
+
+PAIR_NUM_OPS = ([">", "<", "+", "-"], [0.1, 0.1, 0.35, 0.35])
+ALLOWED_AGG_SETS = [["count"], ["max"], ["min"], ["max", "min"]]
+
+
+def pair_ops(specs: DataFrame, answers: DataFrame, answer_rows: DataFrame, seed: int) -> DataFrame:
+    """t1: ``select ( q1 ) op ( q2 )`` or ``q1 union|intersect q2`` for query pairs (2k, 2k+1)
+    drawn from the same template (I8, E4, H1, H2 over corpora)."""
+    a = specs.join(answers.select(*KEY, "n_ans_rows", "answer_list"), KEY).select(
+        "table_id", (F.floor(F.col("query_no") / 2)).cast("int").alias("pair"), (F.col("query_no") % 2).alias("side"),
+        "sql", "s_kind", "s_agg", "s_cols", "ic", "n_ans_rows", F.element_at("answer_list", 1).alias("first"),
+        F.col("query_no"),
+    )
+    q1 = a.where(F.col("side") == 0).select("table_id", "pair", *[F.col(c).alias(c + "1") for c in ["sql", "s_kind", "s_agg", "s_cols", "ic", "n_ans_rows", "first", "query_no"]])
+    q2 = a.where(F.col("side") == 1).select("table_id", "pair", *[F.col(c).alias(c + "2") for c in ["sql", "s_kind", "s_agg", "s_cols", "n_ans_rows", "first", "query_no"]])
+    j = q1.join(q2, ["table_id", "pair"])
+    both_plain = (F.col("s_kind1") != "agg") & (F.col("s_kind2") != "agg") & (F.col("s_cols1") == F.col("s_cols2"))
+    aggs = F.array_sort(F.array_distinct(F.array("s_agg1", "s_agg2")))
+    both_agg = (F.col("s_kind1") == "agg") & (F.col("s_kind2") == "agg") & aggs.isin(*[F.array(*[F.lit(x) for x in s]) for s in ALLOWED_AGG_SETS])
+    ok = (
+        (F.col("sql1") != F.col("sql2")) & (both_plain | both_agg)
+        & (F.col("n_ans_rows1") > 0) & (F.col("n_ans_rows2") > 0)
+        & F.col("first1").isNotNull() & (F.col("first1") != "None") & F.col("first2").isNotNull() & (F.col("first2") != "None")
+    )
+    j = j.where(ok)
+    is_num = (F.col("s_kind1") == "agg") | F.array_contains("ic1", F.element_at("s_cols1", 1))
+    k = lambda slot: key(seed, F.col("table_id"), F.col("pair"), "t1", slot)
+    op = (
+        F.when(is_num, weighted_choice(k("op"), *PAIR_NUM_OPS))
+        .when(F.col("sql1").contains("limit"), F.lit("="))
+        .otherwise(weighted_choice(k("set"), ["union", "intersect"], [1, 1]))
+    )
+    j = j.withColumn("op", op)
+    n1, n2 = F.col("first1").try_cast("bigint"), F.col("first2").try_cast("bigint")
+    scalar = (
+        F.when(F.col("op") == ">", (n1 > n2).cast("int").cast("string"))
+        .when(F.col("op") == "<", (n1 < n2).cast("int").cast("string"))
+        .when(F.col("op") == "+", (n1 + n2).cast("string"))
+        .when(F.col("op") == "-", (n1 - n2).cast("string"))
+        .when(F.col("op") == "=", (F.col("first1") == F.col("first2")).cast("int").cast("string"))
+    )
+    # set operations over the first column of both answers (distinct, sorted like SQLite's compound select)
+    vals = answer_rows.select("table_id", "query_no", F.element_at("vals", 1).alias("v"))
+    setj = j.where(F.col("op").isin("union", "intersect")).select("table_id", "pair", "op", "query_no1", "query_no2")
+    side1 = setj.join(vals.withColumnRenamed("query_no", "query_no1"), ["table_id", "query_no1"]).select("table_id", "pair", "op", "v", F.lit(1).alias("s"))
+    side2 = setj.join(vals.withColumnRenamed("query_no", "query_no2"), ["table_id", "query_no2"]).select("table_id", "pair", "op", "v", F.lit(2).alias("s"))
+    per_v = side1.unionByName(side2).where(F.col("v").isNotNull()).groupBy("table_id", "pair", "op", "v").agg(
+        F.countDistinct("s").alias("ns")
+    )
+    kept = per_v.where((F.col("op") == "union") | (F.col("ns") == 2))
+    sets = kept.groupBy("table_id", "pair").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    set_ans = F.when(F.size("vs") == 0, F.lit("")).when(F.size("vs") == 1, F.element_at("vs", 1)).otherwise(F.array_join("vs", ", "))
+    j = j.join(sets, ["table_id", "pair"], "left")
+    sql = F.when(
+        F.col("op").isin("union", "intersect"), F.concat(F.col("sql1"), F.lit(" "), F.col("op"), F.lit(" "), F.col("sql2"))
+    ).otherwise(F.concat(F.lit("select ( "), F.col("sql1"), F.lit(" ) "), F.col("op"), F.lit(" ( "), F.col("sql2"), F.lit(" )")))
+    answer = F.when(F.col("op").isin("union", "intersect"), F.coalesce(set_ans, F.lit(""))).otherwise(scalar)
+    return j.select("table_id", "pair", F.regexp_replace(sql, " {2}", " ").alias("sql"), answer.alias("answer"))

@@ -62,6 +62,8 @@ class SpecParams:
     # 's' top-level; 'd'/'t' sub-queries of two/three-level templates: no
     # arithmetic select, a single select column, aggregates 5/45 or 15/55.
     flag: str = "s"
+    # draw the template once per pair of consecutive queries (three-level t1 pairs)
+    pair: bool = False
 
 
 def _q(s: str) -> str:
@@ -120,7 +122,12 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
     st.append([
         ("ac", d.cat("tc", "ic")),
         ("nic", d.size("ic")),
-        ("tpl", d.at(tpl_arr, f"1 + {x.hs('tpl')} % {len(p.templates)}")),
+        (
+            "tpl",
+            d.at(tpl_arr, f"1 + {d.h(d.key(str(p.seed), 'table_id', 'CAST(floor(query_no / 2) AS INT)', _q('tpl_pair')))} % {len(p.templates)}")
+            if p.pair
+            else d.at(tpl_arr, f"1 + {x.hs('tpl')} % {len(p.templates)}"),
+        ),
     ])
     st.append([
         ("has_w", is_in("tpl", WHERE_TEMPLATES)),

@@ -173,3 +173,55 @@ def inst_coarse_nested(spark, sf_dir):
     sp = shared.specs(spark, sf_dir, "supplier", D1)
     ans = shared.answers(spark, sf_dir, "supplier", D1)
     return N.op_and_value(sp, ans, c.rows, D1.seed)
+
+
+T1 = S.SpecParams(seed=9, per_table=20, templates=("s1", "s2", "s3"), flag="t", pair=True)
+
+
+def _d_pairs():
+    from tabqa.operators import nested as N
+    from tabqa.plans import duck as D
+
+    op_num = D.weighted(D.key(9, "j.table_id", "j.pair", "'t1'", "'op'"), *N.PAIR_NUM_OPS)
+    op_set = D.weighted(D.key(9, "j.table_id", "j.pair", "'t1'", "'set'"), ["union", "intersect"], [1, 1])
+    n1, n2 = "TRY_CAST(first1 AS BIGINT)", "TRY_CAST(first2 AS BIGINT)"
+    return f""", pa AS (SELECT s.table_id, CAST(floor(s.query_no / 2) AS INTEGER) AS pair, s.query_no % 2 AS side, s.sql, s.s_kind,
+                      s.s_agg, s.s_cols, s.ic, an.n_ans_rows, an.answer_list[1] AS first, s.query_no
+               FROM specs s JOIN answers an USING (table_id, query_no)),
+    j AS (SELECT q1.table_id, q1.pair, q1.sql AS sql1, q2.sql AS sql2, q1.first AS first1, q2.first AS first2,
+                 q1.query_no AS qn1, q2.query_no AS qn2, (q1.s_kind = 'agg' OR list_contains(q1.ic, q1.s_cols[1])) AS is_num
+          FROM (SELECT * FROM pa WHERE side = 0) q1 JOIN (SELECT * FROM pa WHERE side = 1) q2 USING (table_id, pair)
+          WHERE q1.sql <> q2.sql
+            AND ((q1.s_kind <> 'agg' AND q2.s_kind <> 'agg' AND q1.s_cols = q2.s_cols)
+                 OR (q1.s_kind = 'agg' AND q2.s_kind = 'agg'
+                     AND list_sort(list_distinct([q1.s_agg, q2.s_agg])) IN (['count'], ['max'], ['min'], ['max', 'min'])))
+            AND q1.n_ans_rows > 0 AND q2.n_ans_rows > 0 AND q1.first IS NOT NULL AND q1.first <> 'None'
+            AND q2.first IS NOT NULL AND q2.first <> 'None'),
+    jo AS (SELECT j.*, CASE WHEN is_num THEN {op_num} WHEN contains(sql1, 'limit') THEN '=' ELSE {op_set} END AS op FROM j),
+    sv AS (SELECT jo.table_id, jo.pair, jo.op, ar.vals[1] AS v, 1 AS s FROM jo JOIN answer_rows ar ON ar.table_id = jo.table_id AND ar.query_no = jo.qn1
+           WHERE jo.op IN ('union', 'intersect')
+           UNION ALL
+           SELECT jo.table_id, jo.pair, jo.op, ar.vals[1] AS v, 2 AS s FROM jo JOIN answer_rows ar ON ar.table_id = jo.table_id AND ar.query_no = jo.qn2
+           WHERE jo.op IN ('union', 'intersect')),
+    pv AS (SELECT table_id, pair, op, v, count(DISTINCT s) AS ns FROM sv WHERE v IS NOT NULL GROUP BY table_id, pair, op, v),
+    sets AS (SELECT table_id, pair, list_sort(list(v)) AS vs FROM pv WHERE op = 'union' OR ns = 2 GROUP BY table_id, pair)
+    SELECT jo.table_id, jo.pair,
+           regexp_replace(CASE WHEN op IN ('union', 'intersect') THEN sql1 || ' ' || op || ' ' || sql2
+                               ELSE 'select ( ' || sql1 || ' ) ' || op || ' ( ' || sql2 || ' )' END, ' {{2}}', ' ', 'g') AS sql,
+           CASE WHEN op IN ('union', 'intersect') THEN coalesce(CASE WHEN len(vs) = 0 THEN '' WHEN len(vs) = 1 THEN vs[1] ELSE array_to_string(vs, ', ') END, '')
+                WHEN op = '>' THEN CAST(CAST({n1} > {n2} AS INTEGER) AS VARCHAR)
+                WHEN op = '<' THEN CAST(CAST({n1} < {n2} AS INTEGER) AS VARCHAR)
+                WHEN op = '+' THEN CAST({n1} + {n2} AS VARCHAR)
+                WHEN op = '-' THEN CAST({n1} - {n2} AS VARCHAR)
+                ELSE CAST(CAST(first1 = first2 AS INTEGER) AS VARCHAR) END AS answer
+    FROM jo LEFT JOIN sets USING (table_id, pair)"""
+
+
+@query("inst_coarse_pairs", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, T1, _d_pairs()))
+def inst_coarse_pairs(spark, sf_dir):
+    """Three-level t1 queries: ``select ( q1 ) op ( q2 )`` and ``q1 union|intersect q2``."""
+    from tabqa.operators import nested as N
+
+    sp = shared.specs(spark, sf_dir, "supplier", T1)
+    ex = shared.executed(spark, sf_dir, "supplier", T1)
+    return N.pair_ops(sp, ex.answers, ex.answer_rows, T1.seed)

@@ -41,9 +41,14 @@ def specs(spark, sf_dir: str, name: str, p: S.SpecParams):
     return _MEMO[k]
 
 
-def answers(spark, sf_dir: str, name: str, p: S.SpecParams):
-    k = _key(spark, sf_dir, "answers", name, p)
+def executed(spark, sf_dir: str, name: str, p: S.SpecParams) -> B.Answers:
+    k = _key(spark, sf_dir, "executed", name, p)
     if k not in _MEMO:
         c = corpus(spark, sf_dir, name)
-        _MEMO[k] = pin(B.execute(c.rows, specs(spark, sf_dir, name, p)).answers, "answers")
+        a = B.execute(c.rows, specs(spark, sf_dir, name, p))
+        _MEMO[k] = B.Answers(pin(a.answers, "answers"), a.answer_rows)
     return _MEMO[k]
+
+
+def answers(spark, sf_dir: str, name: str, p: S.SpecParams):
+    return executed(spark, sf_dir, name, p).answers
