@@ -74,13 +74,41 @@ def where_ok() -> Column:
     )
 
 
+WORK_PER_TASK = 2_000_000  # row x spec evaluations per join task
+MAX_JOIN_PARTITIONS = 20_000
+
+
 def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
-    n_salt = F.floor((F.col("n_rows") + salt_rows - 1) / salt_rows).cast("int")
-    sp = specs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(n_salt, F.lit(1)) - 1)))
-    r = rows.withColumn("salt", F.floor(F.col("row_idx") / salt_rows).cast("int"))
+    """rows x specs of the same table, spread by expansion work.
+
+    A table gets ``n_salt = max(ceil(rows*specs / WORK_PER_TASK), ceil(rows / salt_rows))``
+    salts; its rows are dealt round-robin to them and repartitioned on
+    (table_id, salt) with an explicit partition count (AQE keeps explicit
+    counts), its specs are replicated once per salt.  A hot table — or one
+    big table with many specs — is thus evaluated by many tasks.
+    """
+    spark = rows.sparkSession
+    per_table = specs.groupBy("table_id").agg(F.count(F.lit(1)).alias("__k"), F.max("n_rows").alias("__n"))
+    n_salt = F.greatest(
+        F.lit(1),
+        F.ceil(F.col("__n") * F.col("__k") / F.lit(WORK_PER_TASK)),
+        F.ceil(F.col("__n") / F.lit(salt_rows)),
+    ).cast("int")
+    per_table = per_table.select("table_id", n_salt.alias("__s"))
+    stats = per_table.agg(F.count(F.lit(1)).alias("t"), F.sum("__s").alias("s")).first()  # two scalars
+    n_tables, n_salts = (stats["t"] or 0), (stats["s"] or 0)
+    pt = F.broadcast(per_table) if n_tables <= BROADCAST_SPECS else per_table
+    parts = max(spark.sparkContext.defaultParallelism, min(int(n_salts), MAX_JOIN_PARTITIONS), 1)
+    r = rows.join(pt, "table_id").withColumn("salt", F.pmod(F.col("row_idx"), F.col("__s")).cast("int")).drop("__s")
+    r = r.repartition(parts, "table_id", "salt")
+    sp = specs.join(pt, "table_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__s") - 1))).drop("__s")
     n_specs = specs.count()
-    sp = F.broadcast(sp) if n_specs <= BROADCAST_SPECS else sp
-    return r.join(sp, ["table_id", "salt"])
+    sp = sp.withColumnRenamed("table_id", "__tid").withColumnRenamed("salt", "__salt")
+    sp = F.broadcast(sp) if n_specs * max(1, n_salts // max(n_tables, 1)) <= BROADCAST_SPECS else sp
+    # WHERE is part of the join condition: it is tested on the joined-row view,
+    # so only matching (row, spec) pairs are materialised.
+    cond = (F.col("table_id") == F.col("__tid")) & (F.col("salt") == F.col("__salt")) & where_ok()
+    return r.join(sp, cond).drop("__tid", "__salt")
 
 
 EXEC_COLS = [
@@ -110,7 +138,15 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
     calc = F.when(F.col("s_op") == "+", _num(s1) + _num(s2)).otherwise(_num(s1) - _num(s2))
 
     # ---- row mode
-    xr = _join_specs(rows, sp.where(is_row), salt_rows).where(where_ok())
+    # Count matches per spec first (partial aggregate, nothing materialised);
+    # only specs whose answer fits an answer string, or that keep one row
+    # (ORDER BY ... LIMIT 1), are expanded again for their values.
+    row_specs = sp.where(is_row)
+    xr_all = _join_specs(rows, row_specs, salt_rows)
+    n_match = xr_all.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected"))
+    n_match = pin(n_match, "row-counts")
+    small = n_match.where(F.col("n_selected") <= max_answer_rows).select(*SPEC_KEY)
+    wanted = row_specs.join(small, SPEC_KEY, "left_semi").unionByName(row_specs.where(F.col("o_kind") == "col")).distinct()
     quoted = F.transform(
         F.col("s_cols"),
         lambda i: F.when(F.try_element_at(F.col("types"), i + 1) == "INT", _cell(i)).otherwise(
@@ -121,19 +157,21 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
         F.transform(F.col("s_cols"), lambda i: _cell(i))
     )
     okey = F.when(F.col("o_desc"), -_num(F.col("o_col"))).otherwise(_num(F.col("o_col")))
-    rr = pin(
-        xr.select(
+
+    def project(x):
+        return x.select(
             *SPEC_KEY, "o_kind",
             F.col("row_idx").cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
             row_vals.alias("vals"),
             F.concat(F.lit("("), F.array_join(quoted, ", "), F.lit(")")).alias("tup"),
             okey.alias("okey"),
-        ),
-        "answer-rows",
-    )
+        )
+
+    rr_all = project(xr_all)  # every answer row, lazily (never pinned whole)
+    rr = pin(project(_join_specs(rows, wanted, salt_rows)), "answer-rows")
 
     # ---- aggregate mode
-    xa = _join_specs(rows, sp.where(~is_row), salt_rows).where(where_ok())
+    xa = _join_specs(rows, sp.where(~is_row), salt_rows)
     hv, hc = _num(F.col("h_col")), _cell(F.col("h_col"))
     sc, sv = _cell(s1), _num(s1)
     h_row_ok = F.when(F.col("h_kind") == "bare", _cmp(hv, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).when(
@@ -185,6 +223,9 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
     both = rr.unionByName(grp_out)
     top_kind = F.col("o_kind").isin("col", "agg")
     plain = both.where(~top_kind).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
+    plain_all = rr_all.where(~top_kind).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup").unionByName(
+        grp_out.where(~top_kind).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
+    )
     # top-1: smallest ordering value first (one partial min per spec), then the
     # earliest row / smallest group among the rows at that value.
     cand = both.where(top_kind)
@@ -195,17 +236,34 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
         F.col("ord_i").eqNullSafe(F.col("__i")) & F.col("ord_s").eqNullSafe(F.col("__s"))
     ).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
     answer_rows = plain.unionByName(top).unionByName(gl)
-    selected = rr.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected")).unionByName(
-        g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected"))
+    selected = n_match.unionByName(g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected")))
+    return Answers(
+        answer_strings(specs, answer_rows, selected, max_answer_rows, rows_counts=_row_counts(n_match, row_specs)),
+        plain_all.unionByName(top).unionByName(gl),
     )
-    return Answers(answer_strings(specs, answer_rows, selected, max_answer_rows), answer_rows)
 
 
-def answer_strings(specs: DataFrame, answer_rows: DataFrame, selected: DataFrame, max_answer_rows: int) -> DataFrame:
-    """One answer string per spec (J6): '' / first cell / ', '-joined values / joined tuples."""
+def _row_counts(n_match: DataFrame, row_specs: DataFrame) -> DataFrame:
+    """Answer size of row-mode specs without ORDER: every matched row is an answer row."""
+    cols = row_specs.select(*SPEC_KEY, F.when(F.col("s_kind") == "calc", F.lit(1)).otherwise(F.size("s_cols")).alias("n_ans_cols"), "o_kind")
+    return n_match.join(cols.where(F.col("o_kind") != "col"), SPEC_KEY).select(
+        *SPEC_KEY, F.col("n_selected").alias("n_ans_rows"), "n_ans_cols"
+    )
+
+
+def answer_strings(specs: DataFrame, answer_rows: DataFrame, selected: DataFrame, max_answer_rows: int,
+                   rows_counts: DataFrame | None = None) -> DataFrame:
+    """One answer string per spec (J6): '' / first cell / ', '-joined values / joined tuples.
+
+    ``answer_rows`` holds the rows of answers small enough for a string;
+    ``rows_counts`` gives the size of every row-mode answer (also the large
+    ones, whose rows are not expanded here).
+    """
     counts = answer_rows.groupBy(*SPEC_KEY).agg(
         F.count(F.lit(1)).alias("n_ans_rows"), F.max(F.size("vals")).alias("n_ans_cols")
     )
+    if rows_counts is not None:
+        counts = counts.join(rows_counts.select(*SPEC_KEY), SPEC_KEY, "left_anti").unionByName(rows_counts)
     small = counts.where(F.col("n_ans_rows") <= max_answer_rows).select(*SPEC_KEY)
     lists = answer_rows.join(small, SPEC_KEY, "left_semi").groupBy(*SPEC_KEY).agg(
         F.array_sort(F.collect_list(F.struct("ord_i", "ord_s", F.try_element_at(F.col("vals"), F.lit(1)).alias("first"), "tup"))).alias("l")
