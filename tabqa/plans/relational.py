@@ -175,7 +175,7 @@ _OPN = {">": "gt", "<": "lt", "=": "eq"}
     "pred_and_same_col",
     "SELECT "
     + ", ".join(
-        f"count_if(p_size {a} 20 AND p_size {b} 20) AS n_{_OPN[a]}_{_OPN[b]}" for a in _OPS for b in _OPS
+        f"CAST(count_if(p_size {a} 20 AND p_size {b} 20) AS BIGINT) AS n_{_OPN[a]}_{_OPN[b]}" for a in _OPS for b in _OPS
     )
     + " FROM part",
 )

@@ -102,7 +102,7 @@ def d_predictions(seed: int = SEED) -> str:
   FROM conversations c
   LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
   LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1),
-gm AS (SELECT g.*, m AS model_id FROM g, range(1, {N_MODELS + 1}) AS t(m)),
+gm AS (SELECT g.*, CAST(m AS INTEGER) AS model_id FROM g, range(1, {N_MODELS + 1}) AS t(m)),
 preds AS (
   SELECT model_id, conv_id, turn, gold,
          CASE WHEN {b} < model_id + 4 THEN {disguised}
@@ -233,7 +233,8 @@ def evl_cot_answer(spark, sf_dir):
 @query(
     "evl_join_gold",
     f"""WITH {d_predictions()}
-       SELECT p.model_id, c.conv_id, c.turn, c.role, length(p.pred) AS pred_len, length(c.text) AS gold_len
+       SELECT p.model_id, c.conv_id, c.turn, c.role, CAST(length(p.pred) AS INTEGER) AS pred_len,
+              CAST(length(c.text) AS INTEGER) AS gold_len
        FROM preds p JOIN conversations c USING (conv_id, turn)""",
 )
 def evl_join_gold(spark, sf_dir):
