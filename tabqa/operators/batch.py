@@ -94,11 +94,15 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
         F.ceil(F.col("__n") * F.col("__k") / F.lit(WORK_PER_TASK)),
         F.ceil(F.col("__n") / F.lit(salt_rows)),
     ).cast("int")
-    per_table = per_table.select("table_id", n_salt.alias("__s"))
-    stats = per_table.agg(F.count(F.lit(1)).alias("t"), F.sum("__s").alias("s")).first()  # two scalars
-    n_tables, n_salts = (stats["t"] or 0), (stats["s"] or 0)
+    per_table = per_table.select("table_id", n_salt.alias("__s"), (F.col("__n") * F.col("__k")).alias("__w"))
+    stats = per_table.agg(
+        F.count(F.lit(1)).alias("t"), F.sum("__s").alias("s"), F.sum("__w").alias("w")
+    ).first()  # three scalars
+    n_tables, n_salts, work = (stats["t"] or 0), (stats["s"] or 0), (stats["w"] or 0)
+    per_table = per_table.drop("__w")
     pt = F.broadcast(per_table) if n_tables <= BROADCAST_SPECS else per_table
-    parts = max(spark.sparkContext.defaultParallelism, min(int(n_salts), MAX_JOIN_PARTITIONS), 1)
+    # partitions follow the expansion work, not the number of tables
+    parts = max(spark.sparkContext.defaultParallelism, min(-(-int(work) // WORK_PER_TASK), MAX_JOIN_PARTITIONS), 1)
     r = rows.join(pt, "table_id").withColumn("salt", F.pmod(F.col("row_idx"), F.col("__s")).cast("int")).drop("__s")
     r = r.repartition(parts, "table_id", "salt")
     sp = specs.join(pt, "table_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__s") - 1))).drop("__s")

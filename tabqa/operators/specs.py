@@ -64,6 +64,8 @@ class SpecParams:
     flag: str = "s"
     # draw the template once per pair of consecutive queries (three-level t1 pairs)
     pair: bool = False
+    # 'coarse' (templates s1-s8) or 'fine' (fine templates)
+    kind: str = "coarse"
 
 
 def _q(s: str) -> str:
@@ -259,6 +261,10 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
     return st
 
 
+def stage_list(d, p: SpecParams):
+    return fine_stages(d, p) if p.kind == "fine" else stages(d, p)
+
+
 def slot_columns() -> list[tuple[str, str]]:
     """(slot, column holding the cell's column index) for the literal join."""
     return [("w1a", "w1_col"), ("w1b", "w1_col"), ("w1c", "w1_col"),
@@ -319,7 +325,7 @@ def render_sql(d) -> list[tuple[str, str]]:
     )
     parts = {"S": "S", "W": "W", "G": "G", "H": "H", "O": "O"}
     cases = []
-    for t, text in TEMPLATES.items():
+    for t, text in {**TEMPLATES, **{f: "select {S} from my_table {W}" for f in FINE}}.items():
         pieces = []
         rest = text
         while "{" in rest:
@@ -359,7 +365,7 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
     ensure_checkpoint_dir(tables.sparkSession)
     # The draws are deep expressions used several times below: pin them once
     # (reliable checkpoint in the session's checkpoint folder; specs are small).
-    sp = pin(_run_stages(base, stages(d, p)), "spec-draws")
+    sp = pin(_run_stages(base, stage_list(d, p)), "spec-draws")
     # Literal cells: one (slot, row, col) per slot, one join with the rows, pivot back.
     slots = F.array(*[
         F.struct(F.lit(s).alias("slot"), F.col(f"r_{s}").cast("int").alias("row_idx"), F.col(c).alias("col"))
@@ -381,8 +387,8 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
         F.col("lit_w2a").alias("w2_v1"), F.col("lit_w2b").alias("w2_v2"), F.col("lit_w2c").alias("w2_v3"),
         F.when(F.col("h_agg") == "count", F.col("h_n1").cast("string")).otherwise(F.col("lit_h")).alias("h_lit"),
     )
-    sp = _run_stages(sp, render_sql(d) + instruction_sql(d))
-    return pin(sp.drop("__S", "__W", "__G", "__H", "__O"), "specs")
+    sp = _run_stages(sp, render_sql(d) + instruction_sql(d) + instruction_zh_sql(d))
+    return pin(sp.drop("__S", "__W", "__G", "__H", "__O", "zh_where", "zh_group", "zh_having", "zh_select", "zh_order"), "specs")
 
 
 # English words for operators and aggregates in instructions.
@@ -445,3 +451,187 @@ def instruction_sql(d) -> list[list[tuple[str, str]]]:
         [("ins_where", where), ("ins_group", group), ("ins_having", having), ("ins_select", select), ("ins_order", order)],
         [("multistep", "ins_where || ins_group || ins_having || ins_select || ins_order")],
     ]
+
+
+# The fine templates (easy, where-condition and long-context lines), in order.
+FINE_TEMPLATES = [
+    "select <text_col1> from my_table where <int_col1> = <int_1>",
+    "select <int_col1> from my_table where <text_col1> = <text_1>",
+    "select <int_col1> from my_table where <int_col2> = <int_2>",
+    "select <text_col1> from my_table where <text_col2> = <text_2>",
+    "select <text_col1> from my_table where <text_col2> <op2> <text_2>",
+    "select <int_col1> from my_table where <text_col1> <op1> <text_1>",
+    "select <text_col1> from my_table where <int_col1> <op1> <int_1>",
+    "select <int_col1> from my_table where <int_col2> <op2> <int_2>",
+    "select <text_col1> from my_table where <text_col1> = <text_1>",
+    "select <text_col1> from my_table where <int_col1> <op1> <int_1> and <int_col1> <op2> <int_1>",
+    "select <text_col1> from my_table where <text_col2> = <text_2> and <text_col3> = <text_3>",
+    "select <text_col1> from my_table where <int_col1> <op1> <int_1> and <int_col2> <op2> <int_2>",
+    "select <text_col1> from my_table where <int_col1> <op1> <int_1> and <text_col1> = <text_1>",
+    "select <text_col1> from my_table where <text_col1> = <text_1> and <int_col1> <op1> <int_1>",
+    "select <text_col1> from my_table where <text_col1> = <text_1> and <text_col2> = <text_2>",
+    "select <text_col1> from my_table where <text_col2> = <text_2>",
+]
+FINE_OPS = [">", "<", "="]
+
+
+def _fine_structure(t: str):
+    """(select slot, [(column slot, op slot or literal op, literal slot)]) of a fine template."""
+    import re
+
+    sel = re.match(r"select <(\w+)> from my_table", t).group(1)
+    conds = re.findall(r"<(\w+_col\d)> (=|<op\d>) <(\w+_\d)>", t)
+    return sel, [(c, op.strip("<>"), lit) for c, op, lit in conds]
+
+
+FINE = {f"f{i + 1}": _fine_structure(t) for i, t in enumerate(FINE_TEMPLATES)}
+
+
+def fine_stages(d, p: "SpecParams") -> list[list[tuple[str, str]]]:
+    """Draws for fine-template specs (I6), as the same spec columns the executor reads.
+
+    Column slots take distinct columns of their type while more than one is
+    left (int_col1..3, text_col1..4); each <opN> is one of > < =; each
+    literal slot takes the value of its column in one hashed row, so a slot
+    used twice repeats its value.
+    """
+    x = Draws(d, p.seed)
+    names = list(FINE)
+    st: list[list[tuple[str, str]]] = []
+    st.append([
+        ("tc", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} IN ('TEXT', 'DATE')")),
+        ("ic", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} = 'INT'")),
+    ])
+    st.append([
+        ("ac", d.cat("tc", "ic")),
+        ("nic", d.size("ic")),
+        ("tpl", d.at(d.arr(*[_q(n) for n in names]), f"1 + {x.hs('tpl')} % {len(names)}")),
+    ])
+
+    # picks depend on earlier picks: one stage per slot keeps the expressions small
+    for prefix, arr, k in (("int_col", "ic", 3), ("text_col", "tc", 4)):
+        rest = arr
+        for i in range(1, k + 1):
+            name = f"{prefix}{i}"
+            st.append([(name, x.pick(rest, name))])
+            st.append([(f"__rest_{name}", f"CASE WHEN {d.size(rest)} > 1 THEN {d.filt(rest, 'c', f'c <> {name}')} ELSE {rest} END")])
+            rest = f"__rest_{name}"
+    st.append([(f"op{i}", x.choice(FINE_OPS, f"op{i}")) for i in range(1, 5)])
+
+    def case(fn):
+        return "CASE tpl " + " ".join(f"WHEN {_q(n)} THEN {fn(FINE[n])}" for n in names) + " END"
+
+    def cond_part(k: int, part: int):
+        def f(s):
+            _, conds = s
+            if len(conds) < k:
+                return "NULL"
+            v = conds[k - 1][part]
+            if part == 1:
+                return _q(v) if v == "=" else v
+            return v
+
+        return f
+
+    def lit_key(k: int):
+        return lambda s: _q(s[1][k - 1][2]) if len(s[1]) >= k else "NULL"
+
+    st.append([
+        ("w_n", case(lambda s: str(len(s[1])))),
+        ("w_cc", "FALSE"),
+        ("w1_col", case(cond_part(1, 0))),
+        ("w2_col", case(cond_part(2, 0))),
+        ("w1_op", case(cond_part(1, 1))),
+        ("w2_op", case(cond_part(2, 1))),
+        ("__lk1", case(lit_key(1))),
+        ("__lk2", case(lit_key(2))),
+        ("s_col1", case(lambda s: s[0])),
+    ])
+    st.append([
+        ("w1_rcol", "CAST(NULL AS INT)"),
+        ("w1_num", f"{d.contains('ic', 'w1_col')}"),
+        ("w2_num", f"coalesce({d.contains('ic', 'w2_col')}, FALSE)"),
+        ("w1_nin", "2"), ("w2_nin", "2"),
+        ("w_cols", d.filt(d.arr("w1_col", "w2_col"), "c", "c IS NOT NULL")),
+        ("g_col", "CAST(NULL AS INT)"), ("h_kind", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
+        ("h_col", "CAST(NULL AS INT)"), ("h_rcol", "CAST(NULL AS INT)"),
+        ("h_op", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
+        ("h_agg", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
+        ("h_n1", "1"),
+        ("s_kind", "'cols'"), ("s_cols", d.arr("s_col1")),
+        ("s_op", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
+        ("s_agg", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
+        ("o_kind", "'none'"), ("o_col", "CAST(NULL AS INT)"), ("o_desc", "FALSE"),
+        ("r_w1a", f"{d.h(d.key(str(p.seed), 'table_id', 'query_no', '__lk1'))} % greatest(n_rows, 1)"),
+        ("r_w2a", f"{d.h(d.key(str(p.seed), 'table_id', 'query_no', '__lk2'))} % greatest(n_rows, 1)"),
+    ] + [(f"r_{s}", "0") for s in LITERAL_SLOTS if s not in ("w1a", "w2a")])
+    return st
+
+
+# Chinese words for operators and aggregates in instructions.
+CODE_CHINESE = {
+    ">": "大于", "<": "小于", "=": "等于", "count": "数量", "max": "最大值", "min": "最小值",
+    "sum": "和", "avg": "平均值", "+": "之和", "-": "之差", "*": "之积", "/": "之商",
+}
+
+
+def instruction_zh_sql(d) -> list[list[tuple[str, str]]]:
+    """Stages producing the Chinese instruction of a spec.
+
+    Clauses are joined with newlines (empty clauses included), as the
+    Chinese generator does.  Column-vs-column conditions, which that
+    generator never draws, are phrased like the value conditions.
+    """
+    name = lambda c: d.at("header", f"{c} + 1")
+
+    def zh(x: str) -> str:
+        return "CASE " + x + " " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in CODE_CHINESE.items()) + " END"
+
+    def cond(n: int) -> str:
+        c, op, num = name(f"w{n}_col"), f"w{n}_op", f"w{n}_num"
+        a, b, cc = f"w{n}_v1", f"w{n}_v2", f"w{n}_v3"
+        return (
+            f"CASE WHEN {op} = 'like' THEN '列 ' || {c} || ' 的值模糊匹配''' || substr({a}, 1, 3) || '%''.'"
+            f" WHEN {op} = 'in' THEN '列 ' || {c} || ' 的值是 ''' || {a} || ''' 或 ''' || {b} || ''''"
+            f" || CASE WHEN w{n}_nin = 3 THEN ' 或 ''' || {cc} || '''' ELSE '' END || '.'"
+            f" WHEN {num} THEN '列 ' || {c} || ' 的值 ' || {zh(op)} || ' ' || {a} || '.'"
+            f" WHEN {op} = '=' THEN '列 ' || {c} || ' 的值是 ''' || {a} || '''.'"
+            f" ELSE '列 ' || {c} || ' 的值 ' || {zh(op)} || ' ''' || {a} || '''.' END"
+        )
+
+    where = (
+        "CASE WHEN w_n = 0 THEN '' ELSE '请按需要满足的列条件筛选行： ' || "
+        f"CASE WHEN w_cc THEN '列 ' || {name('w1_col')} || ' 的值 ' || {zh('w1_op')} || ' 列 ' || {name('w1_rcol')} || ' 的值.' "
+        f"WHEN w_n = 1 THEN {cond(1)} ELSE {cond(1)} || ' ' || {cond(2)} END END"
+    )
+    group = f"CASE WHEN g_col IS NULL THEN '' ELSE '然后根据剩余行中' || {name('g_col')} || '的值对行进行分组.' END"
+    having = (
+        "CASE WHEN h_kind IS NULL THEN '' ELSE '然后根据以下条件筛选某些组：' || "
+        f"CASE WHEN h_kind = 'agg' AND h_agg = 'count' THEN {name('h_col')} || ' 列的数量 ' || {zh('h_op')} || ' ' || h_lit || '.' "
+        f"WHEN h_kind = 'agg' THEN {name('h_col')} || ' 列的' || {zh('h_agg')} || ' ' || {zh('h_op')} || ' ' || h_lit || '.' "
+        f"WHEN h_kind = 'bare' THEN {name('h_col')} || ' 列 ' || {zh('h_op')} || ' ' || h_lit || '.' "
+        f"ELSE {name('h_col')} || ' 列 ' || {zh('h_op')} || ' ' || {name('h_rcol')} || ' 列.' END END"
+    )
+    s1 = name(d.at("s_cols", "1"))
+    s2 = name(d.at("s_cols", "2"))
+    cols = d.join(d.tr("s_cols", "c", name("c")), "', '")
+    select = (
+        f"CASE s_kind WHEN 'calc' THEN '选择，并计算，已筛选行中，两列 ' || {s1} || ' 和 ' || {s2} || {zh('s_op')} || '。 ' "
+        f"WHEN 'agg' THEN CASE WHEN s_agg = 'count' AND NOT {d.contains('ic', d.at('s_cols', '1'))} THEN '选择，已筛选行中的' || {s1} || ' 列的数量' "
+        f"ELSE '选择，已筛选行中的' || {s1} || ' 列，并求' || {zh('s_agg')} END "
+        f"WHEN 'group_agg' THEN '选择，已筛选行中的 ' || {name('g_col')} || ' 列，并求' || {name('h_col')} || ' 列的' || {zh('h_agg')} "
+        f"ELSE '选择，已筛选行中的 ' || {cols} || ' 列' END"
+    )
+    order = (
+        "CASE o_kind WHEN 'none' THEN '' "
+        "WHEN 'col' THEN '将已选择的值按 ' || CASE WHEN o_desc THEN '降序' ELSE '升序' END || ' ' || "
+        f"{name('o_col')} || '排序，并且选择最' || CASE WHEN o_desc THEN '大' ELSE '小' END || '的值。' "
+        "ELSE '将已选择的值按 ' || CASE WHEN h_agg = 'count' THEN "
+        f"{name('h_col')} || ' 列的数量' ELSE {name('h_col')} || ' 列的' || {zh('h_agg')} END || ' 升序排序，并且选择最' "
+        "|| CASE WHEN o_desc THEN '大' ELSE '小' END || '的值。' END"
+    )
+    nl = "'\n'"
+    return [
+        [("zh_where", where), ("zh_group", group), ("zh_having", having), ("zh_select", select), ("zh_order", order)],
+        [("multistep_zh", f"zh_where || {nl} || zh_group || {nl} || zh_having || {nl} || zh_select || {nl} || zh_order")],
+    ]

@@ -225,3 +225,32 @@ def inst_coarse_pairs(spark, sf_dir):
     sp = shared.specs(spark, sf_dir, "supplier", T1)
     ex = shared.executed(spark, sf_dir, "supplier", T1)
     return N.pair_ops(sp, ex.answers, ex.answer_rows, T1.seed)
+
+
+FINE = S.SpecParams(seed=13, per_table=20, kind="fine")
+
+
+@query(
+    "inst_fine",
+    f"WITH {DB.LINEITEM_BY_SUPPLIER},\n{DB.specs_sql(DB.LINEITEM_BY_SUPPLIER, FINE)}\n"
+    "SELECT table_id, query_no, tpl, sql FROM specs",
+)
+def inst_fine(spark, sf_dir):
+    """Fine-template instantiation: typed column slots, > < = operators, hashed literals."""
+    return shared.specs(spark, sf_dir, "supplier", FINE).select("table_id", "query_no", "tpl", "sql")
+
+
+@query("exec_fine", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, FINE, OUT_SQL))
+def exec_fine(spark, sf_dir):
+    """Answers of the fine-template specs (J1, J5 counts in n_ans_rows)."""
+    return shared.answers(spark, sf_dir, "supplier", FINE).select(*OUT)
+
+
+@query(
+    "nl_instruction_zh",
+    f"WITH {DB.LINEITEM_BY_SUPPLIER},\n{DB.specs_sql(DB.LINEITEM_BY_SUPPLIER, SP)}\n"
+    "SELECT table_id, query_no, multistep_zh FROM specs",
+)
+def nl_instruction_zh(spark, sf_dir):
+    """Chinese multi-step instruction of every spec."""
+    return shared.specs(spark, sf_dir, "supplier", SP).select("table_id", "query_no", "multistep_zh")

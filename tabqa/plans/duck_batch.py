@@ -72,7 +72,7 @@ def specs_sql(corpus: str, p: S.SpecParams) -> str:
         f"sbase AS (SELECT table_id, header, types, n_rows, n_cols, CAST(q AS INTEGER) AS query_no "
         f"FROM ctables, unnest(range(0, {p.per_table})) AS t(q))"
     )
-    ctes, last = _stage_chain("sbase", ["table_id", "header", "types", "n_rows", "n_cols", "query_no"], S.stages(d, p), "st")
+    ctes, last = _stage_chain("sbase", ["table_id", "header", "types", "n_rows", "n_cols", "query_no"], S.stage_list(d, p), "st")
     slots = ", ".join(
         f"{{'slot': '{s}', 'row_idx': CAST(r_{s} AS INTEGER), 'col': {c}}}" for s, c in S.slot_columns()
     )
@@ -91,8 +91,8 @@ def specs_sql(corpus: str, p: S.SpecParams) -> str:
         f"FROM {last} s LEFT JOIN piv USING (table_id, query_no))"
     )
     lit_cols = ["w1_v1", "w1_v2", "w1_v3", "w2_v1", "w2_v2", "w2_v3", "h_lit"]
-    rctes, rlast = _stage_chain("slit", S.SPEC_COLUMNS + lit_cols, S.render_sql(d) + S.instruction_sql(d), "rs")
-    out = f"specs AS (SELECT * EXCLUDE (__S, __W, __G, __H, __O) FROM {rlast})"
+    rctes, rlast = _stage_chain("slit", S.SPEC_COLUMNS + lit_cols, S.render_sql(d) + S.instruction_sql(d) + S.instruction_zh_sql(d), "rs")
+    out = f"specs AS (SELECT * EXCLUDE (__S, __W, __G, __H, __O, zh_where, zh_group, zh_having, zh_select, zh_order) FROM {rlast})"
     return ",\n".join([base, *ctes, need, vals, piv, lit, *rctes, out])
 
 
