@@ -9,8 +9,9 @@ holds a third of the data, so groups are split by size:
   many tasks; each task numbers its rows locally, a tiny per-(group, task)
   count table gives each task its offset, and the offset is added back.
 
-The hot branch is checkpointed to the session's checkpoint folder before
-its two uses so both see the same partition ids even after a retry.
+The hot branch is written once (Parquet, in the session's checkpoint
+folder) before its two uses, so both see the same partition ids even after
+a retry.
 """
 
 from __future__ import annotations
@@ -69,8 +70,11 @@ def _hot_index(df: DataFrame, group: list[str], order, out: str, partitions: int
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mid", F.monotonically_increasing_id())
     )
-    # Both uses below must see identical partition ids: pin the data.
-    s = s.checkpoint(eager=True)
+    # Both uses below must see identical partition ids: pin the data (Parquet
+    # in the checkpoint folder; partition ids are stored as a column).
+    from tabqa.session import pin
+
+    s = pin(s, "row-index")
     stats = s.groupBy(*group, "__pid").agg(F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__n"))
     wo = Window.partitionBy(*group).orderBy("__pid") if group else Window.orderBy("__pid")
     offs = stats.withColumn(

@@ -104,7 +104,10 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
     # partitions follow the expansion work, not the number of tables
     parts = max(spark.sparkContext.defaultParallelism, min(-(-int(work) // WORK_PER_TASK), MAX_JOIN_PARTITIONS), 1)
     r = rows.join(pt, "table_id").withColumn("salt", F.pmod(F.col("row_idx"), F.col("__s")).cast("int")).drop("__s")
-    r = r.repartition(parts, "table_id", "salt")
+    # Regroup rows only when some table is split or the input is too coarse for
+    # the work; otherwise the (broadcast) join runs on the input partitions.
+    if n_salts > n_tables or rows.rdd.getNumPartitions() < parts:
+        r = r.repartition(parts, "table_id", "salt")
     sp = specs.join(pt, "table_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__s") - 1))).drop("__s")
     n_specs = specs.count()
     sp = sp.withColumnRenamed("table_id", "__tid").withColumnRenamed("salt", "__salt")
@@ -293,3 +296,45 @@ def answer_strings(specs: DataFrame, answer_rows: DataFrame, selected: DataFrame
         F.when(F.col("n_ans_rows").isNull(), F.array().cast("array<string>")).otherwise(first_vals).alias("answer_list"),
         F.coalesce("n_selected", F.lit(0)).alias("n_selected"),
     )
+
+
+def answer_tables(ans: Answers, specs: DataFrame, fmt: str = "markdown") -> DataFrame:
+    """Every answer as a formatted table, ``(table_id, query_no, chunk, text)``.
+
+    Headers are the select expressions as the SQL names them (``max ( x )``,
+    ``a + b``, ``g, count ( h )``); rows keep the answer order.  Rows are
+    numbered with the skew-safe index and rendered by ``render`` (chunked
+    past its row bound), so no answer passes through one task whole.
+    """
+    from tabqa.functions.indexing import row_index
+    from tabqa.operators import render as M
+
+    name = lambda c: F.try_element_at(F.col("header"), c + 1)
+    s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
+    s2 = F.try_element_at(F.col("s_cols"), F.lit(2))
+    hdr = (
+        F.when(F.col("s_kind") == "calc", F.array(F.concat(name(s1), F.lit(" "), F.col("s_op"), F.lit(" "), name(s2))))
+        .when(F.col("s_kind") == "agg", F.array(F.concat(F.col("s_agg"), F.lit(" ( "), name(s1), F.lit(" )"))))
+        .when(F.col("s_kind") == "group", F.array(name(F.col("g_col"))))
+        .when(F.col("s_kind") == "group_agg", F.array(name(F.col("g_col")), F.concat(F.col("h_agg"), F.lit(" ( "), name(F.col("h_col")), F.lit(" )"))))
+        .otherwise(F.transform("s_cols", lambda c: name(c)))
+    )
+    typ = (
+        F.when(F.col("s_kind").isin("calc", "agg"), F.array(F.lit("INT")))
+        .when(F.col("s_kind") == "group", F.array(F.lit("TEXT")))
+        .when(F.col("s_kind") == "group_agg", F.array(F.lit("TEXT"), F.lit("INT")))
+        .otherwise(F.transform("s_cols", lambda c: F.try_element_at(F.col("types"), c + 1)))
+    )
+    pid = (F.col("table_id") * 4096 + F.col("query_no")).cast("bigint")
+    meta0 = specs.select(pid.alias("table_id"), F.col("table_id").alias("src"), "query_no", hdr.alias("header"), typ.alias("types"))
+    r = ans.answer_rows.select(pid.alias("table_id"), F.coalesce("ord_i", F.lit(0)).alias("oi"), F.coalesce("ord_s", F.lit("")).alias("os"),
+                               F.transform("vals", lambda v: F.coalesce(v, F.lit("None"))).alias("cells"))
+    r = row_index(r, ["table_id"], ["oi", "os"])
+    n = r.groupBy("table_id").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
+    meta = meta0.join(n, "table_id", "left").select(
+        "table_id", "src", "query_no", "header", "types", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols")
+    )
+    out = M.render(r.select("table_id", "row_idx", "cells"), meta.drop("src", "query_no"), fmt)
+    return out.join(meta.select("table_id", "src", "query_no"), "table_id").select(
+        F.col("src").alias("table_id"), "query_no", "chunk", "text"
+    )

@@ -213,10 +213,16 @@ def types(shp: DataFrame, shape: Shape) -> DataFrame:
     return shp.select("table_id", chosen.alias("types"))
 
 
-def table_meta(driver: DataFrame, id_col: str, shape: Shape, vocab: DataFrame) -> DataFrame:
-    """tables(table_id, header, types, n_rows, n_cols, pools) for a synthetic corpus."""
+def table_meta(driver: DataFrame, id_col: str, shape: Shape, vocab: DataFrame | None) -> DataFrame:
+    """tables(table_id, header, types, n_rows, n_cols, pools) for a synthetic corpus.
+
+    Without a vocabulary the header is left NULL (enough to generate rows)."""
     shp = shapes(driver, id_col, shape)
-    t = shp.join(types(shp, shape), "table_id").join(headers(shp, vocab, shape.seed), "table_id")
+    t = shp.join(types(shp, shape), "table_id")
+    if vocab is not None:
+        t = t.join(headers(shp, vocab, shape.seed), "table_id")
+    else:
+        t = t.withColumn("header", F.lit(None).cast("array<string>"))
     pools = F.transform(
         F.sequence(F.lit(0), F.col("n_cols") - 1), lambda j: pool_mode(shape.seed, F.col("table_id"), j, shape)
     )

@@ -254,3 +254,53 @@ def exec_fine(spark, sf_dir):
 def nl_instruction_zh(spark, sf_dir):
     """Chinese multi-step instruction of every spec."""
     return shared.specs(spark, sf_dir, "supplier", SP).select("table_id", "query_no", "multistep_zh")
+
+
+@query("exec_answer_table")
+def exec_answer_table(spark, sf_dir):
+    """Answers of the customer-table specs as markdown tables."""
+    sp = shared.specs(spark, sf_dir, "customer", OBC)
+    ex = shared.executed(spark, sf_dir, "customer", OBC)
+    return B.answer_tables(ex, sp, "markdown").select("table_id", "query_no", "chunk", "text")
+
+
+_SPLIT_SQL = """SELECT * REPLACE (query_no * 2 AS query_no, 1 AS w_n) FROM specs_base WHERE w_n = 2
+  UNION ALL
+  SELECT * REPLACE (query_no * 2 + 1 AS query_no, 1 AS w_n, w2_col AS w1_col, w2_op AS w1_op, w2_num AS w1_num,
+                    w2_nin AS w1_nin, w2_v1 AS w1_v1, w2_v2 AS w1_v2, w2_v3 AS w1_v3) FROM specs_base WHERE w_n = 2"""
+
+
+def split_conditions(specs):
+    """Two single-condition specs per two-condition spec: query_no*2 keeps the first
+    condition, query_no*2+1 the second (I16)."""
+    two = specs.where(F.col("w_n") == 2)
+    first = two.withColumn("query_no", F.col("query_no") * 2).withColumn("w_n", F.lit(1))
+    second = two.withColumn("query_no", F.col("query_no") * 2 + 1).withColumn("w_n", F.lit(1))
+    for a in ("col", "op", "num", "nin", "v1", "v2", "v3"):
+        second = second.withColumn(f"w1_{a}", F.col(f"w2_{a}"))
+    return first.unionByName(second)
+
+
+@query(
+    "inst_multi_test",
+    DB.exec_sql(
+        DB.LINEITEM_BY_SUPPLIER, FINE,
+        """SELECT table_id, query_no // 2 AS query_no,
+                  max(CASE WHEN query_no % 2 = 0 THEN n_ans_rows END) AS n1,
+                  max(CASE WHEN query_no % 2 = 1 THEN n_ans_rows END) AS n2,
+                  CAST(max(CASE WHEN query_no % 2 = 0 THEN n_ans_rows END) BETWEEN 2 AND 5
+                       AND max(CASE WHEN query_no % 2 = 1 THEN n_ans_rows END) BETWEEN 2 AND 5 AS INTEGER) AS kept
+           FROM answers GROUP BY table_id, query_no // 2""",
+        derive=_SPLIT_SQL,
+    ),
+)
+def inst_multi_test(spark, sf_dir):
+    """Multi-test: each condition of a two-condition fine query alone must return 2..5 rows (I16)."""
+    c = shared.corpus(spark, sf_dir, "supplier")
+    parts = split_conditions(shared.specs(spark, sf_dir, "supplier", FINE))
+    a = B.execute(c.rows, parts).answers
+    g = a.groupBy("table_id", (F.floor(F.col("query_no") / 2)).cast("int").alias("query_no")).agg(
+        F.max(F.when(F.col("query_no") % 2 == 0, F.col("n_ans_rows"))).alias("n1"),
+        F.max(F.when(F.col("query_no") % 2 == 1, F.col("n_ans_rows"))).alias("n2"),
+    )
+    return g.select("table_id", "query_no", "n1", "n2", (F.col("n1").between(2, 5) & F.col("n2").between(2, 5)).cast("int").alias("kept"))

@@ -275,8 +275,7 @@ def _duck_fill(shape=GEN):
 )
 def gen_rows(spark, sf_dir):
     """Whole synthetic tables, one per customer row."""
-    vocab = _vocab(spark, sf_dir)
-    meta = G.table_meta(Tables(spark, sf_dir).customer, "c_custkey", GEN, vocab)
+    meta = G.table_meta(Tables(spark, sf_dir).customer, "c_custkey", GEN, None)  # rows need no header
     rows = G.fill(meta, GEN)
     return rows.select(
         "table_id", "row_idx", _join("cells").alias("cells"),

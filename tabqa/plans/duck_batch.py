@@ -66,7 +66,7 @@ def _stage_chain(first: str, known: list[str], stages, name: str) -> tuple[list[
     return ctes, prev
 
 
-def specs_sql(corpus: str, p: S.SpecParams) -> str:
+def specs_sql(corpus: str, p: S.SpecParams, out_name: str = "specs") -> str:
     """CTE text defining ``specs`` (one row per spec with literals and sql)."""
     base = (
         f"sbase AS (SELECT table_id, header, types, n_rows, n_cols, CAST(q AS INTEGER) AS query_no "
@@ -92,7 +92,7 @@ def specs_sql(corpus: str, p: S.SpecParams) -> str:
     )
     lit_cols = ["w1_v1", "w1_v2", "w1_v3", "w2_v1", "w2_v2", "w2_v3", "h_lit"]
     rctes, rlast = _stage_chain("slit", S.SPEC_COLUMNS + lit_cols, S.render_sql(d) + S.instruction_sql(d) + S.instruction_zh_sql(d), "rs")
-    out = f"specs AS (SELECT * EXCLUDE (__S, __W, __G, __H, __O, zh_where, zh_group, zh_having, zh_select, zh_order) FROM {rlast})"
+    out = f"{out_name} AS (SELECT * EXCLUDE (__S, __W, __G, __H, __O, zh_where, zh_group, zh_having, zh_select, zh_order) FROM {rlast})"
     return ",\n".join([base, *ctes, need, vals, piv, lit, *rctes, out])
 
 
@@ -114,7 +114,7 @@ def _wcond(n: int) -> str:
     return f"(CASE WHEN w{n}_num THEN {num} ELSE {text} END)"
 
 
-def exec_sql(corpus: str, p: S.SpecParams, select: str) -> str:
+def exec_sql(corpus: str, p: S.SpecParams, select: str, derive: str | None = None) -> str:
     """Full oracle: corpus CTEs, specs, execution, answers; ``select`` reads ``answers``/``specs``."""
     cc = _cmp("nums[w1_col + 1]", "w1_op", "nums[w1_rcol + 1]")
     where_ok = f"coalesce(w_n = 0 OR ((CASE WHEN w_cc THEN {cc} ELSE {_wcond(1)} END) AND (w_n < 2 OR {_wcond(2)})), false)"
@@ -137,8 +137,9 @@ def exec_sql(corpus: str, p: S.SpecParams, select: str) -> str:
 
     s_val = f"CAST({pick('s_agg', 's')} AS VARCHAR)"
     h_val = pick("h_agg", "h")
+    spec_ctes = specs_sql(corpus, p) if derive is None else specs_sql(corpus, p, "specs_base") + f",\nspecs AS ({derive})"
     return f"""WITH {corpus},
-{specs_sql(corpus, p)},
+{spec_ctes},
 x AS (SELECT s.*, r.row_idx, r.cells, r.nums FROM specs s JOIN crows r USING (table_id)),
 f AS (SELECT * FROM x WHERE {where_ok}),
 rm AS (
