@@ -94,12 +94,12 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
         F.ceil(F.col("__n") * F.col("__k") / F.lit(WORK_PER_TASK)),
         F.ceil(F.col("__n") / F.lit(salt_rows)),
     ).cast("int")
-    per_table = per_table.select("table_id", n_salt.alias("__s"), (F.col("__n") * F.col("__k")).alias("__w"))
+    per_table = per_table.select("table_id", n_salt.alias("__s"), (F.col("__n") * F.col("__k")).alias("__w"), "__k")
     stats = per_table.agg(
-        F.count(F.lit(1)).alias("t"), F.sum("__s").alias("s"), F.sum("__w").alias("w")
-    ).first()  # three scalars
-    n_tables, n_salts, work = (stats["t"] or 0), (stats["s"] or 0), (stats["w"] or 0)
-    per_table = per_table.drop("__w")
+        F.count(F.lit(1)).alias("t"), F.sum("__s").alias("s"), F.sum("__w").alias("w"), F.sum("__k").alias("k")
+    ).first()  # four scalars, one job
+    n_tables, n_salts, work, n_specs = (stats["t"] or 0), (stats["s"] or 0), (stats["w"] or 0), (stats["k"] or 0)
+    per_table = per_table.drop("__w", "__k")
     pt = F.broadcast(per_table) if n_tables <= BROADCAST_SPECS else per_table
     # partitions follow the expansion work, not the number of tables
     parts = max(spark.sparkContext.defaultParallelism, min(-(-int(work) // WORK_PER_TASK), MAX_JOIN_PARTITIONS), 1)
@@ -109,7 +109,6 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
     if n_salts > n_tables or rows.rdd.getNumPartitions() < parts:
         r = r.repartition(parts, "table_id", "salt")
     sp = specs.join(pt, "table_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__s") - 1))).drop("__s")
-    n_specs = specs.count()
     sp = sp.withColumnRenamed("table_id", "__tid").withColumnRenamed("salt", "__salt")
     sp = F.broadcast(sp) if n_specs * max(1, n_salts // max(n_tables, 1)) <= BROADCAST_SPECS else sp
     # WHERE is part of the join condition: it is tested on the joined-row view,

@@ -7,7 +7,7 @@ rows are produced by exploding row ranges.  Output is a ``Corpus``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -57,14 +57,19 @@ def truncate(texts: DataFrame, key: list[str], text: str, max_tokens: int, step:
     cut-and-retry loop.  Words are exploded, their token counts summed by a
     per-text running window, and one aggregate picks ``k``.
     """
-    words = texts.select(*key, F.posexplode(T.py_split(F.col(text))).alias("p", "w"))
+    words = texts.select(*key, F.posexplode(T.py_split(F.col(text))).alias("p", "w")).select(
+        *key, "p", counter(F.col("w")).alias("t")
+    )
+    # The whole text's count is a plain (partial) sum; the running sum is only
+    # needed for the first ``max_tokens`` words (k never exceeds it), which
+    # bounds each window partition by the budget, not by the text.
+    total = words.groupBy(*key).agg(F.sum("t").alias("total"))
     w = Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    cum = words.select(*key, "p", F.sum(counter(F.col("w"))).over(w).alias("cum"))
+    cum = words.where(F.col("p") < max_tokens).select(*key, "p", F.sum("t").over(w).alias("cum"))
     n = F.col("p") + 1
     on_grid = (n <= max_tokens) & (F.pmod(F.lit(max_tokens) - n, F.lit(step)) == 0)
-    best = cum.groupBy(*key).agg(
-        F.max(F.when(on_grid & (F.col("cum") <= max_tokens), n)).alias("k"),
-        F.max("cum").alias("total"),
+    best = cum.groupBy(*key).agg(F.max(F.when(on_grid & (F.col("cum") <= max_tokens), n)).alias("k")).join(
+        total, key, "right"
     )
     j = texts.join(best, key, "left")
     cut = F.array_join(F.slice(T.py_split(F.col(text)), 1, F.coalesce(F.col("k"), F.lit(0)).cast("int")), " ")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabqa.operators import batch as B
 from tabqa.operators import controls as K
 from tabqa.operators import specs as S
 from tabqa.plans import duck_batch as DB
 from tabqa.plans import shared
 from tabqa.plans.registry import query
-from tabqa.sources import corpus as C
-from tabqa.sources.tables import Tables
 
 SP = S.SpecParams(seed=42, per_table=20)
 CORPUS_SQL = DB.LINEITEM_BY_SUPPLIER

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabqa.functions.hashing import hk, key
+from tabqa.functions.hashing import key
 from tabqa.functions.tokens import count_tokens
 from tabqa.operators import generate as G
 from tabqa.operators import render as M
@@ -348,7 +348,9 @@ def fit_budget(rows, tables, budget: int, step: int = 5, counter=count_tokens):
     then one aggregate.  (Tables are prompt-sized, so the per-table window
     is bounded by the generation parameters.)
     """
-    lines = M.with_meta(rows, tables).select(
+    # Every line has at least one token, so rows past index ``budget`` can never
+    # fit: pruning them first bounds each window partition by the budget.
+    lines = M.with_meta(rows.where(F.col("row_idx") < budget), tables).select(
         "table_id", "row_idx", counter(M.flatten_line(F.col("header"), F.col("cells"), F.col("row_idx"))).alias("t")
     )
     head = tables.select("table_id", counter(M.flatten_header(F.col("header"))).alias("ht"))
@@ -389,5 +391,3 @@ def gen_budget_filter(spark, sf_dir):
     t = M.table_tokens(c.rows, c.tables)
     return t.where(F.abs(F.col("n_tokens") - TARGET) <= 0.04 * TARGET)
 
-
-del hk  # imported for callers that extend these plans

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabqa.operators import batch as B
 from tabqa.operators import controls as K
 from tabqa.operators import datasets as DS
 from tabqa.operators import prompts as P
