@@ -256,7 +256,43 @@ def nl_instruction_zh(spark, sf_dir):
     return shared.specs(spark, sf_dir, "supplier", SP).select("table_id", "query_no", "multistep_zh")
 
 
-@query("exec_answer_table")
+def _d_answer_tables():
+    name = lambda c: f"s.header[{c} + 1]"
+    hdr = (
+        f"CASE s.s_kind WHEN 'calc' THEN [{name('s.s_cols[1]')} || ' ' || s.s_op || ' ' || {name('s.s_cols[2]')}] "
+        f"WHEN 'agg' THEN [s.s_agg || ' ( ' || {name('s.s_cols[1]')} || ' )'] "
+        f"WHEN 'group' THEN [{name('s.g_col')}] "
+        f"WHEN 'group_agg' THEN [{name('s.g_col')}, s.h_agg || ' ( ' || {name('s.h_col')} || ' )'] "
+        f"ELSE list_transform(s.s_cols, lambda c: s.header[c + 1]) END"
+    )
+    typ = (
+        "CASE WHEN s.s_kind IN ('calc', 'agg') THEN ['INT'] WHEN s.s_kind = 'group' THEN ['TEXT'] "
+        "WHEN s.s_kind = 'group_agg' THEN ['TEXT', 'INT'] ELSE list_transform(s.s_cols, lambda c: s.types[c + 1]) END"
+    )
+    pad = "CASE WHEN m.ty[j + 1] = 'INT' THEN lpad({v}, CAST(m.w[j + 1] AS INTEGER), ' ') ELSE rpad({v}, CAST(m.w[j + 1] AS INTEGER), ' ') END"
+    row = lambda v: "'| ' || array_to_string(list_transform(range(0, len(m.hd)), lambda j: " + pad.format(v=v) + "), ' | ') || ' |'"
+    sep = (
+        "'|' || array_to_string(list_transform(range(0, len(m.hd)), lambda j: CASE WHEN m.ty[j + 1] = 'INT' "
+        "THEN repeat('-', CAST(m.w[j + 1] AS INTEGER) + 1) || ':' ELSE ':' || repeat('-', CAST(m.w[j + 1] AS INTEGER) + 1) END), '|') || '|'"
+    )
+    return f""", am AS (SELECT s.table_id, s.query_no, {hdr} AS hd, {typ} AS ty FROM specs s),
+    ar AS (SELECT table_id, query_no, row_number() OVER (PARTITION BY table_id, query_no
+                  ORDER BY coalesce(ord_i, 0), coalesce(ord_s, '')) - 1 AS ri,
+                  list_transform(vals, lambda v: coalesce(v, 'None')) AS cells FROM answer_rows),
+    cw2 AS (SELECT ar.table_id, ar.query_no, j, max(length(ar.cells[j + 1])) AS w
+            FROM ar JOIN am USING (table_id, query_no), range(0, 10) AS t(j) WHERE j < len(am.hd) GROUP BY ar.table_id, ar.query_no, j),
+    cwl2 AS (SELECT table_id, query_no, list(w ORDER BY j) AS cw FROM cw2 GROUP BY table_id, query_no),
+    m AS (SELECT am.*, list_transform(range(0, len(am.hd)), lambda j: greatest(length(am.hd[j + 1]) + 2, coalesce(c.cw[j + 1], 0))) AS w
+          FROM am LEFT JOIN cwl2 c USING (table_id, query_no)),
+    body AS (SELECT ar.table_id, ar.query_no, string_agg({row('ar.cells[j + 1]')}, chr(10) ORDER BY ar.ri) AS body
+             FROM ar JOIN m USING (table_id, query_no) GROUP BY ar.table_id, ar.query_no)
+    SELECT m.table_id, m.query_no, 0 AS chunk,
+           CASE WHEN b.body IS NULL THEN 'None Table'
+                ELSE {row('m.hd[j + 1]')} || chr(10) || {sep} || chr(10) || b.body END AS text
+    FROM m LEFT JOIN body b USING (table_id, query_no)"""
+
+
+@query("exec_answer_table", DB.exec_sql(DB.ORDERS_BY_CUSTOMER, OBC, _d_answer_tables()))
 def exec_answer_table(spark, sf_dir):
     """Answers of the customer-table specs as markdown tables."""
     sp = shared.specs(spark, sf_dir, "customer", OBC)
