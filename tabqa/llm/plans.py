@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabqa.llm import decontam, mixing, token_count
+from tabqa.llm import decontam, minhash, mixing, token_count
 from tabqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(table(spark, sf_dir, "documents"), minhash.NearDupParams())
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_docs", "kept")
