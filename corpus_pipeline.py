@@ -9,11 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabqa.llm import decontam, mixing
+from tabqa.llm import decontam, minhash, mixing, toxicity
 from tabqa.llm.common import table
 from tabqa.session import pin
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject (operator 5); it learns from the labels that are not held out."""
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, keep=True)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies, that with the smallest id (operator 10)."""
+    return minhash.deduplicate(docs)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten-word window with a benchmark item (operator 9)."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -24,7 +35,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("decontaminate", drop_benchmark), ("mix", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_benchmark),
+    ("mix", mix_sources),
+]
 
 #: The toxicity scores of the first stage come from a fitted model, which SQL cannot express.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabqa.llm import decontam, minhash, mixing, token_count
+from tabqa.llm import decontam, minhash, mixing, token_count, toxicity
 from tabqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.MixParams())
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, toxicity.learnable(labels))
+    out = toxicity.score(docs, model)
+    return out.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", "predicted", "near", "cosines")
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.TokenParams(tokenizer_path("word_bpe_49k.json")))
