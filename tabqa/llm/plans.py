@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabqa.llm import chat, decontam, minhash, mixing, token_count, toxicity
+from tabqa.llm import chat, decontam, html_extract, minhash, mixing, token_count, toxicity, warc
 from tabqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = html_extract.main_text(pages, html_extract.fit(pages))
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query()
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = warc.new_folder(spark)
+    manifest = warc.write(table(spark, sf_dir, "pages"), base)
+    return warc.read(manifest, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
