@@ -14,10 +14,10 @@ The signatures are banded.  Copies of a text are one node from the start.  A buc
 (band and value) with several nodes picks as its centre the node that shares most
 buckets, and every member is compared with the centre; exact similarities of the
 shingle sets decide.  Links merge into classes.  Rounds go on over buckets that
-still hold nodes of several classes: first with another centre for what no centre
-of the bucket has taken in, in the end with all pairs of members of different
-classes that have not been compared yet.  So a group of n near copies costs about
-n comparisons, and no candidate pair between different classes goes unseen.
+still hold nodes of several classes: first with other centres, in the end with all
+pairs of members of different classes that can be similar by their sizes and by the
+shingles that nobody shares.  So a group of n near copies costs about n comparisons,
+and no similar candidate pair between different classes goes unseen.
 
 A bucket is missed by a pair of similarity 0.8 with probability (1 - 0.8^5)^25, under
 1 in 10,000; this bound is the method's, set by ``bands`` and ``rows``.
@@ -231,6 +231,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     return x.where(F.col("_n") >= p.similarity * (F.size("_x") + F.size("_y") - F.col("_n"))).select("a", "b")
 
 
+def _remaining(open_: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
+    """Pairs ``(a, b)`` of members of different classes in a bucket that can still be similar.
+
+    A shingle that no other open node has is lost to any overlap.  With ``own`` such
+    shingles out of ``n``, a partner's size must lie in a range that shrinks with ``own``, and
+    that range is what a node is joined by, so nodes that differ too much from
+    everything else meet nobody.  The bounds are exact: no similar pair is lost.
+    """
+    s = p.similarity
+    mine = pin(open_.select("node").distinct().join(sets, "node").select("node", F.size("set").alias("n"), "set"), "neardup-mine")
+    alone = mine.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    x = mine.drop("set").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("int"))
+    x = x.withColumn("lo", F.ceil(F.col("n") * s)).withColumn("hi", F.floor((F.col("n") - F.col("own")) / s - F.col("own") + 1e-6)).where("lo <= hi and n > 0")
+    x = pin(open_.join(x, "node").select("bucket", "node", "label", "n", "own", "lo", "hi"), "neardup-bounds")
+    cell = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(1.03))).cast("int")
+    probe = x.select("*", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
+    other = x.select("bucket", *[F.col(c).alias(c + "2") for c in ("node", "label", "n", "own", "lo", "hi")], cell("n").alias("cell"))
+    most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
+    able = (F.col("n2").between(F.col("lo"), F.col("hi"))) & (F.col("n").between(F.col("lo2"), F.col("hi2"))) & (most >= s * (F.col("n") + F.col("n2") - most) - 1e-6)
+    # Found from the side with more shingles of its own, whose range is the narrower.
+    first = (F.col("own") > F.col("own2")) | ((F.col("own") == F.col("own2")) & (F.col("node") < F.col("node2")))
+    both = probe.join(other, (probe["bucket"] == other["bucket"]) & (probe["cell"] == other["cell"]) & (F.col("label") != F.col("label2")) & able & first)
+    return both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
 def classes(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, node, class_id, class_docs, kept`` for every row; ``kept`` marks the rows of the document that names the class."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -262,8 +288,7 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "
             centre = open_.groupBy("bucket").agg(F.max(F.struct(by.alias("by"), F.col("rank"), F.col("node"), F.col("label"))).alias("c"))
             pairs = open_.join(centre, "bucket").where("label != c.label").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
         else:
-            other = open_.select("bucket", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = open_.join(other, "bucket").where("label < label2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+            pairs = _remaining(open_, sets, p)
         pairs = pairs.distinct()
         pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
