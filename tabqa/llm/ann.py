@@ -43,15 +43,15 @@ ship(__name__)
 @dataclass(frozen=True)
 class AnnParams:
     top: int = 5
-    k: int = 20  # neighbours of a node in the graph
-    forest: int = 6
-    leaf: int = 1024
-    sample: int = 10  # of each kind of neighbour joined in an iteration
+    k: int = 30  # neighbours of a node in the graph
+    forest: int = 12
+    leaf: int = 2048
+    sample: int = 15  # of each kind of neighbour joined in an iteration
     max_iterations: int = 6
     least_change: float = 0.03  # share of edges that still changes when iterations end
-    beam: int = 16
+    beam: int = 40
     max_rounds: int = 4
-    rescore: int = 32  # candidates scored in double
+    rescore: int = 40  # candidates scored in double
     seed: int = 7
 
 

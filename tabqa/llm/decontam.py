@@ -117,11 +117,10 @@ def scan(docs: DataFrame, bench: DataFrame, p: DecontamParams = DecontamParams()
 
 def cut_spans(text: Column, spans: Column) -> Column:
     """The text without the words of ``spans`` and what follows each of them up to the next word."""
-    words, gaps = r"[0-9a-zA-Z\x{80}-\x{10FFFF}]+", r"[^0-9a-zA-Z\x{80}-\x{10FFFF}]*"
-    parts = F.regexp_extract_all(text, F.lit(f"(^{gaps}(?={words})|{words}{gaps})"), F.lit(1))
-    # The part before the first word, if the text has one, stands where pieces() has its empty string.
-    shift = F.when(text.rlike(r"^[0-9a-zA-Z\x{80}-\x{10FFFF}]"), 1).otherwise(0)
-    return F.array_join(F.filter(parts, lambda part, i: ~F.exists(spans, lambda s: (i - shift >= s["start"]) & (i - shift < s["end"]))), "")
+    word, gap = r"[0-9a-zA-Z\x{80}-\x{10FFFF}]", r"[^0-9a-zA-Z\x{80}-\x{10FFFF}]"
+    # What stands before the first word is a part of its own, where pieces() has its empty string.
+    parts = F.regexp_extract_all(text, F.lit(f"(^{gap}+|{word}+{gap}*)"), F.lit(1))
+    return F.array_join(F.filter(parts, lambda part, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"]))), "")
 
 
 def clean(docs: DataFrame, bench: DataFrame, p: DecontamParams = DecontamParams(), mode: str = "drop", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
