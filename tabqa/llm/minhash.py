@@ -12,11 +12,12 @@ document however long it is; a document with an empty coordinate throws further.
 
 The signatures are banded.  Copies of a text are one node from the start.  A bucket
 (band and value) with several nodes picks as its centre the node that shares most
-buckets, and every member is compared with the centre; exact similarities of the
-shingle sets decide.  Links merge into classes.  Rounds go on over buckets that
-still hold nodes of several classes: first with other centres, in the end with all
-pairs of members of different classes that can be similar by their sizes and by the
-shingles that nobody shares.  So a group of n near copies costs about n comparisons,
+buckets, and members are compared with the centres that they share most buckets
+with; exact similarities of the shingle sets decide.  Links merge into classes.
+Rounds go on over buckets that still hold nodes of several classes: first with other
+centres, in the end with all pairs of members of different classes that have not been
+compared.  Pairs that cannot be similar by their sizes and by the shingles that
+nobody shares are not formed.  So a group of n near copies costs about n comparisons,
 and no similar candidate pair between different classes goes unseen.
 
 A bucket is missed by a pair of similarity 0.8 with probability (1 - 0.8^5)^25, under
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabqa.llm.common import ship
@@ -53,6 +54,7 @@ class NearDupParams:
     rows: int = 5
     weights: str = "set"  # or "count"
     centre_rounds: int = 3  # rounds with one centre a bucket before the remaining pairs
+    centres: int = 2  # centres that a node is compared with in a round
     slice_words: int = 150_000  # words sketched at once by a task
     memo_words: int = 500_000  # word hashes remembered by a task
 
@@ -231,30 +233,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     return x.where(F.col("_n") >= p.similarity * (F.size("_x") + F.size("_y") - F.col("_n"))).select("a", "b")
 
 
-def _remaining(open_: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """Pairs ``(a, b)`` of members of different classes in a bucket that can still be similar.
+def _bounds(sets: DataFrame, p: NearDupParams) -> DataFrame:
+    """``node, n, own, lo, hi``: what sizes a similar text can have.
 
-    A shingle that no other open node has is lost to any overlap.  With ``own`` such
-    shingles out of ``n``, a partner's size must lie in a range that shrinks with ``own``, and
-    that range is what a node is joined by, so nodes that differ too much from
-    everything else meet nobody.  The bounds are exact: no similar pair is lost.
+    Of the ``n`` shingles of a node, ``own`` are in no other candidate's set and so are
+    lost to any overlap; a similar text's size lies in [lo, hi].  Nodes that nothing
+    can be similar to are left out.  The bounds are exact: no similar pair is lost.
     """
     s = p.similarity
-    mine = pin(open_.select("node").distinct().join(sets, "node").select("node", F.size("set").alias("n"), "set"), "neardup-mine")
-    alone = mine.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = sets.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
     own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    x = mine.drop("set").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("int"))
-    x = x.withColumn("lo", F.ceil(F.col("n") * s)).withColumn("hi", F.floor((F.col("n") - F.col("own")) / s - F.col("own") + 1e-6)).where("lo <= hi and n > 0")
-    x = pin(open_.join(x, "node").select("bucket", "node", "label", "n", "own", "lo", "hi"), "neardup-bounds")
+    x = sets.select("node", F.size("set").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("int"))
+    x = x.withColumn("lo", F.ceil(F.col("n") * s - 1e-6)).withColumn("hi", F.floor((F.col("n") - F.col("own")) / s - F.col("own") + 1e-6))
+    return x.where("lo <= hi and n > 0")
+
+
+def _able(a: str, b: str, s: float) -> Column:
+    """Whether two nodes (structs of bounds) can be that similar, by their sizes and the shingles that only one has."""
+    of = lambda x, f: F.col(f"{x}.{f}")
+    most = F.least(of(a, "n") - of(a, "own"), of(b, "n") - of(b, "own"))
+    fits = of(b, "n").between(of(a, "lo"), of(a, "hi")) & of(a, "n").between(of(b, "lo"), of(b, "hi"))
+    return fits & (most >= s * (of(a, "n") + of(b, "n") - most) - 1e-6)
+
+
+def _with_centre(open_: DataFrame, turn: int, p: NearDupParams) -> DataFrame:
+    """Pairs ``(a, b)`` of a node and a centre of its buckets.
+
+    The centre of a bucket is its member of the highest rank, in later rounds one by
+    a hashed order of its own.  A node meets the ``centres`` ones that it shares
+    most buckets with; others are left to later rounds.
+    """
+    by = F.col("rank") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "label")
+    centre = open_.groupBy("bucket").agg(F.max(F.struct(by.alias("by"), "rank", "node", "label", F.col("me").alias("other"))).alias("c"))
+    met = open_.join(centre, "bucket").select("node", "me", "label", "c.other", F.col("c.label").alias("label2"), F.col("c.rank").alias("rank2"), F.col("c.node").alias("node2"))
+    met = met.where(F.col("label") != F.col("label2")).where(_able("me", "other", p.similarity))
+    met = met.groupBy("node", "node2").agg(F.count(F.lit(1)).alias("shared"), F.max("rank2").alias("rank2"))
+    nearest = Window.partitionBy("node").orderBy(F.desc("shared"), F.desc("rank2"), "node2")
+    met = met.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= p.centres)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def _remaining(open_: DataFrame, p: NearDupParams) -> DataFrame:
+    """All pairs ``(a, b)`` of members of different classes in a bucket that can be similar.
+
+    A node is joined by the sizes that it can be similar to, from the side with more
+    shingles of its own, whose range is the narrower; so nodes that differ too much
+    from everything else meet nobody.
+    """
     cell = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(1.03))).cast("int")
-    probe = x.select("*", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
-    other = x.select("bucket", *[F.col(c).alias(c + "2") for c in ("node", "label", "n", "own", "lo", "hi")], cell("n").alias("cell"))
-    most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
-    able = (F.col("n2").between(F.col("lo"), F.col("hi"))) & (F.col("n").between(F.col("lo2"), F.col("hi2"))) & (most >= s * (F.col("n") + F.col("n2") - most) - 1e-6)
-    # Found from the side with more shingles of its own, whose range is the narrower.
-    first = (F.col("own") > F.col("own2")) | ((F.col("own") == F.col("own2")) & (F.col("node") < F.col("node2")))
-    both = probe.join(other, (probe["bucket"] == other["bucket"]) & (probe["cell"] == other["cell"]) & (F.col("label") != F.col("label2")) & able & first)
-    return both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    probe = open_.select("bucket", "node", "label", "me", F.explode(F.sequence(cell("me.lo"), cell("me.hi"))).alias("cell"))
+    other = open_.select("bucket", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("me").alias("other"), cell("me.n").alias("cell"))
+    more = F.col("me.own") > F.col("other.own")
+    first = more | ((F.col("me.own") == F.col("other.own")) & (F.col("node") < F.col("node2")))
+    on = (probe["bucket"] == other["bucket"]) & (probe["cell"] == other["cell"]) & (F.col("label") != F.col("label2")) & first & _able("me", "other", p.similarity)
+    return probe.join(other, on).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def classes(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,6 +305,8 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "
     wanted = rank.join(nodes, "node").select("node", F.col("first.id").alias("_id"))
     sets = named.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     sets = pin(shingle_sets(sets, p).dropDuplicates(["node"]), "neardup-sets")
+    me = F.struct("n", "own", "lo", "hi").alias("me")
+    members = pin(members.join(_bounds(sets, p), "node").select("bucket", "node", "rank", me), "neardup-bounded")
 
     links, tried, labels = None, None, None
     for turn in range(p.centre_rounds + 1):
@@ -282,14 +316,7 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "
             open_ = pin(labelled.join(mixed, "bucket"), "neardup-open")
         else:
             open_ = members.withColumn("label", F.col("node"))
-        if turn < p.centre_rounds:
-            # Another centre each round: by rank first, then in a hashed order of its own.
-            by = F.col("rank") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "label")
-            centre = open_.groupBy("bucket").agg(F.max(F.struct(by.alias("by"), F.col("rank"), F.col("node"), F.col("label"))).alias("c"))
-            pairs = open_.join(centre, "bucket").where("label != c.label").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-        else:
-            pairs = _remaining(open_, sets, p)
-        pairs = pairs.distinct()
+        pairs = (_with_centre(open_, turn, p) if turn < p.centre_rounds else _remaining(open_, p)).distinct()
         pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         fresh = pin(_verified(pairs, sets, p), "neardup-links")
