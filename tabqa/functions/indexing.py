@@ -52,10 +52,10 @@ def row_index(
     n_hot = hot.count()  # a count, not data: bounded by total_rows / hot_rows
     w = Window.partitionBy(*group).orderBy(*_order_cols(order))
     if n_hot == 0:
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
 
     hot_side = F.broadcast(hot) if n_hot <= BROADCAST_GROUPS else hot
-    cold = df.join(hot_side, group, "left_anti").withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    cold = df.join(hot_side, group, "left_anti").withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     hot_rows_df = df.join(hot_side, group, "left_semi")
     parts = partitions or max(spark.sparkContext.defaultParallelism, 2 * n_hot)
     return cold.unionByName(_hot_index(hot_rows_df, group, order, out, parts))
@@ -82,4 +82,4 @@ def _hot_index(df: DataFrame, group: list[str], order, out: str, partitions: int
     ).select(*group, "__pid", "__first", "__off")
     # One row per (group, task): bounded by the number of tasks plus groups.
     j = s.join(F.broadcast(offs), [*group, "__pid"])
-    return j.select(*cols, (F.col("__off") + F.col("__mid") - F.col("__first")).cast("int").alias(out))
+    return j.select(*cols, (F.col("__off") + F.col("__mid") - F.col("__first")).cast("bigint").alias(out))

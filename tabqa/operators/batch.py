@@ -12,9 +12,13 @@ Scale notes
   tasks instead of one.
 * Every aggregate is algebraic (count/sum/min/max/min_by/bool_and), so the
   shuffle after the join carries partial aggregates, not rows.
-* Answer strings need the answer rows in order; they are assembled only
-  for answers of at most ``max_answer_rows`` rows (counted first, with a
-  partial aggregate).  All answer rows stay available in ``answer_rows``.
+* Rows are joined to specs once per mode (plain rows, top row, aggregates).
+  Only plain row answers move their rows, and those rows are the result.
+* Answers of every size have one shape: ordered parts.  A part holds the
+  answer rows of one range of ``PART_ROWS`` table rows (or of so many groups),
+  so no answer meets in one task and none is cut short.  Facts that rules
+  need (size, first value, whether a 0 or 1 is listed) are aggregates over
+  the parts, never over a list.
 """
 
 from __future__ import annotations
@@ -24,17 +28,44 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabqa.functions.indexing import row_index
 from tabqa.session import pin
 
 SALT_ROWS = 1_000_000
-MAX_ANSWER_ROWS = 100_000
-BROADCAST_SPECS = 500_000
+PART_ROWS = 10_000
+BROADCAST_BYTES = 64 << 20
+SPEC_BYTES = 600  # about what a spec takes in a broadcast table
+TABLE_BYTES = 40
 
 
 @dataclass
 class Answers:
-    answers: DataFrame  # one row per spec
-    answer_rows: DataFrame  # every answer row of every spec
+    answers: DataFrame  # one row per spec: sizes, first value, facts for the rules
+    parts: DataFrame  # the answer rows of every spec, in ordered parts
+
+    @property
+    def answer_rows(self) -> DataFrame:
+        """Every answer row of every spec."""
+        return self.parts.select(*SPEC_KEY, F.explode("rows").alias("r")).select(*SPEC_KEY, "r.ord_i", "r.ord_s", "r.vals", "r.tup")
+
+    def texts(self) -> DataFrame:
+        """One row per spec and part with the part's text (J6): '' / first cell / ', '-joined values / joined tuples.
+
+        Parts are numbered by their ranges; the only part of an answer is part 0.
+        """
+        x = self.answers.join(self.parts, SPEC_KEY, "left").withColumn("part", F.when(F.col("n_parts") > 1, F.col("part")).otherwise(F.lit(0)).cast("bigint"))
+        first = F.transform("rows", lambda r: F.coalesce(F.try_element_at(r["vals"], F.lit(1)), F.lit("None")))
+        answer = (
+            F.when(F.col("n_ans_rows") == 0, F.lit(""))
+            .when(F.col("n_ans_rows") == 1, F.col("first_value"))
+            .when(F.col("n_ans_cols") > 1, F.array_join(F.transform("rows", lambda r: r["tup"]), ", "))
+            .otherwise(F.array_join(first, ", "))
+        )
+        return x.select("*", answer.alias("answer"), F.coalesce(first, F.array().cast("array<string>")).alias("answer_list")).drop("rows")
+
+    def whole(self) -> DataFrame:
+        """``table_id, query_no, answer`` of the answers that are one part: the budget of consumers that need one text."""
+        return self.texts().where(F.col("n_parts") <= 1).select(*SPEC_KEY, "answer")
 
 
 def _cell(i: Column) -> Column:
@@ -75,7 +106,6 @@ def where_ok() -> Column:
 
 
 WORK_PER_TASK = 2_000_000  # row x spec evaluations per join task
-MAX_JOIN_PARTITIONS = 20_000
 
 
 def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
@@ -93,24 +123,24 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
         F.lit(1),
         F.ceil(F.col("__n") * F.col("__k") / F.lit(WORK_PER_TASK)),
         F.ceil(F.col("__n") / F.lit(salt_rows)),
-    ).cast("int")
+    ).cast("bigint")
     per_table = per_table.select("table_id", n_salt.alias("__s"), (F.col("__n") * F.col("__k")).alias("__w"), "__k")
     stats = per_table.agg(
-        F.count(F.lit(1)).alias("t"), F.sum("__s").alias("s"), F.sum("__w").alias("w"), F.sum("__k").alias("k")
+        F.count(F.lit(1)).alias("t"), F.sum("__s").alias("s"), F.sum("__w").alias("w"), F.sum(F.col("__k") * F.col("__s")).alias("r")
     ).first()  # four scalars, one job
-    n_tables, n_salts, work, n_specs = (stats["t"] or 0), (stats["s"] or 0), (stats["w"] or 0), (stats["k"] or 0)
+    n_tables, n_salts, work, replicated = (stats["t"] or 0), (stats["s"] or 0), (stats["w"] or 0), (stats["r"] or 0)
     per_table = per_table.drop("__w", "__k")
-    pt = F.broadcast(per_table) if n_tables <= BROADCAST_SPECS else per_table
+    pt = F.broadcast(per_table) if n_tables * TABLE_BYTES <= BROADCAST_BYTES else per_table
     # partitions follow the expansion work, not the number of tables
-    parts = max(spark.sparkContext.defaultParallelism, min(-(-int(work) // WORK_PER_TASK), MAX_JOIN_PARTITIONS), 1)
-    r = rows.join(pt, "table_id").withColumn("salt", F.pmod(F.col("row_idx"), F.col("__s")).cast("int")).drop("__s")
+    parts = max(spark.sparkContext.defaultParallelism, -(-int(work) // WORK_PER_TASK), 1)
+    r = rows.join(pt, "table_id").withColumn("salt", F.pmod(F.col("row_idx"), F.col("__s"))).drop("__s")
     # Regroup rows only when some table is split or the input is too coarse for
     # the work; otherwise the (broadcast) join runs on the input partitions.
     if n_salts > n_tables or rows.rdd.getNumPartitions() < parts:
         r = r.repartition(parts, "table_id", "salt")
     sp = specs.join(pt, "table_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__s") - 1))).drop("__s")
     sp = sp.withColumnRenamed("table_id", "__tid").withColumnRenamed("salt", "__salt")
-    sp = F.broadcast(sp) if n_specs * max(1, n_salts // max(n_tables, 1)) <= BROADCAST_SPECS else sp
+    sp = F.broadcast(sp) if replicated * SPEC_BYTES <= BROADCAST_BYTES else sp
     # WHERE is part of the join condition: it is tested on the joined-row view,
     # so only matching (row, spec) pairs are materialised.
     cond = (F.col("table_id") == F.col("__tid")) & (F.col("salt") == F.col("__salt")) & where_ok()
@@ -126,15 +156,32 @@ EXEC_COLS = [
 SPEC_KEY = ["table_id", "query_no"]
 
 
-def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_answer_rows: int = MAX_ANSWER_ROWS) -> Answers:
+def _top_key(value: Column, desc: Column) -> Column:
+    """Place of a row by an ORDER column as one decimal, smallest first: NULL is below every number."""
+    v = value.cast("decimal(20,0)")
+    return F.when(desc, F.coalesce(-v, F.lit("9300000000000000000").cast("decimal(20,0)"))).otherwise(
+        F.coalesce(v, F.lit("-9300000000000000000").cast("decimal(20,0)"))
+    )
+
+
+ROW_LIMIT = 10**15  # row numbers are below it
+
+
+def _part(rows: Column, part: Column) -> list[Column]:
+    return [*[F.col(k) for k in SPEC_KEY], part.cast("bigint").alias("part"), rows.alias("rows")]
+
+
+def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_rows: int = PART_ROWS) -> Answers:
     """Answer every spec.
 
-    Specs are split by mode before the join so each rows x specs expansion
+    Specs are split by mode before the join, so each rows x specs expansion
     is computed once, for the specs that need it:
-    * row mode (no group, no aggregate): matched rows are the answer rows,
-      projected and written once; ORDER BY ... LIMIT 1 keeps one per spec;
-    * aggregate mode (global or grouped): one aggregation keyed by
-      (spec, group value) with fixed-width buffers (HashAggregate, partial).
+    * plain rows (no group, no aggregate): matched rows are the answer, written
+      once, in parts;
+    * top row (``ORDER BY ... LIMIT 1`` over rows): one partial minimum per spec of
+      (ORDER value, row number), then a lookup of that row;
+    * aggregates (global or grouped): one aggregation keyed by (spec, group
+      value) with fixed-width buffers (HashAggregate, partial).
     """
     sp = specs.select(*EXEC_COLS)
     is_row = F.col("g_col").isNull() & F.col("s_kind").isin("cols", "calc")
@@ -142,39 +189,35 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
     s2 = F.try_element_at(F.col("s_cols"), F.lit(2))
     calc = F.when(F.col("s_op") == "+", _num(s1) + _num(s2)).otherwise(_num(s1) - _num(s2))
-
-    # ---- row mode
-    # Count matches per spec first (partial aggregate, nothing materialised);
-    # only specs whose answer fits an answer string, or that keep one row
-    # (ORDER BY ... LIMIT 1), are expanded again for their values.
-    row_specs = sp.where(is_row)
-    xr_all = _join_specs(rows, row_specs, salt_rows)
-    n_match = xr_all.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected"))
-    n_match = pin(n_match, "row-counts")
-    small = n_match.where(F.col("n_selected") <= max_answer_rows).select(*SPEC_KEY)
-    wanted = row_specs.join(small, SPEC_KEY, "left_semi").unionByName(row_specs.where(F.col("o_kind") == "col")).distinct()
     quoted = F.transform(
         F.col("s_cols"),
-        lambda i: F.when(F.try_element_at(F.col("types"), i + 1) == "INT", _cell(i)).otherwise(
-            F.concat(F.lit("'"), _cell(i), F.lit("'"))
+        lambda i: F.coalesce(
+            F.when(F.try_element_at(F.col("types"), (i + 1).cast("int")) == "INT", _cell(i)).otherwise(F.concat(F.lit("'"), _cell(i), F.lit("'"))),
+            F.lit("None"),
         ),
     )
     row_vals = F.when(F.col("s_kind") == "calc", F.array(calc.cast("string"))).otherwise(
         F.transform(F.col("s_cols"), lambda i: _cell(i))
     )
-    okey = F.when(F.col("o_desc"), -_num(F.col("o_col"))).otherwise(_num(F.col("o_col")))
-
-    def project(x):
-        return x.select(
-            *SPEC_KEY, "o_kind",
-            F.col("row_idx").cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
-            row_vals.alias("vals"),
-            F.concat(F.lit("("), F.array_join(quoted, ", "), F.lit(")")).alias("tup"),
-            okey.alias("okey"),
-        )
+    answer_row = F.struct(
+        F.col("row_idx").cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
+        row_vals.alias("vals"), F.concat(F.lit("("), F.array_join(quoted, ", "), F.lit(")")).alias("tup"),
+    )
 
-    rr_all = project(xr_all)  # every answer row, lazily (never pinned whole)
-    rr = pin(project(_join_specs(rows, wanted, salt_rows)), "answer-rows")
+    # ---- plain rows
+    xp = _join_specs(rows, sp.where(is_row & (F.col("o_kind") != "col")), salt_rows)
+    plain = xp.select(*SPEC_KEY, F.floor(F.col("row_idx") / part_rows).alias("part"), answer_row.alias("r"))
+    plain = plain.groupBy(*SPEC_KEY, "part").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    plain = plain.select(*_part(F.col("rows"), F.col("part")))
+
+    # ---- top row
+    xt = _join_specs(rows, sp.where(is_row & (F.col("o_kind") == "col")), salt_rows)
+    place = _top_key(_num(F.col("o_col")), F.col("o_desc")) * F.lit(ROW_LIMIT).cast("decimal(16,0)") + F.col("row_idx").cast("decimal(15,0)")
+    best = pin(
+        xt.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected"), F.min(place.cast("decimal(38,0)")).alias("place")), "answer-top"
+    )
+    at = best.join(sp, SPEC_KEY).withColumn("row_idx", F.pmod(F.col("place"), F.lit(ROW_LIMIT).cast("decimal(38,0)")).cast("bigint"))
+    top = at.join(rows, ["table_id", "row_idx"]).select(*_part(F.array(answer_row), F.lit(0)))
 
     # ---- aggregate mode
     xa = _join_specs(rows, sp.where(~is_row), salt_rows)
@@ -215,7 +258,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
         .when(F.col("s_kind") == "agg", F.array(s_val))
         .otherwise(F.array(F.col("calc_first").cast("string"))).alias("vals"),
         F.concat(F.lit("('"), F.col("gk"), F.lit("', "), h_val.cast("string"), F.lit(")")).alias("tup"),
-        F.when(F.col("o_desc"), -h_val).otherwise(h_val).alias("okey"),
+        h_val.alias("okey"), "o_desc",
     )
     # Global aggregates answer one row even over no rows: left join from the specs.
     gspec = sp.where(F.col("g_col").isNull() & (F.col("s_kind") == "agg")).select(*SPEC_KEY, "s_agg")
@@ -226,74 +269,43 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, max_a
         F.array(s_val).alias("vals"), F.lit(None).cast("string").alias("tup"),
     )
 
-    both = rr.unionByName(grp_out)
-    top_kind = F.col("o_kind").isin("col", "agg")
-    plain = both.where(~top_kind).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
-    plain_all = rr_all.where(~top_kind).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup").unionByName(
-        grp_out.where(~top_kind).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
-    )
-    # top-1: smallest ordering value first (one partial min per spec), then the
-    # earliest row / smallest group among the rows at that value.
-    cand = both.where(top_kind)
-    best = cand.groupBy(*SPEC_KEY).agg(F.min("okey").alias("__b"))
-    at_best = cand.join(best, SPEC_KEY).where(F.col("okey").eqNullSafe(F.col("__b")))
-    first = at_best.groupBy(*SPEC_KEY).agg(F.min("ord_i").alias("__i"), F.min("ord_s").alias("__s"))
-    top = at_best.join(first, SPEC_KEY).where(
-        F.col("ord_i").eqNullSafe(F.col("__i")) & F.col("ord_s").eqNullSafe(F.col("__s"))
-    ).select(*SPEC_KEY, "ord_i", "ord_s", "vals", "tup")
-    answer_rows = plain.unionByName(top).unionByName(gl)
-    selected = n_match.unionByName(g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected")))
-    return Answers(
-        answer_strings(specs, answer_rows, selected, max_answer_rows, rows_counts=_row_counts(n_match, row_specs)),
-        plain_all.unionByName(top).unionByName(gl),
-    )
-
+    # Of the groups a spec orders, the first by (NULL below every number, value, group).
+    group_row = F.struct("ord_i", "ord_s", "vals", "tup")
+    is_top = F.col("o_kind") == "agg"
+    by = F.struct(_top_key(F.col("okey"), F.col("o_desc")).alias("k"), "ord_s", group_row.alias("r"))
+    top_group = grp_out.where(is_top).groupBy(*SPEC_KEY).agg(F.min(by).alias("m")).select(*_part(F.array("m.r"), F.lit(0)))
+    listed = row_index(grp_out.where(~is_top), SPEC_KEY, ["ord_s"])
+    listed = listed.groupBy(*SPEC_KEY, F.floor(F.col("row_idx") / part_rows).alias("part")).agg(F.sort_array(F.collect_list(group_row)).alias("rows"))
+    listed = listed.select(*_part(F.col("rows"), F.col("part")))
+    single = gl.select(*_part(F.array(group_row), F.lit(0)))
 
-def _row_counts(n_match: DataFrame, row_specs: DataFrame) -> DataFrame:
-    """Answer size of row-mode specs without ORDER: every matched row is an answer row."""
-    cols = row_specs.select(*SPEC_KEY, F.when(F.col("s_kind") == "calc", F.lit(1)).otherwise(F.size("s_cols")).alias("n_ans_cols"), "o_kind")
-    return n_match.join(cols.where(F.col("o_kind") != "col"), SPEC_KEY).select(
-        *SPEC_KEY, F.col("n_selected").alias("n_ans_rows"), "n_ans_cols"
-    )
+    parts = pin(plain.unionByName(top).unionByName(top_group).unionByName(listed).unionByName(single), "answer-parts")
+    grouped = g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected"))
+    return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected").unionByName(grouped)), parts)
 
 
-def answer_strings(specs: DataFrame, answer_rows: DataFrame, selected: DataFrame, max_answer_rows: int,
-                   rows_counts: DataFrame | None = None) -> DataFrame:
-    """One answer string per spec (J6): '' / first cell / ', '-joined values / joined tuples.
+def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row per spec with what rules and texts need to know of its answer.
 
-    ``answer_rows`` holds the rows of answers small enough for a string;
-    ``rows_counts`` gives the size of every row-mode answer (also the large
-    ones, whose rows are not expanded here).
+    ``selected`` has the matched rows of specs that keep fewer; of the others every
+    matched row is an answer row.
     """
-    counts = answer_rows.groupBy(*SPEC_KEY).agg(
-        F.count(F.lit(1)).alias("n_ans_rows"), F.max(F.size("vals")).alias("n_ans_cols")
-    )
-    if rows_counts is not None:
-        counts = counts.join(rows_counts.select(*SPEC_KEY), SPEC_KEY, "left_anti").unionByName(rows_counts)
-    small = counts.where(F.col("n_ans_rows") <= max_answer_rows).select(*SPEC_KEY)
-    lists = answer_rows.join(small, SPEC_KEY, "left_semi").groupBy(*SPEC_KEY).agg(
-        F.array_sort(F.collect_list(F.struct("ord_i", "ord_s", F.try_element_at(F.col("vals"), F.lit(1)).alias("first"), "tup"))).alias("l")
-    )
-    first_vals = F.transform(F.col("l"), lambda s: F.coalesce(s["first"], F.lit("None")))
-    tups = F.transform(F.col("l"), lambda s: s["tup"])
-    answer = (
-        F.when(F.size("l") == 1, F.try_element_at(F.col("l"), F.lit(1))["first"])
-        .when(F.col("n_ans_cols") > 1, F.array_join(tups, ", "))
-        .otherwise(F.array_join(first_vals, ", "))
+    first = lambda r: F.try_element_at(r["vals"], F.lit(1))
+    one = parts.select(
+        *SPEC_KEY, "part", F.size("rows").alias("n"), F.size(F.try_element_at("rows", F.lit(1))["vals"]).alias("c"),
+        F.exists("rows", lambda r: F.coalesce(first(r), F.lit("None")).isin("0", "1")).alias("has_01"), first(F.try_element_at("rows", F.lit(1))).alias("v"),
     )
-    base = specs.select(*SPEC_KEY, "n_rows", "sql")
-    out = (
-        base.join(counts, SPEC_KEY, "left")
-        .join(lists, SPEC_KEY, "left")
-        .join(selected, SPEC_KEY, "left")
+    found = one.groupBy(*SPEC_KEY).agg(
+        F.sum("n").alias("n_ans_rows"), F.max("c").alias("n_ans_cols"), F.count(F.lit(1)).alias("n_parts"),
+        F.bool_or("has_01").alias("has_01"), F.min_by("v", "part").alias("first_value"),
     )
-    return out.select(
-        *SPEC_KEY, "n_rows", "sql",
-        F.coalesce("n_ans_rows", F.lit(0)).alias("n_ans_rows"),
-        F.coalesce("n_ans_cols", F.lit(0)).alias("n_ans_cols"),
-        F.when(F.col("n_ans_rows").isNull(), F.lit("")).otherwise(answer).alias("answer"),
-        F.when(F.col("n_ans_rows").isNull(), F.array().cast("array<string>")).otherwise(first_vals).alias("answer_list"),
-        F.coalesce("n_selected", F.lit(0)).alias("n_selected"),
+    plain = F.col("g_col").isNull() & F.col("s_kind").isin("cols", "calc") & (F.col("o_kind") != "col")
+    x = specs.select(*SPEC_KEY, "n_rows", "sql", plain.alias("plain")).join(found, SPEC_KEY, "left").join(selected, SPEC_KEY, "left")
+    n = F.coalesce("n_ans_rows", F.lit(0))
+    return x.select(
+        *SPEC_KEY, "n_rows", "sql", n.alias("n_ans_rows"), F.coalesce("n_ans_cols", F.lit(0)).alias("n_ans_cols"),
+        F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("has_01", F.lit(False)).alias("has_01"), "first_value",
+        F.when(F.col("plain"), n).otherwise(F.coalesce("n_selected", F.lit(0))).alias("n_selected"),
     )
 
 
@@ -305,7 +317,6 @@ def answer_tables(ans: Answers, specs: DataFrame, fmt: str = "markdown") -> Data
     numbered with the skew-safe index and rendered by ``render`` (chunked
     past its row bound), so no answer passes through one task whole.
     """
-    from tabqa.functions.indexing import row_index
     from tabqa.operators import render as M
 
     name = lambda c: F.try_element_at(F.col("header"), c + 1)
@@ -324,16 +335,10 @@ def answer_tables(ans: Answers, specs: DataFrame, fmt: str = "markdown") -> Data
         .when(F.col("s_kind") == "group_agg", F.array(F.lit("TEXT"), F.lit("INT")))
         .otherwise(F.transform("s_cols", lambda c: F.try_element_at(F.col("types"), c + 1)))
     )
-    pid = (F.col("table_id") * 4096 + F.col("query_no")).cast("bigint")
-    meta0 = specs.select(pid.alias("table_id"), F.col("table_id").alias("src"), "query_no", hdr.alias("header"), typ.alias("types"))
-    r = ans.answer_rows.select(pid.alias("table_id"), F.coalesce("ord_i", F.lit(0)).alias("oi"), F.coalesce("ord_s", F.lit("")).alias("os"),
+    meta0 = specs.select("table_id", "query_no", hdr.alias("header"), typ.alias("types"))
+    r = ans.answer_rows.select("table_id", "query_no", F.coalesce("ord_i", F.lit(0)).alias("oi"), F.coalesce("ord_s", F.lit("")).alias("os"),
                                F.transform("vals", lambda v: F.coalesce(v, F.lit("None"))).alias("cells"))
-    r = row_index(r, ["table_id"], ["oi", "os"])
-    n = r.groupBy("table_id").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
-    meta = meta0.join(n, "table_id", "left").select(
-        "table_id", "src", "query_no", "header", "types", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols")
-    )
-    out = M.render(r.select("table_id", "row_idx", "cells"), meta.drop("src", "query_no"), fmt)
-    return out.join(meta.select("table_id", "src", "query_no"), "table_id").select(
-        F.col("src").alias("table_id"), "query_no", "chunk", "text"
-    )
+    r = row_index(r, SPEC_KEY, ["oi", "os"])
+    n = r.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_rows"))
+    meta = meta0.join(n, SPEC_KEY, "left").select(*SPEC_KEY, "header", "types", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols"))
+    return M.render(r.select(*SPEC_KEY, "row_idx", "cells"), meta, fmt, key=SPEC_KEY)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabqa.functions.hashing import h, hk, key, uniform_int, weighted_choice
+from tabqa.functions.hashing import h, hk, key, uniform_int, unit, weighted_choice
 from tabqa.functions.indexing import row_index
 from tabqa.sources.corpus import DATE, INT, TEXT, Corpus
 
@@ -72,23 +72,23 @@ def preset(name: str, **overrides) -> Shape:
 # ---------------------------------------------------------------- cells
 
 
-def _bits60(k: Column) -> Column:
-    return F.conv(F.substring(F.md5(k), 1, 15), 16, 10).cast("bigint")
+# The digits of ``conv`` in base 26 and the letters they stand for.
+_DIGITS, _LETTERS = "0123456789ABCDEFGHIJKLMNOP", "abcdefghijklmnopqrstuvwxyz"
 
 
-_POW26 = [26**i for i in range(9)]
+def word(k: Column) -> Column:
+    """4-9 lowercase letters from one MD5 (B8): 60 bits read as base-26 digits, lowest first.
+
+    The digest is bound once (one element of an array), since expressions inside
+    a higher-order function are not shared otherwise.
+    """
 
+    def spelt(d: Column) -> Column:
+        digits = F.reverse(F.translate(F.conv(F.substring(d, 1, 15), 16, 26), _DIGITS, _LETTERS))
+        n = F.lit(WORD_LEN[0]) + F.pmod(F.conv(F.substring(d, 16, 8), 16, 10).cast("bigint"), F.lit(WORD_LEN[1] - WORD_LEN[0] + 1))
+        return F.rpad(digits, 13, "a").substr(F.lit(1), n.cast("int"))
 
-def word(k: Column) -> Column:
-    """4-9 lowercase letters from one MD5 (B8): 60 bits read as base-26 digits."""
-    x = _bits60(k)
-    n = F.lit(WORD_LEN[0]) + F.pmod(F.conv(F.substring(F.md5(k), 16, 8), 16, 10).cast("bigint"), F.lit(WORD_LEN[1] - WORD_LEN[0] + 1))
-    # digit i = (x mod 26^(i+1) - x mod 26^i) / 26^i: exact, both parts stay below 2^53
-    letters = [
-        F.char(F.lit(97) + ((F.pmod(x, F.lit(p * 26)) - F.pmod(x, F.lit(p))) / F.lit(p)).cast("bigint"))
-        for p in _POW26
-    ]
-    return F.substring(F.concat(*letters), 1, 9).substr(F.lit(1), n)
+    return F.get(F.transform(F.array(F.md5(k)), spelt), F.lit(0))
 
 
 def int_cell(k: Column, big: bool = False) -> Column:
@@ -128,9 +128,7 @@ def pool_mode(seed, table_id: Column, col: Column, shape: Shape) -> Column:
 def text_cell(seed, table_id: Column, col: Column, row: Column, pool: Column) -> Column:
     """Cell of a cardinality-controlled text column (B9); the pool is never materialised."""
     slot = F.pmod(hk(seed, table_id, col, row, "slot"), F.greatest(pool, F.lit(1)))
-    return F.when(pool > 0, word(key(seed, table_id, col, "pool", slot))).otherwise(
-        word(key(seed, table_id, col, row, "cell"))
-    )
+    return word(F.when(pool > 0, key(seed, table_id, col, "pool", slot)).otherwise(key(seed, table_id, col, row, "cell")))
 
 
 # ---------------------------------------------------------------- tables
@@ -142,7 +140,7 @@ def shapes(driver: DataFrame, id_col: str, shape: Shape) -> DataFrame:
     return driver.select(tid.alias("table_id")).select(
         "table_id",
         uniform_int(key(shape.seed, F.col("table_id"), "ncols"), shape.col_min, shape.col_max).cast("int").alias("n_cols"),
-        uniform_int(key(shape.seed, F.col("table_id"), "nrows"), shape.row_min, shape.row_max).cast("int").alias("n_rows"),
+        uniform_int(key(shape.seed, F.col("table_id"), "nrows"), shape.row_min, shape.row_max).cast("bigint").alias("n_rows"),
     )
 
 
@@ -190,27 +188,46 @@ def types(shp: DataFrame, shape: Shape) -> DataFrame:
     """Column types per table.
 
     Needs at least one TEXT and one INT unless two weights are zero.  The
-    reference redraws until it holds; here attempts 0..A-1 are drawn at
-    once and the first valid one is kept (the same conditional
-    distribution); if none is valid, column 0 becomes TEXT and column 1 INT.
+    reference redraws until it holds; here attempts are drawn one after the
+    other, the first valid one is kept, and a table without any walks its
+    columns with the weights that a valid rest gives them — the same
+    conditional distribution.  One column cannot hold both types; it is drawn freely.
     """
     seed = shape.seed
     waived = sum(1 for w in shape.type_weights if w == 0) == 2
     tid = F.col("table_id")
     seq = F.sequence(F.lit(0), F.col("n_cols") - 1)
-    def drawer(a):
-        return lambda j: _type_draw(seed, tid, a, j, shape)
 
-    attempts = F.array(*[F.transform(seq, drawer(a)) for a in range(shape.type_attempts)])
+    def attempt(a):
+        return F.transform(seq, lambda j: _type_draw(seed, tid, a, j, shape))
+
     if waived:
-        chosen = F.element_at(attempts, 1)
-    else:
-        valid = F.filter(attempts, lambda t: F.array_contains(t, TEXT) & F.array_contains(t, INT))
-        fallback = F.transform(
-            seq, lambda j: F.when(j == 0, F.lit(TEXT)).when(j == 1, F.lit(INT)).otherwise(F.lit(TEXT))
-        )
-        chosen = F.coalesce(F.element_at(valid, 1), fallback)
-    return shp.select("table_id", chosen.alias("types"))
+        return shp.select("table_id", attempt(0).alias("types"))
+    valid = lambda t: F.array_contains(t, TEXT) & F.array_contains(t, INT)
+    drawn = F.coalesce(*[F.get(F.filter(F.array(attempt(a)), valid), F.lit(0)) for a in range(shape.type_attempts)], _walk(seed, tid, seq, shape))
+    return shp.select("table_id", F.when(F.col("n_cols") < 2, attempt(0)).otherwise(drawn).alias("types"))
+
+
+def _walk(seed, tid: Column, seq: Column, shape: Shape) -> Column:
+    """Types drawn column by column, each weighted by the chance that the rest makes the table valid."""
+    total = sum(shape.type_weights)
+    p_text, p_int, p_date = (w / total for w in shape.type_weights)
+
+    def chance(has_text: Column, has_int: Column, left: Column) -> Column:
+        no_text, no_int, neither = (F.pow(F.lit(1 - p_text), left), F.pow(F.lit(1 - p_int), left), F.pow(F.lit(p_date), left))
+        return F.when(has_text & has_int, 1.0).when(has_text, 1 - no_int).when(has_int, 1 - no_text).otherwise(1 - no_text - no_int + neither)
+
+    def step(a: Column, j: Column) -> Column:
+        left = F.size(seq) - 1 - j
+        text = F.lit(p_text) * chance(F.lit(True), a["i"], left)
+        number = F.lit(p_int) * chance(a["t"], F.lit(True), left)
+        date = F.lit(p_date) * chance(a["t"], a["i"], left)
+        u = unit(key(seed, tid, "type", "walk", j)) * (text + number + date)
+        pick = F.when(u < text, TEXT).when(u < text + number, INT).otherwise(DATE)
+        return F.get(F.transform(F.array(pick), lambda t: F.struct((a["t"] | (t == TEXT)).alias("t"), (a["i"] | (t == INT)).alias("i"), F.concat(a["out"], F.array(t)).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(False).alias("t"), F.lit(False).alias("i"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(seq, start, step, lambda a: a["out"])
 
 
 def table_meta(driver: DataFrame, id_col: str, shape: Shape, vocab: DataFrame | None) -> DataFrame:
@@ -237,7 +254,7 @@ def fill(meta: DataFrame, shape: Shape) -> DataFrame:
     """
     seed = shape.seed
     chunk = shape.chunk_rows
-    n_chunks = F.floor((F.col("n_rows") + chunk - 1) / chunk).cast("int")
+    n_chunks = F.floor((F.col("n_rows") + chunk - 1) / chunk).cast("bigint")
     chunks = meta.select(
         "table_id", "types", "pools", "n_rows", "n_cols",
         F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"),
@@ -259,7 +276,7 @@ def fill(meta: DataFrame, shape: Shape) -> DataFrame:
             .otherwise(text_cell(seed, tid, j, r, F.element_at(F.col("pools"), j + 1)))
         )
 
-    with_cells = rows.select("table_id", F.col("row_idx").cast("int").alias("row_idx"), "types", F.transform(idx, cell).alias("cells"))
+    with_cells = rows.select("table_id", F.col("row_idx").cast("bigint").alias("row_idx"), "types", F.transform(idx, cell).alias("cells"))
     nums = F.transform(
         F.col("cells"),
         lambda c, j: F.when(F.element_at(F.col("types"), j + 1) == INT, c.cast("bigint")),

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from tabqa.functions.hashing import hk, key, unit, weighted_choice
 
 KEY = ["table_id", "query_no"]
+# Emission weights of two- and three-level queries, and the aggregates a pair may combine.
 P_EQ_SELF = 0.4
 TEXT_OPS = (["=", "in"], [0.5, 0.6])
 
 
 def op_and_value(specs: DataFrame, answers: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
     """d1: for each accepted level-1 spec, ``select ( sub ) op value`` with its 1/0 answer."""
-    a = answers.select(*KEY, "n_ans_rows", "answer")
+    a = answers.select(*KEY, "n_ans_rows", F.col("first_value").alias("answer"))
     j = specs.join(a, KEY)
     s1 = F.element_at("s_cols", 1)
     ok = (F.col("n_ans_rows") > 0) & (F.col("n_ans_rows") != F.col("n_rows")) & F.col("answer").isNotNull() & (F.col("answer") != "None")
@@ -31,7 +32,7 @@ def op_and_value(specs: DataFrame, answers: DataFrame, rows: DataFrame, seed: in
     )
     k = lambda slot: key(seed, F.col("table_id"), F.col("query_no"), "d1", slot)
     # three sampled cells of the selected column (text '=' / 'in' values)
-    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.pmod(hk(seed, F.col("table_id"), F.col("query_no"), "d1", f"r{i}"), F.col("n_rows")).cast("int").alias("row_idx")) for i in range(3)])
+    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.pmod(hk(seed, F.col("table_id"), F.col("query_no"), "d1", f"r{i}"), F.col("n_rows")).cast("bigint").alias("row_idx")) for i in range(3)])
     need = j.select(*KEY, "scol", F.explode(slots).alias("x")).select(*KEY, "scol", "x.slot", "x.row_idx")
     cells = need.join(rows.select("table_id", "row_idx", "cells"), ["table_id", "row_idx"]).groupBy(*KEY).agg(
         *[F.max(F.when(F.col("slot") == i, F.element_at("cells", F.col("scol") + 1))).alias(f"c{i}") for i in range(3)]
@@ -62,6 +63,7 @@ def op_and_value(specs: DataFrame, answers: DataFrame, rows: DataFrame, seed: in
     return j.select(*KEY, sql.alias("sql"), F.coalesce(result, F.lit(False)).cast("int").cast("string").alias("answer"))
 
 
+# Fixed values, as above.
 PAIR_NUM_OPS = ([">", "<", "+", "-"], [0.1, 0.1, 0.35, 0.35])
 ALLOWED_AGG_SETS = [["count"], ["max"], ["min"], ["max", "min"]]
 
@@ -69,9 +71,9 @@ ALLOWED_AGG_SETS = [["count"], ["max"], ["min"], ["max", "min"]]
 def pair_ops(specs: DataFrame, answers: DataFrame, answer_rows: DataFrame, seed: int) -> DataFrame:
     """t1: ``select ( q1 ) op ( q2 )`` or ``q1 union|intersect q2`` for query pairs (2k, 2k+1)
     drawn from the same template (I8, E4, H1, H2 over corpora)."""
-    a = specs.join(answers.select(*KEY, "n_ans_rows", "answer_list"), KEY).select(
+    a = specs.join(answers.select(*KEY, "n_ans_rows", "first_value"), KEY).select(
         "table_id", (F.floor(F.col("query_no") / 2)).cast("int").alias("pair"), (F.col("query_no") % 2).alias("side"),
-        "sql", "s_kind", "s_agg", "s_cols", "ic", "n_ans_rows", F.element_at("answer_list", 1).alias("first"),
+        "sql", "s_kind", "s_agg", "s_cols", "ic", "n_ans_rows", F.col("first_value").alias("first"),
         F.col("query_no"),
     )
     q1 = a.where(F.col("side") == 0).select("table_id", "pair", *[F.col(c).alias(c + "1") for c in ["sql", "s_kind", "s_agg", "s_cols", "ic", "n_ans_rows", "first", "query_no"]])

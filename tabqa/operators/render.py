@@ -1,11 +1,16 @@
 """Tables as text.
 
-Each format is built per row (distributed), then assembled per table with
-an ordered ``collect_list``.  The assembled string is one value per table,
-so it is meant for prompt-sized tables; ``render`` assembles a table whole
-when it has at most ``max_rows`` rows and otherwise emits it in ordered
-chunks of ``max_rows`` rows, so no group grows without bound and no row is
-dropped.
+Each format is built per row (distributed), then assembled from an ordered
+``collect_list`` per part.  Tables of every size have one shape: ordered parts
+of ``PART_ROWS`` rows, so no group grows without bound and no row is dropped.
+A consumer that needs one text per table takes ``whole``, whose stated budget
+is one part.
+
+Missing cells print as the usual writers print them: empty (text) and ``nan``
+(INT) in markdown, ``None`` and ``nan`` in constructor text, ``null`` in JSON,
+``None`` in the matrix, ``None`` and ``NaN`` in HTML and tab text, empty in CSV and in
+the flattened forms.  A missing value leaves the other integers of its column
+as integers.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ def flatten_line(header: Column, cells: Column, row_idx: Column) -> Column:
 
 def table_tokens(rows: DataFrame, tables: DataFrame, counter=count_tokens) -> DataFrame:
     """Token length of each table in flatten form (B13), as a sum over lines."""
-    lines = with_meta(rows, tables).select(
+    lines = with_meta(rows, tables, cols=("header",)).select(
         "table_id", counter(flatten_line(F.col("header"), F.col("cells"), F.col("row_idx"))).alias("t")
     )
     body = lines.groupBy("table_id").agg(F.sum("t").cast("bigint").alias("body"))
@@ -51,19 +56,9 @@ def table_tokens(rows: DataFrame, tables: DataFrame, counter=count_tokens) -> Da
     )
 
 
-BROADCAST_TABLES = 2_000_000
-
-
-def with_meta(rows: DataFrame, tables: DataFrame, cols=("header", "types", "n_rows", "n_cols")) -> DataFrame:
-    """Attach per-table metadata to rows.
-
-    The metadata has one small row per table; it is broadcast when the table
-    count is within ``BROADCAST_TABLES`` (checked), else joined by shuffle
-    (AQE splits a hot table_id on the rows side).
-    """
-    meta = tables.select("table_id", *cols)
-    n = meta.count()
-    return rows.join(F.broadcast(meta) if n <= BROADCAST_TABLES else meta, "table_id")
+def with_meta(rows: DataFrame, tables: DataFrame, cols=("header", "types", "n_rows", "n_cols"), key=("table_id",)) -> DataFrame:
+    """Attach per-table metadata to rows; the planner broadcasts it if its bytes allow, else AQE splits a hot table."""
+    return rows.join(tables.select(*key, *cols), list(key))
 
 
 # ---------------------------------------------------------------- all formats
@@ -72,22 +67,65 @@ FORMATS = [
     "markdown", "markdown_index", "dfloader", "json", "matrix", "html", "csv", "tab",
     "flatten", "tapex", "flatten_norow", "col_row_line", "noenter", "markdown_one_line",
 ]
-MAX_ROWS = 100_000  # rows assembled into one string; larger tables come in ordered chunks
+PART_ROWS = 10_000  # rows of a part
 NONE_TABLE = "None Table"
+# What a missing cell prints, by format: (text, INT); JSON handles it itself.
+MISSING = {
+    "markdown": ("", "nan"), "markdown_index": ("", "nan"), "markdown_one_line": ("", "nan"), "dfloader": ("None", "nan"),
+    "matrix": ("None", "None"), "html": ("None", "NaN"), "tab": ("None", "NaN"), "csv": ("", ""),
+}
 
 
 def _is_int(types: Column, j: Column) -> Column:
     return F.try_element_at(types, j + 1) == "INT"
 
 
+def _filled(cells: Column, types: Column, fmt: str) -> Column:
+    """Cells with missing ones replaced by what the format prints."""
+    if fmt not in MISSING:
+        return cells
+    text, number = MISSING[fmt]
+    return F.transform(cells, lambda v, j: F.coalesce(v, F.when(_is_int(types, j), number).otherwise(text)))
+
+
+def _escaped(v: Column, odd: str, one) -> Column:
+    """``v`` with ``one`` applied to each character, if it has any of the class ``odd``."""
+    chars = F.filter(F.split(v, ""), lambda c: c != "")
+    return F.when(v.rlike(odd), F.array_join(F.transform(chars, one), "")).otherwise(v)
+
+
+def _hex(n: Column, width: int) -> Column:
+    return F.lpad(F.lower(F.hex(n)), width, "0")
+
+
 def _py_repr(v: Column, is_int: Column) -> Column:
-    """Python repr of a cell: ints bare, text in single quotes."""
-    return F.when(is_int, v).otherwise(F.concat(F.lit("'"), v, F.lit("'")))
+    """Python repr of a cell: ints bare, text quoted and escaped; a missing cell is ``None``."""
+    single, double = v.contains("'"), v.contains('"')
+    one = lambda c: (
+        F.when(c == "\\", "\\\\").when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t")
+        .when((c == "'") & single & double, "\\'")
+        .when((F.ascii(c) < 32) | F.ascii(c).between(127, 160) | (F.ascii(c) == 173), F.concat(F.lit("\\x"), _hex(F.ascii(c), 2)))
+        .otherwise(c)
+    )
+    q = F.when(single & ~double, '"').otherwise("'")
+    text = F.concat(q, _escaped(v, "[\\x00-\\x1f'\\\\\\x7f-\\xa0\\xad]", one), q)
+    return F.coalesce(F.when(is_int, v).otherwise(text), F.lit("None"))
 
 
 def _json_str(v: Column) -> Column:
-    esc = F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\"), '"', '\\\\"')
-    return F.concat(F.lit('"'), esc, F.lit('"'))
+    """A JSON string in ASCII, with ``/`` escaped."""
+    code = F.ascii
+    pair = lambda c: F.concat(
+        F.lit("\\u"), _hex(F.floor((code(c) - 65536) / 1024) + 55296, 4), F.lit("\\u"), _hex(F.pmod(code(c) - 65536, F.lit(1024)) + 56320, 4)
+    )
+    one = lambda c: (
+        F.when(c.isin('"', "\\", "/"), F.concat(F.lit("\\"), c))
+        .when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c == "\b", "\\b").when(c == "\f", "\\f")
+        .when(code(c) > 65535, pair(c))
+        .when((code(c) < 32) | (code(c) > 126), F.concat(F.lit("\\u"), _hex(code(c), 4)))
+        .otherwise(c)
+    )
+    return F.concat(F.lit('"'), _escaped(v, '[^\\x20-\\x7e]|["\\\\/]', one), F.lit('"'))
 
 
 def _csv_field(v: Column) -> Column:
@@ -99,14 +137,12 @@ def _html_esc(v: Column) -> Column:
     return F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def _widths(rows: DataFrame) -> DataFrame:
-    """Longest cell per (table, column) as an array per table (one partial aggregation)."""
-    per = rows.select("table_id", F.posexplode("cells").alias("j", "v")).groupBy("table_id", "j").agg(
-        F.max(F.length("v")).alias("w")
-    )
-    return per.groupBy("table_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda s: s["w"]).alias("cw")
+def _widths(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Longest cell per (table, column), and whether one is missing, as an array per table (one partial aggregation)."""
+    per = rows.select(*key, F.posexplode("cells").alias("j", "v")).groupBy(*key, "j").agg(
+        F.coalesce(F.max(F.length("v")), F.lit(0)).alias("w"), F.bool_or(F.col("v").isNull()).alias("missing")
     )
+    return per.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("j", "w", "missing"))).alias("cw"))
 
 
 def _pad(v: Column, w: Column, right: Column) -> Column:
@@ -133,7 +169,8 @@ def _line_and_frame(fmt: str):
     Row lines see: header, types, cells, row_idx, n_rows, n_cols, and the
     width arrays ``mw`` (markdown) / ``tw`` (tab) where needed.
     """
-    h, t, c, i = F.col("header"), F.col("types"), F.col("cells"), F.col("row_idx")
+    h, t, i = F.col("header"), F.col("types"), F.col("row_idx")
+    c = _filled(F.col("cells"), t, fmt)
     idx = F.sequence(F.lit(0), F.col("n_cols") - 1)
     right = F.transform(idx, lambda j: _is_int(t, j))
     low = F.transform(c, lower_cell)
@@ -156,15 +193,17 @@ def _line_and_frame(fmt: str):
         return line, F.concat(head, joiner), F.lit(""), sep
     if fmt == "json":
         pairs = F.transform(
-            idx, lambda j: F.concat(_json_str(F.element_at(h, j + 1)), F.lit(":"),
-                                    F.when(_is_int(t, j), F.element_at(c, j + 1)).otherwise(_json_str(F.element_at(c, j + 1))))
+            idx, lambda j: F.concat(
+                _json_str(F.element_at(h, j + 1)), F.lit(":"),
+                F.coalesce(F.when(_is_int(t, j), F.try_element_at(c, j + 1)).otherwise(_json_str(F.try_element_at(c, j + 1))), F.lit("null")),
+            ),
         )
         line = F.concat(F.lit('"'), istr, F.lit('":{'), F.array_join(pairs, ","), F.lit("}"))
         return line, F.lit("{"), F.lit("}"), ","
     if fmt == "matrix":
-        vals = F.transform(idx, lambda j: _py_repr(F.element_at(c, j + 1), _is_int(t, j)))
+        vals = F.transform(F.col("cells"), lambda v, j: _py_repr(v, _is_int(t, j)))
         line = F.concat(F.lit("  ["), istr, F.lit(", "), F.array_join(vals, ", "), F.lit("]\n"))
-        hd = F.concat(F.lit("[\n  ['', "), F.array_join(F.transform(h, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]\n"))
+        hd = F.concat(F.lit("[\n  ['', "), F.array_join(F.transform(h, lambda x: _py_repr(x, F.lit(False))), ", "), F.lit("]\n"))
         return line, hd, F.lit("]"), ""
     if fmt == "html":
         tds = F.array_join(F.transform(c, lambda v: F.concat(F.lit("      <td>"), _html_esc(v), F.lit("</td>\n"))), "")
@@ -209,72 +248,74 @@ def _line_and_frame(fmt: str):
     raise ValueError(f"unknown format {fmt!r}")
 
 
-def render(rows: DataFrame, tables: DataFrame, fmt: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One text per table (M1-M15): ``(table_id, chunk, text)``.
+def render(rows: DataFrame, tables: DataFrame, fmt: str, part_rows: int = PART_ROWS, key=("table_id",)) -> DataFrame:
+    """Tables as text in ordered parts (M1-M15): ``(key..., chunk, n_chunks, text)``.
 
-    Lines are built per row in parallel; each table is assembled from an
-    ordered ``collect_list`` of at most ``max_rows`` lines (chunk 0 carries
-    the head, the last chunk the tail).  Empty tables render as
-    'None Table'.
+    Lines are built per row in parallel; part ``k`` holds the rows from ``k * part_rows``
+    on (part 0 carries the head, the last one the tail; joined by the format's
+    separator they are the whole text).  Empty tables render as 'None Table'.
     """
+    key = list(key)
+    meta = tables.select(*key, "header", "types", "n_rows", "n_cols")
+    chunk = F.floor(F.col("row_idx") / part_rows).cast("int").alias("chunk")
+    last = F.floor((F.greatest(F.col("n_rows"), F.lit(1)) - 1) / part_rows).cast("int")
     if fmt == "dfloader":
-        return _render_dfloader(rows, tables)
-    meta = tables.select("table_id", "header", "types", "n_rows", "n_cols")
+        body = _dfloader_parts(rows, meta, key, chunk)
+        return meta.select(*key, (last + 1).alias("n_chunks")).join(body, key, "left").select(
+            *key, F.coalesce("chunk", F.lit(0)).alias("chunk"), "n_chunks", F.coalesce("text", F.lit(NONE_TABLE)).alias("text")
+        )
     if fmt in ("markdown", "markdown_index", "markdown_one_line", "tab"):
-        cw = _widths(rows)
-        hw = F.transform(F.col("header"), lambda x: F.length(x))
-        cwc = F.coalesce(F.col("cw"), F.array_repeat(F.lit(0), F.col("n_cols")))
-        meta = meta.join(cw, "table_id", "left").select(
+        cw = _widths(rows, key)
+        text, number = MISSING[fmt]
+        hw = F.transform(F.col("header"), lambda x, j: F.struct(F.length(x).alias("a"), F.get(F.col("cw"), j).alias("c"), F.when(_is_int(F.col("types"), j), len(number)).otherwise(len(text)).alias("m")))
+        width = lambda x: F.greatest(F.coalesce(x["c"]["w"], F.lit(0)), F.when(x["c"]["missing"], x["m"]).otherwise(0))
+        meta = meta.join(cw, key, "left").select(
             "*",
-            F.transform(F.arrays_zip(hw.alias("a"), cwc.alias("b")), lambda s: F.greatest(s["a"] + 2, s["b"])).alias("mw"),
-            F.transform(F.arrays_zip(hw.alias("a"), cwc.alias("b")), lambda s: F.greatest(s["a"], s["b"] + 1)).alias("tw"),
+            F.transform(hw, lambda x: F.greatest(x["a"] + 2, width(x))).alias("mw"),
+            F.transform(hw, lambda x: F.greatest(x["a"], width(x) + 1)).alias("tw"),
         ).drop("cw")
     line, head, tail, sep = _line_and_frame(fmt)
-    n = meta.count()
-    m = F.broadcast(meta) if n <= BROADCAST_TABLES else meta
-    lines = rows.join(m, "table_id").select(
-        "table_id", (F.floor(F.col("row_idx") / max_rows)).cast("int").alias("chunk"), "row_idx", line.alias("line")
-    )
-    body = lines.groupBy("table_id", "chunk").agg(
+    lines = rows.join(meta, key).select(*key, chunk, "row_idx", line.alias("line"))
+    body = lines.groupBy(*key, "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda s: s["line"]), sep).alias("body")
     )
-    frame = meta.select(
-        "table_id", head.alias("head"), tail.alias("tail"),
-        (F.floor((F.greatest(F.col("n_rows"), F.lit(1)) - 1) / max_rows)).cast("int").alias("last"),
-    )
-    j = frame.join(body, "table_id", "left")
+    frame = meta.select(*key, head.alias("head"), tail.alias("tail"), last.alias("last"))
+    j = frame.join(body, key, "left")
     text = F.concat(
         F.when(F.coalesce(F.col("chunk"), F.lit(0)) == 0, F.col("head")).otherwise(F.lit("")),
         F.coalesce(F.col("body"), F.lit("")),
         F.when(F.coalesce(F.col("chunk"), F.lit(0)) == F.col("last"), F.col("tail")).otherwise(F.lit("")),
     )
     return j.select(
-        "table_id",
+        *key,
         F.coalesce(F.col("chunk"), F.lit(0)).alias("chunk"),
+        (F.col("last") + 1).alias("n_chunks"),
         F.when(F.col("body").isNull(), F.lit(NONE_TABLE)).otherwise(text).alias("text"),
     )
 
 
-def _render_dfloader(rows: DataFrame, tables: DataFrame) -> DataFrame:
-    """M3: DataFrame-constructor text, built column by column."""
-    meta = tables.select("table_id", "header", "types", "n_rows")
-    cells = rows.select("table_id", "row_idx", F.posexplode("cells").alias("j", "v"))
-    cols = cells.groupBy("table_id", "j").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "v"))), lambda s: s["v"]).alias("vals")
-    )
-    cols = cols.join(meta, "table_id").select(
-        "table_id", "j",
+def whole(parts: DataFrame) -> DataFrame:
+    """One text per table, of the tables that are one part: the budget of consumers that put a table in one prompt."""
+    return parts.where(F.col("n_chunks") == 1).drop("chunk", "n_chunks")
+
+
+def _dfloader_parts(rows: DataFrame, meta: DataFrame, key: list[str], chunk: Column) -> DataFrame:
+    """M3: DataFrame-constructor text of each range of rows, built column by column, with the range's index."""
+    cells = rows.select(*key, chunk, "row_idx", F.posexplode("cells").alias("j", "v"))
+    cols = cells.groupBy(*key, "chunk", "j").agg(F.array_sort(F.collect_list(F.struct("row_idx", "v"))).alias("vals"))
+    is_int = _is_int(F.col("types"), F.col("j"))
+    missing = lambda v: F.coalesce(v, F.when(is_int, "nan"))
+    cols = cols.join(meta.select(*key, "header", "types"), key).select(
+        *key, "chunk", "j",
         F.concat(
             F.lit("    '"), F.element_at("header", F.col("j") + 1), F.lit("': ["),
-            F.array_join(F.transform("vals", lambda v: _py_repr(v, _is_int(F.col("types"), F.col("j")))), ", "),
+            F.array_join(F.transform("vals", lambda s: _py_repr(missing(s["v"]), is_int)), ", "),
             F.lit("],\n"),
         ).alias("line"),
+        F.when(F.col("j") == 0, F.array_join(F.transform("vals", lambda s: s["row_idx"].cast("string")), ", ")).alias("index"),
     )
-    body = cols.groupBy("table_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "line"))), lambda s: s["line"]), "").alias("body")
-    )
-    idx = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda x: x.cast("string")), ", ")
-    return meta.join(body, "table_id").select(
-        "table_id", F.lit(0).alias("chunk"),
-        F.concat(F.lit("pd.DataFrame({\n"), F.col("body"), F.lit("},\nindex=["), idx, F.lit("])")).alias("text"),
+    body = cols.groupBy(*key, "chunk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "line"))), lambda s: s["line"]), "").alias("body"),
+        F.max("index").alias("index"),
     )
+    return body.select(*key, "chunk", F.concat(F.lit("pd.DataFrame({\n"), F.col("body"), F.lit("},\nindex=["), F.col("index"), F.lit("])")).alias("text"))

@@ -368,7 +368,7 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
     sp = pin(_run_stages(base, stage_list(d, p)), "spec-draws")
     # Literal cells: one (slot, row, col) per slot, one join with the rows, pivot back.
     slots = F.array(*[
-        F.struct(F.lit(s).alias("slot"), F.col(f"r_{s}").cast("int").alias("row_idx"), F.col(c).alias("col"))
+        F.struct(F.lit(s).alias("slot"), F.col(f"r_{s}").cast("bigint").alias("row_idx"), F.col(c).alias("col"))
         for s, c in slot_columns()
     ])
     need = sp.select("table_id", "query_no", F.explode(slots).alias("x")).select(

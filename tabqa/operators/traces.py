@@ -7,9 +7,10 @@ markdown, then ``You need to execute N steps.`` / ``Step i: ...`` /
 
 Every intermediate table — the rows passing WHERE, each group's sub-table,
 the selected values, the aggregate, the top row — is turned into a
-pseudo-table with a composite id and rendered by one ``render`` call, so
-the whole trace set is a handful of joins and ordered aggregations.
-Tables are prompt-sized; sub-tables are bounded by their table.
+pseudo-table keyed by (table_id, query_no, step, group) and rendered by one
+``render`` call, so the whole trace set is a handful of joins and ordered
+aggregations.  A trace is one text, so it has a budget: tables of at most
+``MAX_TABLE_ROWS`` rows; larger ones have no trace.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from tabqa.operators import render as M
 from tabqa.operators.specs import CODE_ENGLISH
 
 KEY = ["table_id", "query_no"]
-STEP_BITS = 20  # group index bits inside a pseudo-table id
+PSEUDO = [*KEY, "step", "grp"]
+MAX_TABLE_ROWS = M.PART_ROWS
 
 
 def _eng(c):
@@ -32,15 +34,19 @@ def _eng(c):
     return e
 
 
-def _pid(step: int, group=None):
-    base = ((F.col("table_id") * 64 + F.col("query_no")) * 8 + step) * (1 << STEP_BITS)
-    return (base + (group if group is not None else F.lit(0))).cast("bigint")
+def _pid(step: int, group=None) -> list:
+    """Key columns of a pseudo-table."""
+    return ["table_id", "query_no", F.lit(step).alias("step"), (F.lit(0) if group is None else group).cast("bigint").alias("grp")]
+
+
+def _joined(rows: DataFrame, sp: DataFrame) -> DataFrame:
+    return rows.join(sp, "table_id").where(B.where_ok())
 
 
 def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """(table_id, query_no, n_steps, cot) for every spec drawn from the s templates."""
-    sp = specs.select(*B.EXEC_COLS, "header", "multistep", "n_cols", "ic", "ins_where", "ins_group", "ins_having", "ins_select", "ins_order")
-    x = rows.join(F.broadcast(sp) if sp.count() <= B.BROADCAST_SPECS else sp, "table_id").where(B.where_ok())
+    sp = specs.where(F.col("n_rows") <= MAX_TABLE_ROWS).select(*B.EXEC_COLS, "header", "multistep", "n_cols", "ic", "ins_where", "ins_group", "ins_having", "ins_select", "ins_order")
+    x = _joined(rows, sp)
     name = lambda c: F.try_element_at(F.col("header"), c + 1)
     s_names = F.transform("s_cols", lambda c: name(c))
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
@@ -85,25 +91,25 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     pt_rows, pt_meta = [], []
     # step 0: rows passing WHERE, all columns
     w = x.where(F.col("w_n") > 0)
-    pt_rows.append(w.select(_pid(0).alias("table_id"), "row_idx", "cells"))
-    pt_meta.append(sp.where(F.col("w_n") > 0).select(_pid(0).alias("table_id"), "header", all_types.alias("types")))
+    pt_rows.append(w.select(*_pid(0), "row_idx", "cells"))
+    pt_meta.append(sp.where(F.col("w_n") > 0).select(*_pid(0), "header", all_types.alias("types")))
     # group sub-tables
     gr = x.where(F.col("g_col").isNotNull()).join(gx, [*KEY]).where(g_val == F.col("gk"))
-    pt_rows.append(gr.select(_pid(1, F.col("gi")).alias("table_id"), "row_idx", "cells"))
-    pt_meta.append(gx.join(sp, KEY).select(_pid(1, F.col("gi")).alias("table_id"), "header", all_types.alias("types")))
+    pt_rows.append(gr.select(*_pid(1, F.col("gi")), "row_idx", "cells"))
+    pt_meta.append(gx.join(sp, KEY).select(*_pid(1, F.col("gi")), "header", all_types.alias("types")))
     # select results without group: the selected values of every matched row
     ng = x.where(F.col("g_col").isNull())
     sel_cells = F.when(F.col("s_kind") == "calc", F.array(calc.cast("string"))).when(
         F.col("s_kind") == "agg", F.array(B._cell(s1))
     ).otherwise(F.transform("s_cols", lambda c: B._cell(c)))
-    pt_rows.append(ng.select(_pid(2).alias("table_id"), "row_idx", sel_cells.alias("cells")))
+    pt_rows.append(ng.select(*_pid(2), "row_idx", sel_cells.alias("cells")))
     sel_types = F.when(F.col("s_kind") == "calc", F.array(F.lit("INT"))).otherwise(
         F.transform("s_cols", lambda c: F.try_element_at(F.col("types"), c + 1))
     )
     sel_hdr = F.when(
         F.col("s_kind") == "calc", F.array(F.concat(name(s1), F.lit(" "), F.col("s_op"), F.lit(" "), name(F.try_element_at(F.col("s_cols"), F.lit(2)))))
     ).when(F.col("s_kind") == "agg", F.array(name(s1))).otherwise(s_names)
-    pt_meta.append(sp.where(F.col("g_col").isNull()).select(_pid(2).alias("table_id"), sel_hdr.alias("header"), sel_types.alias("types")))
+    pt_meta.append(sp.where(F.col("g_col").isNull()).select(*_pid(2), sel_hdr.alias("header"), sel_types.alias("types")))
     # select results with group: one row per surviving group, in group order
     gk_ok = gagg.where("keep")
     g_cells = (
@@ -112,7 +118,7 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
         .when(F.col("s_kind") == "agg", F.array(F.col("s_first")))
         .otherwise(F.array(F.col("calc_first").cast("string")))
     )
-    pt_rows.append(gk_ok.select(_pid(2).alias("table_id"), F.col("gi").alias("row_idx"), g_cells.alias("cells")))
+    pt_rows.append(gk_ok.select(*_pid(2), F.col("gi").alias("row_idx"), g_cells.alias("cells")))
     g_hdr = (
         F.when(F.col("s_kind") == "group", F.array(name(F.col("g_col"))))
         .when(F.col("s_kind") == "group_agg", F.array(name(F.col("g_col")), F.concat(F.col("h_agg"), F.lit(" ( "), name(F.col("h_col")), F.lit(" )"))))
@@ -123,7 +129,7 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
         .when(F.col("s_kind") == "group_agg", F.array(F.try_element_at(F.col("types"), F.col("g_col") + 1), F.lit("INT")))
         .otherwise(sel_types)
     )
-    pt_meta.append(sp.where(F.col("g_col").isNotNull()).select(_pid(2).alias("table_id"), g_hdr.alias("header"), g_types.alias("types")))
+    pt_meta.append(sp.where(F.col("g_col").isNotNull()).select(*_pid(2), g_hdr.alias("header"), g_types.alias("types")))
     # aggregate value(s): one row (no group) or one row per surviving group
     agg_hdr = F.array(F.concat(F.col("s_agg"), F.lit(" ( "), name(s1), F.lit(" )")))
     ng_agg = ng.where(F.col("s_kind") == "agg").groupBy(*KEY, "s_agg").agg(
@@ -133,9 +139,9 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
         sp.select(*KEY, "s_agg").withColumnRenamed("s_agg", "sa"), KEY
     )
     gval = F.coalesce(pick(F.col("sa"), "s"), F.when(F.col("sa") == "count", F.lit(0)))
-    pt_rows.append(glob.select(_pid(3).alias("table_id"), F.lit(0).alias("row_idx"), F.array(F.coalesce(gval.cast("string"), F.lit("None"))).alias("cells")))
-    pt_rows.append(gk_ok.where(F.col("s_kind") == "agg").select(_pid(3).alias("table_id"), F.col("gi").alias("row_idx"), F.array(F.col("s_val").cast("string")).alias("cells")))
-    pt_meta.append(sp.where(F.col("s_kind") == "agg").select(_pid(3).alias("table_id"), agg_hdr.alias("header"), F.array(F.lit("INT")).alias("types")))
+    pt_rows.append(glob.select(*_pid(3), F.lit(0).alias("row_idx"), F.array(F.coalesce(gval.cast("string"), F.lit("None"))).alias("cells")))
+    pt_rows.append(gk_ok.where(F.col("s_kind") == "agg").select(*_pid(3), F.col("gi").alias("row_idx"), F.array(F.col("s_val").cast("string")).alias("cells")))
+    pt_meta.append(sp.where(F.col("s_kind") == "agg").select(*_pid(3), agg_hdr.alias("header"), F.array(F.lit("INT")).alias("types")))
 
     prow = pt_rows[0]
     for r in pt_rows[1:]:
@@ -143,11 +149,11 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     pmeta = pt_meta[0]
     for m in pt_meta[1:]:
         pmeta = pmeta.unionByName(m)
-    counts = prow.groupBy("table_id").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
-    pmeta = pmeta.join(counts, "table_id", "left").select(
-        "table_id", "header", "types", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols")
+    counts = prow.groupBy(*PSEUDO).agg(F.count(F.lit(1)).alias("n_rows"))
+    pmeta = pmeta.join(counts, PSEUDO, "left").select(
+        *PSEUDO, "header", "types", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols")
     )
-    md = M.render(prow, pmeta, "markdown").select(F.col("table_id").alias("pid"), F.col("text").alias("md"))
+    md = M.whole(M.render(prow, pmeta, "markdown", key=PSEUDO)).withColumnRenamed("text", "md")
     return md, sp, gagg
 
 
@@ -158,12 +164,12 @@ def _pylist(arr):
 def cot(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Trace text per spec (M20-M23): ``(table_id, query_no, n_steps, cot)``."""
     md, sp, gagg = traces(rows, specs)
-    x = rows.join(F.broadcast(sp) if sp.count() <= B.BROADCAST_SPECS else sp, "table_id").where(B.where_ok())
+    x = _joined(rows, sp)
     name = lambda c: F.try_element_at(F.col("header"), c + 1)
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
 
     def with_md(df, pid):
-        return df.withColumn("pid", pid).join(md, "pid", "left")
+        return df.select("*", *pid[2:]).join(md, PSEUDO, "left")
 
     steps = []
     # where
@@ -207,9 +213,9 @@ def cot(rows: DataFrame, specs: DataFrame) -> DataFrame:
     top_rows = _top_rows(x.where(F.col("o_kind") != "none"), gagg)
     hdr = F.when(grouped, F.array(name(F.col("g_col")))).otherwise(names)
     typ = F.when(grouped, F.array(F.try_element_at(F.col("types"), F.col("g_col") + 1))).otherwise(F.transform("s_cols", lambda c: F.try_element_at(F.col("types"), c + 1)))
-    tm = od.select(_pid(5).alias("table_id"), hdr.alias("header"), typ.alias("types"), F.lit(1).alias("n_rows"), F.size(hdr).alias("n_cols"))
-    tmd = M.render(top_rows, tm, "markdown").select(F.col("table_id").alias("pid"), F.col("text").alias("md"))
-    o = od.withColumn("pid", _pid(5)).join(tmd, "pid", "left")
+    tm = od.select(*_pid(5), hdr.alias("header"), typ.alias("types"), F.lit(1).alias("n_rows"), F.size(hdr).alias("n_cols"))
+    tmd = M.whole(M.render(top_rows, tm, "markdown", key=PSEUDO)).withColumnRenamed("text", "md")
+    o = od.select("*", *_pid(5)[2:]).join(tmd, PSEUDO, "left")
     steps.append(o.select(*KEY, F.lit(5).alias("code"), F.col("ins_order").alias("inst"), F.col("md").alias("inter")))
 
     allst = steps[0]
@@ -235,17 +241,17 @@ def cot(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
 def _top_rows(x: DataFrame, gagg: DataFrame) -> DataFrame:
     """The single row an ORDER BY ... LIMIT 1 query returns, as a pseudo-table row."""
-    okey = F.when(F.col("o_desc"), -B._num(F.col("o_col"))).otherwise(B._num(F.col("o_col")))
+    okey = B._top_key(B._num(F.col("o_col")), F.col("o_desc"))
     ng = x.where(F.col("g_col").isNull()).select(
         *KEY, F.struct(okey.alias("k"), F.col("row_idx").cast("bigint").alias("i"), F.lit(None).cast("string").alias("t")).alias("ord"),
         F.transform("s_cols", lambda c: B._cell(c)).alias("cells"),
     )
     h = F.col("h_val")
     g = gagg.where(F.col("keep") & (F.col("o_kind") == "agg")).select(
-        *KEY, F.struct(F.when(F.col("o_desc"), -h).otherwise(h).alias("k"), F.lit(None).cast("bigint").alias("i"), F.col("gk").alias("t")).alias("ord"),
+        *KEY, F.struct(B._top_key(h, F.col("o_desc")).alias("k"), F.lit(None).cast("bigint").alias("i"), F.col("gk").alias("t")).alias("ord"),
         F.array("gk").alias("cells"),
     )
     both = ng.unionByName(g)
     w = Window.partitionBy(*KEY).orderBy("ord")
     top = both.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1)
-    return top.select(_pid(5).alias("table_id"), F.lit(0).alias("row_idx"), "cells")
+    return top.select(*_pid(5), F.lit(0).alias("row_idx"), "cells")

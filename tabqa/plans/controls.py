@@ -18,7 +18,7 @@ def pipeline(spark, sf_dir, controls: K.Controls | None = None):
     """corpus → specs → answers → features/rules, as one lazy DataFrame."""
     c = shared.corpus(spark, sf_dir, "supplier")
     specs = shared.specs(spark, sf_dir, "supplier", SP)
-    ans = shared.answers(spark, sf_dir, "supplier", SP)
+    ans = shared.executed(spark, sf_dir, "supplier", SP)
     return K.apply(specs, ans, c.rows, controls or K.Controls()), c
 
 
@@ -109,7 +109,7 @@ def feat_coverage(spark, sf_dir):
 def feat_answer_position(spark, sf_dir):
     """First (row, col) of the answer in the table, else (-1, -1)."""
     c = shared.corpus(spark, sf_dir, "supplier")
-    ans = shared.answers(spark, sf_dir, "supplier", SP)
+    ans = shared.executed(spark, sf_dir, "supplier", SP).answers
     return K.answer_position(ans, c.rows).select(
         "table_id", "query_no", F.col("ans_row").cast("int").alias("ans_row"), F.col("ans_col").cast("int").alias("ans_col")
     )

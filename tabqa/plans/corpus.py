@@ -66,7 +66,7 @@ def src_infer_types(spark, sf_dir):
 
 @query(
     "src_corpus",
-    """SELECT o_custkey AS table_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS row_idx,
+    """SELECT o_custkey AS table_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx,
               concat_ws('|', o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'),
                         CAST(o_orderkey AS VARCHAR), CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR)) AS cells,
               CAST(o_orderkey + CAST(trunc(o_totalprice) AS BIGINT) AS BIGINT) AS num_sum
@@ -83,7 +83,7 @@ def src_corpus(spark, sf_dir):
 
 @query(
     "src_corpus_tables",
-    """SELECT l_suppkey AS table_id, CAST(count(*) AS INTEGER) AS n_rows, 5 AS n_cols,
+    """SELECT l_suppkey AS table_id, count(*) AS n_rows, 5 AS n_cols,
               'l_returnflag|l_linestatus|l_shipdate|l_linenumber|l_quantity' AS header,
               'TEXT|TEXT|DATE|INT|INT' AS types
        FROM lineitem GROUP BY l_suppkey""",
@@ -98,7 +98,7 @@ def src_corpus_tables(spark, sf_dir):
     "src_corpus_supplier",
     """SELECT l_suppkey AS table_id,
               CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
-                   l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS INTEGER) AS row_idx,
+                   l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS BIGINT) AS row_idx,
               concat_ws('|', l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'), CAST(l_linenumber AS VARCHAR),
                         CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)) AS cells
        FROM lineitem""",
@@ -114,7 +114,7 @@ def src_corpus_supplier(spark, sf_dir):
 _SHP_SQL = f"""shp AS (
   SELECT c_custkey AS table_id,
          CAST({D.uniform(D.key(SEED, 'c_custkey', "'ncols'"), GEN.col_min, GEN.col_max)} AS INTEGER) AS n_cols,
-         CAST({D.uniform(D.key(SEED, 'c_custkey', "'nrows'"), GEN.row_min, GEN.row_max)} AS INTEGER) AS n_rows
+         CAST({D.uniform(D.key(SEED, 'c_custkey', "'nrows'"), GEN.row_min, GEN.row_max)} AS BIGINT) AS n_rows
   FROM customer)"""
 
 
@@ -263,7 +263,7 @@ def _duck_fill(shape=GEN):
     return f"""{_SHP_SQL},
     meta AS (SELECT table_id, n_cols, n_rows, {_duck_types(shape)} AS types, {_duck_pools(shape)} AS pools FROM shp),
     r AS (SELECT table_id, n_cols, types, pools, unnest(range(0, n_rows)) AS row_idx FROM meta),
-    cells AS (SELECT table_id, CAST(row_idx AS INTEGER) AS row_idx, list_transform(range(0, n_cols), lambda j: {cell}) AS cells, types FROM r)"""
+    cells AS (SELECT table_id, CAST(row_idx AS BIGINT) AS row_idx, list_transform(range(0, n_cols), lambda j: {cell}) AS cells, types FROM r)"""
 
 
 @query(

@@ -27,7 +27,7 @@ def kept_queries(spark, sf_dir, corpus="supplier"):
     p = PC.SP if corpus == "supplier" else OBC
     c = shared.corpus(spark, sf_dir, corpus)
     specs = shared.specs(spark, sf_dir, corpus, p)
-    ans = shared.answers(spark, sf_dir, corpus, p)
+    ans = shared.executed(spark, sf_dir, corpus, p)
     checked = K.apply(specs, ans, c.rows, K.Controls())
     return checked.where(F.col("rejected_by").isNull()).select("table_id", "query_no", "sql", "answer"), c
 
@@ -113,7 +113,7 @@ def _d_flatten_text():
 def inst_ft_pairs(spark, sf_dir):
     """Fine-tuning pairs over the customer tables, table as flatten text."""
     kept, c = kept_queries(spark, sf_dir, "customer")
-    text = M.render(c.rows, c.tables, "flatten")
+    text = M.whole(M.render(c.rows, c.tables, "flatten"))
     return DS.ft_pairs(kept, text).select("table_id", "query_no", "input", "output")
 
 
@@ -225,7 +225,7 @@ def prm_few_shot(spark, sf_dir):
 def prm_full(spark, sf_dir):
     """Full 5-shot SQL-execution prompts over the customer tables (flatten table text)."""
     inst, c = _instances(spark, sf_dir, "customer")
-    text = M.render(c.rows, c.tables, "flatten")
+    text = M.whole(M.render(c.rows, c.tables, "flatten"))
     j = inst.join(text.select("table_id", "text"), "table_id")
     return j.select("table_id", "query_no", P.full_prompt(F.col("text"), P.few_shot_block(F.col("examples"), N_SHOT), "sql", N_SHOT).alias("prompt"))
 
@@ -253,7 +253,7 @@ def _d_truncate():
 def prm_truncate(spark, sf_dir):
     """Table texts cut to a 120-token budget on the reference's word grid."""
     c = C.orders_by_customer(Tables(spark, sf_dir).orders)
-    text = M.render(c.rows, c.tables, "flatten").select("table_id", "text")
+    text = M.whole(M.render(c.rows, c.tables, "flatten"))
     return P.truncate(text, ["table_id"], "text", BUDGET)
 
 
@@ -289,7 +289,8 @@ def sub_accept_expr(answers_n: str = "n_ans_rows") -> "F.Column":
 def sub_accept(spark, sf_dir):
     """Which answered specs may serve as a scalar or a membership sub-query."""
     specs = shared.specs(spark, sf_dir, "supplier", PC.SP)
-    ans = shared.answers(spark, sf_dir, "supplier", PC.SP).drop("n_rows", "sql")
+    ans = shared.executed(spark, sf_dir, "supplier", PC.SP).answers.drop("n_rows", "sql")
+    ans = ans.withColumn("answer", F.when(F.col("n_ans_rows") <= 1, F.col("first_value")).otherwise(F.lit("")))
     j = specs.join(ans, ["table_id", "query_no"])
     base, scalar_ok, member_ok = sub_accept_expr()
     return j.select(
@@ -344,8 +345,8 @@ def inst_acceptance_rate(spark, sf_dir):
 def inst_fields(spark, sf_dir):
     """Output fields of an instance example: sql, answer, multistep, process columns."""
     specs = shared.specs(spark, sf_dir, "supplier", PC.SP)
-    ans = shared.answers(spark, sf_dir, "supplier", PC.SP).drop("n_rows", "sql")
-    j = specs.join(ans, ["table_id", "query_no"])
+    ex = shared.executed(spark, sf_dir, "supplier", PC.SP)
+    j = specs.join(ex.answers.drop("n_rows", "sql"), ["table_id", "query_no"]).join(ex.whole(), ["table_id", "query_no"])
     return j.select(
         "table_id", "query_no", "sql", "answer", "multistep",
         F.array_join(F.transform("s_cols", lambda x: F.element_at("header", x + 1)), ",").alias("select_cols"),
@@ -355,7 +356,7 @@ def inst_fields(spark, sf_dir):
 
 
 # Number of fine and coarse templates shipped with the reference.
-N_FINE_TEMPLATES = 15  # 4 easy + 11 where-condition lines
+N_FINE_TEMPLATES = 15  # 4 easy + 11 where-condition lines; the long-context line is not drawn by proportion
 N_COARSE_TEMPLATES = 13  # 8 single, 4 double, 1 triple
 
 

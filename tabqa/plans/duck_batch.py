@@ -13,41 +13,41 @@ LINEITEM_BY_SUPPLIER = """
 crows AS (
   SELECT l_suppkey AS table_id,
          CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
-              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS INTEGER) AS row_idx,
+              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS BIGINT) AS row_idx,
          [l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'), CAST(l_linenumber AS VARCHAR),
           CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)] AS cells,
          [NULL, NULL, NULL, CAST(l_linenumber AS BIGINT), CAST(trunc(l_quantity) AS BIGINT)] AS nums
   FROM lineitem),
 ctables AS (
   SELECT table_id, ['l_returnflag', 'l_linestatus', 'l_shipdate', 'l_linenumber', 'l_quantity'] AS header,
-         ['TEXT', 'TEXT', 'DATE', 'INT', 'INT'] AS types, CAST(count(*) AS INTEGER) AS n_rows, 5 AS n_cols
+         ['TEXT', 'TEXT', 'DATE', 'INT', 'INT'] AS types, count(*) AS n_rows, 5 AS n_cols
   FROM crows GROUP BY table_id)"""
 
 LINEITEM_ONE_TABLE = """
 crows AS (
   SELECT CAST(0 AS BIGINT) AS table_id,
          CAST(row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
-              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS INTEGER) AS row_idx,
+              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS BIGINT) AS row_idx,
          [l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'), CAST(l_linenumber AS VARCHAR),
           CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR), CAST(l_suppkey AS VARCHAR)] AS cells,
          [NULL, NULL, NULL, CAST(l_linenumber AS BIGINT), CAST(trunc(l_quantity) AS BIGINT), l_suppkey] AS nums
   FROM lineitem),
 ctables AS (
   SELECT table_id, ['l_returnflag', 'l_linestatus', 'l_shipdate', 'l_linenumber', 'l_quantity', 'l_suppkey'] AS header,
-         ['TEXT', 'TEXT', 'DATE', 'INT', 'INT', 'INT'] AS types, CAST(count(*) AS INTEGER) AS n_rows, 6 AS n_cols
+         ['TEXT', 'TEXT', 'DATE', 'INT', 'INT', 'INT'] AS types, count(*) AS n_rows, 6 AS n_cols
   FROM crows GROUP BY table_id)"""
 
 ORDERS_BY_CUSTOMER = """
 crows AS (
   SELECT o_custkey AS table_id,
-         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS row_idx,
+         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx,
          [o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'), CAST(o_orderkey AS VARCHAR),
           CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR)] AS cells,
          [NULL, NULL, NULL, o_orderkey, CAST(trunc(o_totalprice) AS BIGINT)] AS nums
   FROM orders),
 ctables AS (
   SELECT table_id, ['o_orderstatus', 'o_orderpriority', 'o_orderdate', 'o_orderkey', 'o_totalprice'] AS header,
-         ['TEXT', 'TEXT', 'DATE', 'INT', 'INT'] AS types, CAST(count(*) AS INTEGER) AS n_rows, 5 AS n_cols
+         ['TEXT', 'TEXT', 'DATE', 'INT', 'INT'] AS types, count(*) AS n_rows, 5 AS n_cols
   FROM crows GROUP BY table_id)"""
 
 
@@ -74,7 +74,7 @@ def specs_sql(corpus: str, p: S.SpecParams, out_name: str = "specs") -> str:
     )
     ctes, last = _stage_chain("sbase", ["table_id", "header", "types", "n_rows", "n_cols", "query_no"], S.stage_list(d, p), "st")
     slots = ", ".join(
-        f"{{'slot': '{s}', 'row_idx': CAST(r_{s} AS INTEGER), 'col': {c}}}" for s, c in S.slot_columns()
+        f"{{'slot': '{s}', 'row_idx': CAST(r_{s} AS BIGINT), 'col': {c}}}" for s, c in S.slot_columns()
     )
     need = f"need AS (SELECT table_id, query_no, unnest([{slots}]) AS x FROM {last})"
     vals = (

@@ -18,7 +18,7 @@ def _corpus(spark, sf_dir):
 def _spark(fmt):
     def fn(spark, sf_dir):
         c = _corpus(spark, sf_dir)
-        return M.render(c.rows, c.tables, fmt)
+        return M.render(c.rows, c.tables, fmt).drop("n_chunks")
 
     fn.__doc__ = f"Every customer table rendered as {fmt}."
     return fn

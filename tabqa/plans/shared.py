@@ -17,7 +17,7 @@ _MEMO: dict = {}
 
 
 def _key(spark, *parts):
-    return (id(spark.sparkContext._jsc), *parts)
+    return (spark.sparkContext.applicationId, *parts)
 
 
 def corpus(spark, sf_dir: str, name: str) -> C.Corpus:
@@ -46,9 +46,10 @@ def executed(spark, sf_dir: str, name: str, p: S.SpecParams) -> B.Answers:
     if k not in _MEMO:
         c = corpus(spark, sf_dir, name)
         a = B.execute(c.rows, specs(spark, sf_dir, name, p))
-        _MEMO[k] = B.Answers(pin(a.answers, "answers"), a.answer_rows)
+        _MEMO[k] = B.Answers(pin(a.answers, "answers"), a.parts)
     return _MEMO[k]
 
 
 def answers(spark, sf_dir: str, name: str, p: S.SpecParams):
-    return executed(spark, sf_dir, name, p).answers
+    """One row per spec and answer part, with its text."""
+    return executed(spark, sf_dir, name, p).texts()

@@ -7,6 +7,7 @@ helpers here are for tests, the bench and ``__spark_entry__``.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -39,8 +40,10 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The value configured on the session (``spark.checkpoint.dir``) wins; a
-    folder is only set here when none is configured, as in local tests.
+    The value configured on the session (``spark.checkpoint.dir``) wins.  A
+    folder is only set here when none is configured and the session has no
+    executors elsewhere (``local`` masters, as in tests); on a cluster a
+    missing setting is an error, since a local folder would not be shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         conf_dir = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tabqa-checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -1,7 +1,7 @@
 """A corpus of many small tables as two DataFrames (A3).
 
-``rows``:   table_id BIGINT, row_idx INT, cells ARRAY<STRING>, nums ARRAY<BIGINT>
-``tables``: table_id BIGINT, header ARRAY<STRING>, types ARRAY<STRING>, n_rows INT, n_cols INT
+``rows``:   table_id BIGINT, row_idx BIGINT, cells ARRAY<STRING>, nums ARRAY<BIGINT>
+``tables``: table_id BIGINT, header ARRAY<STRING>, types ARRAY<STRING>, n_rows BIGINT, n_cols INT
 
 Every cell has its text form in ``cells`` (dates as ``yyyy-MM-dd``); INT
 cells also carry their value in ``nums`` (NULL for TEXT/DATE).  Cell access
@@ -83,7 +83,7 @@ def from_dataframe(
     types = F.array(*[F.lit(t) for _, _, t in exprs])
     tables = (
         base.groupBy("table_id")
-        .agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
+        .agg(F.count(F.lit(1)).alias("n_rows"))
         .select("table_id", header.alias("header"), types.alias("types"), "n_rows", F.lit(len(exprs)).alias("n_cols"))
     )
     return Corpus(rows, tables)

@@ -86,5 +86,5 @@ def test_html(tiny):
 
 def test_chunks_keep_every_row(spark, tiny):
     rows, tables = tiny
-    out = M.render(rows, tables, "tapex", max_rows=1).orderBy("chunk").collect()
+    out = M.render(rows, tables, "tapex", part_rows=1).orderBy("chunk").collect()
     assert [r["text"] for r in out] == ["header: name | n\nrow 1 : ab | 1\n", "row 2 : c | 20\n"]
