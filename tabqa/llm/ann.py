@@ -47,10 +47,10 @@ class AnnParams:
     forest: int = 12
     leaf: int = 2048
     sample: int = 15  # of each kind of neighbour joined in an iteration
-    max_iterations: int = 6
-    least_change: float = 0.03  # share of edges that still changes when iterations end
+    max_iterations: int = 4
+    least_change: float = 0.03  # share of edges that an iteration still finds when iterations end
     beam: int = 40
-    max_rounds: int = 4
+    max_rounds: int = 3
     rescore: int = 40  # candidates scored in double
     seed: int = 7
 
@@ -81,9 +81,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, p: AnnParams, n: int) -> DataFrame:
-    """``node, vec, key0, ...``: unit vectors in half precision and their places in the orders of the forest."""
+    """``node, vec, keys``: unit vectors in half precision and their places in the orders of the forest."""
     bits = max(0, round(np.log2(max(1, n / p.leaf))))
-    schema = "node bigint, vec binary, " + ", ".join(f"key{r} double" for r in range(p.forest))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -92,7 +91,7 @@ def _packed(rows: DataFrame, p: AnnParams, n: int) -> DataFrame:
             v = np.asarray(b.column("vector").flatten(), np.float64).reshape(b.num_rows, -1)
             v = v / np.abs(v).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
             v /= np.linalg.norm(v, axis=1, keepdims=True)
-            keys = []
+            keys = np.zeros((len(v), p.forest))
             for r in range(p.forest):
                 planes = np.random.default_rng(p.seed * 1000 + r).standard_normal((bits + 1, v.shape[1]))
                 side = v @ (planes / np.linalg.norm(planes, axis=1, keepdims=True)).T
@@ -101,11 +100,12 @@ def _packed(rows: DataFrame, p: AnnParams, n: int) -> DataFrame:
                 for j in range(bits):  # signs as a Gray code: cells next to each other differ in one sign
                     last = last ^ (side[:, j] > 0)
                     code = code * 2 + last
-                keys.append(pa.array(code + 0.999 * (side[:, bits] + 1) / 2))
+                keys[:, r] = code + 0.999 * (side[:, bits] + 1) / 2
             vec = pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("node"), vec, *keys], names=["node", "vec", *[f"key{r}" for r in range(p.forest)]])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * p.forest), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), vec, lists], names=["node", "vec", "keys"])
 
-    return rows.select("node", "vector").mapInArrow(run, schema)
+    return rows.select("node", "vector").mapInArrow(run, "node bigint, vec binary, keys array<double>")
 
 
 _EDGES = "src bigint, dst bigint, sim float"
@@ -116,7 +116,11 @@ def _edges(src, dst, sim) -> pa.RecordBatch:
 
 
 def _start(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
-    """Edges of all comparisons within blocks of the forest's orders, the ``k`` best of each node and block."""
+    """Edges of all comparisons within blocks of the forest's orders, the ``k`` best of each node and block.
+
+    The orders are dealt out together, by (order, place), and a task cuts what it
+    gets into blocks.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -126,30 +130,35 @@ def _start(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             return _edges(np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel())
 
-        ids, vecs = np.zeros(0, np.int64), None
+        def blocks(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for part in np.array_split(np.arange(len(ids)), max(1, len(ids) // p.leaf)):
+                if len(part) > 1:
+                    yield block(ids[part], v[part])
+
+        order, ids, vecs = -1, np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
         for b in parts:
-            ids = np.concatenate([ids, b.column("node").to_numpy()])
-            m = _matrix(b.column("vec"))
-            vecs = m if vecs is None or not len(vecs) else np.concatenate([vecs, m])
-            while len(ids) >= 2 * p.leaf:
-                yield block(ids[: p.leaf], vecs[: p.leaf])
-                ids, vecs = ids[p.leaf :], vecs[p.leaf :]
-        for part in np.array_split(np.arange(len(ids)), max(1, len(ids) // p.leaf)):
-            if len(part) > 1:
-                yield block(ids[part], vecs[part])
-
-    parts = max(1, min(n_partitions(nodes.sparkSession), n // (2 * p.leaf)))
-    out = None
-    for r in range(p.forest):
-        ordered = nodes.select("node", "vec", f"key{r}").repartitionByRange(parts, f"key{r}", "node").sortWithinPartitions(f"key{r}", "node")
-        found = ordered.select("node", "vec").mapInArrow(run, _EDGES)
-        out = found if out is None else out.unionByName(found)
-    return out
+            now, new, m = b.column("r").to_numpy(), b.column("node").to_numpy(), _matrix(b.column("vec"))
+            for r in np.unique(now):
+                mine = now == r
+                if r != order:
+                    yield from blocks(ids, vecs)
+                    order, ids, vecs = r, new[mine], m[mine]
+                else:
+                    ids, vecs = np.concatenate([ids, new[mine]]), np.concatenate([vecs, m[mine]])
+                while len(ids) >= 2 * p.leaf:
+                    yield block(ids[: p.leaf], vecs[: p.leaf])
+                    ids, vecs = ids[p.leaf :], vecs[p.leaf :]
+        yield from blocks(ids, vecs)
+
+    parts = max(1, min(n_partitions(nodes.sparkSession), n * p.forest // (4 * p.leaf)))
+    ordered = nodes.select("node", "vec", F.posexplode("keys").alias("r", "key"))
+    ordered = ordered.repartitionByRange(parts, "r", "key", "node").sortWithinPartitions("r", "key", "node")
+    return ordered.select("r", "node", "vec").mapInArrow(run, _EDGES)
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best edges of each source; an edge known before stays old."""
-    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    """The ``k`` best edges of each source; ``new`` if it has not been joined, ``found`` if it was not known before."""
+    once = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"), F.min("found").alias("found"))
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -193,7 +202,8 @@ def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def graph(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
     """``src, dst, sim``: the neighbour lists that NN-descent ends with."""
-    known = pin(_best(_start(nodes, p, n).withColumn("new", F.lit(True)), p.k), "ann-graph")
+    fresh = lambda e: e.withColumns({"new": F.lit(True), "found": F.lit(True)})
+    known = pin(_best(fresh(_start(nodes, p, n)), p.k), "ann-graph")
     vectors = nodes.select("node", "vec")
     for turn in range(p.max_iterations):
         # Of each node's list the best of the new and of the old; of the lists it occurs in, a hashed sample.
@@ -209,10 +219,9 @@ def graph(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
         found = rows.repartition(n_partitions(nodes.sparkSession), "centre").sortWithinPartitions("centre").mapInArrow(_compare, _EDGES)
         # A new edge that has been joined is old from now on.
         done = used.select("src", "dst", F.lit(True).alias("joined"))
-        old = known.join(done, ["src", "dst"], "left").select("src", "dst", "sim", (F.col("new") & F.col("joined").isNull()).alias("new"))
-        after = old.unionByName(found.withColumn("new", F.lit(True)))
-        known = pin(_best(after, p.k), "ann-graph")
-        changed = known.where("new").count()
+        old = known.join(done, ["src", "dst"], "left").select("src", "dst", "sim", (F.col("new") & F.col("joined").isNull()).alias("new"), F.lit(False).alias("found"))
+        known = pin(_best(old.unionByName(fresh(found)), p.k), "ann-graph")
+        changed = known.where("found").count()
         if changed <= p.least_change * n * min(p.k, n - 1):
             break
     return known.select("src", "dst", "sim")
@@ -237,8 +246,9 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, p: AnnParams)
         open_ = known.where(~F.col("expanded") & (F.col("rank") <= p.beam))
         if open_.isEmpty():
             break
-        step = open_.select("src", F.col("dst").alias("via")).join(both.select(F.col("src").alias("via"), F.col("dst")), "via").where("dst != src").select("src", "dst").distinct()
-        fresh = step.join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        step = open_.select("src", F.col("dst").alias("via")).join(both.select(F.col("src").alias("via"), F.col("dst")), "via").where("dst != src").select("src", "dst", F.lit(0).alias("seen"))
+        met = step.unionByName(known.select("src", "dst", F.lit(1).alias("seen"))).groupBy("src", "dst").agg(F.max("seen").alias("seen"))
+        fresh = met.where("seen = 0").select("src", "dst")
         pairs = fresh.join(own, "src").join(vectors.select(F.col("node").alias("dst"), F.col("vec").alias("y")), "dst")
         scored = pairs.select("src", "dst", "x", "y").mapInArrow(_cosines, _EDGES).withColumn("expanded", F.lit(False))
         old = known.select("src", "dst", "sim", (F.col("expanded") | (F.col("rank") <= p.beam)).alias("expanded"))
