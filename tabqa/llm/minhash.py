@@ -59,6 +59,8 @@ class NearDupParams:
     memo_words: int = 500_000  # word hashes remembered by a task
 
 
+CELLS = 64  # of the hash space of shingles, for bounds on overlaps
+
 # The odd multipliers of a well-known 64-bit finaliser.
 _GAP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -193,7 +195,7 @@ def sketch(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """``node, set``: the sorted distinct shingle hashes of each text."""
+    """``node, set, cells``: the sorted distinct shingle hashes of each text, and how many fall into each cell of the hash space."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -202,11 +204,13 @@ def shingle_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
             for lo, hi in _slices(texts, p.slice_words):
                 doc, element = shingles(texts[lo:hi], p.words, memo)
                 d, e, _ = weighted(doc, element, "count")
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(lo, hi - lo), _lists(e.view(np.int64), np.bincount(d, minlength=hi - lo))], names=["node", "set"])
+                cells = np.bincount(d * CELLS + (e % np.uint64(CELLS)).astype(np.int64), minlength=(hi - lo) * CELLS)
+                lists = [_lists(e.view(np.int64), np.bincount(d, minlength=hi - lo)), _lists(cells, np.full(hi - lo, CELLS))]
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(lo, hi - lo), *lists], names=["node", "set", "cells"])
                 if len(memo) > p.memo_words:
                     memo = WordHashes()
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, set array<bigint>")
+    return docs.select("node", "text").mapInArrow(run, "node binary, set array<bigint>, cells array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,26 +238,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _bounds(sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """``node, n, own, lo, hi``: what sizes a similar text can have.
+    """``node, n, own, lo, hi, shared``: what a similar text can be like.
 
     Of the ``n`` shingles of a node, ``own`` are in no other candidate's set and so are
-    lost to any overlap; a similar text's size lies in [lo, hi].  Nodes that nothing
-    can be similar to are left out.  The bounds are exact: no similar pair is lost.
+    lost to any overlap; a similar text's size lies in [lo, hi].  ``shared`` counts the
+    others by cell of the hash space.  Nodes that nothing can be similar to are left
+    out.  The bounds are exact: no similar pair is lost.
     """
     s = p.similarity
     alone = sets.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    x = sets.select("node", F.size("set").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("int"))
+    cell = F.pmod("shingle", F.lit(CELLS))
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.array(*[F.count_if(cell == k) for k in range(CELLS)]).alias("own_cells"))
+    x = sets.select("node", F.size("set").alias("n"), "cells").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("int"))
+    left = F.when(F.col("own") == 0, F.col("cells")).otherwise(F.zip_with("cells", "own_cells", lambda c, o: c - o))
+    x = x.withColumn("shared", F.transform(left, lambda c: c.cast("int")))
     x = x.withColumn("lo", F.ceil(F.col("n") * s - 1e-6)).withColumn("hi", F.floor((F.col("n") - F.col("own")) / s - F.col("own") + 1e-6))
-    return x.where("lo <= hi and n > 0")
+    return x.where("lo <= hi and n > 0").select("node", "n", "own", "lo", "hi", "shared")
 
 
 def _able(a: str, b: str, s: float) -> Column:
-    """Whether two nodes (structs of bounds) can be that similar, by their sizes and the shingles that only one has."""
+    """Whether two nodes (structs of bounds) can be that similar.
+
+    By their sizes, and by the largest overlap that the shingles that others have, too,
+    allow cell by cell.
+    """
     of = lambda x, f: F.col(f"{x}.{f}")
-    most = F.least(of(a, "n") - of(a, "own"), of(b, "n") - of(b, "own"))
     fits = of(b, "n").between(of(a, "lo"), of(a, "hi")) & of(a, "n").between(of(b, "lo"), of(b, "hi"))
-    return fits & (most >= s * (of(a, "n") + of(b, "n") - most) - 1e-6)
+    enough = lambda o: o >= s * (of(a, "n") + of(b, "n") - o) - 1e-6
+    most = F.aggregate(F.zip_with(of(a, "shared"), of(b, "shared"), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return fits & enough(F.least(of(a, "n") - of(a, "own"), of(b, "n") - of(b, "own"))) & enough(most)
 
 
 def _with_centre(open_: DataFrame, turn: int, p: NearDupParams) -> DataFrame:
@@ -305,7 +318,7 @@ def classes(docs: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "
     wanted = rank.join(nodes, "node").select("node", F.col("first.id").alias("_id"))
     sets = named.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     sets = pin(shingle_sets(sets, p).dropDuplicates(["node"]), "neardup-sets")
-    me = F.struct("n", "own", "lo", "hi").alias("me")
+    me = F.struct("n", "own", "lo", "hi", "shared").alias("me")
     members = pin(members.join(_bounds(sets, p), "node").select("bucket", "node", "rank", me), "neardup-bounded")
 
     links, tried, labels = None, None, None
