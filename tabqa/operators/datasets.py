@@ -27,22 +27,22 @@ def dedup_first(kept: DataFrame) -> DataFrame:
     return kept.join(first.select(*KEY), KEY, "left_semi")
 
 
-def few_shot(kept: DataFrame, n_shot: int) -> DataFrame:
+def few_shot(kept: DataFrame, n_shot: int, fields: tuple[str, ...] = ("sql", "answer")) -> DataFrame:
     """The first ``n_shot`` queries of a table are shared examples; every other
     query becomes a target with ``examples = [target] + shots``.  Tables with at
     most ``n_shot`` queries yield nothing.
 
-    ``kept`` has table_id, query_no, sql, answer.  The per-table window ranks the
-    table's queries, which are bounded by the queries drawn per table.
+    ``kept`` has table_id, query_no and the ``fields`` of an example.  The per-table
+    window ranks the table's queries, which are bounded by the queries drawn per table.
     """
     w = Window.partitionBy("table_id").orderBy("query_no")
     ranked = kept.withColumn("rn", F.row_number().over(w))
-    ex = F.struct("query_no", "sql", "answer")
+    ex = F.struct("query_no", *fields)
     shots = ranked.where(F.col("rn") <= n_shot).groupBy("table_id").agg(
-        F.transform(F.array_sort(F.collect_list(ex)), lambda s: F.struct(s["sql"].alias("sql"), s["answer"].alias("answer"))).alias("shots"),
+        F.transform(F.array_sort(F.collect_list(ex)), lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("shots"),
         F.count(F.lit(1)).alias("n_shots"),
     )
-    targets = ranked.where(F.col("rn") > n_shot).select("table_id", "query_no", "rn", F.struct("sql", "answer").alias("target"))
+    targets = ranked.where(F.col("rn") > n_shot).select("table_id", "query_no", "rn", F.struct(*fields).alias("target"))
     return targets.join(shots.where(F.col("n_shots") == n_shot), "table_id").select(
         "table_id", "query_no", "rn", F.concat(F.array("target"), F.col("shots")).alias("examples")
     )
@@ -99,11 +99,22 @@ def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -
     return (rd.schema(schema) if schema else rd).json(path)
 
 
-def write_text_pairs(df: DataFrame, path: str) -> tuple[str, str]:
-    """Target SQL and answer as two text outputs, line-aligned by a key order."""
+def write_text_pairs(df: DataFrame, path: str, order: list[str]) -> tuple[str, str]:
+    """Target SQL and answer as two text outputs, aligned line by line.
+
+    The pairs are written once, range-partitioned and sorted by ``order``; both texts
+    come from that copy, so part files of one number hold the same rows in the same order.
+    """
+    line = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\r\n]", " ")
+    n = df.sparkSession.sparkContext.defaultParallelism
+    keys = [F.col(c) for c in order]
+    pairs = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(F.col("sql"), F.col("answer").cast("string").alias("answer"))
+    copy = f"{path}/pairs"
+    pairs.select(line(F.col("sql")).alias("sql"), line(F.col("answer")).alias("answer")).write.mode("overwrite").parquet(copy)
+    written = df.sparkSession.read.parquet(copy)
     a, b = f"{path}/sql", f"{path}/answer"
-    df.select(F.regexp_replace("sql", "\n", " ").alias("value")).write.mode("overwrite").text(a)
-    df.select(F.regexp_replace(F.coalesce("answer", F.lit("")), "\n", " ").alias("value")).write.mode("overwrite").text(b)
+    written.select(F.col("sql").alias("value")).write.mode("overwrite").text(a)
+    written.select(F.col("answer").alias("value")).write.mode("overwrite").text(b)
     return a, b
 
 

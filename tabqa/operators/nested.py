@@ -1,4 +1,4 @@
-"""Two-level queries built on level-1 answers (I8, E3, E7): ``select ( q ) op value``.
+"""Two- and three-level queries built on level-1 answers.
 
 Level-1 specs are drawn with the sub-query rules (flag 'd'), answered by
 the batched executor, filtered by the acceptance rule for scalar
@@ -8,10 +8,13 @@ expressions — the level-1 answer is joined, never re-executed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabqa.functions.hashing import hk, key, unit, weighted_choice
+from tabqa.functions.indexing import row_index
+from tabqa.operators.batch import Answers, execute
+from tabqa.session import pin
 
 KEY = ["table_id", "query_no"]
 # Emission weights of two- and three-level queries, and the aggregates a pair may combine.
@@ -63,6 +66,57 @@ def op_and_value(specs: DataFrame, answers: DataFrame, rows: DataFrame, seed: in
     return j.select(*KEY, sql.alias("sql"), F.coalesce(result, F.lit(False)).cast("int").cast("string").alias("answer"))
 
 
+# Weights of the comparison with a sub-query on a numeric column.
+NEST_NUM_OPS = ([">", "<", "="], [0.4, 0.4, 0.2])
+
+
+def _compare(a: Column, op: Column, b: Column) -> Column:
+    return F.when(op == ">", a > b).when(op == "<", a < b).when(op == "=", a == b)
+
+
+def where_nested(outer: DataFrame, sub: DataFrame, sub_answers: Answers, rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """d2-d4: ``... where c op ( q )`` queries and their answers.
+
+    ``outer`` and ``sub`` are specs over the same tables; those of one (table_id, query_no)
+    make a query if the sub-query is accepted: one plain column, an answer neither
+    empty nor of every row, its first value not NULL, and a single row where the column
+    is numeric.  Text columns compare with ``=`` (one value) or ``in``, numeric ones with a
+    drawn operator.  The level-1 answer is joined, never executed again: the rows that it
+    admits become the rows of a table numbered by the query, over which the outer
+    spec runs as it is.  Returns the outer specs (with ``sql``, ``nop`` and the number
+    ``nid``) and the answer texts, keyed by (table_id, query_no).
+    """
+    s1 = F.try_element_at("s_cols", F.lit(1))
+    a = sub.select(*KEY, F.col("sql").alias("sub_sql"), s1.alias("ncol"), F.array_contains("ic", s1).alias("is_num"), F.col("s_kind").alias("sub_kind"))
+    a = a.join(sub_answers.answers.select(*KEY, F.col("n_rows").alias("sub_rows"), "n_ans_rows", "n_ans_cols", "first_value"), KEY)
+    one = F.when(F.col("is_num"), F.col("n_ans_rows") == 1).otherwise(F.lit(True))
+    ok = (F.col("n_ans_rows") > 0) & (F.col("n_ans_rows") != F.col("sub_rows")) & F.col("first_value").isNotNull()
+    ok = ok & (F.col("sub_kind") == "cols") & (F.col("n_ans_cols") == 1) & one
+    op = F.when(F.col("is_num"), weighted_choice(key(seed, F.col("table_id"), F.col("query_no"), "nest", "op"), *NEST_NUM_OPS)).otherwise(
+        F.when(F.col("n_ans_rows") == 1, "=").otherwise("in")
+    )
+    a = a.where(ok).select(*KEY, "sub_sql", "ncol", "is_num", op.alias("nop"), "first_value")
+    o = outer.join(a, KEY)
+    cond = F.concat(F.element_at("header", F.col("ncol") + 1), F.lit(" "), F.col("nop"), F.lit(" ( "), F.col("sub_sql"), F.lit(" )"))
+    lead = F.when(F.col("w_n") > 0, F.lit(" and ")).otherwise(F.lit(" where "))
+    split = r"^(.*?)\s*(order by .*)?$"
+    sql = F.concat(F.regexp_extract("sql", split, 1), lead, cond, F.lit(" "), F.regexp_extract("sql", split, 2))
+    specs = pin(row_index(o.withColumn("sql", F.trim(F.regexp_replace(sql, " {2}", " "))), [], KEY, out="nid"), "nested-specs")
+
+    # The rows that each query's sub-answer admits.
+    asked = specs.select("nid", "table_id", "query_no", "ncol", "is_num", "nop", F.col("first_value").try_cast("bigint").alias("n"))
+    by_number = rows.join(asked.where("is_num"), "table_id").where(_compare(F.try_element_at("nums", (F.col("ncol") + 1).cast("int")), F.col("nop"), F.col("n")))
+    values = sub_answers.answer_rows.join(asked.where("not is_num"), KEY).select("nid", "table_id", "ncol", F.try_element_at("vals", F.lit(1)).alias("v")).distinct()
+    wanted = values.select("table_id", "ncol").distinct()
+    cells = rows.join(wanted, "table_id").select("table_id", "ncol", "row_idx", "cells", "nums", F.try_element_at("cells", (F.col("ncol") + 1).cast("int")).alias("v"))
+    by_text = cells.join(values, ["table_id", "ncol", "v"])
+    keep = [F.col("nid").alias("table_id"), "row_idx", "cells", "nums"]
+    admitted = pin(by_number.select(*keep).unionByName(by_text.select(*keep)), "nested-rows")
+    ran = execute(admitted, specs.drop("table_id").withColumnRenamed("nid", "table_id"))
+    back = specs.select("nid", "table_id", "query_no")
+    return specs, ran.texts().withColumnRenamed("table_id", "nid").drop("query_no").join(back, "nid")
+
+
 # Fixed values, as above.
 PAIR_NUM_OPS = ([">", "<", "+", "-"], [0.1, 0.1, 0.35, 0.35])
 ALLOWED_AGG_SETS = [["count"], ["max"], ["min"], ["max", "min"]]

@@ -18,6 +18,17 @@ HEADERS = {
     ("cot", True): "You are an SQL executor, you need to output the execution process and the final answer based on the table and SQL. \nTable:\n{}\nNow you need to get the answer based on the SQL, only give me the intermedium results and the final answer.\nThe following are some examples.\n\n{}",
 }
 HEADERS[("cot", False)] = HEADERS[("cot", True)]
+HEADERS[("ins", True)] = "You need to obtain the final answer based on the table and instructions. Only give me the result and do not output any other words. \nTable:\n{}\nNow you need to get the answer based on the instruction, only give me the result and do not output any other words.\nThe following are some examples.\n\n{}"
+HEADERS[("ins", False)] = "You need to obtain the final answer based on the table and instructions. Only give me the result and do not output any other words. \nTable:\n{}\nNow you need to get the answer based on the instruction, only give me the result and do not output any other words.\n{}"
+
+# By task, the words before what is asked, the field asked, the words before what is answered,
+# the field answered, and what follows it.
+SHOTS = {
+    "qa": ("Question:", "question", "\nAnswer:", "answer", "\n"),
+    "ins": ("Instruction:", "multistep", "\nAnswer:", "answer", "\n"),
+    "sql": ("SQL:", "sql", "\nAnswer:", "answer", "\n"),
+    "cot": ("SQL:", "sql", "\nExecution process:\n", "sql_cot", "\n\n"),
+}
 
 
 def header(task: str, n_shot: int) -> tuple[str, str, str]:
@@ -28,17 +39,23 @@ def header(task: str, n_shot: int) -> tuple[str, str, str]:
     return a, b, c
 
 
-def few_shot_block(examples: Column, n_shot: int, task: str = "sql", answer_prompt: bool = False) -> Column:
+def few_shot_block(examples: Column, n_shot: int, task: str = "sql", answer_prompt: bool = False, list_answers: bool = False) -> Column:
     """Shots ``examples[1..n]`` then the target ``examples[0]``.
 
-    List answers (arrays) are joined with ','.
+    The examples carry the fields of their task (``SHOTS``).  ``answer_prompt``
+    ends the target where its answer begins, as one of the reference's runners
+    does; the execution process of ``cot`` always does.  ``list_answers`` says that
+    answers are arrays, which are joined with ','.
     """
+    ask, asked, before, answered, after = SHOTS[task]
+
+    def said(e: Column) -> Column:
+        v = F.array_join(e[answered], ",") if list_answers and answered == "answer" else e[answered]
+        return F.coalesce(v, F.lit("None"))
+
     shots = F.slice(examples, 2, max(n_shot, 0))
-    if task == "sql":
-        item = lambda e: F.concat(F.lit("SQL:"), e["sql"], F.lit("\nAnswer:"), F.coalesce(e["answer"], F.lit("None")), F.lit("\n"))
-        last = F.concat(F.lit("SQL:"), F.element_at(examples, 1)["sql"], F.lit("\nAnswer:" if answer_prompt else ""))
-    else:
-        raise ValueError(f"task {task!r} needs fields that this corpus does not carry")
+    item = lambda e: F.concat(F.lit(ask), e[asked], F.lit(before), said(e), F.lit(after))
+    last = F.concat(F.lit(ask), F.element_at(examples, 1)[asked], F.lit(before if answer_prompt or task == "cot" else ""))
     return F.concat(F.array_join(F.transform(shots, item), ""), last)
 
 

@@ -190,6 +190,71 @@ def inst_coarse_nested(spark, sf_dir):
     return N.op_and_value(sp, ans, c.rows, D1.seed)
 
 
+SUB = S.SpecParams(seed=21, per_table=10, templates=("s1", "s2", "s3", "s4"), flag="d")
+NESTED = {
+    "d2": S.SpecParams(seed=22, per_table=10, templates=("s1",)),
+    "d3": S.SpecParams(seed=23, per_table=10, templates=("s3",)),
+    "d4": S.SpecParams(seed=24, per_table=10, templates=("s2",)),
+}
+
+
+def _d_where_nested(name: str) -> str:
+    """Oracle: the sub-queries answered, then the outer specs over the rows that they admit."""
+    from tabqa.operators import nested as N
+    from tabqa.plans import duck as D
+
+    p = NESTED[name]
+    corpus = DB.LINEITEM_BY_SUPPLIER
+    level1 = DB.exec_sql(
+        corpus, SUB,
+        """SELECT s.table_id, s.query_no, s.sql, s.s_cols[1] AS ncol, list_contains(s.ic, s.s_cols[1]) AS is_num, s.s_kind,
+                  a.n_rows, a.n_ans_rows, a.n_ans_cols, v.vs, v.first_value
+           FROM specs s JOIN answers a USING (table_id, query_no)
+           JOIN (SELECT table_id, query_no, list(DISTINCT vals[1]) AS vs, arg_min(vals[1], coalesce(ord_i, 0)) AS first_value
+                 FROM answer_rows GROUP BY table_id, query_no) v USING (table_id, query_no)""",
+    )
+    op_num = D.weighted(D.key(p.seed, "table_id", "query_no", "'nest'", "'op'"), *N.NEST_NUM_OPS)
+    accepted = f"""acc AS (SELECT table_id, query_no, sql AS sub_sql, ncol, is_num, vs, first_value,
+                      CASE WHEN is_num THEN {op_num} WHEN n_ans_rows = 1 THEN '=' ELSE 'in' END AS nop
+               FROM ({level1}) WHERE n_ans_rows > 0 AND n_ans_rows <> n_rows AND first_value IS NOT NULL AND s_kind = 'cols'
+                 AND n_ans_cols = 1 AND CASE WHEN is_num THEN n_ans_rows = 1 ELSE true END)"""
+    cond = "b.header[c.ncol + 1] || ' ' || c.nop || ' ( ' || c.sub_sql || ' )'"
+    pat = r"'^(.*?)\s*(order by .*)?$'"
+    sql = (
+        f"trim(regexp_replace(regexp_extract(b.sql, {pat}, 1) || CASE WHEN b.w_n > 0 THEN ' and ' ELSE ' where ' END || {cond} || ' ' || "
+        f"regexp_extract(b.sql, {pat}, 2), ' {{2}}', ' ', 'g'))"
+    )
+    body = DB.exec_sql(
+        corpus, p, "SELECT table_id, query_no, sql, n_ans_rows, answer, n_selected FROM answers",
+        derive=f"SELECT b.* REPLACE ({sql} AS sql) FROM specs_base b JOIN acc c USING (table_id, query_no)",
+    )
+    n, v = "r.nums[c.ncol + 1]", "TRY_CAST(c.first_value AS BIGINT)"
+    admits = f"CASE WHEN c.is_num THEN CASE c.nop WHEN '>' THEN {n} > {v} WHEN '<' THEN {n} < {v} ELSE {n} = {v} END ELSE list_contains(c.vs, r.cells[c.ncol + 1]) END"
+    body = body.replace(
+        "x AS (SELECT s.*, r.row_idx, r.cells, r.nums FROM specs s JOIN crows r USING (table_id)),",
+        f"x AS (SELECT s.*, r.row_idx, r.cells, r.nums FROM specs s JOIN acc c USING (table_id, query_no) JOIN crows r ON r.table_id = s.table_id WHERE {admits}),",
+    )
+    return body.replace("WITH ", f"WITH {accepted},\n", 1)
+
+
+def _nested(name: str, doc: str) -> None:
+    def fn(spark, sf_dir):
+        from tabqa.operators import nested as N
+
+        c = shared.corpus(spark, sf_dir, "supplier")
+        outer, sub = shared.specs(spark, sf_dir, "supplier", NESTED[name]), shared.specs(spark, sf_dir, "supplier", SUB)
+        _, texts = N.where_nested(outer, sub, shared.executed(spark, sf_dir, "supplier", SUB), c.rows, NESTED[name].seed)
+        return texts.select("table_id", "query_no", "sql", "n_ans_rows", "answer", "n_selected")
+
+    fn.__doc__ = doc
+    query(f"inst_coarse_{name}", _d_where_nested(name))(fn)
+
+
+_nested("d2", "``select .. where c op ( q )`` over accepted level-1 answers (I8, E1, E2).")
+_nested("d3", "``select .. where c op ( q ) order by ..`` (I8, E5).")
+_nested("d4", "``select .. where w and c op ( q )`` (I8, E6).")
+
+
 T1 = S.SpecParams(seed=9, per_table=20, templates=("s1", "s2", "s3"), flag="t", pair=True)
 
 
@@ -271,6 +336,30 @@ def nl_instruction_zh(spark, sf_dir):
     return shared.specs(spark, sf_dir, "supplier", SP).select("table_id", "query_no", "multistep_zh")
 
 
+_FINE_COL = "list_filter(header, lambda h: contains(regexp_extract(sql, 'select (.*?) from', 1), h))[1]"
+_FINE_WHERE = "trim(regexp_extract(sql, 'where (.*)$', 1))"
+_FINE_EN = (
+    f"'Filter the row according to the condition, the cells of the specified column in the row need to meet: ' || {_FINE_WHERE} || '.' || "
+    f"'Select cell of ''' || {_FINE_COL} || ''' column in filtered rows.'"
+)
+_FINE_ZH = f"'根据条件筛选行，行中指定列的单元格需要满足： ' || {_FINE_WHERE} || '.' || '选择已筛选的行中的 ''' || {_FINE_COL} || ''' 列的值作为答案'"
+
+
+def _fine_text(name: str, zh: bool, duck: str, doc: str) -> None:
+    def fn(spark, sf_dir):
+        from tabqa.operators.instructions import multiturn
+
+        sp = shared.specs(spark, sf_dir, "supplier", FINE)
+        return sp.select("table_id", "query_no", multiturn(F.col("sql"), F.col("header"), zh).alias("multiturn"))
+
+    fn.__doc__ = doc
+    query(name, f"WITH {DB.LINEITEM_BY_SUPPLIER},\n{DB.specs_sql(DB.LINEITEM_BY_SUPPLIER, FINE)}\nSELECT table_id, query_no, {duck} AS multiturn FROM specs")(fn)
+
+
+_fine_text("nl_fine_en", False, _FINE_EN, "English multi-turn instruction of the fine-template queries (M19).")
+_fine_text("nl_fine_zh", True, _FINE_ZH, "Chinese multi-turn instruction of the fine-template queries (M19).")
+
+
 def _d_answer_tables():
     name = lambda c: f"s.header[{c} + 1]"
     hdr = (

@@ -391,3 +391,25 @@ def gen_budget_filter(spark, sf_dir):
     t = M.table_tokens(c.rows, c.tables)
     return t.where(F.abs(F.col("n_tokens") - TARGET) <= 0.04 * TARGET)
 
+
+
+@query(
+    "src_csv_folder",
+    """SELECT 0 AS table_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, 'n_nationkey|n_name|n_regionkey' AS header, 'INT|TEXT|INT' AS types,
+              concat_ws('|', n_nationkey, n_name, n_regionkey) AS cells FROM nation
+       UNION ALL
+       SELECT 1, row_number() OVER (ORDER BY p_partkey) - 1, 'p_partkey|p_name|p_type|p_retailprice', 'INT|TEXT|TEXT|REAL',
+              concat_ws('|', p_partkey, p_name, p_type, CAST(p_retailprice AS VARCHAR)) FROM part""",
+)
+def src_csv_folder(spark, sf_dir):
+    """A folder of CSV files with different columns, one table per file, with a type per (file, column) (A2)."""
+    from tabqa.operators.datasets import scratch_path
+    from tabqa.sources.tables import read_csv_folder
+
+    t, path = Tables(spark, sf_dir), scratch_path(spark, "csv")
+    t.nation.select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(f"{path}/a")
+    t.part.select("p_partkey", "p_name", "p_type", "p_retailprice").orderBy("p_partkey").coalesce(1).write.option("header", True).csv(f"{path}/b")
+    c = read_csv_folder(spark, f"{path}/*")
+    return c.rows.join(c.tables.drop("n_rows"), "table_id").select(
+        "table_id", "row_idx", F.array_join("header", "|").alias("header"), F.array_join("types", "|").alias("types"), F.array_join("cells", "|").alias("cells")
+    )

@@ -13,6 +13,7 @@ from tabqa.plans import controls as PC
 from tabqa.plans import duck_batch as DB
 from tabqa.plans import shared
 from tabqa.plans.registry import query
+from tabqa.session import pin
 from tabqa.sources import corpus as C
 from tabqa.sources.tables import Tables
 
@@ -161,8 +162,8 @@ def src_jsonl(spark, sf_dir):
 def snk_text_pairs(spark, sf_dir):
     """Target SQL and answers exported as two text outputs, read back."""
     inst, _ = _instances(spark, sf_dir)
-    t = inst.select(F.element_at("examples", 1)["sql"].alias("sql"), F.element_at("examples", 1)["answer"].alias("answer"))
-    a, b = DS.write_text_pairs(t, DS.scratch_path(spark, "pairs"))
+    t = inst.select("table_id", "query_no", F.element_at("examples", 1)["sql"].alias("sql"), F.element_at("examples", 1)["answer"].alias("answer"))
+    a, b = DS.write_text_pairs(t, DS.scratch_path(spark, "pairs"), ["table_id", "query_no"])
     return spark.read.text(a).select(F.lit("sql").alias("kind"), "value").unionByName(
         spark.read.text(b).select(F.lit("answer").alias("kind"), "value")
     )
@@ -230,6 +231,63 @@ def prm_full(spark, sf_dir):
     return j.select("table_id", "query_no", P.full_prompt(F.col("text"), P.few_shot_block(F.col("examples"), N_SHOT), "sql", N_SHOT).alias("prompt"))
 
 
+def _d_block(ask: str, asked: str, before: str, answered: str, after: str, ends: bool) -> str:
+    """A table's shots and each target's block, as text, from ``rk`` with the fields joined."""
+    lit = _d_lit
+    return f"""shot AS (SELECT table_id, string_agg({lit(ask)} || {asked} || {lit(before)} || {answered} || {lit(after)}, '' ORDER BY query_no) AS t, count(*) AS n
+              FROM full_rk WHERE rn <= {N_SHOT} GROUP BY table_id)
+       SELECT f.table_id, f.query_no, s.t || {lit(ask)} || f.{asked} || {lit(before if ends else '')} AS block
+       FROM full_rk f JOIN shot s USING (table_id) WHERE f.rn > {N_SHOT} AND s.n = {N_SHOT}"""
+
+
+def _d_ins() -> str:
+    full = "full_rk AS (SELECT rk.*, s.multistep FROM rk JOIN specs s USING (table_id, query_no))"
+    return f", {D_KEPT}, {full}, " + _d_block("Instruction:", "multistep", "\nAnswer:", "answer", "\n", True)
+
+
+def _d_cot(select: str) -> str:
+    from tabqa.plans.duck_traces import traces_sql
+
+    kept = DB.exec_sql(DB.ORDERS_BY_CUSTOMER, OBC, f", {D_KEPT} SELECT table_id, query_no, sql, answer, rn FROM rk")
+    full = f"full_rk AS (SELECT k.*, t.cot AS sql_cot FROM ({kept}) k JOIN ({traces_sql(OBC)}) t USING (table_id, query_no))"
+    block = _d_block("SQL:", "sql", "\nExecution process:\n", "sql_cot", "\n\n", True)
+    return f"WITH {full}, {block}" if not select else f"WITH {full}, blocks AS (WITH {block}), {select}"
+
+
+def _examples(spark, sf_dir, task: str):
+    """Few-shot instances over the customer tables with the fields of a task."""
+    kept, c = kept_queries(spark, sf_dir, "customer")
+    specs = shared.specs(spark, sf_dir, "customer", OBC)
+    fields = ("sql", "answer")
+    if task == "ins":
+        kept = kept.join(specs.select("table_id", "query_no", "multistep"), ["table_id", "query_no"])
+        fields = ("multistep", "answer")
+    inst = DS.dedup_first(kept)
+    if task == "cot":
+        from tabqa.operators import traces as TR
+
+        inst = pin(inst, "kept")  # read by every step of the trace
+        wanted = pin(specs.join(inst.select("table_id", "query_no"), ["table_id", "query_no"], "left_semi"), "kept-specs")
+        cot = TR.cot(c.rows, wanted).select("table_id", "query_no", F.col("cot").alias("sql_cot"))
+        inst = pin(inst.join(cot, ["table_id", "query_no"]), "kept-cot")
+        fields = ("sql", "answer", "sql_cot")
+    return DS.few_shot(inst, N_SHOT, fields), c
+
+
+@query("prm_few_shot_ins", DB.exec_sql(DB.ORDERS_BY_CUSTOMER, OBC, _d_ins()))
+def prm_few_shot_ins(spark, sf_dir):
+    """Few-shot block of the instruction task, target ending where its answer begins."""
+    inst, _ = _examples(spark, sf_dir, "ins")
+    return inst.select("table_id", "query_no", P.few_shot_block(F.col("examples"), N_SHOT, "ins", answer_prompt=True).alias("block"))
+
+
+@query("prm_few_shot_cot", _d_cot(""))
+def prm_few_shot_cot(spark, sf_dir):
+    """Few-shot block of the execution-process task."""
+    inst, _ = _examples(spark, sf_dir, "cot")
+    return inst.select("table_id", "query_no", P.few_shot_block(F.col("examples"), N_SHOT, "cot").alias("block"))
+
+
 BUDGET = 120
 
 

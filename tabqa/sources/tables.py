@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabqa.functions.indexing import row_index
+from tabqa.session import pin
+from tabqa.sources.corpus import Corpus
+
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -109,15 +113,42 @@ def infer_types(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv_folder(spark: SparkSession, path: str) -> DataFrame:
-    """CSV folder ingest, one logical table per file (A2).
+def read_csv_folder(spark: SparkSession, path: str) -> Corpus:
+    """CSV folder ingest, one table per file (A2).
 
-    Values are read as text; the table key is the source file, taken from
-    the hidden ``_metadata`` column.  Types come from ``infer_types``.
+    Files may differ in their columns: values are read by position as text,
+    into as many positions as any line has fields at most, and a file's first line
+    names its own.  The type of a (file, column) comes from its values, as in
+    ``infer_types``: INT, REAL or TEXT; empty values are NULL.  ``tables`` has the file's path as
+    ``source_file``; table ids number the paths in order.
     """
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .csv(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    width = (spark.read.text(path).agg(F.max(commas)).first()[0] or 0) + 1
+    fields = [f"_c{i}" for i in range(width)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", False).csv(path)
+    raw = raw.select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.array(*fields).alias("cells"),
+    )
+    raw = pin(raw, "csv")  # numbered once
+    numbered = row_index(raw, ["source_file"], ["block", "at"], out="line")
+    n_named = F.size("cells") - F.coalesce(F.array_position(F.transform(F.reverse("cells"), lambda c: c.isNotNull()), True), F.size("cells") + 1) + 1
+    heads = numbered.where("line = 0").select("source_file", F.slice("cells", 1, n_named.cast("int")).alias("header"))
+    heads = pin(row_index(heads, [], ["source_file"], out="table_id"), "csv-headers")
+    rows = numbered.where("line > 0").join(heads, "source_file").select(
+        "table_id", (F.col("line") - 1).alias("row_idx"), F.slice("cells", 1, F.size("header")).alias("cells")
+    )
+    v = F.trim(F.col("v"))
+    kinds = rows.select("table_id", F.posexplode("cells").alias("j", "v")).groupBy("table_id", "j").agg(
+        F.bool_and(F.when(v.isNotNull(), v.rlike(INTEGER_PATTERN))).alias("i"), F.bool_and(F.when(v.isNotNull(), v.try_cast("double").isNotNull())).alias("r")
+    )
+    kind = F.when(F.coalesce("i", F.lit(False)), "INT").when(F.coalesce("r", F.lit(False)), "REAL").otherwise("TEXT")
+    types = kinds.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", kind.alias("t")))), lambda s: s["t"]).alias("types"))
+    sizes = rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    tables = heads.join(types, "table_id", "left").join(sizes, "table_id", "left").select(
+        "table_id", "header", F.coalesce("types", F.transform("header", lambda _: F.lit("TEXT"))).alias("types"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols"), "source_file",
     )
+    rows = rows.join(tables.select("table_id", "types"), "table_id")
+    nums = F.transform("cells", lambda c, j: F.when(F.get("types", j) == "INT", F.trim(c).try_cast("bigint")))
+    return Corpus(rows.select("table_id", "row_idx", "cells", nums.alias("nums")), tables)

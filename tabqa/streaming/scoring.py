@@ -9,6 +9,8 @@ complete output mode is bounded by the number of models.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,11 +28,20 @@ def scored_stream(spark: SparkSession, pred_dir: str, gold: DataFrame, key=("con
 
 
 def running_accuracy(
-    spark: SparkSession, pred_dir: str, gold: DataFrame, sink_table: str, checkpoint: str, available_now: bool = True
+    spark: SparkSession,
+    pred_dir: str,
+    gold: DataFrame,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    available_now: bool = True,
 ) -> StreamingQuery:
-    """Start a query maintaining accuracy and count per model in an in-process table."""
+    """Start a query that hands accuracy and count per model to ``sink(batch, batch_id)`` after each micro-batch.
+
+    The batch is the complete state, one row per model; the caller's sink writes it
+    where it likes, so nothing gathers in the driver.
+    """
     s = scored_stream(spark, pred_dir, gold)
     acc = s.groupBy("model_id").agg(F.avg("em").alias("acc"), F.count(F.lit(1)).alias("n"))
-    w = acc.writeStream.outputMode("complete").format("memory").queryName(sink_table).option("checkpointLocation", checkpoint)
+    w = acc.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
