@@ -80,6 +80,12 @@ def _cmp(a: Column, op: Column, b: Column) -> Column:
     return F.when(op == ">", a > b).when(op == "<", a < b).when(op == "=", a == b)
 
 
+def calculated(op: Column, a: Column, b: Column) -> Column:
+    """Integer arithmetic of two columns: division truncates, and by zero gives NULL."""
+    whole = F.when(b != 0, ((a - a % b) / b).cast("bigint"))
+    return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", F.try_multiply(a, b)).when(op == "/", whole)
+
+
 def _where_cond(n: int) -> Column:
     col, op = F.col(f"w{n}_col"), F.col(f"w{n}_op")
     c, v = _cell(col), _num(col)
@@ -188,7 +194,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
 
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
     s2 = F.try_element_at(F.col("s_cols"), F.lit(2))
-    calc = F.when(F.col("s_op") == "+", _num(s1) + _num(s2)).otherwise(_num(s1) - _num(s2))
+    calc = calculated(F.col("s_op"), _num(s1), _num(s2))
     quoted = F.transform(
         F.col("s_cols"),
         lambda i: F.coalesce(
@@ -232,7 +238,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
         F.count(F.lit(1)).alias("cnt"),
         F.count(hc).alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"), F.sum(hv).alias("h_sum"),
         F.bool_and(F.coalesce(h_row_ok, F.lit(True))).alias("h_every"),
-        F.count(sc).alias("s_cnt"), F.max(sv).alias("s_max"), F.min(sv).alias("s_min"), F.sum(sv).alias("s_sum"),
+        F.count(sc).alias("s_cnt"), F.max(sv).alias("s_max"), F.min(sv).alias("s_min"), F.sum(sv).alias("s_sum"), F.count(sv).alias("s_nums"),
         F.min_by(calc, F.col("row_idx")).alias("calc_first"),
     )
     g = pin(g, "answer-groups")
@@ -245,7 +251,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
             .when(agg == "sum", F.col(f"{prefix}_sum"))
         )
 
-    s_val = pick(F.col("s_agg"), "s").cast("string")
+    s_val = F.when(F.col("s_agg") == "avg", (F.col("s_sum") / F.nullif(F.col("s_nums"), F.lit(0))).cast("string")).otherwise(pick(F.col("s_agg"), "s").cast("string"))
     h_val = pick(F.col("h_agg"), "h")
     having = F.when(F.col("h_kind") == "agg", _cmp(h_val, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).otherwise(
         F.col("h_every")

@@ -40,17 +40,47 @@ TEMPLATES = {
 WHERE_TEMPLATES = ("s2", "s4", "s6", "s7")
 GROUP_TEMPLATES = ("s5", "s6", "s7", "s8")
 ORDER_TEMPLATES = ("s3", "s4", "s7", "s8")
-# Emission weights of the English generator.
-P_WHERE_VALUE = 0.7  # vs column-column
-P_WHERE_ONE = 0.8  # one condition vs two
-TEXT_OPS = (("=", "like", "in"), (0.6, 0.05, 0.1))
+
+
+@dataclass(frozen=True)
+class GeneratorProfile:
+    """Emission weights of one generator of coarse queries."""
+
+    where_value: float  # a condition on a value, not column against column
+    where_one: float  # one condition, not two
+    where_repeat: bool  # two conditions may be on one column
+    text_ops: tuple  # operators on a text column, and their weights
+    having_not_cc: float
+    having_agg: float
+    having_ops: tuple
+    calc: float  # arithmetic of two columns in a top-level select
+    calc_ops: tuple
+    no_agg: tuple  # by flag: (s, d, t)
+    agg_alone: bool  # an aggregate is forced where there is neither WHERE nor GROUP
+    aggs: tuple  # aggregates of a numeric column
+    plain_falling: bool  # a plain select takes 1..n columns with falling weights, not one
+
+
 P_IN_TWO = 0.6
-P_HAVING_NOT_CC = 0.9
-P_HAVING_AGG = 0.7
-P_CALC = 0.05
-P_NO_AGG = 0.8
 P_GROUP_ONLY = 0.5
-NO_AGG_BY_FLAG = {"s": P_NO_AGG, "d": 40 / 45, "t": 40 / 55}
+# The weights of the three generators.
+PROFILES = {
+    "english": GeneratorProfile(
+        where_value=0.7, where_one=0.8, where_repeat=False, text_ops=(("=", "like", "in"), (0.6, 0.05, 0.1)),
+        having_not_cc=0.9, having_agg=0.7, having_ops=(">", "<"), calc=0.05, calc_ops=(("+", "-"), (0.5, 0.5)),
+        no_agg=(0.8, 40 / 45, 40 / 55), agg_alone=False, aggs=("min", "max", "count", "sum"), plain_falling=True,
+    ),
+    "ingested": GeneratorProfile(
+        where_value=1.0, where_one=1.0, where_repeat=False, text_ops=(("=",), (1.0,)),
+        having_not_cc=1.0, having_agg=0.7, having_ops=(">", "<"), calc=0.0, calc_ops=(("+", "-"), (0.5, 0.5)),
+        no_agg=(0.8, 0.8, 0.8), agg_alone=True, aggs=("min", "max", "count", "sum"), plain_falling=False,
+    ),
+    "chinese": GeneratorProfile(
+        where_value=1.0, where_one=0.7, where_repeat=True, text_ops=(("=", "like", "in"), (0.6, 0.2, 0.2)),
+        having_not_cc=1.0, having_agg=0.7, having_ops=(">", "<", "="), calc=0.05, calc_ops=(("+", "-", "*", "/"), (0.5, 0.3, 0.1, 0.1)),
+        no_agg=(0.8, 0.8, 0.8), agg_alone=False, aggs=("min", "max", "count", "sum", "avg"), plain_falling=False,
+    ),
+}
 LITERAL_SLOTS = ("w1a", "w1b", "w1c", "w2a", "w2b", "w2c", "h")
 
 
@@ -66,6 +96,7 @@ class SpecParams:
     pair: bool = False
     # 'coarse' (templates s1-s8) or 'fine' (fine templates)
     kind: str = "coarse"
+    profile: str = "english"  # a name in PROFILES
 
 
 def _q(s: str) -> str:
@@ -97,6 +128,8 @@ class Draws:
         from tabqa.functions.hashing import thresholds
 
         steps = thresholds(options, weights)
+        if len(steps) == 1:
+            return _q(steps[0][0])
         u = self.u(slot)
         whens = " ".join(f"WHEN {u} < {acc!r} THEN {_q(el)}" for el, acc in steps[:-1])
         return f"CASE {whens} ELSE {_q(steps[-1][0])} END"
@@ -114,6 +147,7 @@ class Draws:
 def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
     """Ordered stages of (column, expression); each may use earlier columns."""
     x = Draws(d, p.seed)
+    prof = PROFILES[p.profile]
     is_in = lambda col, items: f"{col} IN ({', '.join(_q(i) for i in items)})"
     st: list[list[tuple[str, str]]] = []
     st.append([
@@ -138,24 +172,24 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
     ])
     cc_a, cc_b = x.two_of("ic", "wcc")
     st.append([
-        ("w_cc", f"has_w AND nic >= 2 AND {x.u('w_mode')} >= {P_WHERE_VALUE!r}"),
+        ("w_cc", f"has_w AND nic >= 2 AND {x.u('w_mode')} >= {prof.where_value!r}"),
         ("w1_pick", x.pick("ac", "w1_col")),
         ("cc_a", cc_a),
         ("cc_b", cc_b),
     ])
     st.append([
-        ("w_n", f"CASE WHEN NOT has_w THEN 0 WHEN w_cc THEN 1 WHEN {x.u('w_num')} < {P_WHERE_ONE!r} THEN 1 ELSE 2 END"),
+        ("w_n", f"CASE WHEN NOT has_w THEN 0 WHEN w_cc THEN 1 WHEN {x.u('w_num')} < {prof.where_one!r} THEN 1 ELSE 2 END"),
         ("w1_col", "CASE WHEN w_cc THEN cc_a ELSE w1_pick END"),
         ("w1_rcol", "CASE WHEN w_cc THEN cc_b END"),
     ])
     st.append([
-        ("w2_col", f"CASE WHEN w_n = 2 THEN {x.pick(d.filt('ac', 'c', 'c <> w1_col'), 'w2_col')} END"),
+        ("w2_col", f"CASE WHEN w_n = 2 THEN {x.pick('ac' if prof.where_repeat else d.filt('ac', 'c', 'c <> w1_col'), 'w2_col')} END"),
     ])
 
     def op_for(n: int) -> str:
         col = f"w{n}_col"
         return (
-            f"CASE WHEN {d.contains('tc', col)} THEN {x.weighted(*TEXT_OPS, f'w{n}_op')} "
+            f"CASE WHEN {d.contains('tc', col)} THEN {x.weighted(*prof.text_ops, f'w{n}_op')} "
             f"ELSE {x.choice(['>', '<', '='], f'w{n}_op')} END"
         )
 
@@ -184,8 +218,8 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
         ),
         (
             "h_kind",
-            f"CASE WHEN NOT has_g THEN NULL WHEN nic >= 2 AND {x.u('h_mode')} >= {P_HAVING_NOT_CC!r} THEN 'colcol' "
-            f"WHEN {x.u('h_agg')} < {P_HAVING_AGG!r} THEN 'agg' ELSE 'bare' END",
+            f"CASE WHEN NOT has_g THEN NULL WHEN nic >= 2 AND {x.u('h_mode')} >= {prof.having_not_cc!r} THEN 'colcol' "
+            f"WHEN {x.u('h_agg')} < {prof.having_agg!r} THEN 'agg' ELSE 'bare' END",
         ),
         ("remain", f"CASE WHEN {d.size('remain0')} > 0 THEN remain0 ELSE ac END"),
         ("hc_a", hc_a),
@@ -198,7 +232,7 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
             f"WHEN 'colcol' THEN hc_a END",
         ),
         ("h_rcol", "CASE WHEN h_kind = 'colcol' THEN hc_b END"),
-        ("h_op", f"CASE WHEN has_g THEN {x.choice(['>', '<'], 'h_op')} END"),
+        ("h_op", f"CASE WHEN has_g THEN {x.choice(prof.having_ops, 'h_op')} END"),
         ("h_n1", f"1 + {x.hs('h_n1')} % 6"),
     ])
     sc_a, sc_b = x.two_of("ic", "sc")
@@ -215,12 +249,12 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
             f"CASE WHEN h_kind = 'agg' THEN CASE WHEN {d.contains('tc', 'h_col')} THEN 'count' "
             f"ELSE {x.choice(['count', 'max', 'min', 'sum'], 'h_aggf')} END END",
         ),
-        ("s_calc", f"{x.u('s_calc')} < {(P_CALC if p.flag == 's' else 0.0)!r}"),
-        ("s_noagg", f"{x.u('s_agg')} < {NO_AGG_BY_FLAG[p.flag]!r}"),
-        ("s_op", f"CASE WHEN {x.u('s_op')} < 0.5 THEN '+' ELSE '-' END"),
+        ("s_calc", f"{x.u('s_calc')} < {(prof.calc if p.flag == 's' else 0.0)!r}"),
+        ("s_noagg", f"{x.u('s_agg')} < {prof.no_agg['sdt'.index(p.flag)]!r}" + (" AND (has_w OR has_g)" if prof.agg_alone else "")),
+        ("s_op", x.weighted(*prof.calc_ops, "s_op")),
         ("sc_a", sc_a),
         ("sc_b", sc_b),
-        ("s_k", k_sel if p.flag == "s" else "1"),
+        ("s_k", k_sel if p.flag == "s" and prof.plain_falling else "1"),
         ("s_col", x.pick("remain", "s_col")),
     ])
     st.append([
@@ -233,7 +267,7 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
         ),
         (
             "s_agg",
-            f"CASE WHEN {d.contains('ic', 's_col')} THEN {x.choice(['min', 'max', 'count', 'sum'], 's_aggf')} ELSE 'count' END",
+            f"CASE WHEN {d.contains('ic', 's_col')} THEN {x.choice(prof.aggs, 's_aggf')} ELSE 'count' END",
         ),
     ])
     st.append([

@@ -51,9 +51,7 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     s_names = F.transform("s_cols", lambda c: name(c))
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
     g_val = F.try_element_at(F.col("cells"), F.col("g_col") + 1)
-    calc = F.when(F.col("s_op") == "+", B._num(s1) + B._num(F.try_element_at(F.col("s_cols"), F.lit(2)))).otherwise(
-        B._num(s1) - B._num(F.try_element_at(F.col("s_cols"), F.lit(2)))
-    )
+    calc = B.calculated(F.col("s_op"), B._num(s1), B._num(F.try_element_at(F.col("s_cols"), F.lit(2))))
 
     # group index: dense rank of the group value inside the spec (SQLite emits groups in key order)
     gx = x.where(F.col("g_col").isNotNull()).select(*KEY, g_val.alias("gk")).distinct()

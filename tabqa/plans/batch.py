@@ -190,6 +190,26 @@ def inst_coarse_nested(spark, sf_dir):
     return N.op_and_value(sp, ans, c.rows, D1.seed)
 
 
+INGESTED = S.SpecParams(seed=31, per_table=20, profile="ingested")
+CHINESE = S.SpecParams(seed=32, per_table=20, profile="chinese")
+
+
+def _profile(name: str, p: S.SpecParams, text: str, doc: str) -> None:
+    def spelt(spark, sf_dir):
+        return shared.specs(spark, sf_dir, "supplier", p).select("table_id", "query_no", "tpl", "sql", text)
+
+    def answered(spark, sf_dir):
+        return shared.answers(spark, sf_dir, "supplier", p).select(*OUT)
+
+    spelt.__doc__, answered.__doc__ = f"Coarse specs of the {doc} generator with their text (I7, M16-M18, 2.R).", f"Their answers (J1, 2.R; {doc})."
+    cte = f"WITH {DB.LINEITEM_BY_SUPPLIER},\n{DB.specs_sql(DB.LINEITEM_BY_SUPPLIER, p)}\n"
+    query(f"inst_{name}", f"{cte}SELECT table_id, query_no, tpl, sql, {text} FROM specs")(spelt)
+    query(f"exec_{name}", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, p, OUT_SQL))(answered)
+
+
+_profile("ingested", INGESTED, "multistep", "ingested-table")
+_profile("zh", CHINESE, "multistep_zh", "Chinese")
+
 SUB = S.SpecParams(seed=21, per_table=10, templates=("s1", "s2", "s3", "s4"), flag="d")
 NESTED = {
     "d2": S.SpecParams(seed=22, per_table=10, templates=("s1",)),

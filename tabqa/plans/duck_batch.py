@@ -118,7 +118,8 @@ def exec_sql(corpus: str, p: S.SpecParams, select: str, derive: str | None = Non
     """Full oracle: corpus CTEs, specs, execution, answers; ``select`` reads ``answers``/``specs``."""
     cc = _cmp("nums[w1_col + 1]", "w1_op", "nums[w1_rcol + 1]")
     where_ok = f"coalesce(w_n = 0 OR ((CASE WHEN w_cc THEN {cc} ELSE {_wcond(1)} END) AND (w_n < 2 OR {_wcond(2)})), false)"
-    calc = "(CASE WHEN s_op = '+' THEN nums[s_cols[1] + 1] + nums[s_cols[2] + 1] ELSE nums[s_cols[1] + 1] - nums[s_cols[2] + 1] END)"
+    n1, n2 = "nums[s_cols[1] + 1]", "nums[s_cols[2] + 1]"
+    calc = f"(CASE s_op WHEN '+' THEN {n1} + {n2} WHEN '-' THEN {n1} - {n2} WHEN '*' THEN {n1} * {n2} WHEN '/' THEN {n1} // nullif({n2}, 0) END)"
     hv = "nums[h_col + 1]"
     h_row_ok = (
         f"(CASE WHEN h_kind = 'bare' THEN {_cmp(hv, 'h_op', 'TRY_CAST(h_lit AS BIGINT)')} "
@@ -135,7 +136,7 @@ def exec_sql(corpus: str, p: S.SpecParams, select: str, derive: str | None = Non
             f"WHEN 'min' THEN {pre}_min WHEN 'sum' THEN {pre}_sum END)"
         )
 
-    s_val = f"CAST({pick('s_agg', 's')} AS VARCHAR)"
+    s_val = f"(CASE WHEN s_agg = 'avg' THEN CAST(s_sum / nullif(s_nums, 0) AS VARCHAR) ELSE CAST({pick('s_agg', 's')} AS VARCHAR) END)"
     h_val = pick("h_agg", "h")
     spec_ctes = specs_sql(corpus, p) if derive is None else specs_sql(corpus, p, "specs_base") + f",\nspecs AS ({derive})"
     return f"""WITH {corpus},
@@ -156,7 +157,7 @@ grouped AS (
          count(cells[h_col + 1]) AS h_cnt, max({hv}) AS h_max, min({hv}) AS h_min, sum({hv}) AS h_sum,
          bool_and(coalesce({h_row_ok}, true)) AS h_every,
          count(cells[s_cols[1] + 1]) AS s_cnt, max(nums[s_cols[1] + 1]) AS s_max, min(nums[s_cols[1] + 1]) AS s_min,
-         sum(nums[s_cols[1] + 1]) AS s_sum, arg_min({calc}, row_idx) AS calc_first
+         sum(nums[s_cols[1] + 1]) AS s_sum, count(nums[s_cols[1] + 1]) AS s_nums, arg_min({calc}, row_idx) AS calc_first
   FROM f WHERE g_col IS NOT NULL OR s_kind = 'agg'
   GROUP BY table_id, query_no, CASE WHEN g_col IS NOT NULL THEN cells[g_col + 1] END),
 gspec AS (SELECT table_id, query_no, g_col, h_kind, h_op, h_agg, h_lit, s_kind, s_agg, o_kind, o_desc FROM specs
