@@ -39,8 +39,12 @@ def py_strip(s: Column) -> Column:
 
 
 def is_numeric(s: Column) -> Column:
-    """O1: Python's ``float(s)`` succeeds."""
-    return F.coalesce(py_strip(s).rlike(PY_FLOAT), F.lit(False))
+    """O1: Python's ``float(s)`` succeeds.
+
+    The first characters rule most texts out before anything is stripped.
+    """
+    may = s.rlike(rf"(?i)^{WS_CLASS}*[+-]?(?:[.0-9]|inf|nan)")
+    return F.coalesce(may & py_strip(s).rlike(PY_FLOAT), F.lit(False))
 
 
 def to_float(s: Column) -> Column:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabqa.functions import text as T
-
-MAX_MODELS = 100_000
+from tabqa.session import pin
 
 
 def exact_match(pred: Column, gold: Column) -> Column:
@@ -23,6 +22,17 @@ def exact_match(pred: Column, gold: Column) -> Column:
     return F.when(both, num_eq.cast("int")).otherwise((T.normalize(pred) == T.normalize(gold)).cast("int"))
 
 
+def prepared(text: Column) -> Column:
+    """What exact match needs of a text; a text that meets many others is prepared once."""
+    return F.struct(T.is_numeric(text).alias("numeric"), T.to_float(text).alias("value"), T.normalize(text).alias("norm"))
+
+
+def match(pred: Column, gold: Column) -> Column:
+    """O3 over prepared texts."""
+    same = (pred["value"] == gold["value"]) & ~F.isnan(pred["value"]) & ~F.isnan(gold["value"])
+    return F.when(pred["numeric"] & gold["numeric"], same.cast("int")).otherwise((pred["norm"] == gold["norm"]).cast("int"))
+
+
 def f1(pairs: DataFrame, key: list[str], pred: str = "pred", gold: str = "gold") -> DataFrame:
     """Token F1 per pair; numeric pairs score 1/0 like exact match."""
     base = pairs.select(
@@ -81,15 +91,12 @@ def pearson(per_model: DataFrame, a: str, b: str) -> DataFrame:
 def kendall_tau_b(per_model: DataFrame, model: str, a: str, b: str) -> DataFrame:
     """Kendall τ-b over models.
 
-    The input is one row per model (an aggregate, checked against
-    ``MAX_MODELS``); τ needs every model pair, formed from that small table.
+    The input is one row per model, written once; τ is a sum over pairs of models.
     """
-    n = per_model.count()
-    if n > MAX_MODELS:
-        raise ValueError(f"{n} models exceed MAX_MODELS={MAX_MODELS}")
+    per_model = pin(per_model.select(model, a, b), "kendall")
     x = per_model.select(F.col(model).alias("m1"), F.col(a).alias("x1"), F.col(b).alias("y1"))
     y = per_model.select(F.col(model).alias("m2"), F.col(a).alias("x2"), F.col(b).alias("y2"))
-    pairs = x.join(F.broadcast(y), F.col("m1") < F.col("m2"))
+    pairs = x.join(y, F.col("m1") < F.col("m2"))
     sx = F.signum(F.col("x1") - F.col("x2"))
     sy = F.signum(F.col("y1") - F.col("y2"))
     s = pairs.agg(

@@ -395,7 +395,7 @@ def gen_budget_filter(spark, sf_dir):
 
 @query(
     "src_csv_folder",
-    """SELECT 0 AS table_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, 'n_nationkey|n_name|n_regionkey' AS header, 'INT|TEXT|INT' AS types,
+    """SELECT CAST(0 AS BIGINT) AS table_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, 'n_nationkey|n_name|n_regionkey' AS header, 'INT|TEXT|INT' AS types,
               concat_ws('|', n_nationkey, n_name, n_regionkey) AS cells FROM nation
        UNION ALL
        SELECT 1, row_number() OVER (ORDER BY p_partkey) - 1, 'p_partkey|p_name|p_type|p_retailprice', 'INT|TEXT|TEXT|REAL',

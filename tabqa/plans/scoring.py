@@ -74,6 +74,7 @@ def predictions(spark, sf_dir, seed: int = SEED):
     nxt = cv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("gold").alias("g_next"))
     prv = cv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("gold").alias("g_prev"))
     g = cv.join(nxt, ["conv_id", "turn"], "left").join(prv, ["conv_id", "turn"], "left")
+    g = g.select("*", O.prepared(F.col("gold")).alias("gold_p"))  # once per text, not per model
     g = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(N_MODELS))).alias("model_id"))
     b = F.pmod(hk(seed, F.col("model_id"), F.col("conv_id"), F.col("turn"), "pred"), F.lit(16))
     m = F.col("model_id")
@@ -89,7 +90,7 @@ def predictions(spark, sf_dir, seed: int = SEED):
         .when(b == m + 6, F.coalesce("g_next", "g_prev", F.lit("None")))
         .otherwise(F.lit("None"))
     )
-    return g.select("model_id", "conv_id", "turn", pred.alias("pred"), "gold")
+    return g.select("model_id", "conv_id", "turn", pred.alias("pred"), "gold", "gold_p")
 
 
 def d_predictions(seed: int = SEED) -> str:
@@ -152,7 +153,7 @@ def evl_normalize(spark, sf_dir):
 def evl_em(spark, sf_dir):
     """Exact match of every derived prediction (O3)."""
     p = predictions(spark, sf_dir)
-    return p.select("model_id", "conv_id", "turn", O.exact_match(F.col("pred"), F.col("gold")).alias("em"))
+    return p.select("model_id", "conv_id", "turn", O.match(O.prepared(F.col("pred")), F.col("gold_p")).alias("em"))
 
 
 _D_F1 = f"""pairs AS (
@@ -195,7 +196,7 @@ scored AS (SELECT model_id, conv_id, turn, gold, {d_em('pred', 'gold')} AS em FR
 def evl_accuracy(spark, sf_dir):
     """Mean exact match and count per model."""
     p = predictions(spark, sf_dir)
-    s = p.select("model_id", O.exact_match(F.col("pred"), F.col("gold")).alias("em"))
+    s = p.select("model_id", O.match(O.prepared(F.col("pred")), F.col("gold_p")).alias("em"))
     return O.accuracy(s, ["model_id"])
 
 
@@ -248,7 +249,7 @@ def evl_join_gold(spark, sf_dir):
 
 def _scored(spark, sf_dir, seed=SEED):
     p = predictions(spark, sf_dir, seed)
-    return p.select("model_id", "conv_id", "turn", "gold", O.exact_match(F.col("pred"), F.col("gold")).alias("em"))
+    return p.select("model_id", "conv_id", "turn", "gold", O.match(O.prepared(F.col("pred")), F.col("gold_p")).alias("em"))
 
 
 @query(
