@@ -290,6 +290,11 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected").unionByName(grouped)), parts)
 
 
+def selected_rows(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``table_id, query_no, row_idx`` of every row that a spec's WHERE selects."""
+    return _join_specs(rows, specs.select(*EXEC_COLS), salt_rows).select(*SPEC_KEY, "row_idx")
+
+
 def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame) -> DataFrame:
     """One row per spec with what rules and texts need to know of its answer.
 

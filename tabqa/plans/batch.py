@@ -464,3 +464,36 @@ def inst_multi_test(spark, sf_dir):
         F.max(F.when(F.col("query_no") % 2 == 1, F.col("n_ans_rows"))).alias("n2"),
     )
     return g.select("table_id", "query_no", "n1", "n2", (F.col("n1").between(2, 5) & F.col("n2").between(2, 5)).cast("int").alias("kept"))
+
+
+_MULTI_SQL = """, parts AS (SELECT s.table_id, s.query_no, a.n_ans_rows, a.answer, regexp_extract(s.sql, '^(.*? where )', 1)
+                    || string_split(regexp_extract(s.sql, ' where (.*)$', 1), ' and ')[1 + s.query_no % 2] AS sql
+             FROM specs s JOIN answers a USING (table_id, query_no))
+  SELECT p1.table_id, p1.query_no // 2 AS query_no, p1.sql AS sql1, p1.answer AS answer1, p2.sql AS sql2, p2.answer AS answer2
+  FROM parts p1 JOIN parts p2 ON p2.table_id = p1.table_id AND p2.query_no = p1.query_no + 1
+  WHERE p1.query_no % 2 = 0 AND p1.n_ans_rows BETWEEN 2 AND 5 AND p2.n_ans_rows BETWEEN 2 AND 5"""
+
+
+@query("inst_multi_test_fields", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, FINE, _MULTI_SQL, derive=_SPLIT_SQL))
+def inst_multi_test_fields(spark, sf_dir):
+    """The two single-condition queries of each kept multi-test query, with their answers (I16)."""
+    from tabqa.functions.dialect import SPARK
+
+    c = shared.corpus(spark, sf_dir, "supplier")
+    parts = split_conditions(shared.specs(spark, sf_dir, "supplier", FINE))
+    parts = S._run_stages(parts, S.render_sql(SPARK))
+    a = B.execute(c.rows, parts).texts().where(F.col("n_ans_rows").between(2, 5))
+    a = a.select("table_id", "query_no", F.floor(F.col("query_no") / 2).cast("int").alias("of"), "sql", "answer")
+    first, second = a.where("query_no % 2 = 0").drop("query_no"), a.where("query_no % 2 = 1").drop("query_no")
+    j = first.withColumnsRenamed({"sql": "sql1", "answer": "answer1"}).join(second.withColumnsRenamed({"sql": "sql2", "answer": "answer2"}), ["table_id", "of"])
+    return j.withColumnRenamed("of", "query_no")
+
+
+@query(
+    "feat_selected_row_list",
+    DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, SP, "SELECT table_id, query_no, row_idx FROM f"),
+)
+def feat_selected_row_list(spark, sf_dir):
+    """The rows that each query's WHERE selects."""
+    c = shared.corpus(spark, sf_dir, "supplier")
+    return B.selected_rows(c.rows, shared.specs(spark, sf_dir, "supplier", SP))

@@ -145,6 +145,49 @@ def feat_clauses(spark, sf_dir):
     )
 
 
+_D_CLAUSE = {
+    "select": "regexp_extract(s.sql, '^select (.*?) from', 1)",
+    "where": "regexp_extract(s.sql, 'where (.*?)( group by | order by |\\s*$)', 1)",
+    "group": "regexp_extract(s.sql, 'group by (\\S+)', 1)",
+    "having": "regexp_extract(s.sql, 'having (.*?)( order by |\\s*$)', 1)",
+    "order": "regexp_extract(s.sql, 'order by (.*?) (asc|desc) limit', 1)",
+}
+
+
+@query(
+    "feat_clause_columns",
+    _duck(
+        "SELECT s.table_id, s.query_no, "
+        + ", ".join(f"array_to_string(list_filter(s.header, lambda h: contains({e}, h)), ',') AS {c}_cols" for c, e in _D_CLAUSE.items())
+        + f", regexp_extract({_D_CLAUSE['select']}, '(sum|count|min|max|avg) \\(', 1) AS select_agg"
+        + f", regexp_extract({_D_CLAUSE['order']}, '(sum|count|min|max|avg) \\(', 1) AS order_agg"
+        + ", regexp_extract(s.sql, 'limit (\\d+)', 1) AS limit_n "
+        + D_FROM
+    ),
+)
+def feat_clause_columns(spark, sf_dir):
+    """Columns of each clause, the aggregates of SELECT and ORDER BY, and the limit, from SQL text."""
+    df, _ = pipeline(spark, sf_dir)
+    text = {
+        "select": F.regexp_extract("sql", "^select (.*?) from", 1),
+        "where": F.regexp_extract("sql", _CLAUSES[1][1], 1),
+        "group": F.regexp_extract("sql", _CLAUSES[2][1], 1),
+        "having": F.regexp_extract("sql", _CLAUSES[3][1], 1),
+        "order": F.regexp_extract("sql", _CLAUSES[4][1], 1),
+    }
+    df = df.select("table_id", "query_no", "header", "sql", *[e.alias(f"t_{c}") for c, e in text.items()])
+    agg = r"(sum|count|min|max|avg) \("
+
+    def columns(c):
+        return F.array_join(F.filter("header", lambda h: F.col(f"t_{c}").contains(h)), ",").alias(f"{c}_cols")
+
+    return df.select(
+        "table_id", "query_no", *[columns(c) for c in text],
+        F.regexp_extract("t_select", agg, 1).alias("select_agg"), F.regexp_extract("t_order", agg, 1).alias("order_agg"),
+        F.regexp_extract("sql", r"limit (\d+)", 1).alias("limit_n"),
+    )
+
+
 # ---------------------------------------------------------------- controls
 
 D_SINGLE = "a.n_ans_rows = 1"

@@ -1,8 +1,10 @@
 """Registry of named queries and their DuckDB oracle SQL.
 
 Each query takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-given tables.  The oracle is independent SQL over the same parquet files;
-computed columns carry the same alias on both sides.
+given tables.  The oracle is SQL over the same parquet files; computed columns
+carry the same alias on both sides.  Oracles of drawn specs share the draws and
+the text stages with the operators (one expression, two dialects); the rules and
+sentences themselves are checked against hand-made goldens in ``tests``.
 """
 
 from __future__ import annotations
