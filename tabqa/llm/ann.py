@@ -6,7 +6,7 @@ an order, in blocks of ``leaf``, are compared in full.  NN-descent then joins ea
 node with its neighbours' vectors, neighbours in either direction, and compares them
 with one another: a neighbour of a neighbour is likely a neighbour.  A comparison is
 made once, where one of the two is new to the node's list, and is kept if it beats the
-worst neighbour of either end.  Iterations end when few lists change.
+worst neighbour of either end.  Iterations end, after ``least_iterations``, when few edges are found.
 
 A query that is itself a row starts from its own node.  Greedy search expands the best
 ``beam`` unexpanded nodes it knows, over edges of both directions, until an expansion
@@ -47,7 +47,8 @@ class AnnParams:
     forest: int = 12
     leaf: int = 2048
     sample: int = 15  # of each kind of neighbour joined in an iteration
-    max_iterations: int = 4
+    least_iterations: int = 2
+    max_iterations: int = 3
     least_change: float = 0.03  # share of edges that an iteration still finds when iterations end
     beam: int = 40
     max_rounds: int = 3
@@ -222,7 +223,7 @@ def graph(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
         old = known.join(done, ["src", "dst"], "left").select("src", "dst", "sim", (F.col("new") & F.col("joined").isNull()).alias("new"), F.lit(False).alias("found"))
         known = pin(_best(old.unionByName(fresh(found)), p.k), "ann-graph")
         changed = known.where("found").count()
-        if changed <= p.least_change * n * min(p.k, n - 1):
+        if turn + 1 >= p.least_iterations and changed <= p.least_change * n * min(p.k, n - 1):
             break
     return known.select("src", "dst", "sim")
 
