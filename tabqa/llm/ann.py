@@ -124,17 +124,19 @@ def _start(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            s = v @ v.T
-            np.fill_diagonal(s, -2)
+        def block(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
             k = min(p.k, len(ids) - 1)
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            return _edges(np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel())
+            for at in range(0, len(ids), 512):  # some rows at a time, which bounds the products held
+                rows = np.arange(at, min(at + 512, len(ids)))
+                s = -(v[rows] @ v.T)
+                s[np.arange(len(rows)), rows] = 2
+                best = np.argpartition(s, k - 1, axis=1)[:, :k]
+                yield _edges(np.repeat(ids[rows], k), ids[best].ravel(), -np.take_along_axis(s, best, 1).ravel())
 
         def blocks(ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
             for part in np.array_split(np.arange(len(ids)), max(1, len(ids) // p.leaf)):
                 if len(part) > 1:
-                    yield block(ids[part], v[part])
+                    yield from block(ids[part], v[part])
 
         order, ids, vecs = -1, np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
         for b in parts:
@@ -147,7 +149,7 @@ def _start(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
                 else:
                     ids, vecs = np.concatenate([ids, new[mine]]), np.concatenate([vecs, m[mine]])
                 while len(ids) >= 2 * p.leaf:
-                    yield block(ids[: p.leaf], vecs[: p.leaf])
+                    yield from block(ids[: p.leaf], vecs[: p.leaf])
                     ids, vecs = ids[p.leaf :], vecs[p.leaf :]
         yield from blocks(ids, vecs)
 
