@@ -125,7 +125,7 @@ def read_csv_folder(spark: SparkSession, path: str) -> Corpus:
     commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
     width = (spark.read.text(path).agg(F.max(commas)).first()[0] or 0) + 1
     fields = [f"_c{i}" for i in range(width)]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", False).csv(path)
+    raw = spark.read.schema(", ".join(f"{c} string" for c in fields)).option("header", False).option("escape", "\"").csv(path)
     raw = raw.select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), F.array(*fields).alias("cells"),
