@@ -63,7 +63,47 @@ def op_and_value(specs: DataFrame, answers: DataFrame, rows: DataFrame, seed: in
         .otherwise(F.concat(F.lit("( '"), F.col("c0"), F.lit("' , '"), F.col("c1"), F.lit("' , '"), F.col("c2"), F.lit("' )")))
     )
     sql = F.regexp_replace(F.concat(F.lit("select ( "), F.col("sql"), F.lit(" ) "), op, F.lit(" "), value_text), " {2}", " ")
-    return j.select(*KEY, sql.alias("sql"), F.coalesce(result, F.lit(False)).cast("int").cast("string").alias("answer"))
+    return j.select(
+        *KEY, sql.alias("sql"), F.coalesce(result, F.lit(False)).cast("int").cast("string").alias("answer"),
+        F.concat(op, F.lit(" "), value_text).alias("op_value"),
+    )
+
+
+# The sentences that link the traces of a nested query's parts.
+LINK_ONE = 'This query is a nested query that requires obtaining a query result first, and then using this query result as the "where condition" to do the next query.'
+LINK_MATCH = "Then, if the process of the previous query matches {}. True or False."
+LINK_WHERE = 'The process of the previous query is the where condition of the next query. The filtering conditions need to meet {} "answer of last step".'
+
+
+def linked_match(nested: DataFrame, sub_traces: DataFrame) -> DataFrame:
+    """M24 of d1: the turns of the sub-query between its linking sentences.
+
+    ``nested`` comes from ``op_and_value``, ``sub_traces`` has ``turn_input, turn_output`` of the level-1 specs.
+    """
+    j = nested.join(sub_traces.select(*KEY, "turn_input", "turn_output"), KEY)
+    last = F.concat(F.lit(LINK_MATCH.split("{}")[0]), F.col("op_value"), F.lit(LINK_MATCH.split("{}")[1]))
+    return j.select(
+        *KEY, "sql", "answer",
+        F.concat(F.array(F.lit(LINK_ONE)), F.col("turn_input"), F.array(last)).alias("turn_input"),
+        F.concat(F.array(F.lit("")), F.col("turn_output"), F.array(F.concat(F.lit("Answer is "), F.col("answer")))).alias("turn_output"),
+    )
+
+
+def linked_where(specs: DataFrame, sub_traces: DataFrame, outer_traces: DataFrame) -> DataFrame:
+    """M24 of d2-d4: the sub-query's turns, the link, then the outer query's turns over the rows admitted.
+
+    ``specs`` comes from ``where_nested``; ``outer_traces`` is keyed by its ``nid``.
+    """
+    outer = outer_traces.select(F.col("table_id").alias("nid"), F.col("turn_input").alias("o_in"), F.col("turn_output").alias("o_out"))
+    sub = sub_traces.select(*KEY, "turn_input", "turn_output")
+    j = specs.select(*KEY, "nid", "sql", "header", "ncol", "nop").join(sub, KEY).join(outer, "nid")
+    need = F.concat(F.element_at("header", F.col("ncol") + 1), F.lit(" "), F.col("nop"))
+    link = F.concat(F.lit(LINK_WHERE.split("{}")[0]), need, F.lit(LINK_WHERE.split("{}")[1]))
+    return j.select(
+        *KEY, "sql",
+        F.concat(F.array(F.lit(LINK_ONE)), F.col("turn_input"), F.array(link), F.col("o_in")).alias("turn_input"),
+        F.concat(F.array(F.lit("")), F.col("turn_output"), F.array(F.lit("")), F.col("o_out")).alias("turn_output"),
+    )
 
 
 # Weights of the comparison with a sub-query on a numeric column.
@@ -112,7 +152,8 @@ def where_nested(outer: DataFrame, sub: DataFrame, sub_answers: Answers, rows: D
     by_text = cells.join(values, ["table_id", "ncol", "v"])
     keep = [F.col("nid").alias("table_id"), "row_idx", "cells", "nums"]
     admitted = pin(by_number.select(*keep).unionByName(by_text.select(*keep)), "nested-rows")
-    ran = execute(admitted, specs.drop("table_id").withColumnRenamed("nid", "table_id"))
+    by_nid = specs.drop("table_id").withColumnRenamed("nid", "table_id")
+    ran = execute(admitted, by_nid)
     back = specs.select("nid", "table_id", "query_no")
     return specs, ran.texts().withColumnRenamed("table_id", "nid").drop("query_no").join(back, "nid")
 

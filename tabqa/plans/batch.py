@@ -187,7 +187,7 @@ def inst_coarse_nested(spark, sf_dir):
     c = shared.corpus(spark, sf_dir, "supplier")
     sp = shared.specs(spark, sf_dir, "supplier", D1)
     ans = shared.executed(spark, sf_dir, "supplier", D1).answers
-    return N.op_and_value(sp, ans, c.rows, D1.seed)
+    return N.op_and_value(sp, ans, c.rows, D1.seed).drop("op_value")
 
 
 INGESTED = S.SpecParams(seed=31, per_table=20, profile="ingested")
