@@ -50,9 +50,9 @@ class AnnParams:
     least_iterations: int = 2
     max_iterations: int = 3
     least_change: float = 0.03  # share of edges that an iteration still finds when iterations end
-    beam: int = 40
+    beam: int = 64
     max_rounds: int = 3
-    rescore: int = 40  # candidates scored in double
+    rescore: int = 64  # candidates scored in double
     seed: int = 7
 
 
