@@ -81,6 +81,8 @@ PROFILES = {
         no_agg=(0.8, 0.8, 0.8), agg_alone=False, aggs=("min", "max", "count", "sum", "avg"), plain_falling=False,
     ),
 }
+PLACE_BYTES = 80  # about what a literal's place takes in a broadcast table
+BROADCAST_BYTES = 64 << 20
 LITERAL_SLOTS = ("w1a", "w1b", "w1c", "w2a", "w2b", "w2c", "h")
 
 
@@ -408,7 +410,9 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
     need = sp.select("table_id", "query_no", F.explode(slots).alias("x")).select(
         "table_id", "query_no", "x.slot", "x.row_idx", "x.col"
     ).where(F.col("col").isNotNull())
-    vals = need.join(rows.select("table_id", "row_idx", "cells"), ["table_id", "row_idx"]).select(
+    # The places asked for go to the rows while their bytes allow, so that the corpus is not shuffled for a few cells.
+    small = sp.count() * len(LITERAL_SLOTS) * PLACE_BYTES <= BROADCAST_BYTES
+    vals = rows.select("table_id", "row_idx", "cells").join(F.broadcast(need) if small else need, ["table_id", "row_idx"]).select(
         "table_id", "query_no", "slot", F.try_element_at("cells", F.col("col") + 1).alias("v")
     )
     piv = vals.groupBy("table_id", "query_no").agg(
