@@ -51,6 +51,8 @@ class Answers:
     def texts(self) -> DataFrame:
         """One row per spec and part with the part's text (J6): '' / first cell / ', '-joined values / joined tuples.
 
+        ``assembled().texts()`` has one row per spec with the whole text.
+
         Parts are numbered by their ranges; the only part of an answer is part 0.
         """
         x = self.answers.join(self.parts, SPEC_KEY, "left").withColumn("part", F.when(F.col("n_parts") > 1, F.col("part")).otherwise(F.lit(0)).cast("bigint"))
@@ -63,9 +65,21 @@ class Answers:
         )
         return x.select("*", answer.alias("answer"), F.coalesce(first, F.array().cast("array<string>")).alias("answer_list")).drop("rows")
 
+    def only(self, specs: DataFrame) -> Answers:
+        """The answers of some specs (``table_id, query_no``)."""
+        return Answers(self.answers.join(specs, SPEC_KEY, "left_semi"), self.parts.join(specs, SPEC_KEY, "left_semi"))
+
+    def assembled(self) -> Answers:
+        """The same answers with the parts of each put together in order, as one part."""
+        several = self.answers.where(F.col("n_parts") > 1).select(*SPEC_KEY)
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "rows"))), lambda p: p["rows"])
+        merged = self.parts.join(several, SPEC_KEY, "left_semi").groupBy(*SPEC_KEY).agg(F.flatten(in_order).alias("rows"))
+        parts = self.parts.join(several, SPEC_KEY, "left_anti").select(*SPEC_KEY, "rows").unionByName(merged)
+        return Answers(self.answers.withColumn("n_parts", F.least("n_parts", F.lit(1))), parts.select(*_part(F.col("rows"), F.lit(0))))
+
     def whole(self) -> DataFrame:
-        """``table_id, query_no, answer`` of the answers that are one part: the budget of consumers that need one text."""
-        return self.texts().where(F.col("n_parts") <= 1).select(*SPEC_KEY, "answer")
+        """``table_id, query_no, answer``: the whole text of every answer, for consumers that need one text."""
+        return self.assembled().texts().select(*SPEC_KEY, "answer")
 
 
 def _cell(i: Column) -> Column:

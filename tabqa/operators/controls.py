@@ -211,8 +211,8 @@ def first_failure(df: DataFrame) -> Column:
 def apply(specs: DataFrame, ans: Answers, rows: DataFrame, c: Controls) -> DataFrame:
     """specs ⋈ answers ⋈ answer position, with rule columns and ``rejected_by``.
 
-    Rules read the facts of an answer, whatever its size.  ``answer`` is its text
-    where it is one part; the answers that K5 lets through always are.
+    Rules read the facts of an answer, whatever its size.  ``answer`` is the whole
+    text of a query that is kept, whatever parts it lies in, and NULL for the others.
     """
     df = specs.join(ans.answers.drop("n_rows", "sql"), ["table_id", "query_no"])
     if c.answer_location.available:
@@ -220,7 +220,9 @@ def apply(specs: DataFrame, ans: Answers, rows: DataFrame, c: Controls) -> DataF
     else:
         df = df.select("*", F.lit(-1).alias("ans_row"), F.lit(-1).alias("ans_col"))
     df = rule_columns(df, c)
-    return df.select("*", first_failure(df).alias("rejected_by")).join(ans.whole(), ["table_id", "query_no"], "left")
+    checked = df.select("*", first_failure(df).alias("rejected_by"))
+    kept = checked.where(F.col("rejected_by").isNull()).select("table_id", "query_no")
+    return checked.join(ans.only(kept).whole(), ["table_id", "query_no"], "left")
 
 
 def report(checked: DataFrame) -> DataFrame:

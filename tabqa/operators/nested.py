@@ -155,7 +155,7 @@ def where_nested(outer: DataFrame, sub: DataFrame, sub_answers: Answers, rows: D
     by_nid = specs.drop("table_id").withColumnRenamed("nid", "table_id")
     ran = execute(admitted, by_nid)
     back = specs.select("nid", "table_id", "query_no")
-    return specs, ran.texts().withColumnRenamed("table_id", "nid").drop("query_no").join(back, "nid")
+    return specs, ran.assembled().texts().withColumnRenamed("table_id", "nid").drop("query_no").join(back, "nid")
 
 
 # Fixed values, as above.

@@ -482,7 +482,7 @@ def inst_multi_test_fields(spark, sf_dir):
     c = shared.corpus(spark, sf_dir, "supplier")
     parts = split_conditions(shared.specs(spark, sf_dir, "supplier", FINE))
     parts = S._run_stages(parts, S.render_sql(SPARK))
-    a = B.execute(c.rows, parts).texts().where(F.col("n_ans_rows").between(2, 5))
+    a = B.execute(c.rows, parts).assembled().texts().where(F.col("n_ans_rows").between(2, 5))
     a = a.select("table_id", "query_no", F.floor(F.col("query_no") / 2).cast("int").alias("of"), "sql", "answer")
     first, second = a.where("query_no % 2 = 0").drop("query_no"), a.where("query_no % 2 = 1").drop("query_no")
     j = first.withColumnsRenamed({"sql": "sql1", "answer": "answer1"}).join(second.withColumnsRenamed({"sql": "sql2", "answer": "answer2"}), ["table_id", "of"])

@@ -51,5 +51,5 @@ def executed(spark, sf_dir: str, name: str, p: S.SpecParams) -> B.Answers:
 
 
 def answers(spark, sf_dir: str, name: str, p: S.SpecParams):
-    """One row per spec and answer part, with its text."""
-    return executed(spark, sf_dir, name, p).texts()
+    """One row per spec, with the whole text of its answer."""
+    return executed(spark, sf_dir, name, p).assembled().texts()
