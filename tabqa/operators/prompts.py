@@ -92,3 +92,25 @@ def truncate(texts: DataFrame, key: list[str], text: str, max_tokens: int, step:
     cut = F.array_join(F.slice(T.py_split(F.col(text)), 1, F.coalesce(F.col("k"), F.lit(0)).cast("int")), " ")
     out = F.when(F.coalesce(F.col("total"), F.lit(0)) <= max_tokens, F.col(text)).otherwise(cut)
     return j.select(*key, out.alias(text))
+
+
+def truncate_parts(parts: DataFrame, key: list[str], text: str, max_tokens: int, step: int = 500, counter=count_tokens) -> DataFrame:
+    """N4 over texts in ordered parts (``chunk`` from 0 on) that end in white space and have a word each.
+
+    What ``truncate`` gives for the joined text.  Tokens are summed over all parts; words
+    are read from the first ``max_tokens`` words of the first ``max_tokens`` parts, which
+    hold the first ``max_tokens`` words of the text.  Texts that fit have no more parts.
+    """
+    words = parts.select(*key, "chunk", F.posexplode(T.py_split(F.col(text))).alias("p", "w")).withColumn("t", counter(F.col("w")))
+    large = words.groupBy(*key).agg(F.sum("t").alias("total")).where(F.col("total") > max_tokens).select(*key)
+    w = Window.partitionBy(*key).orderBy("chunk", "p")
+    lead = words.where((F.col("chunk") < max_tokens) & (F.col("p") < max_tokens)).join(large, key, "left_semi")
+    lead = lead.select(*key, "w", F.row_number().over(w).alias("n"), F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    n = F.col("n")
+    on_grid = (n <= max_tokens) & (F.pmod(F.lit(max_tokens) - n, F.lit(step)) == 0)
+    best = lead.where(n <= max_tokens).groupBy(*key).agg(
+        F.coalesce(F.max(F.when(on_grid & (F.col("cum") <= max_tokens), n)), F.lit(0)).alias("k"), F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws")
+    )
+    cut = best.select(*key, F.array_join(F.transform(F.slice("ws", 1, F.col("k")), lambda s: s["w"]), " ").alias(text))
+    fits = parts.join(large, key, "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", text))).alias("ps"))
+    return cut.unionByName(fits.select(*key, F.array_join(F.transform("ps", lambda s: s[text]), "").alias(text)))

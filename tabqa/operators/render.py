@@ -3,8 +3,8 @@
 Each format is built per row (distributed), then assembled from an ordered
 ``collect_list`` per part.  Tables of every size have one shape: ordered parts
 of ``PART_ROWS`` rows, so no group grows without bound and no row is dropped.
-A consumer that needs one text per table takes ``whole``, whose stated budget
-is one part.
+A consumer that needs one text per table takes ``joined``, which puts the parts of
+tables of every size together; ``whole`` picks the texts that are one part.
 
 Missing cells print as the usual writers print them: empty (text) and ``nan``
 (INT) in markdown, ``None`` and ``nan`` in constructor text, ``null`` in JSON,
@@ -295,10 +295,19 @@ def render(rows: DataFrame, tables: DataFrame, fmt: str, part_rows: int = PART_R
 
 
 def whole(parts: DataFrame) -> DataFrame:
-    """One text per table, of the tables that are one part: the budget of consumers that put a table in one prompt."""
+    """The texts of the tables that are one part."""
     return parts.where(F.col("n_chunks") == 1).drop("chunk", "n_chunks")
 
 
+def joined(parts: DataFrame, fmt: str, key=("table_id",)) -> DataFrame:
+    """``(key..., text)``: one text for every table, its parts joined in order; a text is one value, whatever its size."""
+    if fmt == "dfloader":
+        raise ValueError("parts of constructor text are constructors of their own")
+    sep = _line_and_frame(fmt)[3]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda s: s["text"]), sep)
+    return whole(parts).unionByName(parts.where(F.col("n_chunks") > 1).groupBy(*key).agg(text.alias("text")))
+
+
 def _dfloader_parts(rows: DataFrame, meta: DataFrame, key: list[str], chunk: Column) -> DataFrame:
     """M3: DataFrame-constructor text of each range of rows, built column by column, with the range's index."""
     cells = rows.select(*key, chunk, "row_idx", F.posexplode("cells").alias("j", "v"))

@@ -9,8 +9,7 @@ Every intermediate table — the rows passing WHERE, each group's sub-table,
 the selected values, the aggregate, the top row — is turned into a
 pseudo-table keyed by (table_id, query_no, step, group) and rendered by one
 ``render`` call, so the whole trace set is a handful of joins and ordered
-aggregations.  A trace is one text, so it has a budget: tables of at most
-``MAX_TABLE_ROWS`` rows; larger ones have no trace.
+aggregations.  A trace is one text, for tables of every size.
 """
 
 from __future__ import annotations
@@ -18,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabqa.functions.indexing import row_index
 from tabqa.operators import batch as B
 from tabqa.operators import render as M
 from tabqa.operators.specs import CODE_ENGLISH
 
 KEY = ["table_id", "query_no"]
 PSEUDO = [*KEY, "step", "grp"]
-MAX_TABLE_ROWS = M.PART_ROWS
 
 
 def _eng(c):
@@ -45,7 +44,7 @@ def _joined(rows: DataFrame, sp: DataFrame) -> DataFrame:
 
 def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """(table_id, query_no, n_steps, cot) for every spec drawn from the s templates."""
-    sp = specs.where(F.col("n_rows") <= MAX_TABLE_ROWS).select(*B.EXEC_COLS, "header", "multistep", "n_cols", "ic", "ins_where", "ins_group", "ins_having", "ins_select", "ins_order")
+    sp = specs.select(*B.EXEC_COLS, "header", "multistep", "n_cols", "ic", "ins_where", "ins_group", "ins_having", "ins_select", "ins_order")
     x = _joined(rows, sp)
     name = lambda c: F.try_element_at(F.col("header"), c + 1)
     s_names = F.transform("s_cols", lambda c: name(c))
@@ -147,11 +146,13 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     pmeta = pt_meta[0]
     for m in pt_meta[1:]:
         pmeta = pmeta.unionByName(m)
+    # Parts are ranges of row numbers without gaps.
+    prow = row_index(prow.withColumnRenamed("row_idx", "at"), PSEUDO, ["at"])
     counts = prow.groupBy(*PSEUDO).agg(F.count(F.lit(1)).alias("n_rows"))
     pmeta = pmeta.join(counts, PSEUDO, "left").select(
         *PSEUDO, "header", "types", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols")
     )
-    md = M.whole(M.render(prow, pmeta, "markdown", key=PSEUDO)).withColumnRenamed("text", "md")
+    md = M.joined(M.render(prow, pmeta, "markdown", key=PSEUDO), "markdown", key=PSEUDO).withColumnRenamed("text", "md")
     return md, sp, gagg
 
 
@@ -212,7 +213,7 @@ def cot(rows: DataFrame, specs: DataFrame) -> DataFrame:
     hdr = F.when(grouped, F.array(name(F.col("g_col")))).otherwise(names)
     typ = F.when(grouped, F.array(F.try_element_at(F.col("types"), F.col("g_col") + 1))).otherwise(F.transform("s_cols", lambda c: F.try_element_at(F.col("types"), c + 1)))
     tm = od.select(*_pid(5), hdr.alias("header"), typ.alias("types"), F.lit(1).alias("n_rows"), F.size(hdr).alias("n_cols"))
-    tmd = M.whole(M.render(top_rows, tm, "markdown", key=PSEUDO)).withColumnRenamed("text", "md")
+    tmd = M.joined(M.render(top_rows, tm, "markdown", key=PSEUDO), "markdown", key=PSEUDO).withColumnRenamed("text", "md")
     o = od.select("*", *_pid(5)[2:]).join(tmd, PSEUDO, "left")
     steps.append(o.select(*KEY, F.lit(5).alias("code"), F.col("ins_order").alias("inst"), F.col("md").alias("inter")))
 

@@ -114,7 +114,7 @@ def _d_flatten_text():
 def inst_ft_pairs(spark, sf_dir):
     """Fine-tuning pairs over the customer tables, table as flatten text."""
     kept, c = kept_queries(spark, sf_dir, "customer")
-    text = M.whole(M.render(c.rows, c.tables, "flatten"))
+    text = M.joined(M.render(c.rows, c.tables, "flatten"), "flatten")
     return DS.ft_pairs(kept, text).select("table_id", "query_no", "input", "output")
 
 
@@ -226,7 +226,7 @@ def prm_few_shot(spark, sf_dir):
 def prm_full(spark, sf_dir):
     """Full 5-shot SQL-execution prompts over the customer tables (flatten table text)."""
     inst, c = _instances(spark, sf_dir, "customer")
-    text = M.whole(M.render(c.rows, c.tables, "flatten"))
+    text = M.joined(M.render(c.rows, c.tables, "flatten"), "flatten")
     j = inst.join(text.select("table_id", "text"), "table_id")
     return j.select("table_id", "query_no", P.full_prompt(F.col("text"), P.few_shot_block(F.col("examples"), N_SHOT), "sql", N_SHOT).alias("prompt"))
 
@@ -311,8 +311,7 @@ def _d_truncate():
 def prm_truncate(spark, sf_dir):
     """Table texts cut to a 120-token budget on the reference's word grid."""
     c = C.orders_by_customer(Tables(spark, sf_dir).orders)
-    text = M.whole(M.render(c.rows, c.tables, "flatten"))
-    return P.truncate(text, ["table_id"], "text", BUDGET)
+    return P.truncate_parts(M.render(c.rows, c.tables, "flatten"), ["table_id"], "text", BUDGET)
 
 
 # ------------------------------------------------------------------ E7, I9-I11, I18

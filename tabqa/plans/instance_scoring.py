@@ -140,14 +140,13 @@ def evl_inst_by_clause(spark, sf_dir):
 def snk_results_full(spark, sf_dir):
     """Result rows {pred, gold, answer_row, sql, contents} written as JSON lines and read back whole.
 
-    ``contents`` is a table's cells in one value: its budget is one part of rows.
+    ``contents`` is a table's cells in one value, whatever its size.
     """
     c = shared.corpus(spark, sf_dir, "customer")
     ans = shared.executed(spark, sf_dir, "customer", PD.OBC)
     checked = K.apply(shared.specs(spark, sf_dir, "customer", PD.OBC), ans, c.rows, K.Controls())
     kept = checked.where("rejected_by is null").drop("ans_row", "ans_col").join(K.answer_position(ans.answers, c.rows), ["table_id", "query_no"])
-    small = c.tables.where(F.col("n_rows") <= M.PART_ROWS).select("table_id")
-    contents = c.rows.join(small, "table_id").groupBy("table_id").agg(
+    contents = c.rows.groupBy("table_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))), lambda s: s["cells"]).alias("contents")
     )
     res = _predicted(kept).join(pin(contents, "contents"), "table_id").select(
