@@ -4,8 +4,10 @@ A page is a sequence of words and tags.  Words score by where they stand (in the
 article, in plain body text, in a menu, an advert, a form, a comment, ...), tags cost
 what their kind costs; the weights are log odds counted on labelled pages, pages
 whose markup names the article (``<article>`` or ``<main>``), of which at most
-``labelled`` are taken.  One linear scan finds the contiguous region of the largest
-score; from it come the blocks, without the boilerplate elements inside the region.
+``labelled`` are taken.  Boilerplate elements never come out, so their words and tags
+score nothing, however many there are.  One linear scan finds the contiguous region of
+the largest score; where it begins or ends in an element that names the article, it is
+taken to that element's ends.  From it come the blocks, without the boilerplate elements.
 
 Blocks end at block-level tags.  Character references are decoded, white space in a
 block becomes one space, blocks are trimmed and joined by one newline.
@@ -40,7 +42,6 @@ class ExtractParams:
     labelled: int = 2000  # labelled pages that weights are counted on
     kinds: int = 300  # tag names with a weight of their own; the others share one
     word_cap: float = 2.0
-    skip_cap: float = 0.5  # words in boilerplate never come out, so crossing them costs little
     tag_cap: float = 1.5
 
 
@@ -85,13 +86,21 @@ def hinted(attrs: str) -> bool:
     return bool(words & HINTS) and not ("header" in words & HINTS and len(words & HINTS) == 1 and words & {"article", "post", "entry", "content", "title"})
 
 
-def tokens(page: str, hints: bool = True) -> Iterator[tuple[str, str, str]]:
-    """Words and tags in order: (kind, where or name, text); kind is ``words``, ``tag`` or ``end`` (of a block)."""
-    stack: list[tuple[str, str]] = []
+def tokens(page: str, hints: bool = True) -> Iterator[tuple[str, str, str, str, int]]:
+    """Words and tags in order: (kind, where or name, text, where, box).
+
+    kind is ``words``, ``tag`` or ``end`` (of a block); box numbers the innermost element
+    that names an article, 0 outside of any and in boilerplate.
+    """
+    stack: list[tuple[str, str, int]] = []
     open_names: Counter = Counter()
+    boxes = 0
+
+    def place() -> tuple[str, int]:
+        return stack[-1][1:] if stack else ("plain", 0)
 
     def shut(to: int) -> None:
-        for name, _ in stack[to:]:
+        for name, *_ in stack[to:]:
             open_names[name] -= 1
         del stack[to:]
 
@@ -100,33 +109,33 @@ def tokens(page: str, hints: bool = True) -> Iterator[tuple[str, str, str]]:
 
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
-            where = stack[-1][1] if stack else "plain"
-            yield "words", where, text
+            yield "words", place()[0], text, *place()
             continue
         if m["raw"]:
-            yield "tag", m["raw"].lower(), ""
+            yield "tag", m["raw"].lower(), "", *place()
             if m["raw"].lower() not in INLINE:
-                yield "end", "", ""
+                yield "end", "", "", *place()
             continue
         name = m["name"] or m["name2"]
         if not name:
             continue
         name, closing, attrs = name.lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if name not in INLINE:
-            yield "end", "", ""
+            yield "end", "", "", *place()
         if closing:
+            at = place()
             if open_names[name] > 0:
                 shut(last(name))
-            yield "tag", "/" + name, ""
+            yield "tag", "/" + name, "", *at
             continue
         if name in CLOSES_P and open_names["p"] > 0:
             shut(last("p"))
-        yield "tag", name, ""
         if name in VOID or attrs.endswith("/"):
+            yield "tag", name, "", *place()
             if name == "br":
-                yield "words", stack[-1][1] if stack else "plain", " "
+                yield "words", place()[0], " ", *place()
             continue
-        outer = stack[-1][1] if stack else "plain"
+        outer, box = place()
         if outer.startswith("-"):
             where = outer
         elif name in BOILERPLATE:
@@ -139,7 +148,12 @@ def tokens(page: str, hints: bool = True) -> Iterator[tuple[str, str, str]]:
             where = "article"
         else:
             where = outer
-        stack.append((name, where))
+        if where.startswith("-"):
+            box = 0
+        elif name in CONTAINERS:
+            box = boxes = boxes + 1
+        yield "tag", name, "", where, box
+        stack.append((name, where, box))
         open_names[name] += 1
 
 
@@ -147,7 +161,7 @@ def count_page(page: str) -> Counter:
     """Words by place and tags by name, inside and outside of the labelled article."""
     found: Counter = Counter()
     inside = False
-    for kind, name, text in tokens(page):
+    for kind, name, text, _, _ in tokens(page):
         if kind == "words":
             found["w", name, name == "article"] += len(text.split())
             inside = name == "article"
@@ -165,16 +179,18 @@ class Weights:
 
 
 def weights(counted: list[tuple[str, str, bool, int]], p: ExtractParams) -> Weights:
-    """Log odds from (``w`` or ``t``, name, inside, number); without counts the priors: words in boilerplate -0.5, others 1, tags -1."""
+    """Log odds from (``w`` or ``t``, name, inside, number); without counts the priors: words 1, tags -1."""
     by: dict[tuple[str, str], list[float]] = {}
     for kind, name, inside, n in counted:
         by.setdefault((kind, name), [0.0, 0.0])[bool(inside)] += n
     words = {"article": 1.0, "plain": -1.0}
     tags = {}
     for (kind, name), (out, in_) in by.items():
+        if kind == "w" and name.startswith("-"):
+            continue
         odds = float(np.log((in_ + 1) / (out + 1)))
         if kind == "w":
-            words[name] = float(np.clip(odds, -p.skip_cap, -0.1) if name.startswith("-") else np.clip(odds, 0.5, p.word_cap) if name == "article" else np.clip(odds, -p.word_cap, p.word_cap))
+            words[name] = float(np.clip(odds, 0.5, p.word_cap) if name == "article" else np.clip(odds, -p.word_cap, p.word_cap))
         else:
             tags[name] = float(-np.clip(1 - odds, 0.1, p.tag_cap))
     return Weights(words, tags, -1.0)
@@ -192,6 +208,16 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def to_ends(seen: list[tuple[str, str, str, str, int]], start: int, end: int) -> tuple[int, int]:
+    """The region, from the start of the article element of its first words to the end of that of its last."""
+    boxes = [box for kind, _, text, where, box in seen[start:end] if kind == "words" and text.strip() and not where.startswith("-")]
+    if boxes and boxes[0]:
+        start = min(start, next(i for i, x in enumerate(seen) if x[4] == boxes[0]))
+    if boxes and boxes[-1]:
+        end = max(end, next(i for i in range(len(seen), 0, -1) if seen[i - 1][4] == boxes[-1]))
+    return start, end
+
+
 def extract(page: str | None, w: Weights) -> str:
     """The main text of a page."""
     if not page:
@@ -199,16 +225,18 @@ def extract(page: str | None, w: Weights) -> str:
     for hints in (True, False):
         seen = list(tokens(page, hints))
         # Where the markup names no article, plain body text is what an article is made of.
-        plain = w.words["plain"] if any(k == "words" and where == "article" and t.strip() for k, where, t in seen) else w.words["article"]
+        plain = w.words["plain"] if any(k == "words" and where == "article" and t.strip() for k, where, t, _, _ in seen) else w.words["article"]
         scores = []
-        for kind, name, text in seen:
-            if kind == "words":
-                scores.append((plain if name == "plain" else w.words.get(name, -0.5)) * len(text.split()))
+        for kind, name, text, where, _ in seen:
+            if where.startswith("-"):
+                scores.append(0.0)
+            elif kind == "words":
+                scores.append((plain if name == "plain" else w.words[name]) * len(text.split()))
             else:
                 scores.append(w.tags.get(name.lstrip("/"), w.rare) if kind == "tag" else 0.0)
-        start, end = best_region(scores)
+        start, end = to_ends(seen, *best_region(scores))
         blocks, block = [], []
-        for kind, name, text in seen[start:end] + [("end", "", "")]:
+        for kind, name, text, _, _ in seen[start:end] + [("end", "", "", "", 0)]:
             if kind == "words" and not name.startswith("-"):
                 block.append(text)
             elif kind == "end" and block:
