@@ -6,12 +6,13 @@ an order, in blocks of ``leaf``, are compared in full.  NN-descent then joins ea
 node with its neighbours' vectors, neighbours in either direction, and compares them
 with one another: a neighbour of a neighbour is likely a neighbour.  A comparison is
 made once, where one of the two is new to the node's list, and is kept if it beats the
-worst neighbour of either end.  Iterations end, after ``least_iterations``, when few edges are found.
+worst neighbour of either end.  Iterations end, after ``least_iterations``, when few edges are found,
+however many that takes.
 
 A query that is itself a row starts from its own node.  Greedy search expands the best
-``beam`` unexpanded nodes it knows, over edges of both directions, until an expansion
-no longer changes its best ``beam`` or ``max_rounds`` is reached.  Cosines on the way are of unit vectors in half
-precision; the best candidates are scored anew from the original vectors in double.
+``beam`` unexpanded nodes it knows, over edges of both directions, until no query's best
+``beam`` has an unexpanded node.  Neither is cut off: ``guard`` turns without an end are an
+error.  Cosines on the way are of unit vectors in half precision; the best candidates are scored anew from the original vectors in double.
 
 Every step is a join or a window of slim rows over nodes; lists are bounded by
 ``k`` and ``sample`` (hubs keep a hashed sample of the lists they occur in during one
@@ -48,10 +49,9 @@ class AnnParams:
     leaf: int = 2048
     sample: int = 15  # of each kind of neighbour joined in an iteration
     least_iterations: int = 2
-    max_iterations: int = 3
     least_change: float = 0.03  # share of edges that an iteration still finds when iterations end
     beam: int = 64
-    max_rounds: int = 3
+    guard: int = 200  # iterations or rounds that raise an error
     rescore: int = 64  # candidates scored in double
     seed: int = 7
 
@@ -208,7 +208,7 @@ def graph(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
     fresh = lambda e: e.withColumns({"new": F.lit(True), "found": F.lit(True)})
     known = pin(_best(fresh(_start(nodes, p, n)), p.k), "ann-graph")
     vectors = nodes.select("node", "vec")
-    for turn in range(p.max_iterations):
+    for turn in range(p.guard):
         # Of each node's list the best of the new and of the old; of the lists it occurs in, a hashed sample.
         out = Window.partitionBy("src", "new").orderBy("rank")
         back = Window.partitionBy("dst", "new").orderBy(F.xxhash64(F.lit(turn), "src", "dst"), "src")
@@ -226,8 +226,8 @@ def graph(nodes: DataFrame, p: AnnParams, n: int) -> DataFrame:
         known = pin(_best(old.unionByName(fresh(found)), p.k), "ann-graph")
         changed = known.where("found").count()
         if turn + 1 >= p.least_iterations and changed <= p.least_change * n * min(p.k, n - 1):
-            break
-    return known.select("src", "dst", "sim")
+            return known.select("src", "dst", "sim")
+    raise RuntimeError(f"the graph still changes after {p.guard} iterations")
 
 
 def _cosines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +245,10 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, p: AnnParams)
     starts = queries.select("node").distinct()
     known = pin(both.join(starts, F.col("src") == F.col("node"), "left_semi").withColumn("expanded", F.lit(False)).withColumn("rank", F.row_number().over(w)), "ann-found")
     own = starts.join(vectors, "node").select(F.col("node").alias("src"), F.col("vec").alias("x"))
-    for _ in range(p.max_rounds):
+    for _ in range(p.guard):
         open_ = known.where(~F.col("expanded") & (F.col("rank") <= p.beam))
         if open_.isEmpty():
-            break
+            return known.where(F.col("rank") <= p.rescore).select("src", "dst", "sim")
         step = open_.select("src", F.col("dst").alias("via")).join(both.select(F.col("src").alias("via"), F.col("dst")), "via").where("dst != src").select("src", "dst", F.lit(0).alias("seen"))
         met = step.unionByName(known.select("src", "dst", F.lit(1).alias("seen"))).groupBy("src", "dst").agg(F.max("seen").alias("seen"))
         fresh = met.where("seen = 0").select("src", "dst")
@@ -258,7 +258,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, p: AnnParams)
         # Beyond the beam a node is never expanded, but it is known: it need not be compared again while it is kept.
         after = old.unionByName(scored.select("src", "dst", "sim", "expanded")).withColumn("rank", F.row_number().over(w))
         known = pin(after.where(F.col("rank") <= 8 * p.rescore), "ann-found")
-    return known.where(F.col("rank") <= p.rescore).select("src", "dst", "sim")
+    raise RuntimeError(f"the search still finds nearer nodes after {p.guard} rounds")
 
 
 def nearest(rows: DataFrame, is_query: Column, p: AnnParams = AnnParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
