@@ -92,3 +92,81 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS
        sha256(coalesce(its.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """
+
+#: CRC-32 of the list of bytes {bytes}, by the table {tab} of the polynomial.
+_CRC_TABLE = """SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) AS v FROM range(256) t(i))"""
+_BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: ('0x' || h)::BIGINT)"
+_CRC = "xor(list_reduce({}, lambda c, x: xor(c // 256, list_extract(tab, CAST(xor(c % 256, x) + 1 AS INTEGER))), 4294967295), 4294967295)"
+
+
+def _insert(role: str) -> str:
+    """The state strings (nine digits of cost, then edits) after any inserts: columns v0..v3 to w0..w3."""
+    up = "lpad(CAST(CAST(left({v}, 9) AS BIGINT) + {c} AS VARCHAR), 9, '0') || substr({v}, 10) || '{e}'"
+    add = lambda v, c, e: up.format(v=v, c=c, e=e)
+    return (
+        f"v0 AS w0, v1 AS w1, least(v2, {add('v0', 5, 'I')}, {add('v1', 5, 'I')}, {add('v3', 5, 'I')}) AS w2, "
+        f"least(v3, {add('v2', 5, 'I')}, {add('v0', 10, 'II')}, {add('v1', 10, 'II')}) AS w3, {role} AS has"
+    )
+
+
+def _edit(w: str, cost: str, e: str, when: str = "true") -> str:
+    return f"CASE WHEN {when} THEN lpad(CAST(CAST(left({w}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({w}, 10) || '{e}' END"
+
+
+_STAYS, _MORE = "fault NOT IN ('blank', 'duplicate')", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+_INTO_USER = ", ".join(
+    x for q in (0, 1, 3) for x in (_edit(f"w{q}", f"1 + {_MORE}", "R", _STAYS), _edit(f"w{q}", _MORE, "K", f"{_STAYS} AND initial = 'u'"))
+)
+
+#: Row by row through the four states, with the edits as strings, where the operator multiplies matrices of a grammar's rules.
+OP12 = f"""
+WITH RECURSIVE tb AS ({_CRC_TABLE}),
+d0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+              {_CRC.format(_BYTES.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"))} % 20 AS kind FROM conversations, tb),
+d1 AS (SELECT coalesce('v' || conv_id, 'n') AS k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+              CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+              unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM d0 WHERE kind <> 0),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(text)) AS no, left(role, 1) AS initial,
+              regexp_extract_all(text, '[^\x20\x09-\x0D]')[-1] AS ending FROM d1),
+d3 AS (SELECT *, CASE WHEN ending IS NULL THEN 'blank' WHEN no > min(no) OVER (PARTITION BY k, role, text) THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+              lag(initial) OVER (PARTITION BY k ORDER BY no) || initial AS pair FROM d2),
+s AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE WHEN fault = 'blank' THEN 1 END) AS blank, count(CASE WHEN fault = 'duplicate' THEN 1 END) AS duplicate,
+             count(CASE WHEN fault = 'truncated' THEN 1 END) AS truncated, count(CASE WHEN pair NOT IN ('su', 'ua', 'au') THEN 1 END) AS illegal, max(no) AS n FROM d3 GROUP BY k),
+dp AS (SELECT k, CAST(0 AS BIGINT) AS no, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM s
+       UNION ALL
+       SELECT k, no, {_edit('w0', '2', 'D')}, least({_edit('w1', '2', 'D')}, {_edit('w0', _MORE, 'K', _STAYS + " AND initial = 's'")}),
+              least({_edit('w2', '2', 'D')}, {_INTO_USER}),
+              least({_edit('w3', '2', 'D')}, {_edit('w2', '1 + ' + _MORE, 'R', _STAYS)}, {_edit('w2', _MORE, 'K', _STAYS + " AND initial = 'a'")})
+       FROM (SELECT d3.k, d3.no, d3.fault, d3.initial, {_insert('true')} FROM dp JOIN d3 ON d3.k = dp.k AND d3.no = dp.no + 1)),
+e AS (SELECT k, least(w0, w3) AS best FROM (SELECT dp.k, {_insert('true')} FROM dp JOIN s ON s.k = dp.k AND s.n = dp.no)),
+a0 AS (SELECT k, substr(best, 10) AS audit, unnest(range(1, length(best) - 8)) AS i FROM e),
+a1 AS (SELECT k, i, audit[i] AS edit, count(CASE WHEN audit[i] <> 'I' THEN 1 END) OVER (PARTITION BY k ORDER BY i) AS no FROM a0),
+a2 AS (SELECT a1.k, i, edit, role, text, edit = 'K' AND initial = 's' AS sys FROM a1 LEFT JOIN d3 ON d3.k = a1.k AND d3.no = a1.no WHERE edit <> 'D'),
+a3 AS (SELECT *, count(CASE WHEN NOT sys THEN 1 END) OVER (PARTITION BY k ORDER BY i) AS nth FROM a2),
+r AS (SELECT k, string_agg(CASE WHEN edit = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS said FROM a3 GROUP BY k)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(left(best, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('v' || conv_id, 'n') AS k FROM conversations) c LEFT JOIN s USING (k) LEFT JOIN e USING (k) LEFT JOIN r USING (k)
+"""
+
+
+def _key(seed: str, *parts: str) -> str:
+    """Digest of a key's parts, each with its length in front."""
+    named = [f"coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in parts]
+    return f"md5(concat_ws('|', '{seed}', " + ", ".join(f"length({x}) || ':' || {x}" for x in named) + "))"
+
+
+#: With whole 128-bit products and one window per shard, where the operator has halves of 32 bits and cells.
+OP13 = f"""
+WITH RECURSIVE tb AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, CAST({_CRC.format(_BYTES.format("coalesce(text, '')"))} AS BIGINT) AS text_crc32 FROM documents, tb),
+j AS (SELECT doc_id, CAST(('0x' || substr({_key('shard', 'doc_id')}, 1, 16))::UBIGINT AS HUGEINT) AS key, CAST(0 AS BIGINT) AS nxt, 0 AS shard, 0 AS grown_shard FROM (SELECT DISTINCT doc_id FROM d)
+      UNION ALL
+      SELECT doc_id, key, CAST(floor((nxt + 1) * (CAST(2147483648 AS DOUBLE) / CAST(key // 8589934592 + 1 AS DOUBLE))) AS BIGINT), CASE WHEN nxt < 16 THEN nxt ELSE shard END, CAST(nxt AS INTEGER)
+      FROM (SELECT doc_id, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key, nxt, shard FROM j WHERE nxt < 17)),
+x AS (SELECT d.*, CAST(j.shard AS INTEGER) AS shard, j.grown_shard FROM d JOIN j ON d.doc_id IS NOT DISTINCT FROM j.doc_id WHERE j.nxt >= 17)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY substr({_key('shard-slot', 'doc_id', 'size', 'text_crc32')}, 1, 8), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM x
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabqa.llm import ann, chat, decontam, html_extract, minhash, mixing, oracles, token_count, toxicity, url_filter, warc
+from tabqa.llm import ann, chat, decontam, html_extract, minhash, mixing, oracles, repair, sharding, token_count, toxicity, url_filter, warc, whiten
 from tabqa.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(table(spark, sf_dir, "documents"), minhash.NearDupParams())
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_docs", "kept")
+
+
+@query()
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), whiten.WhitenParams())
+
+
+@query(oracles.OP12)
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"), repair.RepairParams())
+
+
+@query(oracles.OP13)
+def op13_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.place(table(spark, sf_dir, "documents"), sharding.ShardParams())
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
