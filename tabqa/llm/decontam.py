@@ -55,7 +55,7 @@ def windows(bench: DataFrame, p: DecontamParams, id_col: str = "item_id", text_c
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (p.n - 1)))
     x = x.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), p.n).alias("words"))
     x = x.groupBy("words").agg(F.collect_set("item").alias("items"))
-    best = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("size"), F.lower(w).alias("word"), (-i).alias("back"))))
+    best = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("size"), w.alias("word"), (-i).alias("back"))))
     x = x.withColumn("_b", best)
     return x.select("words", F.size("words").alias("len"), "items", F.col("_b.word").alias("anchor"), (-F.col("_b.back")).alias("at"))
 
@@ -65,16 +65,13 @@ def _occurrences(x: DataFrame, block: DataFrame, p: DecontamParams) -> DataFrame
     anchors = [r[0] for r in block.select("anchor").distinct().collect()]  # bounded: at most max_ngrams
     is_anchor = (lambda w: w.isin(anchors)) if anchors else (lambda w: F.lit(False))
     reach = p.n - 1
-    found = F.exists("_low", is_anchor)
-    places = F.filter(F.transform("_low", lambda w, i: F.when(is_anchor(w), i)), lambda i: i.isNotNull())
-    x = x.withColumn("_exact", F.when(found, pieces(ascii_lower(F.col("_text"))))).withColumn("_places", F.when(F.col("_exact").isNotNull(), places))
     spots = F.transform(
-        "_places",
+        F.filter(F.transform("_words", lambda w, i: F.when(is_anchor(w), i)), lambda i: i.isNotNull()),
         lambda i: F.struct(
             i.alias("i"),
-            F.get(F.col("_low"), i).alias("anchor"),
+            F.get(F.col("_words"), i).alias("anchor"),
             F.greatest(F.lit(0), i - reach).alias("from"),
-            F.slice(F.col("_exact"), F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach + 1)).alias("near"),
+            F.slice(F.col("_words"), F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach + 1)).alias("near"),
         ),
     )
     x = x.select("_uid", "id", "n_words", F.explode_outer(spots).alias("_s"))
@@ -94,10 +91,9 @@ def scan(docs: DataFrame, bench: DataFrame, p: DecontamParams = DecontamParams()
     grams = pin(windows(bench, p), "decontam-grams")
     n_blocks = -(-grams.count() // p.max_ngrams) or 1
     text = F.coalesce(F.col(text_col), F.lit(""))
-    low = pieces(F.lower(text))
-    x = docs.select(F.col(id_col).alias("id"), text.alias("_text"), low.alias("_low"))
-    ends = (F.get("_low", F.lit(0)) == "").cast("int") + ((F.size("_low") > 1) & (F.element_at("_low", -1) == "")).cast("int")
-    x = x.withColumn("n_words", (F.size("_low") - ends).cast("bigint")).withColumn("_uid", F.monotonically_increasing_id())
+    x = docs.select(F.col(id_col).alias("id"), pieces(ascii_lower(text)).alias("_words"))
+    ends = (F.get("_words", F.lit(0)) == "").cast("int") + ((F.size("_words") > 1) & (F.element_at("_words", -1) == "")).cast("int")
+    x = x.withColumn("n_words", (F.size("_words") - ends).cast("bigint")).withColumn("_uid", F.monotonically_increasing_id())
     if n_blocks > 1:
         x = pin(x, "decontam-words")
     of = F.pmod(F.xxhash64("words"), F.lit(n_blocks))
@@ -129,6 +125,7 @@ def clean(docs: DataFrame, bench: DataFrame, p: DecontamParams = DecontamParams(
     bad = scan(keyed, bench, p, "_dc_id", text_col).where(F.size("spans") > 0).groupBy(F.col("id.i").alias("_bi"), F.col("id.k").alias("_bk")).agg(F.first("spans").alias("_bs"))
     on = F.col(id_col).eqNullSafe(F.col("_bi")) & (F.col("_dc_key") == F.col("_bk"))
     if mode == "drop":
+        bad = pin(bad.select("_bi", "_bk"), "decontam-bad")  # its size is known, so that a small one is broadcast and texts stay where they are
         return keyed.join(bad, on, "left_anti").select(*docs.columns)
     out = keyed.join(bad, on, "left").withColumn("_cut", F.when(F.col("_bs").isNull(), F.col(text_col)).otherwise(cut_spans(F.col(text_col), F.col("_bs"))))
     return out.select(*[F.col("_cut").alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -127,11 +127,11 @@ def brute_scan(text, bench, n=10):
 @pytest.fixture(scope="module")
 def leaky(spark):
     passage = words(11, 25)
-    bench = [(1, passage), (2, "Short É item"), (3, None), (4, "..."), (10, passage), (None, words(12, 14)), (5, "zum ZUM zum")]
+    bench = [(1, passage), (2, "Short É item"), (3, None), (4, "..."), (10, passage), (None, words(12, 14)), (5, "zum ZUM zum"), (6, "ΛΟΓΟΣΛΟΓΟΣ"), (7, "İçeriği ΑΣ ǅungla")]
     low = passage.upper().replace(" ", ", ")
     texts = [
         "before it " + passage + " after", low, " ".join(passage.split()[3:13]), " ".join(passage.split()[3:12]), "a short É ITEM! b", "a short é item b", None, "", "zum zum zum zum",
-        words(12, 14) + " " + words(13, 9000) + " " + passage, words(14, 50), passage + " " + passage,
+        words(12, 14) + " " + words(13, 9000) + " " + passage, words(14, 50), passage + " " + passage, "x ΛΟΓΟΣΛΟΓΟΣ.Β y", "ΛΟΓΟΣΛΟΓΟΣ", "λογοσλογος", "the İçeriği ΑΣ' ǅungla.",
     ]
     rows = [(i // 2 * 2 if i in (4, 5) else i, t) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, BENCH), rows, bench
