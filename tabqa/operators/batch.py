@@ -19,6 +19,10 @@ Scale notes
   so no answer meets in one task and none is cut short.  Facts that rules
   need (size, first value, whether a 0 or 1 is listed) are aggregates over
   the parts, never over a list.
+* Numbers are longs, or exact decimals in a corpus with REAL columns.  Sums and row
+  arithmetic are decimals, so no value of one table ends the job of all (J4): a query that
+  the SQL engine would refuse (a sum of whole numbers beyond BIGINT, a missing literal beside a
+  number) is ``failed`` and has no answer; the others keep theirs.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tabqa.functions.indexing import row_index
 from tabqa.session import pin
+from tabqa.sources.corpus import REAL_PLACES, number_type, real_text
 
 SALT_ROWS = 1_000_000
 PART_ROWS = 10_000
@@ -94,13 +99,66 @@ def _cmp(a: Column, op: Column, b: Column) -> Column:
     return F.when(op == ">", a > b).when(op == "<", a < b).when(op == "=", a == b)
 
 
-def calculated(op: Column, a: Column, b: Column) -> Column:
-    """Integer arithmetic of two columns: division truncates, and by zero gives NULL."""
-    whole = F.when(b != 0, ((a - a % b) / b).cast("bigint"))
-    return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", F.try_multiply(a, b)).when(op == "/", whole)
+def _type(i: Column) -> Column:
+    return F.try_element_at(F.col("types"), (i + 1).cast("int"))
 
 
-def _where_cond(n: int) -> Column:
+def calculated(op: Column, a: Column, b: Column, kind: str = "bigint", real: Column | None = None) -> Column:
+    """Arithmetic of two columns as an exact decimal; division of whole numbers truncates, by zero it gives NULL.
+
+    ``real`` tells where one of the two is REAL: products and quotients are then rounded to six places.
+    """
+    divisor = F.nullif(b, F.lit(0).cast(kind))
+    whole = F.when(b != -1, F.call_function("div", a, divisor).cast("decimal(38,0)")).otherwise(-a.cast("decimal(38,0)"))
+    if kind == "bigint":
+        x, y = a.cast("decimal(20,0)"), b.cast("decimal(20,0)")
+        return F.when(op == "+", x + y).when(op == "-", x - y).when(op == "*", F.try_multiply(x, y)).when(op == "/", whole).cast("decimal(38,0)")
+    wide = f"decimal(38,{REAL_PLACES})"
+    quotient = F.when(real, F.round(F.try_divide(a, divisor), REAL_PLACES).try_cast(wide)).otherwise(whole.cast(wide))
+    return F.when(op == "+", (a + b).try_cast(wide)).when(op == "-", (a - b).try_cast(wide)).when(op == "*", F.try_multiply(a, b).try_cast(wide)).when(op == "/", quotient)
+
+
+def calc_is_real() -> Column:
+    """Whether the row arithmetic of a spec has a REAL operand."""
+    return F.coalesce((_type(F.get("s_cols", F.lit(0))) == "REAL") | (_type(F.get("s_cols", F.lit(1))) == "REAL"), F.lit(False))
+
+
+def total(v: Column, kind: str = "bigint") -> Column:
+    """Exact sum of numbers, as a decimal."""
+    return F.sum(v.cast("decimal(20,0)" if kind == "bigint" else kind))
+
+
+def number_text(v: Column, kind: str = "bigint", real: Column | None = None) -> Column:
+    """A number as the answer prints it: whole numbers bare, REAL ones with a place at least."""
+    if kind == "bigint":
+        return v.cast("string")
+    return F.when(real, real_text(v)).otherwise(v.cast("decimal(38,0)").cast("string"))
+
+
+def average(sums: Column, n: Column, kind: str = "bigint", real: Column | None = None) -> Column:
+    """Text of an average: a double for whole numbers, rounded to six places for REAL ones."""
+    n = F.nullif(n, F.lit(0).cast("bigint"))
+    plain = (sums.cast("double") / n).cast("string")
+    if kind == "bigint":
+        return plain
+    return F.when(real, real_text(F.round(sums / n.cast("decimal(20,0)"), REAL_PLACES))).otherwise(plain)
+
+
+def order_key(value: Column, desc: Column) -> Column:
+    """Place of a number of any size in an ORDER, smallest first: NULL is below every number."""
+    v = value.try_cast(f"decimal(38,{REAL_PLACES})")
+    return F.struct(F.when(v.isNull() == desc, 1).otherwise(0).alias("last"), F.when(desc, -v).otherwise(v).alias("v"))
+
+
+def unanswerable() -> Column:
+    """Specs that no engine runs: a missing literal beside a number."""
+    none = lambda c: F.coalesce(F.col(c) == "None", F.lit(False))
+    first = (F.col("w_n") >= 1) & ~F.col("w_cc") & F.col("w1_num") & none("w1_v1")
+    second = (F.col("w_n") == 2) & F.col("w2_num") & none("w2_v1")
+    return first | second | (F.coalesce(F.col("h_kind"), F.lit("")).isin("agg", "bare") & none("h_lit"))
+
+
+def _where_cond(n: int, kind: str) -> Column:
     col, op = F.col(f"w{n}_col"), F.col(f"w{n}_op")
     c, v = _cell(col), _num(col)
     lit1 = F.col(f"w{n}_v1")
@@ -113,15 +171,15 @@ def _where_cond(n: int) -> Column:
         .when(op == ">", c > lit1)
         .when(op == "<", c < lit1)
     )
-    num = _cmp(v, op, lit1.try_cast("bigint"))
+    num = _cmp(v, op, lit1.try_cast(kind))
     return F.when(F.col(f"w{n}_num"), num).otherwise(text)
 
 
-def where_ok() -> Column:
+def where_ok(kind: str = "bigint") -> Column:
     cc = _cmp(_num(F.col("w1_col")), F.col("w1_op"), _num(F.col("w1_rcol")))
-    first = F.when(F.col("w_cc"), cc).otherwise(_where_cond(1))
+    first = F.when(F.col("w_cc"), cc).otherwise(_where_cond(1, kind))
     return F.coalesce(
-        (F.col("w_n") == 0) | (first & ((F.col("w_n") < 2) | _where_cond(2))), F.lit(False)
+        (F.col("w_n") == 0) | (first & ((F.col("w_n") < 2) | _where_cond(2, kind))), F.lit(False)
     )
 
 
@@ -163,7 +221,7 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
     sp = F.broadcast(sp) if replicated * SPEC_BYTES <= BROADCAST_BYTES else sp
     # WHERE is part of the join condition: it is tested on the joined-row view,
     # so only matching (row, spec) pairs are materialised.
-    cond = (F.col("table_id") == F.col("__tid")) & (F.col("salt") == F.col("__salt")) & where_ok()
+    cond = (F.col("table_id") == F.col("__tid")) & (F.col("salt") == F.col("__salt")) & where_ok(number_type(rows))
     return r.join(sp, cond).drop("__tid", "__salt")
 
 
@@ -176,15 +234,17 @@ EXEC_COLS = [
 SPEC_KEY = ["table_id", "query_no"]
 
 
-def _top_key(value: Column, desc: Column) -> Column:
-    """Place of a row by an ORDER column as one decimal, smallest first: NULL is below every number."""
-    v = value.cast("decimal(20,0)")
-    return F.when(desc, F.coalesce(-v, F.lit("9300000000000000000").cast("decimal(20,0)"))).otherwise(
-        F.coalesce(v, F.lit("-9300000000000000000").cast("decimal(20,0)"))
-    )
+def _top_key(value: Column, desc: Column, kind: str) -> Column:
+    """Place of a row by an ORDER column as one whole decimal, smallest first: NULL is below every number."""
+    least = "9300000000000000000"  # beyond BIGINT
+    if kind == "bigint":
+        v, wide = value.cast("decimal(20,0)"), "decimal(20,0)"
+    else:
+        v, wide, least = (value * 10**REAL_PLACES).cast("decimal(25,0)"), "decimal(25,0)", least + "0" * REAL_PLACES
+    return F.when(desc, F.coalesce(-v, F.lit(least).cast(wide))).otherwise(F.coalesce(v, F.lit("-" + least).cast(wide))).cast(wide)
 
 
-ROW_LIMIT = 10**15  # row numbers are below it
+ROW_LIMIT = 10**13  # row numbers are below it
 
 
 def _part(rows: Column, part: Column) -> list[Column]:
@@ -203,25 +263,23 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     * aggregates (global or grouped): one aggregation keyed by (spec, group
       value) with fixed-width buffers (HashAggregate, partial).
     """
-    sp = specs.select(*EXEC_COLS)
+    from tabqa.operators.render import _py_repr
+
+    kind = number_type(rows)
+    refused = specs.where(unanswerable()).select(*SPEC_KEY)
+    sp = specs.where(~unanswerable()).select(*EXEC_COLS)
     is_row = F.col("g_col").isNull() & F.col("s_kind").isin("cols", "calc")
 
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
     s2 = F.try_element_at(F.col("s_cols"), F.lit(2))
-    calc = calculated(F.col("s_op"), _num(s1), _num(s2))
-    quoted = F.transform(
-        F.col("s_cols"),
-        lambda i: F.coalesce(
-            F.when(F.try_element_at(F.col("types"), (i + 1).cast("int")) == "INT", _cell(i)).otherwise(F.concat(F.lit("'"), _cell(i), F.lit("'"))),
-            F.lit("None"),
-        ),
-    )
-    row_vals = F.when(F.col("s_kind") == "calc", F.array(calc.cast("string"))).otherwise(
+    calc = calculated(F.col("s_op"), _num(s1), _num(s2), kind, calc_is_real())
+    quoted = F.transform(F.col("s_cols"), lambda i: _py_repr(_cell(i), _type(i).isin("INT", "REAL")))
+    row_vals = F.when(F.col("s_kind") == "calc", F.array(number_text(calc, kind, calc_is_real()))).otherwise(
         F.transform(F.col("s_cols"), lambda i: _cell(i))
     )
     answer_row = F.struct(
         F.col("row_idx").cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
-        row_vals.alias("vals"), F.concat(F.lit("("), F.array_join(quoted, ", "), F.lit(")")).alias("tup"),
+        row_vals.alias("vals"), F.when(F.size("s_cols") > 1, F.concat(F.lit("("), F.array_join(quoted, ", "), F.lit(")"))).alias("tup"),
     )
 
     # ---- plain rows
@@ -232,7 +290,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
 
     # ---- top row
     xt = _join_specs(rows, sp.where(is_row & (F.col("o_kind") == "col")), salt_rows)
-    place = _top_key(_num(F.col("o_col")), F.col("o_desc")) * F.lit(ROW_LIMIT).cast("decimal(16,0)") + F.col("row_idx").cast("decimal(15,0)")
+    place = _top_key(_num(F.col("o_col")), F.col("o_desc"), kind) * F.lit(ROW_LIMIT).cast("decimal(14,0)") + F.col("row_idx").cast("decimal(13,0)")
     best = pin(
         xt.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected"), F.min(place.cast("decimal(38,0)")).alias("place")), "answer-top"
     )
@@ -243,19 +301,28 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     xa = _join_specs(rows, sp.where(~is_row), salt_rows)
     hv, hc = _num(F.col("h_col")), _cell(F.col("h_col"))
     sc, sv = _cell(s1), _num(s1)
-    h_row_ok = F.when(F.col("h_kind") == "bare", _cmp(hv, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).when(
+    h_lit = F.col("h_lit").try_cast(kind)
+    h_row_ok = F.when(F.col("h_kind") == "bare", _cmp(hv, F.col("h_op"), h_lit)).when(
         F.col("h_kind") == "colcol", _cmp(hv, F.col("h_op"), _num(F.col("h_rcol")))
     )
     gk = F.when(F.col("g_col").isNotNull(), _cell(F.col("g_col"))).otherwise(F.lit(""))
     carried = ["g_col", "h_kind", "h_op", "h_agg", "h_lit", "s_kind", "s_agg", "o_kind", "o_desc"]
-    g = xa.groupBy(*SPEC_KEY, *carried, gk.alias("gk")).agg(
+    h_real, s_real = F.coalesce(_type(F.col("h_col")) == "REAL", F.lit(False)), F.coalesce(_type(s1) == "REAL", F.lit(False))
+    needed = lambda agg, v: total(F.when(F.col(agg).isin("sum", "avg"), v), kind)
+    g = xa.groupBy(*SPEC_KEY, *carried, h_real.alias("h_real"), s_real.alias("s_real"), calc_is_real().alias("calc_real"), gk.alias("gk")).agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.count(hc).alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"), F.sum(hv).alias("h_sum"),
+        F.count(hc).alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"), needed("h_agg", hv).alias("h_sum"),
         F.bool_and(F.coalesce(h_row_ok, F.lit(True))).alias("h_every"),
-        F.count(sc).alias("s_cnt"), F.max(sv).alias("s_max"), F.min(sv).alias("s_min"), F.sum(sv).alias("s_sum"), F.count(sv).alias("s_nums"),
-        F.min_by(calc, F.col("row_idx")).alias("calc_first"),
+        F.count(sc).alias("s_cnt"), F.max(sv).alias("s_max"), F.min(sv).alias("s_min"), needed("s_agg", sv).alias("s_sum"), F.count(sv).alias("s_nums"),
+        F.min_by(F.when(F.col("s_kind") == "calc", calc), F.col("row_idx")).alias("calc_first"),
     )
     g = pin(g, "answer-groups")
+    # A sum of whole numbers beyond BIGINT is an error there: the query has no answer.
+    beyond = lambda used, real, v: used & ~real & ((v > (1 << 63) - 1) | (v < -(1 << 63)))
+    over = beyond((F.col("s_kind") == "agg") & (F.col("s_agg") == "sum"), F.col("s_real"), F.col("s_sum"))
+    over = F.coalesce(over, F.lit(False)) | F.coalesce(beyond((F.col("h_kind") == "agg") & (F.col("h_agg") == "sum"), F.col("h_real"), F.col("h_sum")), F.lit(False))
+    failed = g.where(over).select(*SPEC_KEY).distinct()
+    fine = g.join(failed, SPEC_KEY, "left_anti")
 
     def pick(agg: Column, prefix: str) -> Column:
         return (
@@ -265,25 +332,29 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
             .when(agg == "sum", F.col(f"{prefix}_sum"))
         )
 
-    s_val = F.when(F.col("s_agg") == "avg", (F.col("s_sum") / F.nullif(F.col("s_nums"), F.lit(0))).cast("string")).otherwise(pick(F.col("s_agg"), "s").cast("string"))
+    counted = lambda agg, real: F.col(real) & (F.col(agg) != "count")
+    s_val = F.when(F.col("s_agg") == "avg", average(F.col("s_sum"), F.col("s_nums"), kind, F.col("s_real"))).otherwise(
+        number_text(pick(F.col("s_agg"), "s"), kind, counted("s_agg", "s_real"))
+    )
     h_val = pick(F.col("h_agg"), "h")
-    having = F.when(F.col("h_kind") == "agg", _cmp(h_val, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).otherwise(
+    h_text = number_text(h_val, kind, counted("h_agg", "h_real"))
+    having = F.when(F.col("h_kind") == "agg", _cmp(h_val, F.col("h_op"), h_lit)).otherwise(
         F.col("h_every")
     )
-    grp_out = g.where(F.col("g_col").isNotNull() & F.coalesce(having, F.lit(False))).select(
+    grp_out = fine.where(F.col("g_col").isNotNull() & F.coalesce(having, F.lit(False))).select(
         *SPEC_KEY, "o_kind",
         F.lit(None).cast("bigint").alias("ord_i"), F.col("gk").alias("ord_s"),
         F.when(F.col("s_kind") == "group", F.array("gk"))
-        .when(F.col("s_kind") == "group_agg", F.array(F.col("gk"), h_val.cast("string")))
+        .when(F.col("s_kind") == "group_agg", F.array(F.col("gk"), h_text))
         .when(F.col("s_kind") == "agg", F.array(s_val))
-        .otherwise(F.array(F.col("calc_first").cast("string"))).alias("vals"),
-        F.concat(F.lit("('"), F.col("gk"), F.lit("', "), h_val.cast("string"), F.lit(")")).alias("tup"),
+        .otherwise(F.array(number_text(F.col("calc_first"), kind, F.col("calc_real")))).alias("vals"),
+        F.concat(F.lit("("), _py_repr(F.col("gk"), F.lit(False)), F.lit(", "), F.coalesce(h_text, F.lit("None")), F.lit(")")).alias("tup"),
         h_val.alias("okey"), "o_desc",
     )
     # Global aggregates answer one row even over no rows: left join from the specs.
-    gspec = sp.where(F.col("g_col").isNull() & (F.col("s_kind") == "agg")).select(*SPEC_KEY, "s_agg")
+    gspec = sp.where(F.col("g_col").isNull() & (F.col("s_kind") == "agg")).select(*SPEC_KEY, "s_agg").join(failed, SPEC_KEY, "left_anti")
     gl = gspec.join(
-        g.where(F.col("g_col").isNull()).drop("s_agg"), SPEC_KEY, "left"
+        fine.where(F.col("g_col").isNull()).drop("s_agg"), SPEC_KEY, "left"
     ).select(
         *SPEC_KEY, F.lit(0).cast("bigint").alias("ord_i"), F.lit(None).cast("string").alias("ord_s"),
         F.array(s_val).alias("vals"), F.lit(None).cast("string").alias("tup"),
@@ -292,7 +363,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     # Of the groups a spec orders, the first by (NULL below every number, value, group).
     group_row = F.struct("ord_i", "ord_s", "vals", "tup")
     is_top = F.col("o_kind") == "agg"
-    by = F.struct(_top_key(F.col("okey"), F.col("o_desc")).alias("k"), "ord_s", group_row.alias("r"))
+    by = F.struct(order_key(F.col("okey"), F.col("o_desc")).alias("k"), "ord_s", group_row.alias("r"))
     top_group = grp_out.where(is_top).groupBy(*SPEC_KEY).agg(F.min(by).alias("m")).select(*_part(F.array("m.r"), F.lit(0)))
     listed = row_index(grp_out.where(~is_top), SPEC_KEY, ["ord_s"])
     listed = listed.groupBy(*SPEC_KEY, F.floor(F.col("row_idx") / part_rows).alias("part")).agg(F.sort_array(F.collect_list(group_row)).alias("rows"))
@@ -301,7 +372,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
 
     parts = pin(plain.unionByName(top).unionByName(top_group).unionByName(listed).unionByName(single), "answer-parts")
     grouped = g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected"))
-    return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected").unionByName(grouped)), parts)
+    return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected").unionByName(grouped), refused.unionByName(failed)), parts)
 
 
 def selected_rows(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
@@ -309,8 +380,8 @@ def selected_rows(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS)
     return _join_specs(rows, specs.select(*EXEC_COLS), salt_rows).select(*SPEC_KEY, "row_idx")
 
 
-def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame) -> DataFrame:
-    """One row per spec with what rules and texts need to know of its answer.
+def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row per spec with what rules and texts need to know of its answer; a failed one has none.
 
     ``selected`` has the matched rows of specs that keep fewer; of the others every
     matched row is an answer row.
@@ -326,11 +397,12 @@ def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame) -> DataFrame
     )
     plain = F.col("g_col").isNull() & F.col("s_kind").isin("cols", "calc") & (F.col("o_kind") != "col")
     x = specs.select(*SPEC_KEY, "n_rows", "sql", plain.alias("plain")).join(found, SPEC_KEY, "left").join(selected, SPEC_KEY, "left")
+    x = x.join(failed.withColumn("failed", F.lit(True)), SPEC_KEY, "left")
     n = F.coalesce("n_ans_rows", F.lit(0))
     return x.select(
         *SPEC_KEY, "n_rows", "sql", n.alias("n_ans_rows"), F.coalesce("n_ans_cols", F.lit(0)).alias("n_ans_cols"),
         F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("has_01", F.lit(False)).alias("has_01"), "first_value",
-        F.when(F.col("plain"), n).otherwise(F.coalesce("n_selected", F.lit(0))).alias("n_selected"),
+        F.when(F.col("failed"), 0).when(F.col("plain"), n).otherwise(F.coalesce("n_selected", F.lit(0))).alias("n_selected"), F.coalesce("failed", F.lit(False)).alias("failed"),
     )
 
 
@@ -355,7 +427,7 @@ def answer_tables(ans: Answers, specs: DataFrame, fmt: str = "markdown") -> Data
         .otherwise(F.transform("s_cols", lambda c: name(c)))
     )
     typ = (
-        F.when(F.col("s_kind").isin("calc", "agg"), F.array(F.lit("INT")))
+        F.when(F.col("s_kind").isin("calc", "agg"), F.array(F.lit("INT")))  # a number
         .when(F.col("s_kind") == "group", F.array(F.lit("TEXT")))
         .when(F.col("s_kind") == "group_agg", F.array(F.lit("TEXT"), F.lit("INT")))
         .otherwise(F.transform("s_cols", lambda c: F.try_element_at(F.col("types"), c + 1)))

@@ -15,6 +15,7 @@ from tabqa.functions.hashing import hk, key, unit, weighted_choice
 from tabqa.functions.indexing import row_index
 from tabqa.operators.batch import Answers, execute
 from tabqa.session import pin
+from tabqa.sources.corpus import number_type, real_text
 
 KEY = ["table_id", "query_no"]
 # Emission weights of two- and three-level queries, and the aggregates a pair may combine.
@@ -144,7 +145,7 @@ def where_nested(outer: DataFrame, sub: DataFrame, sub_answers: Answers, rows: D
     specs = pin(row_index(o.withColumn("sql", F.trim(F.regexp_replace(sql, " {2}", " "))), [], KEY, out="nid"), "nested-specs")
 
     # The rows that each query's sub-answer admits.
-    asked = specs.select("nid", "table_id", "query_no", "ncol", "is_num", "nop", F.col("first_value").try_cast("bigint").alias("n"))
+    asked = specs.select("nid", "table_id", "query_no", "ncol", "is_num", "nop", F.col("first_value").try_cast(number_type(rows)).alias("n"))
     by_number = rows.join(asked.where("is_num"), "table_id").where(_compare(F.try_element_at("nums", (F.col("ncol") + 1).cast("int")), F.col("nop"), F.col("n")))
     values = sub_answers.answer_rows.join(asked.where("not is_num"), KEY).select("nid", "table_id", "ncol", F.try_element_at("vals", F.lit(1)).alias("v")).distinct()
     wanted = values.select("table_id", "ncol").distinct()
@@ -191,12 +192,14 @@ def pair_ops(specs: DataFrame, answers: DataFrame, answer_rows: DataFrame, seed:
         .otherwise(weighted_choice(k("set"), ["union", "intersect"], [1, 1]))
     )
     j = j.withColumn("op", op)
-    n1, n2 = F.col("first1").try_cast("bigint"), F.col("first2").try_cast("bigint")
+    n1, n2 = F.col("first1").try_cast("decimal(25,6)"), F.col("first2").try_cast("decimal(25,6)")
+    whole = ~F.col("first1").contains(".") & ~F.col("first2").contains(".")
+    text = lambda v: F.when(whole, v.cast("decimal(38,0)").cast("string")).otherwise(real_text(v))
     scalar = (
         F.when(F.col("op") == ">", (n1 > n2).cast("int").cast("string"))
         .when(F.col("op") == "<", (n1 < n2).cast("int").cast("string"))
-        .when(F.col("op") == "+", (n1 + n2).cast("string"))
-        .when(F.col("op") == "-", (n1 - n2).cast("string"))
+        .when(F.col("op") == "+", text(n1 + n2))
+        .when(F.col("op") == "-", text(n1 - n2))
         .when(F.col("op") == "=", (F.col("first1") == F.col("first2")).cast("int").cast("string"))
     )
     # set operations over the first column of both answers (distinct, sorted like SQLite's compound select)

@@ -77,7 +77,7 @@ MISSING = {
 
 
 def _is_int(types: Column, j: Column) -> Column:
-    return F.try_element_at(types, j + 1) == "INT"
+    return F.try_element_at(types, j + 1).isin("INT", "REAL")
 
 
 def _filled(cells: Column, types: Column, fmt: str) -> Column:
@@ -317,7 +317,7 @@ def _dfloader_parts(rows: DataFrame, meta: DataFrame, key: list[str], chunk: Col
     cols = cols.join(meta.select(*key, "header", "types"), key).select(
         *key, "chunk", "j",
         F.concat(
-            F.lit("    '"), F.element_at("header", F.col("j") + 1), F.lit("': ["),
+            F.lit("    "), _py_repr(F.element_at("header", F.col("j") + 1), F.lit(False)), F.lit(": ["),
             F.array_join(F.transform("vals", lambda s: _py_repr(missing(s["v"]), is_int)), ", "),
             F.lit("],\n"),
         ).alias("line"),

@@ -154,7 +154,7 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
     st: list[list[tuple[str, str]]] = []
     st.append([
         ("tc", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} IN ('TEXT', 'DATE')")),
-        ("ic", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} = 'INT'")),
+        ("ic", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} IN ('INT', 'REAL')")),
     ])
     tpl_arr = d.arr(*[_q(t) for t in p.templates])
     st.append([
@@ -307,6 +307,13 @@ def slot_columns() -> list[tuple[str, str]]:
             ("w2a", "w2_col"), ("w2b", "w2_col"), ("w2c", "w2_col"), ("h", "h_col")]
 
 
+def literals(d) -> list[tuple[str, str]]:
+    """Literals from the cells joined in (``lit_<slot>``); a missing cell is written as ``None``."""
+    of = {s: f"CASE WHEN {c} IS NOT NULL THEN coalesce(lit_{s}, 'None') END" for s, c in slot_columns()}
+    out = [(f"w{n}_v{i}", of[f"w{n}{x}"]) for n in (1, 2) for i, x in enumerate("abc", 1)]
+    return [*out, ("h_lit", f"CASE WHEN h_agg = 'count' THEN {d.s('h_n1')} ELSE {of['h']} END")]
+
+
 SPEC_COLUMNS = [
     "table_id", "query_no", "tpl", "n_rows", "n_cols", "header", "types", "ic",
     "w_n", "w_cc", "w1_col", "w1_rcol", "w1_op", "w1_num", "w1_nin", "w2_col", "w2_op", "w2_num", "w2_nin",
@@ -318,16 +325,17 @@ SPEC_COLUMNS = [
 def render_sql(d) -> list[tuple[str, str]]:
     """Stage producing the SQL text of a spec (M16) from header names and literals."""
     name = lambda c: d.at("header", f"{c} + 1")
+    quoted = lambda v: f"replace({v}, '''', '''''')"  # noqa: E731  a quote inside a literal is doubled
 
     def cond(n: int) -> str:
         c, op, num = name(f"w{n}_col"), f"w{n}_op", f"w{n}_num"
-        a, b, cc = f"w{n}_v1", f"w{n}_v2", f"w{n}_v3"
+        a, b, cc = (quoted(f"w{n}_v{i}") for i in (1, 2, 3))
         in_list = (
             f"'( ''' || {a} || ''' , ''' || {b} || ''''"
             f" || CASE WHEN w{n}_nin = 3 THEN ' , ''' || {cc} || '''' ELSE '' END || ' )'"
         )
         return (
-            f"CASE WHEN {op} = 'like' THEN {c} || ' like ''' || substr({a}, 1, 3) || '%'''"
+            f"CASE WHEN {op} = 'like' THEN {c} || ' like ''' || {quoted(f'substr(w{n}_v1, 1, 3)')} || '%'''"
             f" WHEN {op} = 'in' THEN {c} || ' in ' || {in_list}"
             f" WHEN {num} THEN {c} || ' ' || {op} || ' ' || {a}"
             f" ELSE {c} || ' ' || {op} || ' ''' || {a} || '''' END"
@@ -421,9 +429,7 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
     sp = sp.join(piv, ["table_id", "query_no"], "left")
     sp = sp.select(
         *SPEC_COLUMNS,
-        F.col("lit_w1a").alias("w1_v1"), F.col("lit_w1b").alias("w1_v2"), F.col("lit_w1c").alias("w1_v3"),
-        F.col("lit_w2a").alias("w2_v1"), F.col("lit_w2b").alias("w2_v2"), F.col("lit_w2c").alias("w2_v3"),
-        F.when(F.col("h_agg") == "count", F.col("h_n1").cast("string")).otherwise(F.col("lit_h")).alias("h_lit"),
+        *[F.expr(e).alias(n) for n, e in literals(d)],
     )
     sp = _run_stages(sp, render_sql(d) + instruction_sql(d) + instruction_zh_sql(d))
     return pin(sp.drop("__S", "__W", "__G", "__H", "__O", "zh_where", "zh_group", "zh_having", "zh_select", "zh_order"), "specs")
@@ -538,7 +544,7 @@ def fine_stages(d, p: "SpecParams") -> list[list[tuple[str, str]]]:
     st: list[list[tuple[str, str]]] = []
     st.append([
         ("tc", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} IN ('TEXT', 'DATE')")),
-        ("ic", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} = 'INT'")),
+        ("ic", d.filt(d.rng("n_cols"), "i", f"{d.at('types', 'i + 1')} IN ('INT', 'REAL')")),
     ])
     st.append([
         ("ac", d.cat("tc", "ic")),

@@ -21,6 +21,7 @@ from tabqa.functions.indexing import row_index
 from tabqa.operators import batch as B
 from tabqa.operators import render as M
 from tabqa.operators.specs import CODE_ENGLISH
+from tabqa.sources.corpus import number_type
 
 KEY = ["table_id", "query_no"]
 PSEUDO = [*KEY, "step", "grp"]
@@ -39,7 +40,7 @@ def _pid(step: int, group=None) -> list:
 
 
 def _joined(rows: DataFrame, sp: DataFrame) -> DataFrame:
-    return rows.join(sp, "table_id").where(B.where_ok())
+    return rows.join(sp, "table_id").where(B.where_ok(number_type(rows)))
 
 
 def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     s_names = F.transform("s_cols", lambda c: name(c))
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
     g_val = F.try_element_at(F.col("cells"), F.col("g_col") + 1)
-    calc = B.calculated(F.col("s_op"), B._num(s1), B._num(F.try_element_at(F.col("s_cols"), F.lit(2))))
+    kind = number_type(rows)
+    calc = B.number_text(B.calculated(F.col("s_op"), B._num(s1), B._num(F.try_element_at(F.col("s_cols"), F.lit(2))), kind, B.calc_is_real()), kind, B.calc_is_real())
 
     # group index: dense rank of the group value inside the spec (SQLite emits groups in key order)
     gx = x.where(F.col("g_col").isNotNull()).select(*KEY, g_val.alias("gk")).distinct()
@@ -58,17 +60,20 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
     # having verdict per group: same aggregates as the executor
     hv = B._num(F.col("h_col"))
-    row_ok = F.when(F.col("h_kind") == "bare", B._cmp(hv, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).when(
+    real = lambda c: F.coalesce(B._type(c) == "REAL", F.lit(False))
+    row_ok = F.when(F.col("h_kind") == "bare", B._cmp(hv, F.col("h_op"), F.col("h_lit").try_cast(kind))).when(
         F.col("h_kind") == "colcol", B._cmp(hv, F.col("h_op"), B._num(F.col("h_rcol")))
     )
     gagg = x.where(F.col("g_col").isNotNull()).groupBy(*KEY, g_val.alias("gk")).agg(
         F.count(B._cell(F.col("h_col"))).alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"),
-        F.sum(hv).alias("h_sum"), F.bool_and(F.coalesce(row_ok, F.lit(True))).alias("h_every"),
+        B.total(hv, kind).alias("h_sum"), F.bool_and(F.coalesce(row_ok, F.lit(True))).alias("h_every"),
         F.count(B._cell(s1)).alias("s_cnt"), F.max(B._num(s1)).alias("s_max"), F.min(B._num(s1)).alias("s_min"),
-        F.sum(B._num(s1)).alias("s_sum"), F.min_by(calc, F.col("row_idx")).alias("calc_first"),
+        B.total(B._num(s1), kind).alias("s_sum"), F.min_by(calc, F.col("row_idx")).alias("calc_first"),
         F.min_by(B._cell(s1), F.col("row_idx")).alias("s_first"),
     )
-    gagg = gagg.join(sp.select(*KEY, "h_kind", "h_agg", "h_op", "h_lit", "s_kind", "s_agg", "o_kind", "o_desc"), KEY).join(gx, [*KEY, "gk"])
+    gagg = gagg.join(sp.select(*KEY, "h_kind", "h_agg", "h_op", "h_lit", "s_kind", "s_agg", "o_kind", "o_desc", real(F.col("h_col")).alias("h_real"), real(s1).alias("s_real")), KEY)
+    gx2 = gx.select(*[F.col(c).alias(f"x_{c}") for c in [*KEY, "gk"]], "gi")  # a missing group value is a group, too
+    gagg = gagg.join(gx2, (F.col("table_id") == F.col("x_table_id")) & (F.col("query_no") == F.col("x_query_no")) & F.col("gk").eqNullSafe(F.col("x_gk"))).drop("x_table_id", "x_query_no", "x_gk")
 
     def pick(agg, pre):
         return (
@@ -78,10 +83,12 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
     h_val = pick(F.col("h_agg"), "h")
     keep = F.coalesce(
-        F.when(F.col("h_kind") == "agg", B._cmp(h_val, F.col("h_op"), F.col("h_lit").try_cast("bigint"))).otherwise(F.col("h_every")),
+        F.when(F.col("h_kind") == "agg", B._cmp(h_val, F.col("h_op"), F.col("h_lit").try_cast(kind))).otherwise(F.col("h_every")),
         F.lit(False),
     )
-    gagg = gagg.withColumn("keep", keep).withColumn("h_val", h_val).withColumn("s_val", pick(F.col("s_agg"), "s"))
+    number = lambda v, agg, is_real: B.number_text(v, kind, is_real & (agg != "count"))
+    gagg = gagg.withColumn("keep", keep).withColumn("h_val", h_val).withColumn("s_val", number(pick(F.col("s_agg"), "s"), F.col("s_agg"), F.col("s_real")))
+    gagg = gagg.withColumn("h_text", number(F.col("h_val"), F.col("h_agg"), F.col("h_real")))
 
     # ---------------- pseudo-tables: (pid, row_idx, cells) + (pid, header, types)
     all_types = F.col("types")
@@ -91,12 +98,12 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     pt_rows.append(w.select(*_pid(0), "row_idx", "cells"))
     pt_meta.append(sp.where(F.col("w_n") > 0).select(*_pid(0), "header", all_types.alias("types")))
     # group sub-tables
-    gr = x.where(F.col("g_col").isNotNull()).join(gx, [*KEY]).where(g_val == F.col("gk"))
+    gr = x.where(F.col("g_col").isNotNull()).join(gx, [*KEY]).where(g_val.eqNullSafe(F.col("gk")))
     pt_rows.append(gr.select(*_pid(1, F.col("gi")), "row_idx", "cells"))
     pt_meta.append(gx.join(sp, KEY).select(*_pid(1, F.col("gi")), "header", all_types.alias("types")))
     # select results without group: the selected values of every matched row
     ng = x.where(F.col("g_col").isNull())
-    sel_cells = F.when(F.col("s_kind") == "calc", F.array(calc.cast("string"))).when(
+    sel_cells = F.when(F.col("s_kind") == "calc", F.array(calc)).when(
         F.col("s_kind") == "agg", F.array(B._cell(s1))
     ).otherwise(F.transform("s_cols", lambda c: B._cell(c)))
     pt_rows.append(ng.select(*_pid(2), "row_idx", sel_cells.alias("cells")))
@@ -111,9 +118,9 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     gk_ok = gagg.where("keep")
     g_cells = (
         F.when(F.col("s_kind") == "group", F.array("gk"))
-        .when(F.col("s_kind") == "group_agg", F.array(F.col("gk"), F.col("h_val").cast("string")))
+        .when(F.col("s_kind") == "group_agg", F.array(F.col("gk"), F.col("h_text")))
         .when(F.col("s_kind") == "agg", F.array(F.col("s_first")))
-        .otherwise(F.array(F.col("calc_first").cast("string")))
+        .otherwise(F.array(F.col("calc_first")))
     )
     pt_rows.append(gk_ok.select(*_pid(2), F.col("gi").alias("row_idx"), g_cells.alias("cells")))
     g_hdr = (
@@ -130,14 +137,14 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     # aggregate value(s): one row (no group) or one row per surviving group
     agg_hdr = F.array(F.concat(F.col("s_agg"), F.lit(" ( "), name(s1), F.lit(" )")))
     ng_agg = ng.where(F.col("s_kind") == "agg").groupBy(*KEY, "s_agg").agg(
-        F.count(B._cell(s1)).alias("s_cnt"), F.max(B._num(s1)).alias("s_max"), F.min(B._num(s1)).alias("s_min"), F.sum(B._num(s1)).alias("s_sum")
+        F.count(B._cell(s1)).alias("s_cnt"), F.max(B._num(s1)).alias("s_max"), F.min(B._num(s1)).alias("s_min"), B.total(B._num(s1), kind).alias("s_sum")
     )
     glob = sp.where(F.col("g_col").isNull() & (F.col("s_kind") == "agg")).select(*KEY).join(ng_agg, KEY, "left").join(
-        sp.select(*KEY, "s_agg").withColumnRenamed("s_agg", "sa"), KEY
+        sp.select(*KEY, F.col("s_agg").alias("sa"), real(s1).alias("s_real")), KEY
     )
-    gval = F.coalesce(pick(F.col("sa"), "s"), F.when(F.col("sa") == "count", F.lit(0)))
-    pt_rows.append(glob.select(*_pid(3), F.lit(0).alias("row_idx"), F.array(F.coalesce(gval.cast("string"), F.lit("None"))).alias("cells")))
-    pt_rows.append(gk_ok.where(F.col("s_kind") == "agg").select(*_pid(3), F.col("gi").alias("row_idx"), F.array(F.col("s_val").cast("string")).alias("cells")))
+    gval = number(F.coalesce(pick(F.col("sa"), "s"), F.when(F.col("sa") == "count", F.lit(0))), F.col("sa"), F.col("s_real"))
+    pt_rows.append(glob.select(*_pid(3), F.lit(0).alias("row_idx"), F.array(F.coalesce(gval, F.lit("None"))).alias("cells")))
+    pt_rows.append(gk_ok.where(F.col("s_kind") == "agg").select(*_pid(3), F.col("gi").alias("row_idx"), F.array(F.col("s_val")).alias("cells")))
     pt_meta.append(sp.where(F.col("s_kind") == "agg").select(*_pid(3), agg_hdr.alias("header"), F.array(F.lit("INT")).alias("types")))
 
     prow = pt_rows[0]
@@ -240,14 +247,14 @@ def cot(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
 def _top_rows(x: DataFrame, gagg: DataFrame) -> DataFrame:
     """The single row an ORDER BY ... LIMIT 1 query returns, as a pseudo-table row."""
-    okey = B._top_key(B._num(F.col("o_col")), F.col("o_desc"))
+    okey = B.order_key(B._num(F.col("o_col")), F.col("o_desc"))
     ng = x.where(F.col("g_col").isNull()).select(
         *KEY, F.struct(okey.alias("k"), F.col("row_idx").cast("bigint").alias("i"), F.lit(None).cast("string").alias("t")).alias("ord"),
         F.transform("s_cols", lambda c: B._cell(c)).alias("cells"),
     )
     h = F.col("h_val")
     g = gagg.where(F.col("keep") & (F.col("o_kind") == "agg")).select(
-        *KEY, F.struct(B._top_key(h, F.col("o_desc")).alias("k"), F.lit(None).cast("bigint").alias("i"), F.col("gk").alias("t")).alias("ord"),
+        *KEY, F.struct(B.order_key(h, F.col("o_desc")).alias("k"), F.lit(None).cast("bigint").alias("i"), F.col("gk").alias("t")).alias("ord"),
         F.array("gk").alias("cells"),
     )
     both = ng.unionByName(g)

@@ -127,6 +127,29 @@ def exec_answer_string(spark, sf_dir):
     return shared.answers(spark, sf_dir, "customer", OBC).select(*OUT)
 
 
+REAL = S.SpecParams(seed=17, per_table=6, profile="ingested")
+REAL_WHERE = S.SpecParams(seed=18, per_table=6)
+HARD = S.SpecParams(seed=19, per_table=30)
+
+
+@query("exec_real", DB.exec_sql(DB.ORDERS_EXACT, REAL, OUT_SQL, exact=True))
+def exec_real(spark, sf_dir):
+    """Queries over exact prices: typed comparison, sums, averages and texts of REAL columns."""
+    return shared.answers(spark, sf_dir, "exact", REAL).select(*OUT)
+
+
+@query("exec_real_where", DB.exec_sql(DB.ORDERS_EXACT, REAL_WHERE, OUT_SQL, exact=True))
+def exec_real_where(spark, sf_dir):
+    """The English templates over exact prices, arithmetic of whole and REAL columns included."""
+    return shared.answers(spark, sf_dir, "exact", REAL_WHERE).select(*OUT)
+
+
+@query("exec_hard", DB.exec_sql(DB.ORDERS_HARD, HARD, OUT_SQL.replace("n_selected FROM", "n_selected, failed, sql FROM")))
+def exec_hard(spark, sf_dir):
+    """Missing groups, quotes and numbers beyond BIGINT: queries that fail are named, the others answer."""
+    return shared.answers(spark, sf_dir, "hard", HARD).select(*OUT, "failed", "sql")
+
+
 @query(
     "nl_instruction_en",
     f"WITH {DB.LINEITEM_BY_SUPPLIER},\n{DB.specs_sql(DB.LINEITEM_BY_SUPPLIER, SP)}\n"

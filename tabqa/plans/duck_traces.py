@@ -50,7 +50,7 @@ def traces_sql(p, multiturn: bool = False) -> str:
     )
     sel_ty = "CASE WHEN s.s_kind = 'calc' THEN ['INT'] ELSE list_transform(s.s_cols, lambda c: s.types[c + 1]) END"
     select = f""", tf AS (SELECT * FROM f),
-    gx AS (SELECT table_id, query_no, gk, CAST(dense_rank() OVER (PARTITION BY table_id, query_no ORDER BY gk) - 1 AS INTEGER) AS gi
+    gx AS (SELECT table_id, query_no, gk, CAST(dense_rank() OVER (PARTITION BY table_id, query_no ORDER BY gk NULLS FIRST) - 1 AS INTEGER) AS gi
            FROM (SELECT DISTINCT table_id, query_no, cells[g_col + 1] AS gk FROM tf WHERE g_col IS NOT NULL)),
     ga0 AS (SELECT s.table_id, s.query_no, s.cells[s.g_col + 1] AS gk,
                    count(s.cells[s.h_col + 1]) AS h_cnt, max({hv}) AS h_max, min({hv}) AS h_min, sum({hv}) AS h_sum,
@@ -62,11 +62,11 @@ def traces_sql(p, multiturn: bool = False) -> str:
     ga AS (SELECT g.*, x.gi, sp.h_kind, sp.h_agg, sp.h_op, sp.h_lit, sp.s_kind, sp.s_agg, sp.o_kind, sp.o_desc,
                   {pick('sp.h_agg', 'g.h')} AS h_val, {pick('sp.s_agg', 'g.s')} AS s_val,
                   coalesce(CASE WHEN sp.h_kind = 'agg' THEN {cmp(pick('sp.h_agg', 'g.h'), 'sp.h_op', 'TRY_CAST(sp.h_lit AS BIGINT)')} ELSE g.h_every END, false) AS keep
-           FROM ga0 g JOIN gx x USING (table_id, query_no, gk) JOIN specs sp USING (table_id, query_no)),
+           FROM ga0 g JOIN gx x ON x.table_id = g.table_id AND x.query_no = g.query_no AND x.gk IS NOT DISTINCT FROM g.gk JOIN specs sp ON sp.table_id = g.table_id AND sp.query_no = g.query_no),
     prow AS (
       SELECT {pid(0)} AS pid, s.row_idx AS ri, s.cells FROM tf s WHERE s.w_n > 0
       UNION ALL SELECT {pid(1, 'x.gi')}, s.row_idx, s.cells FROM tf s JOIN gx x ON x.table_id = s.table_id AND x.query_no = s.query_no
-                AND x.gk = s.cells[s.g_col + 1] WHERE s.g_col IS NOT NULL
+                AND x.gk IS NOT DISTINCT FROM s.cells[s.g_col + 1] WHERE s.g_col IS NOT NULL
       UNION ALL SELECT {pid(2)}, s.row_idx,
                 CASE WHEN s.s_kind = 'calc' THEN [CAST({calc} AS VARCHAR)] WHEN s.s_kind = 'agg' THEN [s.cells[s.s_cols[1] + 1]]
                      ELSE list_transform(s.s_cols, lambda c: s.cells[c + 1]) END FROM tf s WHERE s.g_col IS NULL

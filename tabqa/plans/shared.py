@@ -28,6 +28,8 @@ def corpus(spark, sf_dir: str, name: str) -> C.Corpus:
             "supplier": lambda: C.lineitem_by_supplier(t.lineitem),
             "customer": lambda: C.orders_by_customer(t.orders),
             "brand": lambda: C.parts_by_brand(t.part),
+            "exact": lambda: C.orders_exact(t.orders),
+            "hard": lambda: C.orders_hard(t.orders),
         }[name]
         _MEMO[k] = build().materialize()
     return _MEMO[k]

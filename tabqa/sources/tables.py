@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabqa.functions.indexing import row_index
 from tabqa.session import pin
-from tabqa.sources.corpus import Corpus
+from tabqa.sources.corpus import REAL_TYPE, Corpus
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -150,5 +150,5 @@ def read_csv_folder(spark: SparkSession, path: str) -> Corpus:
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols"), "source_file",
     )
     rows = rows.join(tables.select("table_id", "types"), "table_id")
-    nums = F.transform("cells", lambda c, j: F.when(F.get("types", j) == "INT", F.trim(c).try_cast("bigint")))
+    nums = F.transform("cells", lambda c, j: F.when(F.get("types", j).isin("INT", "REAL"), F.trim(c).try_cast(REAL_TYPE)))
     return Corpus(rows.select("table_id", "row_idx", "cells", nums.alias("nums")), tables)

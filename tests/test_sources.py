@@ -30,7 +30,7 @@ def test_csv_files_keep_their_own_columns(spark, tmp_path):
     a, b = tables["a.csv"].table_id, tables["b.csv"].table_id
     assert rows == [
         (a, 0, ["1", "x"], [1, None]), (a, 1, ["2", None], [2, None]),
-        (b, 0, ["1.5", "u,v", "7"], [None, None, 7]), (b, 1, ["nan", "w", "8"], [None, None, 8]), (b, 2, ["2", 'q"t', "9"], [None, None, 9]),
+        (b, 0, ["1.5", "u,v", "7"], [1.5, None, 7]), (b, 1, ["nan", "w", "8"], [None, None, 8]), (b, 2, ["2", 'q"t', "9"], [2, None, 9]),
     ]
 
 
