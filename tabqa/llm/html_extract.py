@@ -48,10 +48,13 @@ class ExtractParams:
 # Elements of HTML by their role on a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br "
+    "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split()
 )
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-RAW = "script|style|noscript|textarea|title|template|iframe|xmp|noembed|noframes|svg|math|select|button|object|canvas|audio|video"
+RAW = "script|style|noscript|textarea|title|template|iframe|xmp|noembed|noframes|svg|select|button|object|canvas|audio|video"
+#: Raw elements that stand inside a line or are not shown: the text around them is one block.
+UNBROKEN = set("script style template svg select button object canvas audio video textarea noscript".split())
 BOILERPLATE = set("nav footer aside form dialog menu head".split())
 CONTAINERS = ("article", "main")
 # Words of class, id and role attributes that name boilerplate.
@@ -61,7 +64,15 @@ HINTS = set(
     "masthead footer comment comments disqus respond reply replies share sharing social related recommended recommendations teaser teasers pagination pager toolbar "
     "search skip hidden disclaimer complementary contentinfo header topbar".split()
 )
-UNHINTED = set("html body main article h1 p".split())
+# Words that may stand beside them in one name without changing what it names.
+BESIDE = set(
+    "a all area aside bar block body bottom box btn button buttons card cards center col column container content desktop el element fixed float floating "
+    "footer form global group head heading holder icon icons id inline inner item items js large latest left link links list main mobile module more note outer "
+    "page pane panel post posts primary region right row secondary section site slot small social static sticky strip tab text this title to tools top unit up us "
+    "view wide wrap wrapper zone article articles story stories news our of and the x".split()
+)
+#: Elements that are boxes of a page: only these go by their names; marks, cells and items of an article stay.
+BOXES = set("div section ul ol dl table details figure fieldset center nav aside header footer form iframe".split())
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
@@ -72,18 +83,37 @@ _TOKEN = re.compile(
     |(?P<text>[^<]++|<)""",
     re.S | re.I | re.X,
 )
-_HINTED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+
+
+def attributes(attrs: str) -> dict[str, str]:
+    """Attributes of a tag by their whole names, the first of a name counting."""
+    found: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(attrs):
+        found.setdefault(name.lower(), "".join(value))
+    return found
+
+
+def names_boilerplate(name: str) -> bool:
+    """Whether one class, id or role names boilerplate: a hint, alone or among words that change nothing (``share-bar``, not ``share-price``)."""
+    words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
+    hints = words & HINTS
+    if hints == {"skip"} and words & {"list", "lists"}:
+        return False
+    return bool(hints) and words <= HINTS | BESIDE and not (hints == {"header"} and words & {"article", "post", "entry", "content", "title"})
+
+
+def unseen(found: dict[str, str]) -> bool:
+    """Whether an element is not shown."""
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
 
 
 def hinted(attrs: str) -> bool:
     """Whether an element's attributes name boilerplate."""
     if not attrs.strip():
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    words = {w for m in _HINTED.findall(attrs) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(m)).lower())}
-    return bool(words & HINTS) and not ("header" in words & HINTS and len(words & HINTS) == 1 and words & {"article", "post", "entry", "content", "title"})
+    found = attributes(attrs)
+    return any(names_boilerplate(n) for key in ("class", "id", "role") for n in found.get(key, "").split())
 
 
 def tokens(page: str, hints: bool = True) -> Iterator[tuple[str, str, str, str, int]]:
@@ -113,7 +143,7 @@ def tokens(page: str, hints: bool = True) -> Iterator[tuple[str, str, str, str,
             continue
         if m["raw"]:
             yield "tag", m["raw"].lower(), "", *place()
-            if m["raw"].lower() not in INLINE:
+            if m["raw"].lower() not in UNBROKEN:
                 yield "end", "", "", *place()
             continue
         name = m["name"] or m["name2"]
@@ -142,7 +172,9 @@ def tokens(page: str, hints: bool = True) -> Iterator[tuple[str, str, str, str,
             where = "-" + name
         elif name == "header" and not open_names["article"] and not open_names["main"]:
             where = "-header"
-        elif hints and name not in UNHINTED and hinted(attrs):
+        elif name not in ("html", "body") and unseen(attributes(attrs)):
+            where = "-hidden"
+        elif hints and name in BOXES and hinted(attrs):
             where = "-hint"
         elif name in CONTAINERS:
             where = "article"
