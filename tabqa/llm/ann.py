@@ -57,7 +57,15 @@ class AnnParams:
 
 
 def cosine(x: Column, y: Column) -> Column:
-    """Cosine of two vectors in double precision."""
+    """Cosine of two vectors in double precision; those whose squares would vanish or overflow are scaled by a power of two."""
+
+    def scaled(v: Column) -> Column:
+        v = F.transform(v, lambda c: c.cast("double"))
+        top = F.array_max(F.transform(v, lambda c: F.abs(c)))
+        by = lambda f: F.transform(v, lambda c: c * F.lit(f))
+        return F.when(top < 1e-100, by(2.0**600)).when(top > 1e100, by(2.0**-600)).otherwise(v)
+
+    x, y = scaled(x), scaled(y)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, u: s + u)
     return dot(x, y) / F.sqrt(dot(x, x)) / F.sqrt(dot(y, y))
 
