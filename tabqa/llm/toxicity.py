@@ -5,7 +5,8 @@ class).  Spark counts the terms of the sample by class; the ``vocabulary`` terms
 that tell the classes apart best (chi-square) span the vector space.  Terms are
 words and ``stem`` letters of word beginnings, of the whole text.  The examples'
 unit TF-IDF vectors form an inverted index in blocks: per term and block the
-largest weight is kept.  The index is bounded by the parameters and is broadcast.
+largest weight is kept.  The index is bounded by the parameters and is broadcast as plain arrays.
+Document frequencies are counted over all labelled rows, not the sample alone.
 
 A text's bound for a block is the product of its vector with the block's largest
 weights.  Blocks are scored exactly in falling order of their bounds until the
@@ -155,6 +156,20 @@ class Model:
         return _logistic(_inputs(vote, top) @ self.weights), [self.index.ids[j] for j in best[: p.evidence]], cosine[: p.evidence].tolist()
 
 
+def _state(m: Model) -> dict:
+    """What scoring needs, as plain numbers and arrays: it travels without this package."""
+    index = {k: v for k, v in vars(m.index).items() if k != "p"} if m.index else None
+    return {"ids": m.ids, "index": index, "weights": m.weights, "plain": m.plain}
+
+
+def _restored(state: dict, p: ToxicityParams) -> Model:
+    index = None
+    if state["index"] is not None:
+        index = Index.__new__(Index)
+        index.__dict__.update(state["index"], p=p)
+    return Model(state["ids"], index, state["weights"], state["plain"])
+
+
 def _inputs(vote: float, top: float) -> np.ndarray:
     return np.array([1.0, vote, top, vote * top])
 
@@ -177,12 +192,12 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e
 
 
 def build(vocabulary: list[tuple[str, int]], examples: list[tuple[object, int, np.ndarray, np.ndarray]], totals: dict[int, int], p: ToxicityParams) -> Model:
-    """``vocabulary``: (term, examples with it); ``examples``: (id, label, term numbers, counts); ``totals``: labelled rows by class."""
+    """``vocabulary``: (term, labelled texts with it); ``examples``: (id, label, term numbers, counts); ``totals``: labelled rows by class."""
     n = [sum(1 for e in examples if e[1] == y) for y in (0, 1)]
     rate = totals.get(1, 0) / max(1, sum(totals.values()))
     if not all(n):
         return Model({}, None, np.zeros(4), rate)
-    idf = np.array([np.log((1 + len(examples)) / (1 + df)) + 1 for _, df in vocabulary])
+    idf = np.array([np.log((1 + sum(totals.values())) / (1 + df)) + 1 for _, df in vocabulary])
     index = Index(len(vocabulary), idf, examples, p)
     weight = [totals[y] / n[y] for y in (0, 1)]
     at = {i: j for j, i in enumerate(index.ids)}
@@ -222,8 +237,19 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     n_all = n0 + n1
     phi2 = F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n_all - a - b + F.lit(1e-9)) * max(1.0, float(n0) * n1))
     pure = a / max(1, n1) >= p.purity * (a / max(1, n1) + (b + 0.5) / max(1, n0))
-    vocabulary = [(r["term"], r["df"]) for r in by_term.where((phi2 >= p.min_phi2) & pure).orderBy(phi2.desc(), "term").limit(p.vocabulary).select("term", "df").collect()]
-    ids = {t: j for j, (t, _) in enumerate(vocabulary)}
+    chosen = [r["term"] for r in by_term.where((phi2 >= p.min_phi2) & pure).orderBy(phi2.desc(), "term").limit(p.vocabulary).select("term").collect()]
+    ids = {t: j for j, t in enumerate(chosen)}
+
+    def present(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([counts(t, p.stem, ids)[0].tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["id", "t"])
+
+    # Document frequencies are over all rows that may be learnt from; of repeated rows of an id one counts.
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known.select("id"), "id")
+    kind = dict(known.dtypes)["id"]
+    seen = named.mapInArrow(present, f"id {kind}, t array<bigint>").groupBy("id").agg(F.max("t").alias("t")).select(F.explode("t").alias("t"))
+    often = {r["t"]: r["df"] for r in seen.groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()} if ids else {}  # one row a chosen term
+    vocabulary = [(t, often.get(j, 0)) for t, j in ids.items()]
 
     def vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -231,17 +257,16 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
             lists = [pa.array([x[j].tolist() for x in got], pa.list_(pa.int64())) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *lists], names=["id", "y", "t", "n"])
 
-    kind = dict(one.dtypes)["id"]
     rows = one.mapInArrow(vectors, f"id {kind}, y int, t array<bigint>, n array<bigint>").orderBy("id").collect()  # bounded by the sample and the vocabulary
     return build(vocabulary, [(r["id"], r["y"], np.array(r["t"], np.int64), np.array(r["n"], np.int64)) for r in rows], totals, p)
 
 
 def score(docs: DataFrame, model: Model, p: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``id, score, predicted, near, cosines`` for every row; with ``keep`` the rows of ``docs`` that are not predicted toxic instead."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(_state(model))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = _restored(shared.value, p)
         for b in parts:
             got = [m.score(t.as_py(), p) for t in b.column(b.num_columns - 1 if not keep else b.schema.get_field_index(text_col))]
             if keep:

@@ -6,6 +6,7 @@ import re
 import zlib
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tabqa.llm import decontam, minhash, mixing, plans, token_count, toxicity
@@ -279,3 +280,15 @@ def test_digest_query_columns(spark):
     d = "/root/testdata/sf0.001"
     rows = plans.QUERIES["op9_decontaminate"](spark, d).collect()
     assert all(r.items_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if r.n_items == 0) and len(rows) == 200
+
+
+def test_the_model_travels_as_plain_arrays():
+    import pickle
+
+    p = toxicity.ToxicityParams(k=2)
+    words_of = [(1, 1, [0, 1], [1, 2]), (2, 1, [1], [1]), (3, 0, [2], [1]), (4, 0, [0, 2], [1, 1])]
+    model = toxicity.build([("a", 2), ("b", 2), ("c", 2)], [(i, y, np.array(t), np.array(n)) for i, y, t, n in words_of], {0: 2, 1: 2}, p)
+    state = pickle.dumps(toxicity._state(model))
+    assert b"tabqa" not in state
+    back = toxicity._restored(pickle.loads(state), p)
+    assert all(back.score(t, p) == model.score(t, p) for t in ("a b", "c", "none", None, "a a c"))
