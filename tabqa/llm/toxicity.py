@@ -245,9 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([counts(t, p.stem, ids)[0].tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["id", "t"])
 
     # Document frequencies are over all rows that may be learnt from; of repeated rows of an id one counts.
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known.select("id"), "id")
-    kind = dict(known.dtypes)["id"]
-    seen = named.mapInArrow(present, f"id {kind}, t array<bigint>").groupBy("id").agg(F.max("t").alias("t")).select(F.explode("t").alias("t"))
+    # Texts become lists of chosen terms, most of them empty, before they meet the labels.
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = dict(named.dtypes)["id"]
+    found_terms = named.mapInArrow(present, f"id {kind}, t array<bigint>").where(F.size("t") > 0)
+    seen = found_terms.join(known.select("id"), "id").groupBy("id").agg(F.max("t").alias("t")).select(F.explode("t").alias("t"))
     often = {r["t"]: r["df"] for r in seen.groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()} if ids else {}  # one row a chosen term
     vocabulary = [(t, often.get(j, 0)) for t, j in ids.items()]
 
