@@ -97,5 +97,41 @@ def jitter(n: Column, k: Column) -> Column:
     return lo + F.pmod(k, n + 5 - lo + 1)
 
 
+def _pieces(s: Column, sub: Column) -> Column:
+    """What lies between the occurrences of a text, found from the left without overlaps."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(sub, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.when(sub != "", F.split(s, literal))
+
+
+def count_of(s: Column, sub: Column) -> Column:
+    """P5: occurrences of a text; NULL for an empty one."""
+    return F.size(F.when(s.isNotNull(), _pieces(s, sub))) - 1
+
+
+def replace_nth(s: Column, sub: Column, new: Column, n: Column) -> Column:
+    """P5: the ``n``-th occurrence (from 1) replaced; NULL if there are fewer."""
+    p = _pieces(s, sub)
+    joined = lambda x: F.call_function("array_join", x, sub)
+    k = F.when((n >= 1) & (n < F.size(p)), n.cast("int"))
+    return F.concat(joined(F.slice(p, F.lit(1), k)), new, joined(F.slice(p, k + 1, F.size(p) - k)))
+
+
+def replace_each(s: Column, sub: Column, news: Column) -> Column:
+    """P5: one replacement after the other, each put for the first occurrence then left; NULL unless there are as many."""
+
+    def first(acc: Column, new: Column) -> Column:
+        at = F.position(sub, acc)
+        rest = F.substr(acc, at + F.char_length(sub))
+        return F.when(at == 0, acc).otherwise(F.concat(F.substr(acc, F.lit(1), at - 1), new, rest))
+
+    return F.when(count_of(s, sub) == F.size(news), F.aggregate(news, s, first))
+
+
+def replace_range(s: Column, start: Column, end: Column, old: Column, new: Column) -> Column:
+    """A text replaced among the characters ``start`` to ``end`` (from 0, exclusive) only; bounds are not negative."""
+    a, b = start.cast("int"), end.cast("int")
+    return F.concat(F.substr(s, F.lit(1), a), F.replace(F.substr(s, a + 1, F.greatest(b - a, F.lit(0))), old, new), F.substr(s, b + 1))
+
+
 def escape_regex(s: str) -> str:
     return re.escape(s)

@@ -47,6 +47,7 @@ TABLE_BYTES = 40
 class Answers:
     answers: DataFrame  # one row per spec: sizes, first value, facts for the rules
     parts: DataFrame  # the answer rows of every spec, in ordered parts
+    origin: DataFrame | None = None  # of specs that select an aggregate: the first row (``row_idx``) of the same query without it
 
     @property
     def answer_rows(self) -> DataFrame:
@@ -72,7 +73,7 @@ class Answers:
 
     def only(self, specs: DataFrame) -> Answers:
         """The answers of some specs (``table_id, query_no``)."""
-        return Answers(self.answers.join(specs, SPEC_KEY, "left_semi"), self.parts.join(specs, SPEC_KEY, "left_semi"))
+        return Answers(self.answers.join(specs, SPEC_KEY, "left_semi"), self.parts.join(specs, SPEC_KEY, "left_semi"), self.origin)
 
     def assembled(self) -> Answers:
         """The same answers with the parts of each put together in order, as one part."""
@@ -80,7 +81,7 @@ class Answers:
         in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "rows"))), lambda p: p["rows"])
         merged = self.parts.join(several, SPEC_KEY, "left_semi").groupBy(*SPEC_KEY).agg(F.flatten(in_order).alias("rows"))
         parts = self.parts.join(several, SPEC_KEY, "left_anti").select(*SPEC_KEY, "rows").unionByName(merged)
-        return Answers(self.answers.withColumn("n_parts", F.least("n_parts", F.lit(1))), parts.select(*_part(F.col("rows"), F.lit(0))))
+        return Answers(self.answers.withColumn("n_parts", F.least("n_parts", F.lit(1))), parts.select(*_part(F.col("rows"), F.lit(0))), self.origin)
 
     def whole(self) -> DataFrame:
         """``table_id, query_no, answer``: the whole text of every answer, for consumers that need one text."""
@@ -228,7 +229,7 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
 EXEC_COLS = [
     "table_id", "query_no", "n_rows", "types", "w_n", "w_cc", "w1_col", "w1_rcol", "w1_op", "w1_num", "w1_nin",
     "w1_v1", "w1_v2", "w1_v3", "w2_col", "w2_op", "w2_num", "w2_nin", "w2_v1", "w2_v2", "w2_v3",
-    "g_col", "h_kind", "h_col", "h_rcol", "h_op", "h_agg", "h_lit", "s_kind", "s_cols", "s_op", "s_agg",
+    "g_col", "h_kind", "h_col", "h_rcol", "h_op", "h_agg", "h_distinct", "h_lit", "s_kind", "s_cols", "s_op", "s_agg",
     "o_kind", "o_col", "o_desc",
 ]
 SPEC_KEY = ["table_id", "query_no"]
@@ -251,7 +252,7 @@ def _part(rows: Column, part: Column) -> list[Column]:
     return [*[F.col(k) for k in SPEC_KEY], part.cast("bigint").alias("part"), rows.alias("rows")]
 
 
-def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_rows: int = PART_ROWS) -> Answers:
+def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_rows: int = PART_ROWS, sketch: float | None = None) -> Answers:
     """Answer every spec.
 
     Specs are split by mode before the join, so each rows x specs expansion
@@ -261,7 +262,9 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     * top row (``ORDER BY ... LIMIT 1`` over rows): one partial minimum per spec of
       (ORDER value, row number), then a lookup of that row;
     * aggregates (global or grouped): one aggregation keyed by (spec, group
-      value) with fixed-width buffers (HashAggregate, partial).
+      value) with fixed-width buffers (HashAggregate, partial).  ``count ( distinct c )``
+      adds a level keyed by (spec, group value, value), so a group of any size spreads over
+      tasks; with ``sketch``, a relative error, it is a mergeable HyperLogLog++ instead.
     """
     from tabqa.operators.render import _py_repr
 
@@ -306,17 +309,22 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
         F.col("h_kind") == "colcol", _cmp(hv, F.col("h_op"), _num(F.col("h_rcol")))
     )
     gk = F.when(F.col("g_col").isNotNull(), _cell(F.col("g_col"))).otherwise(F.lit(""))
-    carried = ["g_col", "h_kind", "h_op", "h_agg", "h_lit", "s_kind", "s_agg", "o_kind", "o_desc"]
+    carried = ["g_col", "h_kind", "h_op", "h_agg", "h_distinct", "h_lit", "s_kind", "s_agg", "o_kind", "o_desc"]
     h_real, s_real = F.coalesce(_type(F.col("h_col")) == "REAL", F.lit(False)), F.coalesce(_type(s1) == "REAL", F.lit(False))
     needed = lambda agg, v: total(F.when(F.col(agg).isin("sum", "avg"), v), kind)
+    unlike = F.when(F.col("h_distinct"), hc)
+    if sketch is not None:
+        different = F.approx_count_distinct(unlike, sketch)
+    else:  # the extra level only if some spec asks for it
+        different = F.lit(None).cast("bigint") if specs.where("h_distinct").isEmpty() else F.count_distinct(unlike)
     g = xa.groupBy(*SPEC_KEY, *carried, h_real.alias("h_real"), s_real.alias("s_real"), calc_is_real().alias("calc_real"), gk.alias("gk")).agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.count(hc).alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"), needed("h_agg", hv).alias("h_sum"),
+        F.count(hc).alias("h_every_cnt"), different.alias("h_different"), F.min("row_idx").cast("bigint").alias("first_row"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"), needed("h_agg", hv).alias("h_sum"),
         F.bool_and(F.coalesce(h_row_ok, F.lit(True))).alias("h_every"),
         F.count(sc).alias("s_cnt"), F.max(sv).alias("s_max"), F.min(sv).alias("s_min"), needed("s_agg", sv).alias("s_sum"), F.count(sv).alias("s_nums"),
         F.min_by(F.when(F.col("s_kind") == "calc", calc), F.col("row_idx")).alias("calc_first"),
     )
-    g = pin(g, "answer-groups")
+    g = pin(g.withColumn("h_cnt", F.when(F.col("h_distinct"), F.col("h_different")).otherwise(F.col("h_every_cnt"))), "answer-groups")
     # A sum of whole numbers beyond BIGINT is an error there: the query has no answer.
     beyond = lambda used, real, v: used & ~real & ((v > (1 << 63) - 1) | (v < -(1 << 63)))
     over = beyond((F.col("s_kind") == "agg") & (F.col("s_agg") == "sum"), F.col("s_real"), F.col("s_sum"))
@@ -341,7 +349,8 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     having = F.when(F.col("h_kind") == "agg", _cmp(h_val, F.col("h_op"), h_lit)).otherwise(
         F.col("h_every")
     )
-    grp_out = fine.where(F.col("g_col").isNotNull() & F.coalesce(having, F.lit(False))).select(
+    kept_group = F.col("g_col").isNotNull() & F.coalesce(having, F.lit(False))
+    grp_out = fine.where(kept_group).select(
         *SPEC_KEY, "o_kind",
         F.lit(None).cast("bigint").alias("ord_i"), F.col("gk").alias("ord_s"),
         F.when(F.col("s_kind") == "group", F.array("gk"))
@@ -372,7 +381,10 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
 
     parts = pin(plain.unionByName(top).unionByName(top_group).unionByName(listed).unionByName(single), "answer-parts")
     grouped = g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected"))
-    return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected").unionByName(grouped), refused.unionByName(failed)), parts)
+    # The first row of an aggregate's plain query: the first row of its first group (a missing group value comes first).
+    origin = fine.where((F.col("s_kind") == "agg") & (F.col("g_col").isNull() | kept_group)).groupBy(*SPEC_KEY).agg(F.min(F.struct("gk", "first_row")).alias("m"))
+    origin = origin.select(*SPEC_KEY, F.col("m.first_row").alias("row_idx"))
+    return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected").unionByName(grouped), refused.unionByName(failed)), parts, origin)
 
 
 def selected_rows(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
@@ -406,6 +418,11 @@ def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame, failed: Data
     )
 
 
+def group_aggregate(header: Column) -> Column:
+    """The aggregate of a group as the SQL names it: ``count ( h )``, ``count ( distinct h )``."""
+    return F.concat(F.col("h_agg"), F.when(F.col("h_distinct"), " ( distinct ").otherwise(" ( "), F.try_element_at(header, F.col("h_col") + 1), F.lit(" )"))
+
+
 def answer_tables(ans: Answers, specs: DataFrame, fmt: str = "markdown") -> DataFrame:
     """Every answer as a formatted table, ``(table_id, query_no, chunk, text)``.
 
@@ -423,7 +440,7 @@ def answer_tables(ans: Answers, specs: DataFrame, fmt: str = "markdown") -> Data
         F.when(F.col("s_kind") == "calc", F.array(F.concat(name(s1), F.lit(" "), F.col("s_op"), F.lit(" "), name(s2))))
         .when(F.col("s_kind") == "agg", F.array(F.concat(F.col("s_agg"), F.lit(" ( "), name(s1), F.lit(" )"))))
         .when(F.col("s_kind") == "group", F.array(name(F.col("g_col"))))
-        .when(F.col("s_kind") == "group_agg", F.array(name(F.col("g_col")), F.concat(F.col("h_agg"), F.lit(" ( "), name(F.col("h_col")), F.lit(" )"))))
+        .when(F.col("s_kind") == "group_agg", F.array(name(F.col("g_col")), group_aggregate(F.col("header"))))
         .otherwise(F.transform("s_cols", lambda c: name(c)))
     )
     typ = (

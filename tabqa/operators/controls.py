@@ -84,15 +84,29 @@ def has_dups(arr: Column) -> Column:
     return F.size(arr) != F.size(F.array_distinct(arr))
 
 
-def answer_position(answers: DataFrame, rows: DataFrame) -> DataFrame:
+def located_values(specs: DataFrame, ans: Answers, rows: DataFrame) -> DataFrame:
+    """``table_id, query_no, v``: the value that tells where an answer lies.
+
+    An answer of one row lies where its value does.  An aggregate's value is seldom in the
+    table, so it lies where the first row of the same query without the aggregate does;
+    that row's number is a minimum inside the aggregation (``Answers.origin``).
+    """
+    key = ["table_id", "query_no"]
+    of = specs.where(F.col("s_kind") == "agg").select(*key, (F.col("s_cols")[0] + 1).alias("c"))
+    at = of.join(ans.origin, key).join(rows.select("table_id", "row_idx", "cells"), ["table_id", "row_idx"])
+    plain = ans.answers.where(F.col("n_ans_rows") == 1).join(of, key, "left_anti").select(*key, F.col("first_value").alias("v"))
+    return plain.unionByName(at.select(*key, F.try_element_at("cells", F.col("c")).alias("v")))
+
+
+def answer_position(answers: DataFrame, rows: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """First (row, col) in row-major order whose text equals the answer, else (-1, -1).
 
-    ``answers`` has ``n_ans_rows`` and ``first_value``.  The values asked for are
+    ``answers`` has ``n_ans_rows`` and ``first_value``; ``values`` has other values to look for.  The values asked for are
     joined to the exploded cells, whose first places are taken per (table, value) as
     a partial minimum of one number, so a value that fills a large table is one
     row per task before it is shuffled.
     """
-    single = answers.where(F.col("n_ans_rows") == 1).select("table_id", "query_no", F.col("first_value").alias("v"))
+    single = answers.where(F.col("n_ans_rows") == 1).select("table_id", "query_no", F.col("first_value").alias("v")) if values is None else values
     cells = rows.select("table_id", "row_idx", F.size("cells").cast("bigint").alias("n"), F.posexplode("cells").alias("col_idx", "v"))
     asked = cells.join(single.select("table_id", "v").distinct(), ["table_id", "v"], "left_semi")
     first = asked.groupBy("table_id", "v").agg(F.min(F.col("row_idx") * F.col("n") + F.col("col_idx")).alias("at"), F.max("n").alias("n"))
@@ -208,19 +222,22 @@ def first_failure(df: DataFrame) -> Column:
     return e
 
 
-def apply(specs: DataFrame, ans: Answers, rows: DataFrame, c: Controls) -> DataFrame:
+def apply(specs: DataFrame, ans: Answers, rows: DataFrame, c: Controls, texts: bool = True) -> DataFrame:
     """specs ⋈ answers ⋈ answer position, with rule columns and ``rejected_by``.
 
     Rules read the facts of an answer, whatever its size.  ``answer`` is the whole
-    text of a query that is kept, whatever parts it lies in, and NULL for the others.
+    text of a query that is kept, whatever parts it lies in, and NULL for the others;
+    without ``texts`` no answer is put together.
     """
     df = specs.join(ans.answers.drop("n_rows", "sql"), ["table_id", "query_no"])
     if c.answer_location.available:
-        df = df.join(answer_position(ans.answers, rows), ["table_id", "query_no"])
+        df = df.join(answer_position(ans.answers, rows, located_values(specs, ans, rows)), ["table_id", "query_no"])
     else:
         df = df.select("*", F.lit(-1).alias("ans_row"), F.lit(-1).alias("ans_col"))
     df = rule_columns(df, c)
     checked = df.select("*", first_failure(df).alias("rejected_by"))
+    if not texts:
+        return checked
     kept = checked.where(F.col("rejected_by").isNull()).select("table_id", "query_no")
     return checked.join(ans.only(kept).whole(), ["table_id", "query_no"], "left")
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabqa.functions.hashing import hk
-from tabqa.session import ensure_checkpoint_dir
+from tabqa.session import ensure_checkpoint_dir, pin
 
 KEY = ["table_id", "query_no"]
 
@@ -93,10 +93,54 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, first_
     return r
 
 
+def json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """``file, element, text`` of every object in files that hold one JSON array of objects each.
+
+    Files are read in byte ranges by many tasks, cut after every ``}``.  Whether such a piece
+    starts inside a string is the parity of the quotes before it, and the brackets outside
+    strings sum up to its depth; both are prefix sums, first over the ranges of a file (one
+    row each), then within each.  An object ends where the depth is back at the array's.
+
+    Elements that aren't objects are no rows; a file without an array, or an empty one, has none.
+    """
+    text = spark.read.option("lineSep", "}").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    pieces = pin(text.select(*place, "value"), "json-pieces")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    many = lambda s, chars: F.length(s) - F.length(F.translate(s, chars, ""))
+    facts = pieces.select("file", "block", "at", many(bare, '"').alias("quotes"), bare.alias("bare"))
+
+    def delta(s: Column) -> Column:
+        outside = F.regexp_replace(s, '"[^"]*("|$)', "")
+        return many(outside, "{[") - many(outside, "}]")
+
+    inside = F.concat(F.lit('"'), F.col("bare"))
+    facts = pin(facts.select("file", "block", "at", "quotes", delta(F.col("bare")).alias("out"), delta(inside).alias("in")), "json-facts")
+    x = _prefix(facts, "quotes").withColumn("starts_in", F.pmod("before", F.lit(2)) == 1).withColumn("ends_in", F.pmod(F.col("before") + F.col("quotes"), F.lit(2)) == 1)
+    closed = F.when(F.col("ends_in"), 0).otherwise(1)  # the bracket that the cut took away
+    x = x.select("file", "block", "at", "ends_in", (F.when(F.col("starts_in"), F.col("in")).otherwise(F.col("out")) - closed).alias("d"))
+    x = _prefix(x, "d").withColumn("ends", ((F.col("before") + F.col("d") == 1) & ~F.col("ends_in")).cast("int"))
+    x = _prefix(x.select("file", "block", "at", "ends"), "ends").select("file", "block", "at", "ends", F.col("before").alias("element"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda p: F.concat(p["value"], F.lit("}")))
+    whole = x.join(pieces, ["file", "block", "at"]).groupBy("file", "element").agg(F.array_join(parts, "").alias("text"), F.max("ends").alias("ends"))
+    return whole.where("ends = 1").select("file", "element", F.regexp_replace("text", r"^[^{]*", "").alias("text"))
+
+
+def _prefix(x: DataFrame, value: str) -> DataFrame:
+    """``before``: sum of ``value`` over all earlier pieces of the file."""
+    blocks = x.groupBy("file", "block").agg(F.sum(value).alias("__n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a byte range
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__from"))
+    within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    y = x.join(blocks, ["file", "block"]).withColumn("before", F.col("__from") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return y.drop("__from")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A5: one JSON array per file."""
-    rd = spark.read.option("multiLine", True)
-    return (rd.schema(schema) if schema else rd).json(path)
+    """A5: one JSON array of objects per file; with a schema, a file is read by many tasks."""
+    if schema is None:
+        return spark.read.option("multiLine", True).json(path)
+    return json_elements(spark, path).select(F.from_json("text", schema).alias("x")).select("x.*")
 
 
 def write_text_pairs(df: DataFrame, path: str, order: list[str]) -> tuple[str, str]:

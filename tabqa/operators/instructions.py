@@ -3,7 +3,7 @@
 One sentence per clause present (where, group by, having, select, order by),
 joined without a separator.  Columns are found by name as substrings of a
 clause, in header order, as the reference does; its swap of the largest and
-smallest value in the Chinese order sentence is kept.
+smallest value in the Chinese order sentence and an unfilled place there are mended.
 """
 
 from __future__ import annotations
@@ -44,11 +44,11 @@ ZH = {
     "rows_agg": "选择已筛选的行中的所有列，然后求它们{}作为答案",
     "select": "选择已筛选的行中的 '{}' 列的值作为答案",
     "select_agg": "选择已筛选的行中的 '{}' 列的值，然后求它们{}作为答案.",
-    "select_of": {"sum": "'{}'的和", "count": "'{}'的数量", "min": "'{}'的最小值", "max": "'{}'的最大值", "avg": "'{}'的平均值"},
+    "select_of": {"sum": "的和", "count": "的数量", "min": "的最小值", "max": "的最大值", "avg": "的平均值"},
     "order_of": {"sum": "{}的和", "count": "{}的数量", "min": "{}的最小值", "max": "{}的最大值", "avg": "{}的平均值"},
     "difference": " {} 和 {} 之差",
-    "asc": ("升序", "最大值"),
-    "desc": ("降序", "最小值"),
+    "asc": ("升序", "最小值"),
+    "desc": ("降序", "最大值"),
 }
 
 
@@ -95,8 +95,7 @@ def multiturn(sql: Column, header: Column, zh: bool = False) -> Column:
     )
     column = first(select)
     # Of several aggregate words the last in the list counts in a select, as each overwrites the one before.
-    select_of = _by_agg(select, {k: v.replace("{}", "\x00") for k, v in say["select_of"].items()}, spaced=True, last=True)
-    select_of = F.replace(select_of, F.lit("\x00"), F.lit("{}"))
+    select_of = _by_agg(select, say["select_of"], spaced=True, last=True)
     chosen = (
         F.when((column == "*") & select_of.isNull(), F.lit(say["rows"]))
         .when(column == "*", _say(say["rows_agg"], select_of))

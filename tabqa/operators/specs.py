@@ -59,6 +59,7 @@ class GeneratorProfile:
     agg_alone: bool  # an aggregate is forced where there is neither WHERE nor GROUP
     aggs: tuple  # aggregates of a numeric column
     plain_falling: bool  # a plain select takes 1..n columns with falling weights, not one
+    having_distinct: float = 0.0  # a group's count is one of distinct values
 
 
 P_IN_TWO = 0.6
@@ -78,7 +79,7 @@ PROFILES = {
     "chinese": GeneratorProfile(
         where_value=1.0, where_one=0.7, where_repeat=True, text_ops=(("=", "like", "in"), (0.6, 0.2, 0.2)),
         having_not_cc=1.0, having_agg=0.7, having_ops=(">", "<", "="), calc=0.05, calc_ops=(("+", "-", "*", "/"), (0.5, 0.3, 0.1, 0.1)),
-        no_agg=(0.8, 0.8, 0.8), agg_alone=False, aggs=("min", "max", "count", "sum", "avg"), plain_falling=False,
+        no_agg=(0.8, 0.8, 0.8), agg_alone=False, aggs=("min", "max", "count", "sum", "avg"), plain_falling=False, having_distinct=0.5,
     ),
 }
 PLACE_BYTES = 80  # about what a literal's place takes in a broadcast table
@@ -251,6 +252,7 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
             f"CASE WHEN h_kind = 'agg' THEN CASE WHEN {d.contains('tc', 'h_col')} THEN 'count' "
             f"ELSE {x.choice(['count', 'max', 'min', 'sum'], 'h_aggf')} END END",
         ),
+        ("h_uniq", f"{x.u('h_distinct')} < {prof.having_distinct!r}" if prof.having_distinct else "FALSE"),
         ("s_calc", f"{x.u('s_calc')} < {(prof.calc if p.flag == 's' else 0.0)!r}"),
         ("s_noagg", f"{x.u('s_agg')} < {prof.no_agg['sdt'.index(p.flag)]!r}" + (" AND (has_w OR has_g)" if prof.agg_alone else "")),
         ("s_op", x.weighted(*prof.calc_ops, "s_op")),
@@ -291,6 +293,7 @@ def stages(d, p: SpecParams) -> list[list[tuple[str, str]]]:
     st.append([
         ("o_col", "CASE o_kind WHEN 'col' THEN o_pick WHEN 'agg' THEN h_col END"),
         ("s_agg", "CASE WHEN s_kind = 'agg' THEN s_agg END"),
+        ("h_distinct", "coalesce(h_agg = 'count' AND h_uniq, FALSE)"),
     ])
     # literal rows, one per slot
     st.append([(f"r_{s}", f"{x.hs('r_' + s)} % greatest(n_rows, 1)") for s in LITERAL_SLOTS])
@@ -317,7 +320,7 @@ def literals(d) -> list[tuple[str, str]]:
 SPEC_COLUMNS = [
     "table_id", "query_no", "tpl", "n_rows", "n_cols", "header", "types", "ic",
     "w_n", "w_cc", "w1_col", "w1_rcol", "w1_op", "w1_num", "w1_nin", "w2_col", "w2_op", "w2_num", "w2_nin",
-    "g_col", "h_kind", "h_col", "h_rcol", "h_op", "h_agg", "h_n1",
+    "g_col", "h_kind", "h_col", "h_rcol", "h_op", "h_agg", "h_distinct", "h_n1",
     "s_kind", "s_cols", "s_op", "s_agg", "o_kind", "o_col", "o_desc",
 ]
 
@@ -348,9 +351,10 @@ def render_sql(d) -> list[tuple[str, str]]:
         f"ELSE 'where ' || {cond(1)} || ' and ' || {cond(2)} END"
     )
     group = f"CASE WHEN g_col IS NULL THEN '' ELSE 'group by ' || {name('g_col')} END"
+    h_of = f"h_agg || CASE WHEN h_distinct THEN ' ( distinct ' ELSE ' ( ' END || {name('h_col')} || ' )'"
     having = (
         "CASE WHEN h_kind IS NULL THEN '' "
-        f"WHEN h_kind = 'agg' THEN 'having ' || h_agg || ' ( ' || {name('h_col')} || ' ) ' || h_op || ' ' || h_lit "
+        f"WHEN h_kind = 'agg' THEN 'having ' || {h_of} || ' ' || h_op || ' ' || h_lit "
         f"WHEN h_kind = 'bare' THEN 'having ' || {name('h_col')} || ' ' || h_op || ' ' || h_lit "
         f"ELSE 'having ' || {name('h_col')} || ' ' || h_op || ' ' || {name('h_rcol')} END"
     )
@@ -359,13 +363,13 @@ def render_sql(d) -> list[tuple[str, str]]:
         f"WHEN 'calc' THEN {name(d.at('s_cols', '1'))} || ' ' || s_op || ' ' || {name(d.at('s_cols', '2'))} "
         f"WHEN 'agg' THEN s_agg || ' ( ' || {name(d.at('s_cols', '1'))} || ' )' "
         f"WHEN 'group' THEN {name('g_col')} "
-        f"ELSE {name('g_col')} || ', ' || h_agg || ' ( ' || {name('h_col')} || ' )' END"
+        f"ELSE {name('g_col')} || ', ' || {h_of} END"
     )
     direction = "CASE WHEN o_desc THEN 'desc' ELSE 'asc' END"
     order = (
         "CASE o_kind WHEN 'none' THEN '' "
         f"WHEN 'col' THEN 'order by ' || {name('o_col')} || ' ' || {direction} || ' limit 1' "
-        f"ELSE 'order by ' || h_agg || ' ( ' || {name('h_col')} || ' ) ' || {direction} || ' limit 1' END"
+        f"ELSE 'order by ' || {h_of} || ' ' || {direction} || ' limit 1' END"
     )
     parts = {"S": "S", "W": "W", "G": "G", "H": "H", "O": "O"}
     cases = []
@@ -471,11 +475,12 @@ def instruction_sql(d) -> list[list[tuple[str, str]]]:
     group = f"CASE WHEN g_col IS NULL THEN '' ELSE 'The rows are then grouped according to the value of the ' || {name('g_col')} || ' in the remaining rows.' || {nl} END"
     having = (
         "CASE WHEN h_kind IS NULL THEN '' ELSE 'Then filter some groups by the following condition:' || "
-        f"CASE WHEN h_kind = 'agg' AND h_agg = 'count' THEN 'the number of column ' || {name('h_col')} || ' is ' || {eng('h_op')} || ' ' || h_lit || '.' "
+        f"CASE WHEN h_kind = 'agg' AND h_agg = 'count' THEN CASE WHEN h_distinct THEN 'the number of distinct values of column ' ELSE 'the number of column ' END || {name('h_col')} || ' is ' || {eng('h_op')} || ' ' || h_lit || '.' "
         f"WHEN h_kind = 'agg' THEN {eng('h_agg')} || ' column ' || {name('h_col')} || ' is ' || {eng('h_op')} || ' ' || h_lit || '.' "
         f"WHEN h_kind = 'bare' THEN 'the column ' || {name('h_col')} || ' is ' || {eng('h_op')} || ' ' || h_lit || '.' "
         f"ELSE 'The value of column ' || {name('h_col')} || ' needs to be ' || {eng('h_op')} || ' the value of column ' || {name('h_rcol')} || '.' END || {nl} END"
     )
+    distinct = "CASE WHEN h_distinct THEN ' distinct values of ' ELSE ' ' END"
     pylist = "'[' || " + d.join(d.tr("s_cols", "c", "'''' || " + name("c") + " || ''''"), "', '") + " || ']'"
     s1 = name(d.at("s_cols", "1"))
     s2 = name(d.at("s_cols", "2"))
@@ -483,12 +488,12 @@ def instruction_sql(d) -> list[list[tuple[str, str]]]:
         f"CASE s_kind WHEN 'calc' THEN 'Select calculate ' || {eng('s_op')} || ' the values in columns ' || {s1} || ' and ' || {s2} || ' in filtered rows.' "
         f"WHEN 'agg' THEN CASE WHEN s_agg = 'count' AND NOT {d.contains('ic', d.at('s_cols', '1'))} THEN 'Select the number of cells of ' || {s1} || ' column in filtered rows.' "
         f"ELSE 'Select ' || {eng('s_agg')} || ' values of ' || {s1} || ' column in filtered rows.' END "
-        f"WHEN 'group_agg' THEN 'Select values of ' || {name('g_col')} || ' column and ' || {eng('h_agg')} || ' ' || {name('h_col')} || ' in filtered rows.' "
+        f"WHEN 'group_agg' THEN 'Select values of ' || {name('g_col')} || ' column and ' || {eng('h_agg')} || {distinct} || {name('h_col')} || ' in filtered rows.' "
         f"ELSE 'Select values of ' || {pylist} || ' column in filtered rows.' END"
     )
     order = (
         "CASE o_kind WHEN 'none' THEN '' ELSE 'Sort the obtained values in ' || CASE WHEN o_desc THEN 'descending' ELSE 'ascending' END "
-        f"|| ' order of ' || CASE WHEN o_kind = 'agg' THEN {eng('h_agg')} || ' ' || {name('h_col')} ELSE {name('o_col')} END "
+        f"|| ' order of ' || CASE WHEN o_kind = 'agg' THEN {eng('h_agg')} || {distinct} || {name('h_col')} ELSE {name('o_col')} END "
         f"|| ' and select the ' || CASE WHEN o_desc THEN 'largest' ELSE 'smallest' END || ' value to get the answer.' || {nl} END"
     )
     return [
@@ -601,7 +606,7 @@ def fine_stages(d, p: "SpecParams") -> list[list[tuple[str, str]]]:
         ("h_col", "CAST(NULL AS INT)"), ("h_rcol", "CAST(NULL AS INT)"),
         ("h_op", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
         ("h_agg", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
-        ("h_n1", "1"),
+        ("h_distinct", "FALSE"), ("h_n1", "1"),
         ("s_kind", "'cols'"), ("s_cols", d.arr("s_col1")),
         ("s_op", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
         ("s_agg", "CAST(NULL AS STRING)" if d.name == "spark" else "CAST(NULL AS VARCHAR)"),
@@ -631,6 +636,8 @@ def instruction_zh_sql(d) -> list[list[tuple[str, str]]]:
     def zh(x: str) -> str:
         return "CASE " + x + " " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in CODE_CHINESE.items()) + " END"
 
+    number_zh = "CASE WHEN h_distinct THEN ' 列未重复的数量' ELSE ' 列的数量' END"
+
     def cond(n: int) -> str:
         c, op, num = name(f"w{n}_col"), f"w{n}_op", f"w{n}_num"
         a, b, cc = f"w{n}_v1", f"w{n}_v2", f"w{n}_v3"
@@ -651,7 +658,7 @@ def instruction_zh_sql(d) -> list[list[tuple[str, str]]]:
     group = f"CASE WHEN g_col IS NULL THEN '' ELSE '然后根据剩余行中' || {name('g_col')} || '的值对行进行分组.' END"
     having = (
         "CASE WHEN h_kind IS NULL THEN '' ELSE '然后根据以下条件筛选某些组：' || "
-        f"CASE WHEN h_kind = 'agg' AND h_agg = 'count' THEN {name('h_col')} || ' 列的数量 ' || {zh('h_op')} || ' ' || h_lit || '.' "
+        f"CASE WHEN h_kind = 'agg' AND h_agg = 'count' THEN {name('h_col')} || {number_zh} || ' ' || {zh('h_op')} || ' ' || h_lit || CASE WHEN h_distinct AND NOT {d.contains('ic', 'h_col')} THEN '' ELSE '.' END "
         f"WHEN h_kind = 'agg' THEN {name('h_col')} || ' 列的' || {zh('h_agg')} || ' ' || {zh('h_op')} || ' ' || h_lit || '.' "
         f"WHEN h_kind = 'bare' THEN {name('h_col')} || ' 列 ' || {zh('h_op')} || ' ' || h_lit || '.' "
         f"ELSE {name('h_col')} || ' 列 ' || {zh('h_op')} || ' ' || {name('h_rcol')} || ' 列.' END END"
@@ -663,7 +670,7 @@ def instruction_zh_sql(d) -> list[list[tuple[str, str]]]:
         f"CASE s_kind WHEN 'calc' THEN '选择，并计算，已筛选行中，两列 ' || {s1} || ' 和 ' || {s2} || {zh('s_op')} || '。 ' "
         f"WHEN 'agg' THEN CASE WHEN s_agg = 'count' AND NOT {d.contains('ic', d.at('s_cols', '1'))} THEN '选择，已筛选行中的' || {s1} || ' 列的数量' "
         f"ELSE '选择，已筛选行中的' || {s1} || ' 列，并求' || {zh('s_agg')} END "
-        f"WHEN 'group_agg' THEN '选择，已筛选行中的 ' || {name('g_col')} || ' 列，并求' || {name('h_col')} || ' 列的' || {zh('h_agg')} "
+        f"WHEN 'group_agg' THEN '选择，已筛选行中的 ' || {name('g_col')} || ' 列，并求' || {name('h_col')} || CASE WHEN h_distinct THEN ' 列未重复的' ELSE ' 列的' END || {zh('h_agg')} "
         f"ELSE '选择，已筛选行中的 ' || {cols} || ' 列' END"
     )
     order = (
@@ -671,7 +678,7 @@ def instruction_zh_sql(d) -> list[list[tuple[str, str]]]:
         "WHEN 'col' THEN '将已选择的值按 ' || CASE WHEN o_desc THEN '降序' ELSE '升序' END || ' ' || "
         f"{name('o_col')} || '排序，并且选择最' || CASE WHEN o_desc THEN '大' ELSE '小' END || '的值。' "
         "ELSE '将已选择的值按 ' || CASE WHEN h_agg = 'count' THEN "
-        f"{name('h_col')} || ' 列的数量' ELSE {name('h_col')} || ' 列的' || {zh('h_agg')} END || ' 升序排序，并且选择最' "
+        f"{name('h_col')} || {number_zh} ELSE {name('h_col')} || ' 列的' || {zh('h_agg')} END || CASE WHEN h_distinct AND o_desc THEN ' 降序' ELSE ' 升序' END || '排序，并且选择最' "
         "|| CASE WHEN o_desc THEN '大' ELSE '小' END || '的值。' END"
     )
     nl = "'\n'"

@@ -64,8 +64,10 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     row_ok = F.when(F.col("h_kind") == "bare", B._cmp(hv, F.col("h_op"), F.col("h_lit").try_cast(kind))).when(
         F.col("h_kind") == "colcol", B._cmp(hv, F.col("h_op"), B._num(F.col("h_rcol")))
     )
+    hc = B._cell(F.col("h_col"))
+    h_cnt = F.count(hc) if specs.where("h_distinct").isEmpty() else F.when(F.bool_or("h_distinct"), F.count_distinct(hc)).otherwise(F.count(hc))
     gagg = x.where(F.col("g_col").isNotNull()).groupBy(*KEY, g_val.alias("gk")).agg(
-        F.count(B._cell(F.col("h_col"))).alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"),
+        h_cnt.alias("h_cnt"), F.max(hv).alias("h_max"), F.min(hv).alias("h_min"),
         B.total(hv, kind).alias("h_sum"), F.bool_and(F.coalesce(row_ok, F.lit(True))).alias("h_every"),
         F.count(B._cell(s1)).alias("s_cnt"), F.max(B._num(s1)).alias("s_max"), F.min(B._num(s1)).alias("s_min"),
         B.total(B._num(s1), kind).alias("s_sum"), F.min_by(calc, F.col("row_idx")).alias("calc_first"),
@@ -125,7 +127,7 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
     pt_rows.append(gk_ok.select(*_pid(2), F.col("gi").alias("row_idx"), g_cells.alias("cells")))
     g_hdr = (
         F.when(F.col("s_kind") == "group", F.array(name(F.col("g_col"))))
-        .when(F.col("s_kind") == "group_agg", F.array(name(F.col("g_col")), F.concat(F.col("h_agg"), F.lit(" ( "), name(F.col("h_col")), F.lit(" )"))))
+        .when(F.col("s_kind") == "group_agg", F.array(name(F.col("g_col")), B.group_aggregate(F.col("header"))))
         .otherwise(sel_hdr)
     )
     g_types = (

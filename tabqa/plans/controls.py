@@ -19,7 +19,7 @@ def pipeline(spark, sf_dir, controls: K.Controls | None = None):
     c = shared.corpus(spark, sf_dir, "supplier")
     specs = shared.specs(spark, sf_dir, "supplier", SP)
     ans = shared.executed(spark, sf_dir, "supplier", SP)
-    return K.apply(specs, ans, c.rows, controls or K.Controls()), c
+    return K.apply(specs, ans, c.rows, controls or K.Controls(), texts=False), c
 
 
 def _duck(select: str) -> str:
@@ -252,9 +252,17 @@ _LOC = K.Controls(answer_location=K.Range(True, [], 0, 1))
     "ctl_answer_location",
     _duck(
         """, cellx AS (SELECT table_id, row_idx, unnest(cells) AS v, unnest(range(0, len(cells))) AS col_idx FROM crows),
+        origin AS (SELECT f.table_id, f.query_no, f.cells[f.s_cols[1] + 1] AS v,
+                          row_number() OVER (PARTITION BY f.table_id, f.query_no ORDER BY k.ord_s NULLS FIRST, f.row_idx) AS rk
+                   FROM f JOIN answer_rows k ON k.table_id = f.table_id AND k.query_no = f.query_no
+                        AND (f.g_col IS NULL OR f.cells[f.g_col + 1] IS NOT DISTINCT FROM k.ord_s)
+                   WHERE f.s_kind = 'agg'),
+        asked AS (SELECT table_id, query_no, v FROM origin WHERE rk = 1
+                  UNION ALL SELECT a.table_id, a.query_no, a.answer FROM answers a JOIN specs s ON s.table_id = a.table_id AND s.query_no = a.query_no
+                  WHERE a.n_ans_rows = 1 AND s.s_kind <> 'agg'),
         hit AS (SELECT a.table_id, a.query_no, c.row_idx,
                        row_number() OVER (PARTITION BY a.table_id, a.query_no ORDER BY c.row_idx, c.col_idx) AS rk
-                FROM answers a JOIN cellx c ON c.table_id = a.table_id AND c.v = a.answer WHERE a.n_ans_rows = 1),
+                FROM asked a JOIN cellx c ON c.table_id = a.table_id AND c.v = a.v),
         pos AS (SELECT a.table_id, a.query_no, coalesce(h.row_idx, -1) AS ans_row
                 FROM answers a LEFT JOIN (SELECT * FROM hit WHERE rk = 1) h USING (table_id, query_no))
         SELECT p.table_id, p.query_no,
@@ -263,7 +271,7 @@ _LOC = K.Controls(answer_location=K.Range(True, [], 0, 1))
     ),
 )
 def ctl_answer_location(spark, sf_dir):
-    """Answer row ratio in (0, 1]."""
+    """Answer row ratio in (0, 1], aggregates by the first row of their plain query."""
     df, _ = pipeline(spark, sf_dir, _LOC)
     return df.select("table_id", "query_no", F.col("K12_answer_location").cast("int").alias("fails"))
 

@@ -224,7 +224,7 @@ rm_top AS (
                  FROM rm WHERE o_kind = 'col') WHERE rk = 1),
 grouped AS (
   SELECT table_id, query_no, CASE WHEN g_col IS NOT NULL THEN cells[g_col + 1] END AS gkey, any_value({real('h_col')}) AS h_real, any_value({real('s_cols[1]')}) AS s_real,
-         count(cells[h_col + 1]) AS h_cnt, max({hv}) AS h_max, min({hv}) AS h_min, sum({hv}) AS h_sum,
+         CASE WHEN any_value(h_distinct) THEN count(DISTINCT cells[h_col + 1]) ELSE count(cells[h_col + 1]) END AS h_cnt, max({hv}) AS h_max, min({hv}) AS h_min, sum({hv}) AS h_sum,
          bool_and(coalesce({h_row_ok}, true)) AS h_every,
          count(cells[s_cols[1] + 1]) AS s_cnt, max(nums[s_cols[1] + 1]) AS s_max, min(nums[s_cols[1] + 1]) AS s_min,
          sum(nums[s_cols[1] + 1]) AS s_sum, count(nums[s_cols[1] + 1]) AS s_nums, first({calc} ORDER BY row_idx) AS calc_first

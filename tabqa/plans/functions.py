@@ -95,3 +95,39 @@ def fn_to_number(spark, sf_dir):
         T.to_number_text(F.concat(F.col("o_custkey").cast("string"), F.lit("."), (F.col("o_orderkey") % 100).cast("string"))).alias("a"),
         T.to_number_text(F.col("o_orderkey").cast("string")).alias("b"),
     )
+
+
+@query(
+    "fn_replace_nth",
+    """SELECT doc_id, CAST(len(p) - 1 AS INTEGER) AS n_found,
+              CASE WHEN n < len(p) THEN array_to_string(p[1:n], 'an') || '<AN>' || array_to_string(p[n + 1:], 'an') END AS v
+       FROM (SELECT doc_id, string_split(text, 'an') AS p, doc_id % 5 + 1 AS n FROM documents)""",
+)
+def fn_replace_nth(spark, sf_dir):
+    """Occurrences of a text counted, and the n-th replaced (P5)."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sub = F.lit("an")
+    return d.select("doc_id", T.count_of(F.col("text"), sub).alias("n_found"), T.replace_nth(F.col("text"), sub, F.lit("<AN>"), F.col("doc_id") % 5 + 1).alias("v"))
+
+
+@query(
+    "fn_replace_each",
+    """SELECT o_orderkey, o_orderstatus || ' on ' || strftime(o_orderdate, '%Y-%m-%d') || ' by ' || o_custkey AS v FROM orders""",
+)
+def fn_replace_each(spark, sf_dir):
+    """The places of a template filled one after the other (P5)."""
+    o = Tables(spark, sf_dir).orders
+    news = F.array(F.col("o_orderstatus"), F.col("o_orderdate").cast("date").cast("string"), F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", T.replace_each(F.lit("{} on {} by {}"), F.lit("{}"), news).alias("v"))
+
+
+@query(
+    "fn_replace_range",
+    """SELECT doc_id, substring(text, 1, a) || replace(substring(text, a + 1, 60), 'e', 'EE') || substring(text, a + 61) AS v
+       FROM (SELECT doc_id, text, CAST(doc_id % 40 AS INTEGER) AS a FROM documents)""",
+)
+def fn_replace_range(spark, sf_dir):
+    """A text replaced inside a range of characters only."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = F.col("doc_id") % 40
+    return d.select("doc_id", T.replace_range(F.col("text"), a, a + 60, F.lit("e"), F.lit("EE")).alias("v"))

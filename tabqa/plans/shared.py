@@ -48,7 +48,7 @@ def executed(spark, sf_dir: str, name: str, p: S.SpecParams) -> B.Answers:
     if k not in _MEMO:
         c = corpus(spark, sf_dir, name)
         a = B.execute(c.rows, specs(spark, sf_dir, name, p))
-        _MEMO[k] = B.Answers(pin(a.answers, "answers"), a.parts)
+        _MEMO[k] = B.Answers(pin(a.answers, "answers"), a.parts, a.origin)
     return _MEMO[k]
 
 
