@@ -100,6 +100,7 @@ class SpecParams:
     # 'coarse' (templates s1-s8) or 'fine' (fine templates)
     kind: str = "coarse"
     profile: str = "english"  # a name in PROFILES
+    first: int = 0  # number of the first query, to draw on where another call ended
 
 
 def _q(s: str) -> str:
@@ -403,7 +404,7 @@ def draw(tables: DataFrame, rows: DataFrame, p: SpecParams = SpecParams()) -> Da
     d = SPARK
     base = tables.select(
         "table_id", "header", "types", "n_rows", "n_cols",
-        F.explode(F.sequence(F.lit(0), F.lit(p.per_table - 1))).alias("query_no"),
+        F.explode(F.sequence(F.lit(p.first), F.lit(p.first + p.per_table - 1))).alias("query_no"),
     )
     # The draws are CPU-heavy per spec but the input is small: spread it over
     # an explicit partition count (AQE keeps explicit counts, it would merge

@@ -11,6 +11,7 @@ from tabqa.operators import generate as G
 from tabqa.operators import render as M
 from tabqa.plans import duck as D
 from tabqa.plans.registry import query
+from tabqa.session import pin
 from tabqa.sources import corpus as C
 from tabqa.sources.tables import Tables, infer_types, role_profile
 
@@ -392,6 +393,31 @@ def gen_budget_filter(spark, sf_dir):
     return t.where(F.abs(F.col("n_tokens") - TARGET) <= 0.04 * TARGET)
 
 
+REACH = G.preset("long2k", row_min=25, row_max=60)
+REACH_TOKENS, REACH_TRIES, REACH_LEVELS = 800, 16, 4
+_EVERY = REACH_TRIES * REACH_LEVELS
+_REACH_N = " ".join(
+    f"WHEN {lv} THEN {D.uniform(D.key(REACH.seed, 'id', chr(39) + 'nrows' + chr(39)), max(1, REACH.row_min - 5 * lv), REACH.row_max - 5 * lv)}" for lv in range(REACH_LEVELS)
+)
+
+
+@query(
+    "gen_reach_budget",
+    f"""WITH d AS (SELECT s_suppkey AS table_id, draw, s_suppkey * {_EVERY} + draw AS id FROM supplier, range(0, {_EVERY}) AS t(draw)),
+    n AS (SELECT table_id, draw, draw // {REACH_TRIES} AS level, CASE draw // {REACH_TRIES} {_REACH_N} END AS n_rows FROM d),
+    near AS (SELECT table_id, draw, level, 15 + 23 * n_rows AS n_tokens FROM n WHERE abs(15 + 23 * n_rows - {REACH_TOKENS}) <= 0.04 * {REACH_TOKENS}),
+    hit AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY draw) = 1)
+    SELECT s_suppkey AS table_id, CAST(draw AS BIGINT) AS draw, CAST(level AS INTEGER) AS level, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(draw IS NOT NULL AS INTEGER) AS reached
+    FROM supplier LEFT JOIN hit ON table_id = s_suppkey""",
+)
+def gen_reach_budget(spark, sf_dir):
+    """Synthetic tables drawn until each has 800 tokens within 4 %, with fewer rows after 16 misses."""
+    from tabqa.operators import quota as Q
+
+    got = Q.tables_near_budget(Tables(spark, sf_dir).supplier, "s_suppkey", REACH, pin(_vocab(spark, sf_dir), "vocabulary"), REACH_TOKENS, tries=REACH_TRIES, levels=REACH_LEVELS)
+    return got.report.withColumn("reached", F.col("reached").cast("int"))
+
+
 
 @query(
     "src_csv_folder",

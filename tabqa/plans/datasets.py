@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tabqa.operators import controls as K
@@ -388,6 +390,31 @@ def inst_acceptance_rate(spark, sf_dir):
     )
 
 
+REACH = S.SpecParams(seed=51)
+REACH_ROUNDS = 2
+_REACH_FIRST, _REACH_ALL = TARGET_PER_TABLE * 5, TARGET_PER_TABLE * (5 + 25)
+
+
+@query(
+    "inst_reach",
+    _duck(
+        DB.LINEITEM_BY_SUPPLIER, replace(REACH, per_table=_REACH_ALL),
+        f""", have AS (SELECT t.table_id, count(d.sql) FILTER (d.query_no < {_REACH_FIRST}) AS n1, count(d.sql) AS n2
+                       FROM ctables t LEFT JOIN dd d ON d.table_id = t.table_id GROUP BY t.table_id)
+        SELECT h.table_id, CAST(CASE WHEN n1 >= {TARGET_PER_TABLE} THEN {_REACH_FIRST} ELSE {_REACH_ALL} END AS BIGINT) AS n_drawn,
+               CAST(least(n2, {TARGET_PER_TABLE}) AS BIGINT) AS n_kept, CAST(n2 >= {TARGET_PER_TABLE} AS INTEGER) AS reached, r.query_no, r.sql, r.answer
+        FROM have h LEFT JOIN (SELECT * FROM rk WHERE rn <= {TARGET_PER_TABLE}) r ON r.table_id = h.table_id""",
+    ),
+)
+def inst_reach(spark, sf_dir):
+    """Queries drawn in rounds until every table has five that the rules let through, or is reported."""
+    from tabqa.operators import quota as Q
+
+    got = Q.queries_per_table(shared.corpus(spark, sf_dir, "supplier"), REACH, TARGET_PER_TABLE, rounds=REACH_ROUNDS)
+    report = got.report.withColumn("reached", F.col("reached").cast("int"))
+    return report.join(got.kept, "table_id", "left").select("table_id", "n_drawn", "n_kept", "reached", "query_no", "sql", "answer")
+
+
 @query(
     "inst_fields",
     DB.exec_sql(

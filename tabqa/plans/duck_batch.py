@@ -107,7 +107,7 @@ def specs_sql(corpus: str, p: S.SpecParams, out_name: str = "specs") -> str:
     """CTE text defining ``specs`` (one row per spec with literals and sql)."""
     base = (
         f"sbase AS (SELECT table_id, header, types, n_rows, n_cols, CAST(q AS INTEGER) AS query_no "
-        f"FROM ctables, unnest(range(0, {p.per_table})) AS t(q))"
+        f"FROM ctables, unnest(range({p.first}, {p.first + p.per_table})) AS t(q))"
     )
     ctes, last = _stage_chain("sbase", ["table_id", "header", "types", "n_rows", "n_cols", "query_no"], S.stage_list(d, p), "st")
     slots = ", ".join(
