@@ -187,7 +187,13 @@ def where_ok(kind: str = "bigint") -> Column:
 WORK_PER_TASK = 2_000_000  # row x spec evaluations per join task
 
 
-def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
+def _nested_number(kind: str) -> Column:
+    """Whether a row meets the numeric condition with a sub-query's answer, where a spec has one."""
+    met = _cmp(_num(F.col("n_col")), F.col("n_op"), F.col("n_val").try_cast(kind))
+    return F.when(F.col("n_kind") == "num", F.coalesce(met, F.lit(False))).otherwise(F.lit(True))
+
+
+def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int, admitted: DataFrame | None = None) -> DataFrame:
     """rows x specs of the same table, spread by expansion work.
 
     A table gets ``n_salt = max(ceil(rows*specs / WORK_PER_TASK), ceil(rows / salt_rows))``
@@ -195,6 +201,9 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
     (table_id, salt) with an explicit partition count (AQE keeps explicit
     counts), its specs are replicated once per salt.  A hot table — or one
     big table with many specs — is thus evaluated by many tasks.
+
+    A spec with ``NEST_COLS`` has a condition more, on the answer of its sub-query: a number to
+    compare with, or ``admitted`` values (``table_id, query_no, value``), a join on the cell by the same salts.
     """
     spark = rows.sparkSession
     per_table = specs.groupBy("table_id").agg(F.count(F.lit(1)).alias("__k"), F.max("n_rows").alias("__n"))
@@ -223,7 +232,17 @@ def _join_specs(rows: DataFrame, specs: DataFrame, salt_rows: int) -> DataFrame:
     # WHERE is part of the join condition: it is tested on the joined-row view,
     # so only matching (row, spec) pairs are materialised.
     cond = (F.col("table_id") == F.col("__tid")) & (F.col("salt") == F.col("__salt")) & where_ok(number_type(rows))
-    return r.join(sp, cond).drop("__tid", "__salt")
+    if "n_kind" in specs.columns:
+        cond = cond & _nested_number(number_type(rows))
+    x = r.join(sp, cond).drop("__tid", "__salt")
+    if admitted is None:
+        return x
+    v = admitted.join(pt, "table_id").select(
+        F.col("table_id").alias("__vt"), F.col("query_no").alias("__vq"), F.col("value").alias("__v"), F.explode(F.sequence(F.lit(0), F.col("__s") - 1)).alias("__vs")
+    )
+    cell = F.when(F.col("n_kind") == "text", _cell(F.col("n_col")))
+    found = (F.col("table_id") == F.col("__vt")) & (F.col("query_no") == F.col("__vq")) & (F.col("salt") == F.col("__vs")) & (cell == F.col("__v"))
+    return x.join(v, found, "left").where((F.col("n_kind") != "text") | F.col("__v").isNotNull()).drop("__vt", "__vq", "__vs", "__v")
 
 
 EXEC_COLS = [
@@ -233,6 +252,13 @@ EXEC_COLS = [
     "o_kind", "o_col", "o_desc",
 ]
 SPEC_KEY = ["table_id", "query_no"]
+#: Of specs with a sub-query in their WHERE: "num" or "text", the column, and for numbers the operator and the sub-query's answer.
+NEST_COLS = ["n_kind", "n_col", "n_op", "n_val"]
+
+
+def exec_columns(specs: DataFrame) -> list[str]:
+    """The columns of specs that execution reads."""
+    return [*EXEC_COLS, *(c for c in NEST_COLS if c in specs.columns)]
 
 
 def _top_key(value: Column, desc: Column, kind: str) -> Column:
@@ -252,8 +278,8 @@ def _part(rows: Column, part: Column) -> list[Column]:
     return [*[F.col(k) for k in SPEC_KEY], part.cast("bigint").alias("part"), rows.alias("rows")]
 
 
-def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_rows: int = PART_ROWS, sketch: float | None = None) -> Answers:
-    """Answer every spec.
+def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_rows: int = PART_ROWS, sketch: float | None = None, admitted: DataFrame | None = None) -> Answers:
+    """Answer every spec; ``admitted`` holds the values that a sub-query lets through, for specs that have one.
 
     Specs are split by mode before the join, so each rows x specs expansion
     is computed once, for the specs that need it:
@@ -270,7 +296,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
 
     kind = number_type(rows)
     refused = specs.where(unanswerable()).select(*SPEC_KEY)
-    sp = specs.where(~unanswerable()).select(*EXEC_COLS)
+    sp = specs.where(~unanswerable()).select(*exec_columns(specs))
     is_row = F.col("g_col").isNull() & F.col("s_kind").isin("cols", "calc")
 
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
@@ -286,13 +312,13 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     )
 
     # ---- plain rows
-    xp = _join_specs(rows, sp.where(is_row & (F.col("o_kind") != "col")), salt_rows)
+    xp = _join_specs(rows, sp.where(is_row & (F.col("o_kind") != "col")), salt_rows, admitted)
     plain = xp.select(*SPEC_KEY, F.floor(F.col("row_idx") / part_rows).alias("part"), answer_row.alias("r"))
     plain = plain.groupBy(*SPEC_KEY, "part").agg(F.sort_array(F.collect_list("r")).alias("rows"))
     plain = plain.select(*_part(F.col("rows"), F.col("part")))
 
     # ---- top row
-    xt = _join_specs(rows, sp.where(is_row & (F.col("o_kind") == "col")), salt_rows)
+    xt = _join_specs(rows, sp.where(is_row & (F.col("o_kind") == "col")), salt_rows, admitted)
     place = _top_key(_num(F.col("o_col")), F.col("o_desc"), kind) * F.lit(ROW_LIMIT).cast("decimal(14,0)") + F.col("row_idx").cast("decimal(13,0)")
     best = pin(
         xt.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected"), F.min(place.cast("decimal(38,0)")).alias("place")), "answer-top"
@@ -301,7 +327,7 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     top = at.join(rows, ["table_id", "row_idx"]).select(*_part(F.array(answer_row), F.lit(0)))
 
     # ---- aggregate mode
-    xa = _join_specs(rows, sp.where(~is_row), salt_rows)
+    xa = _join_specs(rows, sp.where(~is_row), salt_rows, admitted)
     hv, hc = _num(F.col("h_col")), _cell(F.col("h_col"))
     sc, sv = _cell(s1), _num(s1)
     h_lit = F.col("h_lit").try_cast(kind)
@@ -392,6 +418,11 @@ def selected_rows(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS)
     return _join_specs(rows, specs.select(*EXEC_COLS), salt_rows).select(*SPEC_KEY, "row_idx")
 
 
+def matched(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, admitted: DataFrame | None = None) -> DataFrame:
+    """``table_id, query_no, row_idx, cells, nums`` of every row that a spec's whole WHERE selects."""
+    return _join_specs(rows, specs.select(*exec_columns(specs)), salt_rows, admitted).select(*SPEC_KEY, "row_idx", "cells", "nums")
+
+
 def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame, failed: DataFrame) -> DataFrame:
     """One row per spec with what rules and texts need to know of its answer; a failed one has none.
 

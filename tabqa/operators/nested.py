@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabqa.functions.hashing import hk, key, unit, weighted_choice
-from tabqa.functions.indexing import row_index
-from tabqa.operators.batch import Answers, execute
+from tabqa.operators.batch import SALT_ROWS, Answers, execute
+from tabqa.operators.render import _py_repr
+from tabqa.operators.specs import CODE_ENGLISH
 from tabqa.session import pin
-from tabqa.sources.corpus import number_type, real_text
+from tabqa.sources.corpus import real_text
 
 KEY = ["table_id", "query_no"]
 # Emission weights of two- and three-level queries, and the aggregates a pair may combine.
@@ -74,6 +75,14 @@ def op_and_value(specs: DataFrame, answers: DataFrame, rows: DataFrame, seed: in
 LINK_ONE = 'This query is a nested query that requires obtaining a query result first, and then using this query result as the "where condition" to do the next query.'
 LINK_MATCH = "Then, if the process of the previous query matches {}. True or False."
 LINK_WHERE = 'The process of the previous query is the where condition of the next query. The filtering conditions need to meet {} "answer of last step".'
+LINK_TWO = "This query is a nested query that requires obtaining the results of two queries first, and then calculating the results of both queries"
+LINK_TRUE = "Finally, determine whether the answer to the first query is {} the answer to the second query."
+LINK_CALC = "Finally, calculate the {} the answers to the first query and the second query."
+
+
+def english(code: Column) -> Column:
+    """An operator or aggregate in words."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in CODE_ENGLISH.items() for x in kv]), code)
 
 
 def linked_match(nested: DataFrame, sub_traces: DataFrame) -> DataFrame:
@@ -93,12 +102,12 @@ def linked_match(nested: DataFrame, sub_traces: DataFrame) -> DataFrame:
 def linked_where(specs: DataFrame, sub_traces: DataFrame, outer_traces: DataFrame) -> DataFrame:
     """M24 of d2-d4: the sub-query's turns, the link, then the outer query's turns over the rows admitted.
 
-    ``specs`` comes from ``where_nested``; ``outer_traces`` is keyed by its ``nid``.
+    ``specs`` comes from ``where_nested``; both traces are keyed as the specs.
     """
-    outer = outer_traces.select(F.col("table_id").alias("nid"), F.col("turn_input").alias("o_in"), F.col("turn_output").alias("o_out"))
+    outer = outer_traces.select(*KEY, F.col("turn_input").alias("o_in"), F.col("turn_output").alias("o_out"))
     sub = sub_traces.select(*KEY, "turn_input", "turn_output")
-    j = specs.select(*KEY, "nid", "sql", "header", "ncol", "nop").join(sub, KEY).join(outer, "nid")
-    need = F.concat(F.element_at("header", F.col("ncol") + 1), F.lit(" "), F.col("nop"))
+    j = specs.select(*KEY, "sql", "header", "n_col", "n_op").join(sub, KEY).join(outer, KEY)
+    need = F.concat(F.element_at("header", F.col("n_col") + 1), F.lit(" "), F.col("n_op"))
     link = F.concat(F.lit(LINK_WHERE.split("{}")[0]), need, F.lit(LINK_WHERE.split("{}")[1]))
     return j.select(
         *KEY, "sql",
@@ -107,25 +116,40 @@ def linked_where(specs: DataFrame, sub_traces: DataFrame, outer_traces: DataFram
     )
 
 
-# Weights of the comparison with a sub-query on a numeric column.
-NEST_NUM_OPS = ([">", "<", "="], [0.4, 0.4, 0.2])
+def linked_pair(pairs: DataFrame, traces: DataFrame) -> DataFrame:
+    """M24 of t1: the turns of both queries, the sentence that combines them (set operations have none) and the answer.
+
+    ``pairs`` comes from ``pair_ops``, ``traces`` has the turns of its specs; an answer is printed as a list of tuples.
+    """
+    side = lambda i: traces.select("table_id", F.col("query_no").alias(f"query_no{i}"), F.col("turn_input").alias(f"in{i}"), F.col("turn_output").alias(f"out{i}"))
+    j = pairs.join(side(1), ["table_id", "query_no1"]).join(side(2), ["table_id", "query_no2"])
+    word = english(F.col("op"))
+    around = lambda text: F.concat(F.lit(text.split("{}")[0]), word, F.lit(text.split("{}")[1]))
+    last = F.when(F.col("op").isin(">", "<", "="), F.array(around(LINK_TRUE))).when(F.col("op").isin("+", "-"), F.array(around(LINK_CALC)))
+    several = F.array_join(F.transform("vs", lambda v: F.concat(F.lit("("), _py_repr(v, F.lit(False)), F.lit(",)"))), ", ")
+    answer = F.when(F.col("op").isin("union", "intersect"), F.coalesce(several, F.lit(""))).otherwise(F.concat(F.lit("("), F.col("answer"), F.lit(",)")))
+    return j.select(
+        "table_id", "pair", "sql", "answer",
+        F.concat(F.array(F.lit(LINK_TWO)), F.col("in1"), F.col("in2"), F.coalesce(last, F.array().cast("array<string>"))).alias("turn_input"),
+        F.concat(F.array(F.lit("")), F.col("out1"), F.col("out2"), F.array(F.concat(F.lit("The answer is ["), answer, F.lit("]")))).alias("turn_output"),
+    )
 
 
-def _compare(a: Column, op: Column, b: Column) -> Column:
-    return F.when(op == ">", a > b).when(op == "<", a < b).when(op == "=", a == b)
+# Weights of the comparison with a sub-query on a numeric column.
+NEST_NUM_OPS = ([">", "<", "="], [0.4, 0.4, 0.2])
 
 
-def where_nested(outer: DataFrame, sub: DataFrame, sub_answers: Answers, rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """d2-d4: ``... where c op ( q )`` queries and their answers.
+def where_nested(outer: DataFrame, sub: DataFrame, sub_answers: Answers, seed: int) -> tuple[DataFrame, DataFrame]:
+    """d2-d4: ``... where c op ( q )`` queries.
 
     ``outer`` and ``sub`` are specs over the same tables; those of one (table_id, query_no)
     make a query if the sub-query is accepted: one plain column, an answer neither
     empty nor of every row, its first value not NULL, and a single row where the column
     is numeric.  Text columns compare with ``=`` (one value) or ``in``, numeric ones with a
-    drawn operator.  The level-1 answer is joined, never executed again: the rows that it
-    admits become the rows of a table numbered by the query, over which the outer
-    spec runs as it is.  Returns the outer specs (with ``sql``, ``nop`` and the number
-    ``nid``) and the answer texts, keyed by (table_id, query_no).
+    drawn operator.  The level-1 answer is never executed again: a number becomes a literal of
+    the outer spec, the values of a text column are joined with the cells of the rows that the
+    rest of the outer WHERE selects.  Returns the outer specs, with their ``sql`` and
+    ``NEST_COLS``, and those values (``table_id, query_no, value``).
     """
     s1 = F.try_element_at("s_cols", F.lit(1))
     a = sub.select(*KEY, F.col("sql").alias("sub_sql"), s1.alias("ncol"), F.array_contains("ic", s1).alias("is_num"), F.col("s_kind").alias("sub_kind"))
@@ -136,27 +160,21 @@ def where_nested(outer: DataFrame, sub: DataFrame, sub_answers: Answers, rows: D
     op = F.when(F.col("is_num"), weighted_choice(key(seed, F.col("table_id"), F.col("query_no"), "nest", "op"), *NEST_NUM_OPS)).otherwise(
         F.when(F.col("n_ans_rows") == 1, "=").otherwise("in")
     )
-    a = a.where(ok).select(*KEY, "sub_sql", "ncol", "is_num", op.alias("nop"), "first_value")
+    a = a.where(ok).select(*KEY, "sub_sql", F.when(F.col("is_num"), "num").otherwise("text").alias("n_kind"), F.col("ncol").alias("n_col"), op.alias("n_op"), F.col("first_value").alias("n_val"))
     o = outer.join(a, KEY)
-    cond = F.concat(F.element_at("header", F.col("ncol") + 1), F.lit(" "), F.col("nop"), F.lit(" ( "), F.col("sub_sql"), F.lit(" )"))
+    cond = F.concat(F.element_at("header", F.col("n_col") + 1), F.lit(" "), F.col("n_op"), F.lit(" ( "), F.col("sub_sql"), F.lit(" )"))
     lead = F.when(F.col("w_n") > 0, F.lit(" and ")).otherwise(F.lit(" where "))
     split = r"^(.*?)\s*(order by .*)?$"
     sql = F.concat(F.regexp_extract("sql", split, 1), lead, cond, F.lit(" "), F.regexp_extract("sql", split, 2))
-    specs = pin(row_index(o.withColumn("sql", F.trim(F.regexp_replace(sql, " {2}", " "))), [], KEY, out="nid"), "nested-specs")
-
-    # The rows that each query's sub-answer admits.
-    asked = specs.select("nid", "table_id", "query_no", "ncol", "is_num", "nop", F.col("first_value").try_cast(number_type(rows)).alias("n"))
-    by_number = rows.join(asked.where("is_num"), "table_id").where(_compare(F.try_element_at("nums", (F.col("ncol") + 1).cast("int")), F.col("nop"), F.col("n")))
-    values = sub_answers.answer_rows.join(asked.where("not is_num"), KEY).select("nid", "table_id", "ncol", F.try_element_at("vals", F.lit(1)).alias("v")).distinct()
-    wanted = values.select("table_id", "ncol").distinct()
-    cells = rows.join(wanted, "table_id").select("table_id", "ncol", "row_idx", "cells", "nums", F.try_element_at("cells", (F.col("ncol") + 1).cast("int")).alias("v"))
-    by_text = cells.join(values, ["table_id", "ncol", "v"])
-    keep = [F.col("nid").alias("table_id"), "row_idx", "cells", "nums"]
-    admitted = pin(by_number.select(*keep).unionByName(by_text.select(*keep)), "nested-rows")
-    by_nid = specs.drop("table_id").withColumnRenamed("nid", "table_id")
-    ran = execute(admitted, by_nid)
-    back = specs.select("nid", "table_id", "query_no")
-    return specs, ran.assembled().texts().withColumnRenamed("table_id", "nid").drop("query_no").join(back, "nid")
+    specs = pin(o.withColumn("sql", F.trim(F.regexp_replace(sql, " {2}", " "))).drop("sub_sql"), "nested-specs")
+    values = sub_answers.answer_rows.join(specs.where("n_kind = 'text'").select(*KEY), KEY, "left_semi")
+    values = pin(values.select(*KEY, F.try_element_at("vals", F.lit(1)).alias("value")).where(F.col("value").isNotNull()).distinct(), "nested-values")
+    return specs, values
+
+
+def answer_nested(specs: DataFrame, values: DataFrame, rows: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """The answers of ``where_nested``'s queries, with their whole texts."""
+    return execute(rows, specs, salt_rows, admitted=values).assembled().texts()
 
 
 # Fixed values, as above.
@@ -166,7 +184,8 @@ ALLOWED_AGG_SETS = [["count"], ["max"], ["min"], ["max", "min"]]
 
 def pair_ops(specs: DataFrame, answers: DataFrame, answer_rows: DataFrame, seed: int) -> DataFrame:
     """t1: ``select ( q1 ) op ( q2 )`` or ``q1 union|intersect q2`` for query pairs (2k, 2k+1)
-    drawn from the same template (I8, E4, H1, H2 over corpora)."""
+    drawn from the same template (I8, E4, H1, H2 over corpora).  Besides the query and its answer: the
+    operator, the numbers of both specs and the values ``vs`` of a set operation."""
     a = specs.join(answers.select(*KEY, "n_ans_rows", "first_value"), KEY).select(
         "table_id", (F.floor(F.col("query_no") / 2)).cast("int").alias("pair"), (F.col("query_no") % 2).alias("side"),
         "sql", "s_kind", "s_agg", "s_cols", "ic", "n_ans_rows", F.col("first_value").alias("first"),
@@ -218,4 +237,4 @@ def pair_ops(specs: DataFrame, answers: DataFrame, answer_rows: DataFrame, seed:
         F.col("op").isin("union", "intersect"), F.concat(F.col("sql1"), F.lit(" "), F.col("op"), F.lit(" "), F.col("sql2"))
     ).otherwise(F.concat(F.lit("select ( "), F.col("sql1"), F.lit(" ) "), F.col("op"), F.lit(" ( "), F.col("sql2"), F.lit(" )")))
     answer = F.when(F.col("op").isin("union", "intersect"), F.coalesce(set_ans, F.lit(""))).otherwise(scalar)
-    return j.select("table_id", "pair", F.regexp_replace(sql, " {2}", " ").alias("sql"), answer.alias("answer"))
+    return j.select("table_id", "pair", F.regexp_replace(sql, " {2}", " ").alias("sql"), answer.alias("answer"), "op", "query_no1", "query_no2", "vs")

@@ -14,13 +14,14 @@ aggregations.  A trace is one text, for tables of every size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabqa.functions.indexing import row_index
 from tabqa.operators import batch as B
 from tabqa.operators import render as M
 from tabqa.operators.specs import CODE_ENGLISH
+from tabqa.session import pin
 from tabqa.sources.corpus import number_type
 
 KEY = ["table_id", "query_no"]
@@ -39,14 +40,17 @@ def _pid(step: int, group=None) -> list:
     return ["table_id", "query_no", F.lit(step).alias("step"), (F.lit(0) if group is None else group).cast("bigint").alias("grp")]
 
 
-def _joined(rows: DataFrame, sp: DataFrame) -> DataFrame:
-    return rows.join(sp, "table_id").where(B.where_ok(number_type(rows)))
+TEXT_COLS = ["header", "multistep", "n_cols", "ic", "ins_where", "ins_group", "ins_having", "ins_select", "ins_order"]
 
 
-def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
-    """(table_id, query_no, n_steps, cot) for every spec drawn from the s templates."""
-    sp = specs.select(*B.EXEC_COLS, "header", "multistep", "n_cols", "ic", "ins_where", "ins_group", "ins_having", "ins_select", "ins_order")
-    x = _joined(rows, sp)
+def traces(rows: DataFrame, specs: DataFrame, admitted: DataFrame | None = None, salt_rows: int = B.SALT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What the steps show: their tables as markdown, the specs, the groups and the matched rows.
+
+    Rows meet specs in the executor's salted join, once; the matches, without the specs'
+    texts, are written and read by every step.
+    """
+    sp = specs.select(*B.EXEC_COLS, *TEXT_COLS)
+    x = pin(B.matched(rows, specs, salt_rows, admitted), "trace-rows").join(sp, KEY)
     name = lambda c: F.try_element_at(F.col("header"), c + 1)
     s_names = F.transform("s_cols", lambda c: name(c))
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
@@ -56,7 +60,7 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
     # group index: dense rank of the group value inside the spec (SQLite emits groups in key order)
     gx = x.where(F.col("g_col").isNotNull()).select(*KEY, g_val.alias("gk")).distinct()
-    gx = gx.withColumn("gi", (F.dense_rank().over(Window.partitionBy(*KEY).orderBy("gk")) - 1).cast("int"))
+    gx = row_index(gx, KEY, ["gk"], out="gi").withColumn("gi", F.col("gi").cast("int"))
 
     # having verdict per group: same aggregates as the executor
     hv = B._num(F.col("h_col"))
@@ -162,17 +166,20 @@ def traces(rows: DataFrame, specs: DataFrame) -> DataFrame:
         *PSEUDO, "header", "types", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.size("header").alias("n_cols")
     )
     md = M.joined(M.render(prow, pmeta, "markdown", key=PSEUDO), "markdown", key=PSEUDO).withColumnRenamed("text", "md")
-    return md, sp, gagg
+    return md, sp, gagg, x
 
 
 def _pylist(arr):
     return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
 
 
-def cot(rows: DataFrame, specs: DataFrame) -> DataFrame:
-    """Trace text per spec (M20-M23): ``(table_id, query_no, n_steps, cot)``."""
-    md, sp, gagg = traces(rows, specs)
-    x = _joined(rows, sp)
+def cot(rows: DataFrame, specs: DataFrame, admitted: DataFrame | None = None, salt_rows: int = B.SALT_ROWS) -> DataFrame:
+    """Trace text per spec (M20-M23): ``(table_id, query_no, n_steps, cot)``.
+
+    Of specs with a sub-query (``nested.where_nested``, its values in ``admitted``) the
+    steps run over the rows that the sub-query's answer admits.
+    """
+    md, sp, gagg, x = traces(rows, specs, admitted, salt_rows)
     name = lambda c: F.try_element_at(F.col("header"), c + 1)
     s1 = F.try_element_at(F.col("s_cols"), F.lit(1))
 
@@ -259,7 +266,5 @@ def _top_rows(x: DataFrame, gagg: DataFrame) -> DataFrame:
         *KEY, F.struct(B.order_key(h, F.col("o_desc")).alias("k"), F.lit(None).cast("bigint").alias("i"), F.col("gk").alias("t")).alias("ord"),
         F.array("gk").alias("cells"),
     )
-    both = ng.unionByName(g)
-    w = Window.partitionBy(*KEY).orderBy("ord")
-    top = both.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1)
+    top = ng.unionByName(g).groupBy(*KEY).agg(F.min_by("cells", "ord").alias("cells"))
     return top.select(*_pid(5), F.lit(0).alias("row_idx"), "cells")

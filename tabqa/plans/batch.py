@@ -241,15 +241,13 @@ NESTED = {
 }
 
 
-def _d_where_nested(name: str) -> str:
-    """Oracle: the sub-queries answered, then the outer specs over the rows that they admit."""
+def where_nested_sql(corpus: str, sub: S.SpecParams, p: S.SpecParams, select: str) -> str:
+    """Oracle: the sub-queries answered (``acc``), then the outer specs over the rows that they admit."""
     from tabqa.operators import nested as N
     from tabqa.plans import duck as D
 
-    p = NESTED[name]
-    corpus = DB.LINEITEM_BY_SUPPLIER
     level1 = DB.exec_sql(
-        corpus, SUB,
+        corpus, sub,
         """SELECT s.table_id, s.query_no, s.sql, s.s_cols[1] AS ncol, list_contains(s.ic, s.s_cols[1]) AS is_num, s.s_kind,
                   a.n_rows, a.n_ans_rows, a.n_ans_cols, v.vs, v.first_value
            FROM specs s JOIN answers a USING (table_id, query_no)
@@ -268,7 +266,7 @@ def _d_where_nested(name: str) -> str:
         f"regexp_extract(b.sql, {pat}, 2), ' {{2}}', ' ', 'g'))"
     )
     body = DB.exec_sql(
-        corpus, p, "SELECT table_id, query_no, sql, n_ans_rows, answer, n_selected FROM answers",
+        corpus, p, select,
         derive=f"SELECT b.* REPLACE ({sql} AS sql) FROM specs_base b JOIN acc c USING (table_id, query_no)",
     )
     n, v = "r.nums[c.ncol + 1]", "TRY_CAST(c.first_value AS BIGINT)"
@@ -286,11 +284,12 @@ def _nested(name: str, doc: str) -> None:
 
         c = shared.corpus(spark, sf_dir, "supplier")
         outer, sub = shared.specs(spark, sf_dir, "supplier", NESTED[name]), shared.specs(spark, sf_dir, "supplier", SUB)
-        _, texts = N.where_nested(outer, sub, shared.executed(spark, sf_dir, "supplier", SUB), c.rows, NESTED[name].seed)
-        return texts.select("table_id", "query_no", "sql", "n_ans_rows", "answer", "n_selected")
+        specs, values = N.where_nested(outer, sub, shared.executed(spark, sf_dir, "supplier", SUB), NESTED[name].seed)
+        return N.answer_nested(specs, values, c.rows).select("table_id", "query_no", "sql", "n_ans_rows", "answer", "n_selected")
 
     fn.__doc__ = doc
-    query(f"inst_coarse_{name}", _d_where_nested(name))(fn)
+    answered = "SELECT table_id, query_no, sql, n_ans_rows, answer, n_selected FROM answers"
+    query(f"inst_coarse_{name}", where_nested_sql(DB.LINEITEM_BY_SUPPLIER, SUB, NESTED[name], answered))(fn)
 
 
 _nested("d2", "``select .. where c op ( q )`` over accepted level-1 answers (I8, E1, E2).")
@@ -301,7 +300,8 @@ _nested("d4", "``select .. where w and c op ( q )`` (I8, E6).")
 T1 = S.SpecParams(seed=9, per_table=20, templates=("s1", "s2", "s3"), flag="t", pair=True)
 
 
-def _d_pairs():
+def pairs_sql(more: str = "") -> str:
+    """Oracle of pairs; ``more`` adds columns of ``jo`` and ``sets``."""
     from tabqa.operators import nested as N
     from tabqa.plans import duck as D
 
@@ -336,18 +336,18 @@ def _d_pairs():
                 WHEN op = '<' THEN CAST(CAST({n1} < {n2} AS INTEGER) AS VARCHAR)
                 WHEN op = '+' THEN CAST({n1} + {n2} AS VARCHAR)
                 WHEN op = '-' THEN CAST({n1} - {n2} AS VARCHAR)
-                ELSE CAST(CAST(first1 = first2 AS INTEGER) AS VARCHAR) END AS answer
+                ELSE CAST(CAST(first1 = first2 AS INTEGER) AS VARCHAR) END AS answer{more}
     FROM jo LEFT JOIN sets USING (table_id, pair)"""
 
 
-@query("inst_coarse_pairs", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, T1, _d_pairs()))
+@query("inst_coarse_pairs", DB.exec_sql(DB.LINEITEM_BY_SUPPLIER, T1, pairs_sql()))
 def inst_coarse_pairs(spark, sf_dir):
     """Three-level t1 queries: ``select ( q1 ) op ( q2 )`` and ``q1 union|intersect q2``."""
     from tabqa.operators import nested as N
 
     sp = shared.specs(spark, sf_dir, "supplier", T1)
     ex = shared.executed(spark, sf_dir, "supplier", T1)
-    return N.pair_ops(sp, ex.answers, ex.answer_rows, T1.seed)
+    return N.pair_ops(sp, ex.answers, ex.answer_rows, T1.seed).select("table_id", "pair", "sql", "answer")
 
 
 FINE = S.SpecParams(seed=13, per_table=20, kind="fine")

@@ -30,7 +30,8 @@ def _markdown(rows: str, meta: str, out: str) -> str:
               FROM {out}_m m LEFT JOIN {out}_b b USING (pid))"""
 
 
-def traces_sql(p, multiturn: bool = False) -> str:
+def traces_sql(p, multiturn: bool = False, run=None, final: str | None = None) -> str:
+    """Oracle of traces; ``run`` puts the text after other specs and matched rows (``specs``, ``f``), ``final`` reads ``per``."""
     pid = lambda step, g="0": f"((s.table_id * 64 + s.query_no) * 8 + {step}) * 1048576 + {g}"
     name = lambda c: f"s.header[{c} + 1]"
     calc = "(CASE WHEN s.s_op = '+' THEN s.nums[s.s_cols[1] + 1] + s.nums[s.s_cols[2] + 1] ELSE s.nums[s.s_cols[1] + 1] - s.nums[s.s_cols[2] + 1] END)"
@@ -121,12 +122,13 @@ def traces_sql(p, multiturn: bool = False) -> str:
                 FROM specs s LEFT JOIN md m ON m.pid = {pid(3)} WHERE s.s_kind = 'agg'
       UNION ALL SELECT s.table_id, s.query_no, 5, s.ins_order, m.md FROM specs s LEFT JOIN md m ON m.pid = {pid(5)} WHERE s.o_kind <> 'none'),
     per AS (SELECT table_id, query_no, list({{'code': code, 'inst': inst, 'inter': inter}} ORDER BY code) AS st FROM steps GROUP BY table_id, query_no)
-    {FINAL_MULTITURN if multiturn else FINAL_TEXT}"""
-    return DB.exec_sql(DB.ORDERS_BY_CUSTOMER, p, select)
+    {final or (FINAL_MULTITURN if multiturn else FINAL_TEXT)}"""
+    return run(select) if run else DB.exec_sql(DB.ORDERS_BY_CUSTOMER, p, select)
 
 
 FINAL_MULTITURN = """SELECT table_id, query_no, array_to_string(list_transform(st, lambda s: s.inst), ' || ') AS turn_input,
            CAST(len(st) AS INTEGER) AS n_outputs FROM per"""
+FINAL_TURNS = """SELECT table_id, query_no, list_transform(st, lambda s: s.inst) AS turn_input, list_transform(st, lambda s: s.inter) AS turn_output FROM per"""
 FINAL_TEXT = """SELECT table_id, query_no, CAST(len(st) AS INTEGER) AS n_steps,
            'You need to execute ' || CAST(len(st) AS VARCHAR) || ' steps.' || chr(10) ||
            array_to_string(list_transform(range(0, len(st)), lambda i: CASE WHEN i < len(st) - 1
