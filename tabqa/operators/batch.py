@@ -320,10 +320,14 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     # ---- top row
     xt = _join_specs(rows, sp.where(is_row & (F.col("o_kind") == "col")), salt_rows, admitted)
     place = _top_key(_num(F.col("o_col")), F.col("o_desc"), kind) * F.lit(ROW_LIMIT).cast("decimal(14,0)") + F.col("row_idx").cast("decimal(13,0)")
-    best = pin(
-        xt.groupBy(*SPEC_KEY).agg(F.count(F.lit(1)).alias("n_selected"), F.min(place.cast("decimal(38,0)")).alias("place")), "answer-top"
+    # The same with rows counted from behind finds the last row of the least value: another one means a tie.
+    behind = _top_key(_num(F.col("o_col")), F.col("o_desc"), kind) * F.lit(ROW_LIMIT).cast("decimal(14,0)") + (F.lit(ROW_LIMIT - 1) - F.col("row_idx")).cast("decimal(13,0)")
+    best = xt.groupBy(*SPEC_KEY).agg(
+        F.count(F.lit(1)).alias("n_selected"), F.min(place.cast("decimal(38,0)")).alias("place"), F.min(behind.cast("decimal(38,0)")).alias("behind")
     )
-    at = best.join(sp, SPEC_KEY).withColumn("row_idx", F.pmod(F.col("place"), F.lit(ROW_LIMIT).cast("decimal(38,0)")).cast("bigint"))
+    row_of = lambda c: F.pmod(F.col(c), F.lit(ROW_LIMIT).cast("decimal(38,0)")).cast("bigint")
+    best = pin(best.withColumn("ambiguous", row_of("place") != F.lit(ROW_LIMIT - 1) - row_of("behind")).drop("behind"), "answer-top")
+    at = best.drop("ambiguous").join(sp, SPEC_KEY).withColumn("row_idx", row_of("place"))
     top = at.join(rows, ["table_id", "row_idx"]).select(*_part(F.array(answer_row), F.lit(0)))
 
     # ---- aggregate mode
@@ -406,11 +410,13 @@ def execute(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, part_
     single = gl.select(*_part(F.array(group_row), F.lit(0)))
 
     parts = pin(plain.unionByName(top).unionByName(top_group).unionByName(listed).unionByName(single), "answer-parts")
-    grouped = g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected"))
+    ties = grp_out.where(is_top).groupBy(*SPEC_KEY, order_key(F.col("okey"), F.col("o_desc")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    ties = ties.groupBy(*SPEC_KEY).agg(F.min(F.struct("k", "n")).alias("m")).select(*SPEC_KEY, (F.col("m.n") > 1).alias("ambiguous"))
+    grouped = g.groupBy(*SPEC_KEY).agg(F.sum("cnt").alias("n_selected")).join(ties, SPEC_KEY, "left")
     # The first row of an aggregate's plain query: the first row of its first group (a missing group value comes first).
     origin = fine.where((F.col("s_kind") == "agg") & (F.col("g_col").isNull() | kept_group)).groupBy(*SPEC_KEY).agg(F.min(F.struct("gk", "first_row")).alias("m"))
     origin = origin.select(*SPEC_KEY, F.col("m.first_row").alias("row_idx"))
-    return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected").unionByName(grouped), refused.unionByName(failed)), parts, origin)
+    return Answers(_facts(specs, parts, best.select(*SPEC_KEY, "n_selected", "ambiguous").unionByName(grouped), refused.unionByName(failed)), parts, origin)
 
 
 def selected_rows(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
@@ -426,8 +432,9 @@ def matched(rows: DataFrame, specs: DataFrame, salt_rows: int = SALT_ROWS, admit
 def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame, failed: DataFrame) -> DataFrame:
     """One row per spec with what rules and texts need to know of its answer; a failed one has none.
 
-    ``selected`` has the matched rows of specs that keep fewer; of the others every
-    matched row is an answer row.
+    ``selected`` has the matched rows of specs that keep fewer, of the others every
+    matched row is an answer row, and whether a top-1 spec is ``ambiguous``: other rows
+    or groups have the same ORDER value (G5).
     """
     first = lambda r: F.try_element_at(r["vals"], F.lit(1))
     one = parts.select(
@@ -446,6 +453,7 @@ def _facts(specs: DataFrame, parts: DataFrame, selected: DataFrame, failed: Data
         *SPEC_KEY, "n_rows", "sql", n.alias("n_ans_rows"), F.coalesce("n_ans_cols", F.lit(0)).alias("n_ans_cols"),
         F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("has_01", F.lit(False)).alias("has_01"), "first_value",
         F.when(F.col("failed"), 0).when(F.col("plain"), n).otherwise(F.coalesce("n_selected", F.lit(0))).alias("n_selected"), F.coalesce("failed", F.lit(False)).alias("failed"),
+        F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"),
     )
 
 

@@ -155,13 +155,14 @@ class Controls:
     include: list = field(default_factory=list)
     exclude: list = field(default_factory=list)
     reject_large_int: bool = True
+    reject_ties: bool = False  # queries for one row or group of several with the same ORDER value
     parity: bool = True  # single answers measured in characters, as the reference does
 
 
 RULES = [
     "K1_null_answer", "K2_list_01", "K3_large_int", "K4_all_rows", "K5_answer_cells", "K6_keywords",
     "K7_length", "K8_column_ratio", "K9_row_ratio", "K10_filter_times", "K11_calc_times",
-    "K12_answer_location", "K13_exclude", "K14_include",
+    "K12_answer_location", "K13_exclude", "K14_include", "G5_ambiguous",
 ]
 
 
@@ -209,6 +210,7 @@ def rule_columns(df: DataFrame, c: Controls) -> DataFrame:
             else ~c.answer_location.test(F.col("ans_row") / F.col("n_rows"), lo_open=True)
         ),
         "K13_exclude": F.lit(False) if not c.exclude else F.greatest(*[sql.contains(x) for x in c.exclude], F.lit(False)),
+        "G5_ambiguous": F.col("ambiguous") if c.reject_ties else F.lit(False),
         "K14_include": F.lit(False) if not c.include else ~F.least(*[sql.contains(x) for x in c.include], F.lit(True)),
     }
     return df.select("*", *[F.coalesce(e, F.lit(False)).alias(k) for k, e in rules.items()])

@@ -276,6 +276,23 @@ def ctl_answer_location(spark, sf_dir):
     return df.select("table_id", "query_no", F.col("K12_answer_location").cast("int").alias("fails"))
 
 
+@query(
+    "ctl_ambiguous",
+    _duck(
+        """, same AS (
+          SELECT r.table_id, r.query_no FROM rm r JOIN rm_top t USING (table_id, query_no) WHERE r.o_kind = 'col' AND r.okey IS NOT DISTINCT FROM t.okey
+          UNION ALL
+          SELECT g.table_id, g.query_no FROM gok g JOIN gok_top t USING (table_id, query_no) WHERE g.o_kind = 'agg' AND g.okey IS NOT DISTINCT FROM t.okey),
+        ties AS (SELECT table_id, query_no, count(*) AS n FROM same ANTI JOIN failed USING (table_id, query_no) GROUP BY ALL)
+        SELECT s.table_id, s.query_no, CAST(coalesce(t.n > 1, false) AS INTEGER) AS fails FROM specs s LEFT JOIN ties t USING (table_id, query_no)"""
+    ),
+)
+def ctl_ambiguous(spark, sf_dir):
+    """Queries whose top row or group shares its ORDER value with others (G5 over a corpus)."""
+    df, _ = pipeline(spark, sf_dir, K.Controls(reject_ties=True))
+    return df.select("table_id", "query_no", F.col("G5_ambiguous").cast("int").alias("fails"))
+
+
 _REPORT_CASE = " ".join(
     f"WHEN {D_RULES[r]} THEN '{r}'" for r in ["K1_null_answer", "K2_list_01", "K3_large_int", "K4_all_rows"]
 ) + f" WHEN NOT ({D_ALEN} BETWEEN 1 AND 12) THEN 'K5_answer_cells'"
