@@ -64,3 +64,12 @@ def test_features_of_a_query_need_no_answers(spark, monkeypatch, name):
 
     monkeypatch.setattr(shared, "executed", never)
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_steps_of_a_trace_read_what_was_written(spark, drawn):
+    from tabqa.operators import traces as TR
+
+    c, specs = drawn
+    plan = TR.cot(c.rows, specs.where("query_no < 3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # the numbers of groups and rows are not worked out again in each step
+    assert plan.count("Join") < 20
