@@ -55,8 +55,9 @@ class NearDupParams:
     weights: str = "set"  # or "count"
     centre_rounds: int = 3  # rounds with one centre a bucket before the remaining pairs
     centres: int = 2  # centres that a node is compared with in a round
-    slice_words: int = 150_000  # words sketched at once by a task
-    memo_words: int = 500_000  # word hashes remembered by a task
+    slice_rows: int = 1_000  # texts turned into Python strings at once by a task
+    slice_words: int = 50_000  # words sketched at once by a task
+    memo_words: int = 200_000  # word hashes remembered by a task
 
 
 CELLS = 64  # of the hash space of shingles, for bounds on overlaps
@@ -168,6 +169,15 @@ def _slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _blocks(parts: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in blocks of so many rows; in the end unused memory goes back, as idle workers keep what they have."""
+    for b in parts:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        b = None
+    pa.default_memory_pool().release_unused()
+
+
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
@@ -179,7 +189,7 @@ def sketch(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for b in parts:
+        for b in _blocks(parts, p.slice_rows):
             texts = [t or "" for t in b.column("text").to_pylist()]
             for lo, hi in _slices(texts, p.slice_words):
                 doc, element = shingles(texts[lo:hi], p.words, memo)
@@ -199,7 +209,7 @@ def shingle_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for b in parts:
+        for b in _blocks(parts, p.slice_rows):
             texts = [t or "" for t in b.column("text").to_pylist()]
             for lo, hi in _slices(texts, p.slice_words):
                 doc, element = shingles(texts[lo:hi], p.words, memo)
