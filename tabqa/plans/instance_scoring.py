@@ -40,12 +40,17 @@ def _predicted(kept):
     return g.withColumn("pred", pred).withColumn("em", O.match(O.prepared(F.col("pred")), F.col("gold_p"))).drop("gold_p")
 
 
-def _scored(spark, sf_dir):
-    """Scored predictions of the kept supplier queries with their spec columns and answer row."""
-    c = shared.corpus(spark, sf_dir, "supplier")
-    ans = shared.executed(spark, sf_dir, "supplier", PC.SP)
-    checked = K.apply(shared.specs(spark, sf_dir, "supplier", PC.SP), ans, c.rows, K.Controls())
-    kept = checked.where("rejected_by is null").drop("ans_row", "ans_col").join(K.answer_position(ans.answers, c.rows), ["table_id", "query_no"])
+def _kept(spark, sf_dir, name, p, position=True):
+    """The queries that the rules keep, written once; with ``position`` the places of their answers, looked for among these alone."""
+    c = shared.corpus(spark, sf_dir, name)
+    checked = K.apply(shared.specs(spark, sf_dir, name, p), shared.executed(spark, sf_dir, name, p), c.rows, K.Controls())
+    kept = pin(checked.where("rejected_by is null").drop("ans_row", "ans_col"), "inst-kept")
+    return (kept.join(K.answer_position(kept, c.rows), ["table_id", "query_no"]) if position else kept), c
+
+
+def _scored(spark, sf_dir, position=False):
+    """Scored predictions of the kept supplier queries with their spec columns, with ``position`` also the answer row."""
+    kept, c = _kept(spark, sf_dir, "supplier", PC.SP, position)
     return _predicted(kept), c
 
 
@@ -82,7 +87,7 @@ def _duck(more: str) -> str:
 )
 def evl_inst_by_row(spark, sf_dir):
     """Accuracy by the row that holds the answer, in tenths of the table; -1 where no cell does."""
-    s, _ = _scored(spark, sf_dir)
+    s, _ = _scored(spark, sf_dir, position=True)
     bucket = F.when(F.col("ans_row") < 0, -1).otherwise(F.floor(10 * F.col("ans_row") / F.col("n_rows"))).cast("bigint")
     return O.accuracy(s.withColumn("row_bucket", bucket), ["model_id", "row_bucket"])
 
@@ -142,10 +147,7 @@ def snk_results_full(spark, sf_dir):
 
     ``contents`` is a table's cells in one value, whatever its size.
     """
-    c = shared.corpus(spark, sf_dir, "customer")
-    ans = shared.executed(spark, sf_dir, "customer", PD.OBC)
-    checked = K.apply(shared.specs(spark, sf_dir, "customer", PD.OBC), ans, c.rows, K.Controls())
-    kept = checked.where("rejected_by is null").drop("ans_row", "ans_col").join(K.answer_position(ans.answers, c.rows), ["table_id", "query_no"])
+    kept, c = _kept(spark, sf_dir, "customer", PD.OBC)
     contents = c.rows.groupBy("table_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))), lambda s: s["cells"]).alias("contents")
     )
