@@ -145,7 +145,7 @@ def evl_inst_by_clause(spark, sf_dir):
 def snk_results_full(spark, sf_dir):
     """Result rows {pred, gold, answer_row, sql, contents} written as JSON lines and read back whole.
 
-    ``contents`` is a table's cells in one value, whatever its size.
+    ``contents`` is a table's cells in one value, whatever its size.  Every result has them again, so the lines are gzipped.
     """
     kept, c = _kept(spark, sf_dir, "customer", PD.OBC)
     contents = c.rows.groupBy("table_id").agg(
@@ -155,7 +155,7 @@ def snk_results_full(spark, sf_dir):
         "table_id", "query_no", "model_id", "pred", F.col("answer").alias("gold"), F.col("ans_row").cast("bigint").alias("answer_row"), "sql", "contents"
     )
     path = DS.scratch_path(spark, "results")
-    DS.write_jsonl(res, path)
+    DS.write_jsonl(res, path, "gzip")
     schema = "table_id BIGINT, query_no INT, model_id INT, pred STRING, gold STRING, answer_row BIGINT, sql STRING, contents ARRAY<ARRAY<STRING>>"
     back = DS.read_jsonl(spark, path, schema)
     return back.withColumn("contents", F.array_join(F.transform("contents", lambda r: F.array_join(r, "|")), "\n"))
