@@ -68,3 +68,26 @@ def test_written_steps_leave_no_shuffles(spark):
     ids = {f.split("_")[1] for top in folders for _, _, fs in os.walk(top) for f in fs if f.startswith("shuffle_")}
     pin(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count())
     assert {f.split("_")[1] for top in folders for _, _, fs in os.walk(top) for f in fs if f.startswith("shuffle_")} <= ids
+
+
+@pytest.mark.parametrize("part_rows", [1000, 10_000])
+def test_texts_alone_are_the_same(spark, large, part_rows, monkeypatch):
+    c, specs = large
+    ans = B.execute(c.rows, specs, salt_rows=500, part_rows=part_rows)
+    made, plain = [], ans.plain
+    ans.plain = lambda some: made.append(some) or plain(some)
+    got = sorted(map(str, ans.texts(lists=False).collect()))
+    one = sorted(map(str, ans.assembled().texts(lists=False).collect())) if part_rows == 10_000 else []
+    assert not made  # no answer rows
+    assert got == sorted(map(str, ans.texts().drop("answer_list").collect())) and made
+    assert one == (got if part_rows == 10_000 else [])
+
+
+def test_a_column_shown_and_ordered_by_moves_once(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_suppkey < 4")
+    columns = [("flag", "l_returnflag", C.TEXT), ("day", "l_shipdate", C.DATE), ("n", "l_linenumber", C.INT)]
+    one = C.from_dataframe(li, "l_suppkey", columns, C.LINEITEM_ORDER)
+    two = C.from_dataframe(li, "l_suppkey", [(n, F.col(e), t) for n, e, t in columns], C.LINEITEM_ORDER)
+    assert sorted(map(str, one.rows.collect())) == sorted(map(str, two.rows.collect()))
+    moved = lambda c: c.rows._jdf.queryExecution().optimizedPlan().toString().count("AS __c")
+    assert "__c" not in one.rows._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1] and moved(two) == 3
